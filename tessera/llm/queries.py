@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import shared_dir, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,6 +24,15 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), toxicity.toxicity(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import decontamination
 
@@ -31,6 +41,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", found.alias("d")).select("doc_id", "d.n_words", "d.n_hit", "d.n_items", "d.items_sha256", "d.contaminated")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import token_files
+
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return token_files.read_digests(spark, path)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import token_counts
 
@@ -38,7 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op4_decontamination, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op4_decontamination, op9_token_files, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
