@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir, table
+from tessera.llm.common import shared_dir, stored, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,6 +33,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import pii
+
+    # Texts are searched once; only spans and features are kept for fitting and selecting.
+    spans = stored(pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "pii-spans")
+    return pii.digest(spans, pii.fit(spans))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import decontamination
 
@@ -56,7 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op4_decontamination, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_pii, op4_decontamination, op9_token_files, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
