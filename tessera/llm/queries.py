@@ -49,6 +49,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", found.alias("d")).select("doc_id", "d.n_words", "d.n_hit", "d.n_items", "d.items_sha256", "d.contaminated")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import html_extract
+
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", html_extract.extracted(F.col("html")).alias("x")).select("page_id", "url", "x.text", "x.n_chars")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import token_files
 
@@ -64,7 +71,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_pii, op4_decontamination, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_pii, op4_decontamination, op6_html_extraction, op9_token_files, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
