@@ -56,6 +56,12 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", html_extract.extracted(F.col("html")).alias("x")).select("page_id", "url", "x.text", "x.n_chars")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import near_dedup
+
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import token_files
 
@@ -71,7 +77,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_pii, op4_decontamination, op6_html_extraction, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_pii, op4_decontamination, op6_html_extraction, op8_near_duplicates, op9_token_files, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
