@@ -49,6 +49,47 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", found.alias("d")).select("doc_id", "d.n_words", "d.n_hit", "d.n_items", "d.items_sha256", "d.contaminated")
 
 
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import chat
+
+    calls, results = chat.turn_calls(table(spark, sf_dir, "conversations"))
+    made = chat.format_calls(calls, results, chat.ASK)
+    return made.select("call_id", F.col("turn"), "level", "n_results", "valid", F.length("json").cast("long").alias("n_chars"), F.sha2("json", 256).alias("json_sha256"))
+
+
+OP5_SQL = r"""
+WITH m AS (
+  SELECT CAST(conv_id AS VARCHAR) AS scope, turn, role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL
+), c AS (
+  SELECT scope, scope || '-' || turn AS call_id, min(turn) AS turn, min(text) AS text
+  FROM m WHERE role = 'user' GROUP BY 1, 2
+), r AS (
+  SELECT scope || '-' || (turn - 1) AS call_id, count(*) AS n_results, min(text) AS result
+  FROM m WHERE role <> 'user' GROUP BY 1
+), j AS (
+  SELECT c.scope, c.call_id, c.turn, c.text, len(list_filter(regexp_split_to_array(c.text, '[ \t\n\r]+'), lambda w: w <> '')) AS words,
+         scope || '-' || (c.turn - 2) AS needs, coalesce(r.n_results, 0) AS n_results, r.result
+  FROM c LEFT JOIN r USING (call_id)
+), e AS (
+  SELECT j.*, list_concat(
+      CASE WHEN length(text) < 1 THEN ['text: minLength'] ELSE CAST([] AS VARCHAR[]) END,
+      CASE WHEN length(text) > 100000 THEN ['text: maxLength'] ELSE CAST([] AS VARCHAR[]) END,
+      CASE WHEN words < 1 THEN ['words: minimum'] ELSE CAST([] AS VARCHAR[]) END,
+      CASE WHEN words > 100 THEN ['words: maximum'] ELSE CAST([] AS VARCHAR[]) END,
+      CASE WHEN turn >= 2 AND needs NOT IN (SELECT call_id FROM c) THEN ['missing call: ' || needs] ELSE CAST([] AS VARCHAR[]) END) AS errors
+  FROM j
+), s AS (
+  SELECT call_id, turn, n_results, len(errors) = 0 AS valid,
+    CAST(to_json({'arguments': CAST(to_json({'text': text, 'words': words}) AS VARCHAR),
+      'depends_on': CASE WHEN turn >= 2 THEN [needs] ELSE CAST([] AS VARCHAR[]) END,
+      'errors': errors, 'id': call_id, 'level': 0, 'name': 'ask', 'result': result}) AS VARCHAR) AS json
+  FROM e
+)
+SELECT call_id, turn, CAST(0 AS INTEGER) AS level, n_results, valid, CAST(length(json) AS BIGINT) AS n_chars, sha256(json) AS json_sha256 FROM s
+"""
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import html_extract
 
@@ -56,6 +97,12 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", html_extract.extracted(F.col("html")).alias("x")).select("page_id", "url", "x.text", "x.n_chars")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import ann
+
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import near_dedup
 
@@ -77,8 +124,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_pii, op4_decontamination, op6_html_extraction, op8_near_duplicates, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_pii, op4_decontamination, op5_tool_calls, op6_html_extraction, op7_nearest_neighbours, op8_near_duplicates, op9_token_files, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_tool_calls": OP5_SQL}
