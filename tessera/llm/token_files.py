@@ -7,8 +7,8 @@ Parquet writer, one row per document: (shard, doc_id, local_start, n_tokens, pay
 
 and a block of up to 128 ids is
 
-    u32 minimum | u8 width | u8 exceptions | 16 * width bytes of packed differences
-    | u8 place of each exception | u32 difference of each exception
+    u32 minimum | u8 width | u8 exceptions | 16 bytes for each of width bit planes of the
+    differences | u8 place of each exception | u32 difference of each exception
 
 where the width holds all differences up to a percentile of the block and the others are
 exceptions. Block starts are indexed, so any range of ids is read without decoding the rest.
@@ -35,15 +35,60 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import slices
+
 MAGIC = b"PFR1"
 BLOCK = 128
 #: Share of a block's differences that its width must hold.
 PERCENTILE = 0.9
 #: Chunks of text whose ids a worker keeps in each of two generations.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 400_000
 LONGEST_KEPT = 64
 #: Blocks packed or unpacked at once.
-SLAB = 4096
+SLAB = 2048
+
+
+#: Bytes as the characters that byte-level vocabularies write them with: printable Latin-1 bytes
+#: stand for themselves, the others follow each other from U+0100 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+
+
+class KnownChunks(dict):
+    """Chunk -> its ids; a chunk not held is encoded by the library and kept.
+
+    The pre-tokenizer always cuts between a letter and a stop, and letters are lower-cased one by
+    one, so a chunk of Latin-1 letters with a stop behind it is its lower-case word and the stop.
+    A lower-case Latin-1 word is one pre-token, which the library's model encodes directly.
+    """
+
+    def __init__(self, library, old: dict[str, bytes]):
+        super().__init__()
+        self.library, self.old, self.model = library, old, library.model
+
+    def word(self, word: str) -> bytes:
+        found = self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            low = chunk.lower()
+            if max(chunk) > "ÿ":
+                found = self.whole(chunk)
+            elif low.isalpha():
+                found = self.word(low) if low == chunk else self[low]
+            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+                found = self[low[:-1]] + self[low[-1]]
+            else:
+                found = self.whole(chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            self[chunk] = found
+        return found
+
+    def whole(self, chunk: str) -> bytes:
+        ids = self.library.encode(chunk, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class ChunkEncoder:
@@ -61,31 +106,22 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        two = self.library.encode("a b", add_special_tokens=False).ids
+        # White space of str.split() that the vocabulary does not drop: such texts are cut elsewhere.
+        kept = [c for c in map(chr, range(0x3001)) if c.isspace() and self.library.encode(f"a{c}b", add_special_tokens=False).ids != two]
+        self.unsafe = re.compile("[" + re.escape("".join(kept)) + "]").search if kept else lambda text: None
         self.split = re.compile(r"[^ \t\n\r]+").findall
         self.end = struct.pack("<I", end_id)
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = KnownChunks(self.library, {})
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids with the end id."""
-        if len(self.cache) > CACHE_CHUNKS:
-            self.old, self.cache = self.cache, {}
-        known, chunks = self.cache, self.split(text or "")
-        missing = set(chunks).difference(known)
-        if missing:
-            fresh = []
-            for c in missing:
-                if c in self.old:
-                    known[c] = self.old[c]
-                else:
-                    fresh.append(c)
-            for c, found in zip(fresh, self.library.encode_batch(fresh, add_special_tokens=False), strict=True):
-                known[c] = np.array(found.ids, dtype="<u4").tobytes()
-        out = b"".join(map(known.__getitem__, chunks)) + self.end
-        for c in missing:
-            if len(c) > LONGEST_KEPT:
-                del known[c]
-        return out
+        if len(self.known) > CACHE_CHUNKS:
+            self.known.old = {}
+            self.known = KnownChunks(self.library, self.known)
+        text = text or ""
+        chunks = self.split(text) if self.unsafe(text) else text.split()
+        return b"".join(map(self.known.__getitem__, chunks)) + self.end
 
 
 @lru_cache(maxsize=2)
@@ -107,19 +143,21 @@ def pack_blocks(rows: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]
         diff = part - least[:, None]
         kth = min(BLOCK - 1, int(np.ceil(percentile * BLOCK)) - 1)
         width = _bits(np.partition(diff, kth, axis=1)[:, kth].astype(np.uint64))
-        for w in np.unique(width):
+        for w in np.unique(width).tolist():
             own = np.flatnonzero(width == w)
             d = diff[own]
             outlier = (d >> np.uint32(w)) > 0 if w < 32 else np.zeros(d.shape, dtype=bool)
-            planes = ((np.where(outlier, 0, d)[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-            packed = np.packbits(planes.reshape(len(own), -1), axis=1, bitorder="little") if w else np.zeros((len(own), 0), dtype=np.uint8)
-            counts = outlier.sum(axis=1)
-            for k, i in enumerate(own):
-                patch = b""
-                if counts[k]:
-                    at = np.flatnonzero(outlier[k])
-                    patch = at.astype(np.uint8).tobytes() + d[k, at].astype("<u4").tobytes()
-                out[lo + i] = struct.pack("<IBB", int(least[i]), int(w), int(counts[k])) + packed[k].tobytes() + patch
+            low = np.where(outlier, np.uint32(0), d)
+            packed = np.empty((len(own), 16 * w), dtype=np.uint8)
+            for bit in range(w):
+                packed[:, 16 * bit : 16 * bit + 16] = np.packbits((low & np.uint32(1 << bit)) != 0, axis=1)
+            row, place = np.nonzero(outlier)
+            counts = np.bincount(row, minlength=len(own))
+            last = np.cumsum(counts)
+            places, values = place.astype(np.uint8).tobytes(), d[row, place].astype("<u4").tobytes()
+            heads = zip(own.tolist(), least[own].tolist(), counts.tolist(), last.tolist(), packed, strict=True)
+            for i, low_value, n, end, body in heads:
+                out[lo + i] = b"".join((struct.pack("<IBB", low_value, w, n), body.tobytes(), places[end - n : end], values[4 * (end - n) : 4 * end]))
     return out
 
 
@@ -130,20 +168,21 @@ def unpack_blocks(blocks: list[bytes]) -> np.ndarray:
         part = blocks[lo : lo + SLAB]
         heads = [struct.unpack_from("<IBB", b) for b in part]
         width = np.array([h[1] for h in heads])
-        for w in np.unique(width):
+        for w in np.unique(width).tolist():
             own = np.flatnonzero(width == w)
             if w:
-                raw = np.frombuffer(b"".join([part[i][6 : 6 + 16 * int(w)] for i in own]), dtype=np.uint8).reshape(len(own), -1)
-                planes = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(own), BLOCK, int(w))
+                raw = np.frombuffer(b"".join([part[i][6 : 6 + 16 * w] for i in own]), dtype=np.uint8).reshape(len(own), w, 16)
                 diff = np.zeros((len(own), BLOCK), dtype=np.uint32)
-                for bit in range(int(w)):
-                    diff |= planes[:, :, bit].astype(np.uint32) << np.uint32(bit)
+                for bit in range(w):
+                    diff |= np.unpackbits(raw[:, bit], axis=1).astype(np.uint32) << np.uint32(bit)
             else:
                 diff = np.zeros((len(own), BLOCK), dtype=np.uint32)
-            for k, i in enumerate(own):
-                if n := heads[i][2]:
-                    tail = part[i][6 + 16 * int(w) :]
-                    diff[k, np.frombuffer(tail[:n], dtype=np.uint8)] = np.frombuffer(tail[n : 5 * n], dtype="<u4")
+            tails = [(heads[i][2], part[i][6 + 16 * w :]) for i in own]
+            counts = np.array([n for n, _ in tails])
+            if counts.any():
+                row = np.repeat(np.arange(len(own)), counts)
+                places = np.frombuffer(b"".join([t[:n] for n, t in tails]), dtype=np.uint8)
+                diff[row, places] = np.frombuffer(b"".join([t[n : 5 * n] for n, t in tails]), dtype="<u4")
             out[lo + own] = diff + np.array([heads[i][0] for i in own], dtype=np.uint32)[:, None]
     return out
 
@@ -221,7 +260,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 1,
         from pyspark import TaskContext
 
         own, shard, start = chunk_encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             encoded = [own.encode(t) for t in batch.column("text").to_pylist()]
             for run in _pieces(encoded):
                 part = encoded[run]
@@ -251,7 +290,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([*rows.schema.fields[:3], T.StructField("ids", T.ArrayType(T.LongType()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = unpack_documents(batch.column("payload").to_pylist())
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in schema.names[:3]], pa.array([x.astype(np.int64) for x in ids], type=pa.list_(pa.int64()))], names=schema.names)
 
@@ -264,7 +303,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = []
             payloads = batch.column("payload").to_pylist()
             for run in _pieces(payloads):
