@@ -87,8 +87,8 @@ def slug(heading: Column) -> Column:
 
 def latex_delimiters(text: Column) -> Column:
     r"""``\[..\]`` to ``$$..$$`` and ``\(..\)`` to ``$..$``; blank ones stay."""
-    display = F.regexp_replace(text, r"\\\[\s*(?=\S)((?:(?!\\\])[\s\S])*?)\s*\\\]", r"\$\$$1\$\$")
-    return F.regexp_replace(display, r"\\\(\s*(?=\S)((?:(?!\\\))[\s\S])*?)\s*\\\)", r"\$$1\$")
+    display = F.regexp_replace(text, r"\\\[\s*(?!\s|\\\])((?:(?!\\\])[\s\S])*?)\s*\\\]", r"\$\$$1\$\$")
+    return F.regexp_replace(display, r"\\\(\s*(?!\s|\\\))((?:(?!\\\))[\s\S])*?)\s*\\\)", r"\$$1\$")
 
 
 def highlight_parts(text: Column, query: str) -> Column:

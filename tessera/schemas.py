@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
+def _schema(columns: str) -> T.StructType:
+    """Columns as ``name type [not null]``; needs no session."""
+    parts = [c.split() for c in columns.split(",")]
+    return T.StructType([T.StructField(p[0], _TYPES[p[1]], p[2:] != ["not", "null"]) for p in parts])
 
 
 TABLES = {
@@ -32,7 +37,7 @@ TABLES = {
     "concept_node_sources": _schema("node_id long not null, document_id long not null"),
 }
 
-BLOCK = T.StructType.fromDDL("block_type string, page_or_location string, text_content string")
+BLOCK = _schema("block_type string, page_or_location string, text_content string")
 
 #: The closed domains.
 DOMAINS = {

@@ -53,12 +53,14 @@ def parsed(files: DataFrame, pdf=None, ocr=None) -> DataFrame:
 
     ``pdf`` and ``ocr`` are pandas UDFs (content to page texts; content to text) of the caller."""
     kind = paths.file_type(F.col("relative_path"))
-    text = F.decode("content", "UTF-8")
+    # Python functions run for every row: they get nulls but for their own type.
+    text = F.when(kind.isin("md", "txt", "html"), F.make_valid_utf8(F.col("content").cast("string")))
+    document = F.when(kind == "docx", F.col("content"))
     none = F.array().cast(parsers.BLOCKS)
-    image = F.array(F.struct(F.lit("Image").alias("block_type"), F.lit("1").alias("page_or_location"), (ocr(F.col("content")) if ocr else F.lit("")).alias("text_content")))
-    blocks = F.when(F.col("file_type") == "md", parsers.markdown_blocks(text)).when(F.col("file_type") == "txt", parsers.text_blocks(text)).when(F.col("file_type") == "html", parsers.html_blocks(text)).when(F.col("file_type") == "docx", parsers.docx_blocks(F.col("content"))).when(F.col("file_type") == "image", image)
+    image = F.array(F.struct(F.lit("Image").alias("block_type"), F.lit("1").alias("page_or_location"), (ocr(F.when(kind == "image", F.col("content"))) if ocr else F.lit("")).alias("text_content")))
+    blocks = F.when(F.col("file_type") == "md", parsers.markdown_blocks(text)).when(F.col("file_type") == "txt", parsers.text_blocks(text)).when(F.col("file_type") == "html", parsers.html_blocks(text)).when(F.col("file_type") == "docx", parsers.docx_blocks(document)).when(F.col("file_type") == "image", image)
     if pdf is not None:
-        blocks = blocks.when(F.col("file_type") == "pdf", parsers.pdf_page_blocks(pdf(F.col("content"))))
+        blocks = blocks.when(F.col("file_type") == "pdf", parsers.pdf_page_blocks(pdf(F.when(kind == "pdf", F.col("content")))))
     out = files.withColumn("file_type", kind).withColumn("blocks", blocks)
     error = F.when(F.col("file_type").isNull(), "no extension").when(F.col("blocks").isNull(), "no parser")
     return out.withColumns({"error": error, "blocks": F.coalesce("blocks", none)})
@@ -67,7 +69,7 @@ def parsed(files: DataFrame, pdf=None, ocr=None) -> DataFrame:
 def viewed(files: DataFrame) -> DataFrame:
     """Text of Markdown files, base64 of others, with the media type."""
     kind = paths.file_type(F.col("relative_path"))
-    return files.select("relative_path", paths.mime(F.col("relative_path")).alias("mime"), F.when(kind == "md", F.decode("content", "UTF-8")).otherwise(F.base64("content")).alias("content"))
+    return files.select("relative_path", paths.mime(F.col("relative_path")).alias("mime"), F.when(kind == "md", F.make_valid_utf8(F.col("content").cast("string"))).otherwise(F.base64("content")).alias("content"))
 
 
 def write_vectors(vectors: DataFrame, path: str, mode: str = "overwrite") -> None:

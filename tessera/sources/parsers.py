@@ -14,10 +14,13 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tessera import schemas
 from tessera.functions.text import looks_like_text
 
 BLOCKS = "array<struct<block_type:string,page_or_location:string,text_content:string>>"
+BLOCKS_TYPE = T.ArrayType(schemas.BLOCK)
 Block = tuple[str, str, str]
 
 
@@ -169,17 +172,17 @@ def _rows(blocks: list[Block]) -> list[dict[str, str]]:
     return [{"block_type": k, "page_or_location": p, "text_content": t} for k, p, t in blocks]
 
 
-@F.pandas_udf(BLOCKS)
+@F.pandas_udf(BLOCKS_TYPE)
 def markdown_blocks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _rows(parse_markdown(t)), na_action="ignore")
 
 
-@F.pandas_udf(BLOCKS)
+@F.pandas_udf(BLOCKS_TYPE)
 def html_blocks(pages: pd.Series) -> pd.Series:
     return pages.map(lambda t: _rows(parse_html(t)), na_action="ignore")
 
 
-@F.pandas_udf(BLOCKS)
+@F.pandas_udf(BLOCKS_TYPE)
 def docx_blocks(contents: pd.Series) -> pd.Series:
     return contents.map(lambda c: _rows(parse_docx(bytes(c))), na_action="ignore")
 
