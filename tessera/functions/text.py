@@ -15,6 +15,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, BLANKS), lambda w: w != "")
 
 
+def trimmed(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def tokens(text: Column) -> Column:
     """lower-case words."""
     return words(F.lower(text))
@@ -38,7 +43,7 @@ def keyword_score(text: Column, terms: Column) -> Column:
 
 def rerank_score(text: Column, query: Column) -> Column:
     """share of the query's terms in the text, 0.25 more where the whole query stands in it."""
-    terms, phrase = tokens(query), F.lower(F.trim(query))
+    terms, phrase = tokens(query), F.lower(trimmed(query))
     bonus = F.when(F.contains(F.lower(text), phrase), 0.25).otherwise(0.0)
     return F.when(F.size(terms) == 0, 0.0).otherwise(F.least(F.lit(1.0), keyword_score(text, terms) + bonus))
 
@@ -56,8 +61,8 @@ def near_duplicate(a: Column, b: Column) -> Column:
 
 def citation_snippet(text: Column, limit: int = 160) -> Column:
     """trimmed text, cut with three dots."""
-    t = F.trim(text)
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.left(t, F.lit(limit))), F.lit("...")))
+    t = trimmed(text)
+    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(F.left(t, F.lit(limit)), r"(?U)\s+$", ""), F.lit("...")))
 
 
 def search_snippet(text: Column, limit: int = 240) -> Column:
@@ -82,7 +87,7 @@ def cache_key(hash_col: Column, version: str) -> Column:
 
 def slug(heading: Column) -> Column:
     """lower case, word characters and hyphens only, white space as hyphens."""
-    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(heading)), r"[^\w\s-]", ""), r"\s+", "-")
+    return F.regexp_replace(F.regexp_replace(trimmed(F.lower(heading)), r"[^\w\s-]", ""), r"\s+", "-")
 
 
 def latex_delimiters(text: Column) -> Column:
@@ -105,8 +110,8 @@ def highlight_parts(text: Column, query: str) -> Column:
 
 def without_fence(text: Column) -> Column:
     """the inside of a code fence around the whole text."""
-    t = F.trim(text)
-    return F.when(t.startswith("```"), F.trim(F.regexp_replace(F.regexp_replace(t, r"^```(?:json)?", ""), r"(?s)```(?!.*```).*$", ""))).otherwise(t)
+    t = trimmed(text)
+    return F.when(t.startswith("```"), trimmed(F.regexp_replace(F.regexp_replace(t, r"^```(?:json)?", ""), r"(?s)```(?!.*```).*$", ""))).otherwise(t)
 
 
 @F.pandas_udf(T.StringType())
@@ -178,4 +183,4 @@ def context_size(prompt_words: Column, window: Column) -> Column:
 def looks_like_text(text: Column) -> Column:
     """Nine tenths of the characters are ASCII graphics or white space."""
     odd = F.length(F.regexp_replace(text, r"[\x21-\x7E\s]", ""))
-    return (F.length(F.trim(text)) > 0) & (10 * odd <= F.length(text))
+    return (F.length(trimmed(text)) > 0) & (10 * odd <= F.length(text))
