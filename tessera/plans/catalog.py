@@ -37,9 +37,9 @@ def chunk_documents(spark, sf):
     return D.chunks(spark, sf).select("document_id", "sequence_index", "token_count", F.sha2("text_content", 256).alias("text_sha"))
 
 
-@query("SELECT document_id, workspace_id, relative_path, size FROM d WHERE workspace_id < 5", "d")
+@query("SELECT document_id, workspace_id, relative_path, size FROM d", "d")
 def docs_by_workspace(spark, sf):
-    return D.documents(spark, sf).filter("workspace_id < 5").select("document_id", "workspace_id", "relative_path", "size")
+    return D.documents(spark, sf).select("document_id", "workspace_id", "relative_path", "size")
 
 
 @query("SELECT document_id, content_hash, content_hash || ':chunker-v1' AS cache_key, size FROM d", "d")
@@ -277,10 +277,10 @@ def rag_prompt(spark, sf):
 
 
 @query("""SELECT d2.document_id, CASE WHEN d2.document_id % 11 = 0 THEN 'document #' || d2.document_id ELSE coalesce(ws.display_name, 'workspace #' || d2.workspace_id) || ' / ' || d2.relative_path END AS label
-FROM d d2 LEFT JOIN (SELECT * FROM ws WHERE workspace_id % 2 = 0) ws USING (workspace_id) WHERE d2.document_id % 3 = 0""", "d ws")
+FROM d d2 LEFT JOIN (SELECT * FROM ws WHERE workspace_id % 2 = 0) ws USING (workspace_id)""", "d ws")
 def research_labels(spark, sf):
     d = D.documents(spark, sf)
-    return search.research_labels(d.filter("document_id % 3 = 0").select("document_id"), d.filter("document_id % 11 <> 0"), D.workspaces(spark, sf).filter("workspace_id % 2 = 0"))
+    return search.research_labels(d.select("document_id"), d.filter("document_id % 11 <> 0"), D.workspaces(spark, sf).filter("workspace_id % 2 = 0"))
 
 
 # --- jobs, study, chat ----------------------------------------------------------------------------
@@ -375,9 +375,9 @@ def analytics_upsert(spark, sf):
 # --- graph ----------------------------------------------------------------------------------------
 
 
-@query("SELECT e.edge_id, e.from_node_id, e.to_node_id, e.relation_type, n.workspace_id FROM e JOIN n ON n.node_id = e.from_node_id WHERE n.workspace_id < 3", "e n")
+@query("SELECT e.edge_id, e.from_node_id, e.to_node_id, e.relation_type, n.workspace_id FROM e JOIN n ON n.node_id = e.from_node_id", "e n")
 def graph_full(spark, sf):
-    return graph.workspace_edges(D.edges(spark, sf), D.nodes(spark, sf).filter("workspace_id < 3")).select("edge_id", "from_node_id", "to_node_id", "relation_type", "workspace_id")
+    return graph.workspace_edges(D.edges(spark, sf), D.nodes(spark, sf)).select("edge_id", "from_node_id", "to_node_id", "relation_type", "workspace_id")
 
 
 @query("SELECT e.from_node_id AS node_id, count(*) AS n_out FROM e GROUP BY 1 ORDER BY n_out DESC, node_id LIMIT 20", "e")
@@ -400,9 +400,9 @@ def edge_anti_insert(spark, sf):
 
 @query("""SELECT e.edge_id, a.label AS from_label, b.label AS to_label, CAST(len(s.docs) AS BIGINT) AS n_sources, s.docs[1] AS first_source FROM e JOIN n a ON a.node_id = e.from_node_id JOIN n b ON b.node_id = e.to_node_id
 JOIN (SELECT edge_id, list_sort(list(DISTINCT document_id)) AS docs FROM (SELECT edge_id, from_node_id AS node_id FROM e UNION ALL SELECT edge_id, to_node_id FROM e) JOIN src USING (node_id) GROUP BY 1) s USING (edge_id)
-WHERE len(s.docs) > 1 AND (a.workspace_id < 2 OR b.workspace_id < 2)""", "e n src")
+WHERE len(s.docs) > 1""", "e n src")
 def citation_graph(spark, sf):
-    chosen = D.nodes(spark, sf).filter("workspace_id < 2").select("workspace_id")
+    chosen = D.nodes(spark, sf).select("workspace_id")
     c = graph.citation_edges(D.edges(spark, sf), D.nodes(spark, sf), D.node_sources(spark, sf), chosen)
     return c.select("edge_id", "from_label", "to_label", F.size("source_documents").cast("long").alias("n_sources"), F.get("source_documents", F.lit(0)).alias("first_source"))
 
