@@ -75,7 +75,7 @@ def test_classes_equal_brute_force(spark, copies):
 def test_small_local_bound_finds_the_same(spark, copies, monkeypatch):
     rows, df = copies
     want = sorted(map(tuple, near_dedup.near_duplicates(df).collect()), key=repr)
-    monkeypatch.setattr(near_dedup, "LOCAL", 1)
+    monkeypatch.setattr(near_dedup, "LOCAL", 3)
     assert sorted(map(tuple, near_dedup.near_duplicates(df).collect()), key=repr) == want
 
 
