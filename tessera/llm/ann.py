@@ -99,10 +99,14 @@ class AdditiveQuantizer:
         return queries.astype(np.float32) @ self.books.reshape(-1, self.books.shape[2]).T
 
 
-def scores(table: np.ndarray, codes: np.ndarray, length: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """Approximate cosines of one query: a sum of table entries for each row."""
-    at = codes.astype(np.int32) + np.arange(codes.shape[1], dtype=np.int32) * words
-    return table[at].sum(1) / np.maximum(length, 1e-9)
+def table_places(codes: np.ndarray) -> np.ndarray:
+    """Places of the rows' code words in a query's table."""
+    return codes.astype(np.int32) + np.arange(codes.shape[1], dtype=np.int32) * WORDS
+
+
+def scores(table: np.ndarray, places: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Approximate cosines of one query: a sum of table entries for each row over its length."""
+    return table[places].sum(1) / length
 
 
 def sample_of(vectors: DataFrame, max_sample: int = MAX_SAMPLE) -> np.ndarray:
@@ -151,7 +155,7 @@ def search(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_c
         ids, x = held["vec_id"].to_numpy(), np.stack(held["v"].to_numpy())
         norm = np.sqrt((x * x).sum(1))
         codes = np.frombuffer(b"".join(held["codes"]), dtype=np.uint8).reshape(len(held), -1)
-        at = codes.astype(np.int32) + np.arange(codes.shape[1], dtype=np.int32) * WORDS
+        places = table_places(codes)
         length = np.maximum(held["length"].to_numpy(), 1e-9)
         found = []
         for lo in range(0, len(asked), 256):
@@ -159,7 +163,7 @@ def search(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_c
             q = np.stack(part["v"].to_numpy())
             qn = np.sqrt((q * q).sum(1))
             for own, vector, n, table in zip(part["vec_id"], q, qn, sent.value.tables(q / qn[:, None]), strict=True):
-                approx = table[at].sum(1) / length
+                approx = scores(table, places, length)
                 approx[ids == own] = -np.inf
                 # Rows stand by id and the sort is stable, so equal codes go by id.
                 short = np.argsort(-approx, kind="stable")[:shortlist] if len(approx) > shortlist else np.arange(len(approx))

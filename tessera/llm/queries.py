@@ -44,9 +44,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import decontamination
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return docs.select("doc_id", found.alias("d")).select("doc_id", "d.n_words", "d.n_hit", "d.n_items", "d.items_sha256", "d.contaminated")
+    found = decontamination.with_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "d")
+    return found.select("doc_id", "d.n_words", "d.n_hit", "d.n_items", "d.items_sha256", "d.contaminated")
 
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,7 +278,7 @@ def test_pipeline_stages(spark, sf):
     assert single.columns == docs.columns
     assert sorted(r.doc_id for r in single.collect()) == sorted({r.class_id for r in near_dedup.near_duplicates(docs).collect()})
     clean = stage["decontamination"](spark, docs, sf)
-    own = decontamination.Scanner(decontamination.item_blocks([(r.item_id, r.text) for r in bench.collect()]))
+    own = decontamination.Scanner(next(decontamination.item_blocks([(r.item_id, r.text) for r in bench.collect()])))
     assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in docs.collect() if own.scan(r.text)[1] is None)
     private = stage["pii"](spark, docs, sf)
     assert private.columns == docs.columns and private.count() == docs.count()
