@@ -472,3 +472,71 @@ def debounce_changes(spark, sf):
 def event_windows(spark, sf):
     w = events.windowed_counts(D.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day")
     return w.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# --- further operators ----------------------------------------------------------------------------
+
+
+@query("SELECT document_id, relative_path FROM d WHERE contains(lower(relative_path), lower('SRC1'))", "d")
+def path_filter(spark, sf):
+    """Documents whose path contains a text, case-insensitively."""
+    d = D.documents(spark, sf)
+    return d.filter(F.contains(F.lower("relative_path"), F.lower(F.lit("SRC1")))).select("document_id", "relative_path")
+
+
+@query("""SELECT user_id, split_part(s, ':', 1) AS status, CAST(split_part(s, ':', 2) AS INTEGER) AS refused FROM (SELECT user_id, list_reduce(list_prepend('Unlinked:0', list(a ORDER BY ts, event_id)), lambda p, k:
+CASE WHEN k = 'link' AND starts_with(p, 'Unlinked') THEN 'Active:' || split_part(p, ':', 2) WHEN k = 'archive' AND NOT starts_with(p, 'Unlinked') THEN 'Archived:' || split_part(p, ':', 2)
+WHEN k = 'restore' AND starts_with(p, 'Archived') THEN 'Active:' || split_part(p, ':', 2) WHEN k = 'unlink' AND NOT starts_with(p, 'Unlinked') THEN 'Unlinked:' || split_part(p, ':', 2)
+ELSE split_part(p, ':', 1) || ':' || (CAST(split_part(p, ':', 2) AS INTEGER) + 1) END) AS s
+FROM (SELECT *, CASE event_type WHEN 'signup' THEN 'link' WHEN 'error' THEN 'archive' WHEN 'purchase' THEN 'restore' WHEN 'click' THEN 'unlink' ELSE 'link' END AS a FROM events) GROUP BY 1)""")
+def workspace_lifecycle(spark, sf):
+    """Status of each workspace after its ordered actions."""
+    e = D.table(spark, sf, "events")
+    a = F.when(F.col("event_type") == "error", "archive").when(F.col("event_type") == "purchase", "restore").when(F.col("event_type") == "click", "unlink").otherwise("link")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", a.alias("a")))), lambda x: x["a"])
+    return e.groupBy("user_id").agg(state.workspace_fold(listed).alias("s")).select("user_id", "s.status", "s.refused")
+
+
+@query("SELECT engine_role, CAST(count(*) AS BIGINT) AS n_models, sha256(string_agg(model_identifier, ',' ORDER BY model_identifier)) AS models_sha, bool_or(pos % 9 = 0) AS has_selection FROM mr GROUP BY 1", "mr")
+def models_by_role(spark, sf):
+    """Models of each role."""
+    r = registry.by_role(_registry(spark, sf))
+    return r.select("engine_role", F.size("models").cast("long").alias("n_models"), F.sha2(F.array_join("models", ","), 256).alias("models_sha"), "has_selection")
+
+
+@query("SELECT model_identifier, engine_role FROM mr WHERE pos % 9 = 0 AND pos % 4 = 0", "mr")
+def stale_selections(spark, sf):
+    """Selected models that a discovery no longer finds."""
+    found = D.models(spark, sf).filter("pos % 4 <> 0")
+    return registry.stale_selections(_registry(spark, sf), found).select("model_identifier", "engine_role")
+
+
+@query("SELECT engine_role, model_identifier FROM (SELECT *, row_number() OVER (PARTITION BY engine_role ORDER BY pos) AS k FROM mr WHERE pos % 9 = 0) WHERE k = 1", "mr")
+def selected_models(spark, sf):
+    """The selected model of each role."""
+    return registry.selected_model(_registry(spark, sf))
+
+
+@query(f"WITH {RESULTS}, {PROGRESS} SELECT p_partkey AS concept_node_id, p_name AS label, round(mastery_score, 4) AS mastery_score, attempt_count FROM part LEFT JOIN g ON concept_node_id = p_partkey")
+def concepts_with_progress(spark, sf):
+    """Every concept with its progress, if any."""
+    n = D.nodes(spark, sf).select(F.col("node_id").alias("concept_node_id"), "label")
+    return study.with_progress(n, _progress(spark, sf)).select("concept_node_id", "label", F.round("mastery_score", 4).alias("mastery_score"), "attempt_count")
+
+
+@query("SELECT chunk_id, 'workspace-' || workspace_id AS vector_db_collection, 'workspace-' || workspace_id || ':' || chunk_id AS vector_id FROM c", "c")
+def vector_ids(spark, sf):
+    """M7: collection and vector id of each chunk."""
+    return state.vector_ids(D.chunks(spark, sf)).select("chunk_id", "vector_db_collection", "vector_id")
+
+
+@query("""SELECT DISTINCT f.node_id AS from_node_id, t.node_id AS to_node_id, r.relation_type FROM (SELECT p_size % 5 AS workspace_id, ' ' || upper(p_type) AS a, p_brand AS b, CASE WHEN p_partkey % 3 = 0 THEN 'part-of' WHEN p_partkey % 3 = 1 THEN 'related-to' ELSE 'other' END AS relation_type FROM part) r
+JOIN (SELECT workspace_id, k, min(node_id) AS node_id FROM (SELECT p_size % 5 AS workspace_id, p_partkey AS node_id, lower(p_type) AS k FROM part UNION ALL SELECT p_size % 5, p_partkey + 1000000, lower(p_brand) FROM part) GROUP BY 1, 2) f ON f.workspace_id = r.workspace_id AND f.k = lower(trim(r.a))
+JOIN (SELECT workspace_id, k, min(node_id) AS node_id FROM (SELECT p_size % 5 AS workspace_id, p_partkey AS node_id, lower(p_type) AS k FROM part UNION ALL SELECT p_size % 5, p_partkey + 1000000, lower(p_brand) FROM part) GROUP BY 1, 2) t ON t.workspace_id = r.workspace_id AND t.k = lower(trim(r.b)) WHERE r.relation_type <> 'other' AND f.node_id <> t.node_id""")
+def relation_resolution(spark, sf):
+    """Relations by label as edges by node."""
+    p = D.table(spark, sf, "part").withColumn("workspace_id", F.col("p_size") % 5)
+    n = p.select("workspace_id", F.col("p_partkey").alias("node_id"), F.col("p_type").alias("label")).union(p.select("workspace_id", F.col("p_partkey") + 1_000_000, "p_brand"))
+    kind = F.when(F.col("p_partkey") % 3 == 0, "part-of").when(F.col("p_partkey") % 3 == 1, "related-to").otherwise("other")
+    r = p.select("workspace_id", F.concat(F.lit(" "), F.upper("p_type")).alias("from_label"), F.col("p_brand").alias("to_label"), kind.alias("relation_type"))
+    return graph.resolved_relations(r, n).select("from_node_id", "to_node_id", "relation_type").distinct()
