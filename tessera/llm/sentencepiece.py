@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 SPACE = "▁"
 #: Encoded units that a worker keeps in each of two generations; units of the old one that
 #: are met again move to the new one, the others go when the new one is full.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 200_000
 #: Units of up to so many characters keep their agenda in a flat list, others in a heap.
 SHORT = 40
 NEVER = float("inf")
