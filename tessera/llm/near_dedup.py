@@ -10,11 +10,12 @@ buckets, then of the shingles in heavy buckets).
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples of each text; two texts agree
 on a sample with the probability of their weighted Jaccard similarity. Texts that agree on all
 samples of a band share a bucket. Exact copies are one node. Within a bucket every node is
-verified by weighted Jaccard similarity against one leader, never against all: the nodes that
-fail, and the members of the leader's group that the triangle inequality lets them reach, are
-compared in one task where they are at most ``LOCAL``; of larger rests each failing node meets one
-such member, and the failing nodes are dealt anew by a further band, which true pairs share as
-well, and go through further rounds under new leaders until none is left. Classes are the connected components of the verified links.
+verified by weighted Jaccard similarity against one leader, never against all. The rest, which is
+the nodes that fail and the members of the leader's group that the triangle inequality lets them
+reach, is compared in full, failing nodes with any: in one task up to ``LOCAL`` nodes, above that
+in pairs of blocks. Only where that is more than ``DIRECT`` squares of ``LOCAL`` pairs are failing
+nodes and members alike dealt anew by the further bands, which true pairs share as well, and go
+through further rounds under new leaders. Classes are the connected components of the verified links.
 
 Defined results: null and empty texts are classes of their own; texts without words are classes of
 equal texts; texts of fewer words than a shingle have one shingle; equal texts share a class
@@ -43,8 +44,10 @@ BANDS, ROWS = 16, 3
 RARE = 0.05
 #: Hash buckets of the first counting pass.
 BUCKETS = 1 << 16
-#: Most nodes without a link that are compared in one task.
+#: Most nodes that are compared in one task.
 LOCAL = 2048
+#: Most pairs of one bucket's rest that are compared in blocks, in squares of ``LOCAL``.
+DIRECT = 16
 #: Shingles sampled at once.
 SLAB = 1 << 15
 
@@ -286,33 +289,50 @@ def _upper_bounds(vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def _leaders(rows: DataFrame) -> DataFrame:
-    """bucket, b: the leader of each bucket is the node that stands in the fullest buckets.
+    """bucket, b, led: the leader of each bucket, and its group, is the node that stands in the
+    fullest buckets, of those outside the main group and without a group where there are such.
 
     In a family of near copies that is its most central text, and all its bands agree on it.
     """
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
     central = rows.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("weight"))
     place = F.col("weight").cast("double") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / (1 << 21)
-    return rows.join(central, "node").groupBy("bucket").agg(F.max_by("node", place).alias("b"))
+    best = F.max_by(F.struct("node", "grp"), F.struct("rim", F.col("grp") == F.col("node"), place))
+    return rows.join(central, "node").groupBy("bucket").agg(best.alias("best")).select("bucket", F.col("best.node").alias("b"), F.col("best.grp").alias("led"))
+
+
+def _blocks(rest: DataFrame) -> DataFrame:
+    """Rows with the task (bucket, p, q) that each goes to.
+
+    Up to ``LOCAL`` rows a bucket is one task. Above, block p of the rows outside the main group
+    meets block q of all rows, for every p and q, with ``LOCAL`` rows a task on average.
+    """
+    def parts(n: str):
+        return F.when(F.col("n") <= LOCAL, 1).otherwise(F.ceil(2 * F.col(n) / LOCAL)).cast("int")
+
+    rows = rest.withColumn("n_p", parts("n_rim")).withColumn("n_q", parts("n"))
+    any_row = rows.select("bucket", "node", "grp", F.explode(F.sequence(F.lit(0), F.col("n_p") - 1)).alias("p"), F.pmod(F.xxhash64("node"), F.col("n_q")).cast("int").alias("q"))
+    failing = rows.filter(F.col("rim") & (F.col("n") > LOCAL)).select("bucket", "node", "grp", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_p")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("q"))
+    return any_row.union(failing)
 
 
 def _local_links(rows: DataFrame, texts: DataFrame, weights: Weights, least: float, shingle: int) -> DataFrame:
-    """Links between the nodes of small buckets (at most ``LOCAL`` rows each), one task a bucket.
+    """Links between the nodes of each task (bucket, p, q).
 
     Pairs already connected are skipped and so are those that an upper bound rules out, but no other.
     """
     sent = rows.sparkSession.sparkContext.broadcast(weights)
 
     def cluster(held: pd.DataFrame) -> pd.DataFrame:
-        held = held.sort_values("node")
+        held = held.drop_duplicates("node").sort_values("node")
         nodes = held["node"].tolist()
         vectors = []
         for text in held["text"]:
             h, n = shingles(text, shingle)
             vectors.append((h, sent.value.of(h, n)))
         possible = _upper_bounds(vectors) >= least - 1e-3
-        # Members of the leader's group are connected from the start.
-        group = np.where(held["linked"].to_numpy(dtype=bool), -1, np.arange(len(nodes)))
+        # Members of a group are connected from the start.
+        group = held["grp"].to_numpy(dtype=np.int64, copy=True)
         found = []
         for j in range(1, len(nodes)):
             for i in np.flatnonzero(possible[j, :j]):
@@ -321,37 +341,40 @@ def _local_links(rows: DataFrame, texts: DataFrame, weights: Weights, least: flo
                     group[group == group[j]] = group[i]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.join(texts, "node").select("bucket", "node", "linked", "text").groupBy("bucket").applyInPandas(cluster, "a long, b long").distinct()
+    return rows.join(texts, "node").select("bucket", "p", "q", "node", "grp", "text").groupBy("bucket", "p", "q").applyInPandas(cluster, "a long, b long").distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, weights: Weights, text_col: str = "text", least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """Verified links (a, b) between nodes that share a bucket."""
-    banded = nodes.filter("bands IS NOT NULL").select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.conv(F.hex(F.substring("bands", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))).alias("bucket"))
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.conv(F.hex(F.substring("bands", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    banded = nodes.filter("bands IS NOT NULL").select("node", F.posexplode(numbers).alias("last", "bucket")).withColumn("grp", F.col("node")).withColumn("rim", F.lit(True))
     open_rows = stored(_crowded(banded), "dedup-open")
     texts = stored(_one_text_each(docs, nodes.join(open_rows.select("node").distinct(), "node").select("node", "key"), text_col), "dedup-texts")
     found: list[DataFrame] = []
     turn = 0
     while not open_rows.isEmpty():
         leads = _leaders(open_rows)
-        rows = stored(open_rows.join(leads, "bucket").filter("node <> b").select("bucket", F.col("node").alias("a"), "b"), f"dedup-rows{turn}")
+        rows = stored(open_rows.join(leads, "bucket").filter("node <> b").select("bucket", "last", "grp", "led", F.col("node").alias("a"), "b"), f"dedup-rows{turn}")
         checked = stored(_verified(rows.select("a", "b").distinct(), texts, weights, shingle), f"dedup-checked{turn}")
         found.append(checked.filter(F.col("sim") >= least).select("a", "b"))
-        joined = stored(rows.join(checked, ["a", "b"]), f"dedup-joined{turn}")
-        # What a leader leaves: the nodes without a link to it and, since distance is a metric, the
-        # members of its group that such a node can still reach. Few are compared in one task.
-        sim, room = F.col("sim"), 1 - least
-        marks = joined.groupBy("bucket").agg(F.count_if(sim < least).alias("n_open"), F.max(F.when((sim < least) & (sim >= 1 - 2 * room), sim)).alias("top"))
-        left = joined.join(marks, "bucket").filter((F.col("n_open") > 0) & ((sim < least) | (sim <= F.col("top") + room + 1e-9)))
-        left = left.select("bucket", F.col("a").alias("node"), "sim", (sim >= least).alias("linked"))
-        sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-        rest = stored(left.join(sizes, "bucket"), f"dedup-rest{turn}")
-        found.append(stored(_local_links(rest.filter(F.col("n") <= LOCAL), texts, weights, least, shingle), f"dedup-local{turn}"))
-        # Of larger rests each open node meets one such member, and the open nodes are dealt anew.
-        large = rest.filter(F.col("n") > LOCAL)
-        members = large.filter("linked").groupBy("bucket").agg(F.min(F.col("node").bitwiseXOR(F.xxhash64("bucket"))).alias("least"))
-        second = large.filter(~F.col("linked") & (F.col("sim") >= 1 - 2 * room)).join(members, "bucket").select(F.col("node").alias("a"), F.col("least").bitwiseXOR(F.xxhash64("bucket")).alias("b")).distinct()
-        found.append(stored(_verified(second, texts, weights, shingle).filter(F.col("sim") >= least).select("a", "b"), f"dedup-second{turn}"))
-        open_rows = stored(_crowded(_dealt_anew(large.filter(~F.col("linked")).select("bucket", "node"), nodes)), f"dedup-open{turn}")
+        joined = rows.join(checked, ["a", "b"]).withColumn("inside", F.col("sim") >= least)
+        if turn:  # a group of which the leader meets one is its own as a whole
+            met = joined.groupBy("bucket", "grp").agg(F.bool_or("inside").alias("met"))
+            joined = joined.join(met, ["bucket", "grp"]).withColumn("inside", F.col("met") | (F.col("grp") == F.col("led"))).drop("met")
+        joined = stored(joined, f"dedup-joined{turn}")
+        # What a leader leaves: the nodes outside its group and, since distance is a metric, the
+        # members of its group that such a node can still reach.
+        sim, room, inside = F.col("sim"), 1 - least + 1e-9, F.col("inside")
+        marks = joined.filter(~inside).groupBy("bucket").agg(F.min("sim").alias("low"), F.max("sim").alias("top"))
+        left = joined.join(marks, "bucket").filter(~inside | sim.between(F.col("low") - room, F.col("top") + room))
+        left = left.select("bucket", "last", F.col("a").alias("node"), F.when(inside, F.col("led")).otherwise(F.col("grp")).alias("grp"))
+        groups = left.groupBy("bucket", "grp").agg(F.count("*").alias("own"))
+        sizes = groups.groupBy("bucket").agg(F.sum("own").alias("n"), F.max("own").alias("most"), F.count("*").alias("n_groups"), F.max_by("grp", F.struct("own", "grp")).alias("main")).filter("n_groups > 1")
+        rest = left.join(sizes, "bucket").select("bucket", "last", "node", "grp", "n", (F.col("n") - F.col("most")).alias("n_rim"), (F.col("grp") != F.col("main")).alias("rim"))
+        rest = stored(rest, f"dedup-rest{turn}")
+        direct = (F.col("n") <= LOCAL) | (F.col("n") * F.col("n_rim") <= DIRECT * LOCAL * LOCAL)
+        found.append(stored(_local_links(_blocks(rest.filter(direct)), texts, weights, least, shingle), f"dedup-local{turn}"))
+        open_rows = stored(_crowded(_dealt_anew(rest.filter(~direct), nodes)), f"dedup-open{turn}")
         turn += 1
     if not found:
         return nodes.sparkSession.createDataFrame([], "a long, b long")
@@ -362,15 +385,19 @@ def links(docs: DataFrame, nodes: DataFrame, weights: Weights, text_col: str = "
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold two rows or more."""
-    return rows.join(rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "bucket").select("bucket", "node")
+    """Rows of the buckets that hold two groups or more (a node without a group is its own)."""
+    crowded = rows.groupBy("bucket").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low < high").select("bucket")
+    return rows.join(crowded, "bucket").select("bucket", "last", "node", "grp", "rim")
 
 
 def _dealt_anew(rest: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of unlinked nodes, their buckets split by each other band: a pair that is similar
-    enough shares several bands, chance meetings hardly ever do."""
-    bands = nodes.select("node", F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("bands", i * 8 + 1, F.lit(8)))).alias("others"))
-    return rest.join(bands, "node").select(F.explode(F.transform("others", lambda o: F.xxhash64("bucket", o))).alias("bucket"), "node")
+    """Rows of the failing nodes and of the members they may reach, their buckets split by each later band.
+
+    A pair meets in the bucket of its first shared band and there goes on to its second, so earlier
+    bands need not be tried again: it is lost only where every band it shares leaves too large a rest.
+    """
+    dealt = rest.join(nodes.select("node", "bands"), "node").filter(F.col("last") < BANDS - 1).select("bucket", "node", "grp", "rim", "bands", F.explode(F.sequence(F.col("last") + 1, F.lit(BANDS - 1))).alias("last"))
+    return dealt.select(F.xxhash64("bucket", "last", F.substring("bands", F.col("last") * 8 + 1, F.lit(8))).alias("bucket"), "last", "node", "grp", "rim")
 
 
 def _one_text_each(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Near-duplicates, nearest neighbours, pages, tool calls and the pipeline."""
 
+import hashlib
 import random
 
 import duckdb
@@ -79,6 +80,19 @@ def test_small_local_bound_finds_the_same(spark, copies, monkeypatch):
     assert sorted(map(tuple, near_dedup.near_duplicates(df).collect()), key=repr) == want
 
 
+@pytest.mark.parametrize(("direct", "shared"), [(16, 1), (0, 8)])
+def test_fringe_text_near_one_member_is_linked(spark, monkeypatch, direct, shared):
+    # A line of nine texts that meet in the same buckets; each is similar to its neighbours only.
+    texts = [" ".join(f"w{k}" for k in range(8 * i, 8 * i + 100)) for i in range(9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bands = [np.array([b if b < shared else 1000 * b + i for b in range(near_dedup.BANDS)], dtype="<u8").tobytes() for i in range(9)]
+    nodes = spark.createDataFrame([(i, hashlib.md5(t.encode()).digest(), bytearray(b)) for i, (t, b) in enumerate(zip(texts, bands, strict=True))], "node long, key binary, bands binary")
+    monkeypatch.setattr(near_dedup, "LOCAL", 3)
+    monkeypatch.setattr(near_dedup, "DIRECT", direct, raising=False)
+    found = {tuple(sorted(r)) for r in near_dedup.links(docs, nodes, near_dedup.Weights({}, 9)).collect()}
+    assert found == {(i, i + 1) for i in range(8)}
+
+
 def test_document_frequencies_are_exact(spark, copies):
     rows, df = copies
     frequent, n = near_dedup.document_frequencies(df)
