@@ -32,6 +32,17 @@ def each_query(rows: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) ->
     return out
 
 
+def each_vector(rows: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """``rows`` once for each query vector (query_id, qv); each block of queries is broadcast."""
+    spark, schema = rows.sparkSession, queries.select("query_id", "qv").schema
+    held = [(r.query_id, r.qv) for r in queries.select("query_id", "qv").toLocalIterator()]
+    out = None
+    for lo in range(0, max(len(held), 1), block):
+        part = rows.crossJoin(F.broadcast(spark.createDataFrame(held[lo : lo + block], schema)))
+        out = part if out is None else out.union(part)
+    return out
+
+
 def ranked(hits: DataFrame, by: list[str], limit: int, score: str = "score") -> DataFrame:
     """The best ``limit`` hits of each group, ties by chunk id; tasks cut before the shuffle."""
     order = Window.partitionBy(*by).orderBy(F.desc(score), "chunk_id")

@@ -155,6 +155,16 @@ def vector_topk(spark, sf):
     return search.ranked(scored, ["query_id"], 10).select("query_id", "rank", "vec_id", "score")
 
 
+@query("""SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)) WHERE rank <= 10""")
+def vector_topk_all(spark, sf):
+    """The nearest of all rows, whatever their label; ``vector_topk`` is the search within a workspace."""
+    v = D.table(spark, sf, "embeddings")
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    scored = search.each_vector(v, q).filter("query_id <> vec_id").withColumn("score", F.round(vectors.cosine(F.col("qv"), F.col("embedding")), 6)).withColumn("chunk_id", F.col("vec_id"))
+    return search.ranked(scored, ["query_id"], 10).select("query_id", "rank", "vec_id", "score")
+
+
 EMBED = r"""
 t AS (SELECT chunk_id AS id, unnest(list_filter(string_split_regex(lower(text_content), '\s+'), lambda w: w <> '')) AS token FROM c),
 h AS (SELECT id, CAST('0x' || substr(sha256(token), 1, 8) AS BIGINT) % 128 AS bucket, CASE WHEN CAST('0x' || substr(sha256(token), 9, 8) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS sign FROM t),

@@ -39,3 +39,10 @@ def test_query(spark, sf, duck, name):
     assert sorted(names) == columns
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in answer.fetchall()), key=repr)
     assert rows == want
+
+
+def test_vectors_of_other_and_null_labels_are_found(spark, tmp_path):
+    rows = [(0, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.1], 2), (3, [1.0, 0.2], None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = catalog.QUERIES["vector_topk_all"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [2, 3, 1]
