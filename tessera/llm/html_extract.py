@@ -3,9 +3,11 @@
 Each page is tokenised once into text nodes, each with its root-to-leaf tag path. Text length,
 punctuation and link text are aggregated per path, the ratios per node are smoothed along the page
 and fused to one score, and paths over a threshold are content. The smallest element that holds
-nearly all content text is the main node; its text nodes that lie in no boilerplate element (menus,
-headers, footers, asides, forms, adverts, notices, comments and such, told by tag, role or class)
-are the result. Character references are decoded once, white space inside a block is one space,
+nearly all content text leads to the main node: the outermost article (or else main) element around
+it, or without one the element reached by climbing while that adds content. The main node's text
+nodes that lie in no boilerplate element (menus, headers, footers, asides, forms, adverts, notices,
+comments and such, told by tag, role or class; inside an article not by class words that its own
+parts bear as well, such as header or notice) are the result. Character references are decoded once, white space inside a block is one space,
 blocks are joined by one space.
 
 Defined results: null and empty pages, and pages without text, give an empty string; broken markup
@@ -19,6 +21,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +32,7 @@ from pyspark.sql import types as T
 
 #: A path is content from this share of the page's mean score on (weighted by text length).
 THRESHOLD = 0.3
-#: The main node holds this share of the content text.
+#: The smallest element with this share of the content text is where the main node is sought from.
 HOLDS = 0.85
 
 # Fixed values of HTML.
@@ -49,6 +52,8 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended comment comments disqus respond reply pagination pager widget toolbar tags meta skip hidden copyright legal disclaimer".split()
 )
+#: Of these the words that name real parts of an article as well.
+ARTICLE_WORDS = frozenset("header masthead banner notice alert legal disclaimer copyright meta tags promotion".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -81,7 +86,7 @@ def _is_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
         if name in ("class", "id") and tag not in ("h1", "h2", "h3", "p", "b", "i", "em", "strong"):
-            if any(w in BOILERPLATE_WORDS for w in re.split(r"[\s_-]+", value)):
+            if any(w in BOILERPLATE_WORDS and not (in_content and w in ARTICLE_WORDS) for w in re.split(r"[\s_-]+", value)):
                 return True
     return False
 
@@ -196,10 +201,12 @@ def main_text(page: str | None) -> str:
     content = [n for n in nodes if best[n.path] >= THRESHOLD * mean]
     wanted = HOLDS * sum(len(n.text) for n in content)
     weight: dict[int, int] = {}
+    n_content: dict[int, int] = {}
     depth: dict[int, int] = {}
     for n in content:
         for level, element in enumerate(n.chain):
             weight[element] = weight.get(element, 0) + len(n.text)
+            n_content[element] = n_content.get(element, 0) + 1
             depth[element] = level
     top = max((e for e, w in weight.items() if w >= wanted), key=lambda e: (depth[e], -e), default=0)
     # A paragraph or an inline element is no main node: its parent is.
@@ -209,6 +216,16 @@ def main_text(page: str | None) -> str:
             level = n.chain.index(top)
             while level and tags[level] not in ("article", "main", "section", "div", "body", "html", "td", "center", "blockquote"):
                 level -= 1
+            around = [k for k in range(level + 1) if tags[k] == "article"] or [k for k in range(level + 1) if tags[k] == "main"]
+            if around:
+                level = around[0]
+            else:
+                n_all = Counter(e for m in nodes for e in m.chain)
+                for k in range(level - 1, -1, -1):
+                    if n_content[n.chain[k]] > n_content[n.chain[level]]:
+                        level = k
+                    elif n_all[n.chain[k]] > n_all[n.chain[level]]:
+                        break
             top = n.chain[level]
             break
     blocks: dict[int, list[str]] = {}

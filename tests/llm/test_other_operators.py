@@ -214,6 +214,17 @@ def test_page_text():
     assert f(divs) == "Head A long text, with signs. And more of it, too. Another one, as long. It goes on, and on."
 
 
+def test_nested_articles_are_whole():
+    f = html_extract.main_text
+    body = " ".join(f"Sentence number {i} says something, and then more." for i in range(40))
+    parts = "<h1>Title here</h1><p>The lead, in short.</p><div class=body><p>" + body + "</p></div><section><p>The end, at last.</p></section>"
+    want = f"Title here The lead, in short. {body} The end, at last."
+    for tag in ("article", "main"):
+        assert f(f"<body><div class=ad>Buy</div><{tag}>{parts}</{tag}><footer>x</footer></body>") == want
+    assert f(f"<body><div class=menu>Home</div><div class=post><div class=wrap>{parts}</div></div></body>") == want
+    assert f("<main><article><div class=header>Title here</div><div class='notice'>Mind this, please.</div><p>" + body + "</p><div class=share>Share me</div></article></main>") == f"Title here Mind this, please. {body}"
+
+
 def test_long_and_broken_pages_end_soon():
     for page in ("<" * 50_000, "<!--" * 20_000, "<a x='" * 20_000, "<b>" * 3000 + "x", "<script>" * 5000, "<p>x" * 20_000):
         html_extract.main_text(page)
