@@ -88,6 +88,15 @@ def job_fold(transitions: Column, max_retries: int = 3) -> Column:
     return F.aggregate(transitions, start, step)
 
 
+def job_folded(transitions: DataFrame, by: list[str], order: list[str], status: str, max_retries: int = 3) -> DataFrame:
+    """M10/R7 as :func:`job_fold`, by aggregates that tasks combine before the shuffle: the state
+    follows from the last transition (nulls of ``order`` last) and the number of failures."""
+    place = F.struct(*[c for o in order for c in (F.col(o).isNull(), F.col(o))])
+    held = transitions.groupBy(*by).agg(F.max_by(status, place).alias("last"), F.count_if(F.col(status) == "failed").cast("int").alias("retry_count"))
+    again = F.when(F.col("retry_count") <= max_retries, "queued").otherwise("failed")
+    return held.select(*by, F.when(F.col("last") == "failed", again).otherwise(F.col("last")).alias("status"), "retry_count")
+
+
 def workspace_fold(actions: Column) -> Column:
     """Status after ordered actions (link, archive, restore, unlink) and the number refused."""
     start = F.struct(F.lit("Unlinked").alias("status"), F.lit(0).alias("refused"))

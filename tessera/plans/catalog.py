@@ -312,8 +312,7 @@ FROM (SELECT user_id, ts, event_id, CASE event_type WHEN 'error' THEN 'failed' W
 def job_retry_fold(spark, sf):
     e = D.table(spark, sf, "events")
     t = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "signup", "cancelled").otherwise("running")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", t.alias("t")))), lambda x: x["t"])
-    return e.groupBy("user_id").agg(state.job_fold(listed).alias("s")).select("user_id", "s.status", "s.retry_count")
+    return state.job_folded(e.select("user_id", "ts", "event_id", t.alias("t")), ["user_id"], ["ts", "event_id"], "t")
 
 
 ATTEMPTS = "a AS (SELECT CAST(d.source AS VARCHAR) AS quiz, l.doc_id, l.quality AS correct, CASE WHEN l.doc_id % 7 = 0 THEN NULL ELSE l.toxic END AS selected FROM labels l JOIN documents d USING (doc_id))"

@@ -46,3 +46,8 @@ def test_vectors_of_other_and_null_labels_are_found(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     found = catalog.QUERIES["vector_topk_all"](spark, str(tmp_path)).orderBy("rank").collect()
     assert [r.vec_id for r in found] == [2, 3, 1]
+
+
+def test_job_folds_collect_no_lists(spark, sf):
+    plan = catalog.QUERIES["job_retry_fold"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
