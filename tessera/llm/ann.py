@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by additive quantisation with exact reranking.
 
-Vectors are scaled to length 1. ``STAGES`` codebooks of full-dimensional code words are fitted on a
+Vectors are scaled by a power of two, so that no product overflows or vanishes and no digit changes,
+and to length 1 for the codes. ``STAGES`` codebooks of full-dimensional code words are fitted on a
 bounded sample (``max_sample`` rows), each to the residuals of those before it; a vector is
 encoded by beam search as the sum of one word of each codebook, and the length of that sum is
 stored with the codes. A query builds one lookup table of its products with all code words; a
@@ -9,15 +10,16 @@ are dealt into blocks by a hash; of each block the best ``shortlist`` rows of ea
 exactly, in double precision on the original vectors, and the best ``k`` over all blocks are kept.
 
 Queries are dealt into blocks as well, so a task holds one block of rows and one block of queries
-whatever the tables' sizes. Every row is indexed and every row is scored for every query: there
-are no probed cells, so recall depends on the codes alone.
+whatever the tables' sizes. Every row is indexed and every row is scored for every query of the
+stated set: there are no probed cells, so recall depends on the codes alone (on vectors without
+cluster structure, as the given ones, cells would have to be probed for the most part).
 
 Defined results: null vectors, vectors of another dimension than most, zero vectors and vectors
 with null or non-finite components take no part, neither as query nor as candidate; a query's own
 row (its id) is no candidate; ties go to the smaller id, and equal vectors get equal codes, so a
 shortlist breaks their ties alike; fewer than ``k`` candidates are all returned; repeated rows of
-one id count once (the first in vector order); an empty table gives an empty result; extra
-columns are not read.
+one id are one row, that of the least usable vector in array order, whatever order the rows come
+in; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -45,6 +47,15 @@ def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
     return own.filter(F.coalesce(fine, F.lit(False)))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to 0.5..1: cosines stay as
+    they are to the last digit, but no square overflows or vanishes."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1))
+    # In two steps: one factor alone could overflow.
+    half = -exponent // 2
+    return np.ldexp(np.ldexp(x, half[:, None]), (-exponent - half)[:, None])
+
+
 class AdditiveQuantizer:
     """Full-dimensional residual codebooks."""
 
@@ -111,11 +122,11 @@ def scores(table: np.ndarray, places: np.ndarray, length: np.ndarray) -> np.ndar
 
 def sample_of(vectors: DataFrame, max_sample: int = MAX_SAMPLE) -> np.ndarray:
     """At most ``max_sample`` unit vectors, chosen by a hash of their id; of the commonest size."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).select("v").toPandas()["v"]
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(max_sample).select("v").toPandas()["v"]
     if not len(rows):
         return np.zeros((0, 0))
     size = int(rows.map(len).mode()[0])
-    x = np.array([r for r in rows if len(r) == size], dtype=np.float64)
+    x = scaled(np.array([r for r in rows if len(r) == size], dtype=np.float64))
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -129,7 +140,8 @@ def search(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_c
     if not len(sample):
         return spark.createDataFrame([], out)
     size = sample.shape[1]
-    vectors = vectors.filter(F.size("v") == size)
+    # Tasks combine rows of one id before the shuffle, so an id may hold any share of the rows.
+    vectors = vectors.filter(F.size("v") == size).groupBy("vec_id").agg(F.min("v").alias("v"))
     sent = spark.sparkContext.broadcast(AdditiveQuantizer.fit(sample))
     counts = vectors.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
     row_blocks, query_blocks = -(-counts.n // ROW_BLOCK) or 1, -(-counts.q // QUERY_BLOCK) or 1
@@ -138,7 +150,7 @@ def search(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_c
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column("v").flatten().to_numpy().reshape(-1, size)
+            x = scaled(batch.column("v").flatten().to_numpy().reshape(-1, size))
             codes, length = sent.value.encode(x / np.linalg.norm(x, axis=1, keepdims=True))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array([c.tobytes() for c in codes], type=pa.binary()), pa.array(length.astype(np.float32))], names=["vec_id", "v", "codes", "length"])
 
@@ -150,9 +162,8 @@ def search(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_c
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         if not len(held) or not len(asked):
             return empty
-        held = held.sort_values("vec_id", kind="stable").drop_duplicates("vec_id")
-        asked = asked.sort_values("vec_id", kind="stable").drop_duplicates("vec_id")
-        ids, x = held["vec_id"].to_numpy(), np.stack(held["v"].to_numpy())
+        held, asked = held.sort_values("vec_id"), asked.sort_values("vec_id")
+        ids, x = held["vec_id"].to_numpy(), scaled(np.stack(held["v"].to_numpy()))
         norm = np.sqrt((x * x).sum(1))
         codes = np.frombuffer(b"".join(held["codes"]), dtype=np.uint8).reshape(len(held), -1)
         places = table_places(codes)
@@ -160,7 +171,7 @@ def search(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_c
         found = []
         for lo in range(0, len(asked), 256):
             part = asked.iloc[lo : lo + 256]
-            q = np.stack(part["v"].to_numpy())
+            q = scaled(np.stack(part["v"].to_numpy()))
             qn = np.sqrt((q * q).sum(1))
             for own, vector, n, table in zip(part["vec_id"], q, qn, sent.value.tables(q / qn[:, None]), strict=True):
                 approx = scores(table, places, length)

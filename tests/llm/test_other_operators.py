@@ -164,6 +164,8 @@ def test_recall_on_real_vectors(spark, sf):
         want = [i for _, i in exact(ids, x, q, 5)]
         found = sorted(got[ids[q]])
         assert [f[0] for f in found] == [1, 2, 3, 4, 5]
+        score_of = {i: -v for v, i in exact(ids, x, q, len(ids))}
+        assert [f[2] for f in found] == pytest.approx([score_of[f[1]] for f in found], abs=1e-15)
         assert [-f[2] for f in found] == sorted(-f[2] for f in found)
         hit, total = hit + len(set(want) & {f[1] for f in found}), total + 5
     assert hit / total >= 0.9
@@ -195,6 +197,22 @@ def test_odd_vectors_take_no_part(spark):
     assert [r.vec_id for r in few] == [21, 22]
 
 
+def test_large_and_small_vectors_are_scored(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [1e-200, 1e-200]), (3, [0.0, 5e-324]), (4, [1.7e308, 1.7e308]), (5, [-3.0, 1e-300])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert [g[:2] for g in got] == [(1, 1), (2, 2), (3, 4), (4, 3), (5, 5)]
+    assert [g[2] for g in got] == pytest.approx([1 / np.sqrt(1.01), np.sqrt(0.5), np.sqrt(0.5), 0.0, -1.0])
+
+
+def test_repeated_ids_do_not_depend_on_row_order(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [1.0, 0.1]), (1, [0.1]), (2, [0.0, 1.0]), (0, [1.0, 0.0])]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>").coalesce(1)
+        got = [(r.vec_id, r.score) for r in ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+        assert [g[0] for g in got] == [1, 2] and got[0][1] == pytest.approx(1 / np.sqrt(1.01))
+
+
 # --- pages ----------------------------------------------------------------------------------------
 
 
