@@ -6,9 +6,8 @@
 - :func:`link` joins calls and results on (scope, call_id), a shuffled equi-join.
 - :func:`validate` checks arguments against schemas (``type``, ``required``, ``properties``, ``enum``,
   ``minimum``, ``maximum``, ``minLength``, ``maxLength``, ``additionalProperties``).
-- :func:`ordered` orders the calls of a scope so that a call follows those it depends on. Where all
-  dependencies point backward in the conversation its own order is topological and nothing is
-  iterated; only scopes with a forward dependency go through rounds that peel off ready calls.
+- :func:`ordered` orders the calls of a scope topologically: a call's level is the longest path of
+  dependencies below it, found by pointer doubling along chains.
 - :func:`canonical` writes each call as JSON with sorted keys and no white space.
 
 No step gathers a conversation into one row or task: rows stay one per call, so a conversation
@@ -115,31 +114,66 @@ def validate(name: Column, arguments: Column, schemas: Mapping[str, Mapping[str,
 
 
 def ordered(calls: DataFrame) -> DataFrame:
-    """Add ``level`` (calls follow in order of level, turn, seq; null: on a cycle) and ``missing``,
-    the dependencies without a call."""
-    edges = calls.select("scope", "call_id", "turn", "seq", F.explode(F.array_distinct("depends_on")).alias("needs"))
-    known = calls.select("scope", F.col("call_id").alias("needs"), F.col("turn").alias("t"), F.col("seq").alias("s"))
+    """Add ``level``, the longest path of known dependencies below a call (calls follow in order of
+    level, turn, seq; null: on a cycle or behind one), and ``missing``, the dependencies without a call.
+
+    Calls with a single known dependency form chains; each doubles its way down its chain, so a chain
+    of n calls takes log n rounds. Calls with several are then placed round by round, one round for
+    each of *them* on a path, each taking the deepest of what it needs.
+    """
+    edges = calls.select("scope", "call_id", F.explode(F.array_distinct("depends_on")).alias("needs"))
+    known = calls.select("scope", F.col("call_id").alias("needs"), F.lit(True).alias("there"))
     found = edges.join(known, ["scope", "needs"], "left")
-    missing = found.filter("t IS NULL").groupBy("scope", "call_id").agg(F.array_sort(F.collect_list("needs")).alias("missing"))
-    forward = found.filter("t > turn OR (t = turn AND s >= seq)").select("scope").distinct()
+    missing = found.filter("there IS NULL").groupBy("scope", "call_id").agg(F.array_sort(F.collect_list("needs")).alias("missing"))
+    needs = stored(found.filter("there").select("scope", "call_id", "needs"), "chat-needs")
+    counted = needs.groupBy("scope", "call_id").agg(F.count("*").alias("n_needs"), F.min("needs").alias("down"))
+    nodes = calls.select("scope", "call_id").join(counted, ["scope", "call_id"], "left")
+    # A call points ``dist`` steps down its chain to ``down``; calls without or with several needs end chains.
+    single = F.col("n_needs") == 1
+    chains = stored(nodes.select("scope", "call_id", F.when(single, F.col("down")).otherwise(F.col("call_id")).alias("down"), F.when(single, 1).otherwise(0).alias("dist"), F.coalesce("n_needs", F.lit(0)).alias("n_needs")), "chat-chains0")
+    turn, steps = 0, 1
+    longest = chains.count()
+    while steps <= longest:
+        on = chains.select("scope", F.col("call_id").alias("down"), F.col("down").alias("further"), F.col("dist").alias("more"))
+        turn, steps = turn + 1, steps * 2
+        fresh = stored(chains.join(on, ["scope", "down"]).select("scope", "call_id", F.col("further").alias("down"), (F.col("dist") + F.col("more")).alias("dist"), "n_needs", (F.col("more") > 0).alias("moved")), f"chat-chains{turn}")
+        chains = fresh.drop("moved")
+        if fresh.filter("moved").isEmpty():
+            break
+    # Chains that have not ended by now run in circles: what they point to is no end.
+    ends = chains.filter("dist = 0").select("scope", F.col("call_id").alias("down"), F.col("n_needs").alias("end_needs"))
+    chains = stored(chains.join(ends, ["scope", "down"]), "chat-ended")
+    free = chains.filter("end_needs = 0").select("scope", "call_id", F.col("dist").alias("level"))
+    levels, left = free, chains.filter("end_needs > 1")
+    if not left.isEmpty():
+        levels = free.unionByName(_joints(needs, chains, free))
     base = calls.join(missing, ["scope", "call_id"], "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
-    if forward.isEmpty():
-        return base.withColumn("level", F.lit(0))
-    # Rounds for the few scopes whose own order is not topological.
-    left = stored(calls.join(forward, "scope", "left_semi").select("scope", "call_id"), "chat-left")
-    needs = stored(found.filter("t IS NOT NULL").join(forward, "scope", "left_semi").select("scope", "call_id", "needs"), "chat-needs")
-    levels: list[DataFrame] = []
-    while not left.isEmpty():
-        blocked = needs.join(left.select("scope", F.col("call_id").alias("needs")), ["scope", "needs"], "left_semi").select("scope", "call_id").distinct()
-        ready = stored(left.join(blocked, ["scope", "call_id"], "left_anti"), f"chat-ready{len(levels)}")
+    return base.join(levels, ["scope", "call_id"], "left")
+
+
+def _joints(needs: DataFrame, chains: DataFrame, free: DataFrame) -> DataFrame:
+    """Levels of the calls with several dependencies and of those whose chains end in one."""
+    joints = chains.filter("n_needs > 1").select("scope", "call_id")
+    below = needs.join(joints, ["scope", "call_id"]).join(chains.select("scope", F.col("call_id").alias("needs"), F.col("down").alias("end"), "dist", "end_needs"), ["scope", "needs"], "left")
+    # end: the joint that a dependency's chain ends in (null: a dependency on a cycle); none: level known.
+    open_rows = stored(below.select("scope", "call_id", "end", (F.col("dist") + 1).alias("plus"), F.coalesce(F.col("end_needs") == 0, F.lit(False)).alias("known")), "chat-joints0")
+    placed: list[DataFrame] = []
+    while True:
+        ready = open_rows.groupBy("scope", "call_id").agg(F.bool_and("known").alias("known"), F.max("plus").alias("level")).filter("known").drop("known")
+        ready = stored(ready, f"chat-placed{len(placed)}")
         if ready.isEmpty():
             break  # what is left stands on cycles or behind them
-        levels.append(ready.withColumn("level", F.lit(len(levels))))
-        left = stored(left.join(ready, ["scope", "call_id"], "left_anti"), f"chat-left{len(levels)}")
-    placed = calls.join(forward, "scope", "left_anti").select("scope", "call_id", F.lit(0).alias("level"))
-    for level in levels:
-        placed = placed.unionByName(level)
-    return base.join(placed, ["scope", "call_id"], "left")
+        placed.append(ready)
+        rest = open_rows.join(ready.select("scope", "call_id"), ["scope", "call_id"], "left_anti")
+        rest = rest.join(ready.select("scope", F.col("call_id").alias("end"), F.col("level").alias("below")), ["scope", "end"], "left")
+        met = F.col("below").isNotNull() & ~F.col("known")
+        open_rows = stored(rest.select("scope", "call_id", "end", F.when(met, F.col("plus") + F.col("below")).otherwise(F.col("plus")).alias("plus"), (F.col("known") | met).alias("known")), f"chat-joints{len(placed)}")
+    made = placed[0] if placed else free.limit(0)
+    for more in placed[1:]:
+        made = made.unionByName(more)
+    tails = chains.filter("dist > 0 AND end_needs > 1").select("scope", "call_id", F.col("down").alias("end"), "dist")
+    follow = tails.join(made.select("scope", F.col("call_id").alias("end"), F.col("level").alias("below")), ["scope", "end"])
+    return made.select("scope", "call_id", F.col("level").cast("int")).unionByName(follow.select("scope", "call_id", (F.col("dist") + F.col("below")).cast("int").alias("level")))
 
 
 def canonical(c: DataFrame) -> Column:

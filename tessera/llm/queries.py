@@ -57,7 +57,7 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH m AS (
+WITH RECURSIVE m AS (
   SELECT CAST(conv_id AS VARCHAR) AS scope, turn, role, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL
 ), c AS (
@@ -78,14 +78,18 @@ WITH m AS (
       CASE WHEN words > 100 THEN ['words: maximum'] ELSE CAST([] AS VARCHAR[]) END,
       CASE WHEN turn >= 2 AND needs NOT IN (SELECT call_id FROM c) THEN ['missing call: ' || needs] ELSE CAST([] AS VARCHAR[]) END) AS errors
   FROM j
+), v AS (
+  SELECT call_id, 0 AS level FROM j WHERE turn < 2 OR needs NOT IN (SELECT call_id FROM c)
+  UNION ALL
+  SELECT j.call_id, v.level + 1 FROM j JOIN v ON j.needs = v.call_id WHERE j.turn >= 2
 ), s AS (
-  SELECT call_id, turn, n_results, len(errors) = 0 AS valid,
+  SELECT call_id, turn, level, n_results, len(errors) = 0 AS valid,
     CAST(to_json({'arguments': CAST(to_json({'text': text, 'words': words}) AS VARCHAR),
       'depends_on': CASE WHEN turn >= 2 THEN [needs] ELSE CAST([] AS VARCHAR[]) END,
-      'errors': errors, 'id': call_id, 'level': 0, 'name': 'ask', 'result': result}) AS VARCHAR) AS json
-  FROM e
+      'errors': errors, 'id': call_id, 'level': level, 'name': 'ask', 'result': result}) AS VARCHAR) AS json
+  FROM e JOIN v USING (call_id)
 )
-SELECT call_id, turn, CAST(0 AS INTEGER) AS level, n_results, valid, CAST(length(json) AS BIGINT) AS n_chars, sha256(json) AS json_sha256 FROM s
+SELECT call_id, turn, CAST(level AS INTEGER) AS level, n_results, valid, CAST(length(json) AS BIGINT) AS n_chars, sha256(json) AS json_sha256 FROM s
 """
 
 

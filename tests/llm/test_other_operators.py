@@ -288,6 +288,33 @@ def test_inline_calls_are_linked_checked_and_ordered(spark):
     assert '"errors":["q: missing","kind: not allowed","cycle"]' in got["b"].json
 
 
+def test_levels_are_longest_paths(spark):
+    rng = random.Random(5)
+    needs = {("a", str(i)): [str(j) for j in range(i) if rng.random() < 0.12] for i in range(40)}
+    # A chain of 1,000 forward dependencies, a joint above it, a circle, a call behind the circle.
+    needs |= {("b", f"n{i:04}"): [f"n{i + 1:04}"] if i < 1000 else [] for i in range(1001)}
+    needs |= {("b", "top"): ["n0000", "n0500"], ("b", "over"): ["top"], ("b", "far"): ["over", "n1000"]}
+    needs |= {("c", "x"): ["y"], ("c", "y"): ["x"], ("c", "z"): ["x"], ("c", "w"): ["z", "v"], ("c", "v"): ["v0", "v"], ("c", "v0"): [], ("c", "u"): ["v0", "gone"], ("c", "t"): ["w"]}
+    held = {}
+
+    def level(key, path=()):
+        if key in path:
+            return None
+        if key not in held:
+            below = [level((key[0], n), (*path, key)) for n in needs[key] if (key[0], n) in needs]
+            if None in below:
+                return None
+            held[key] = max(below, default=-1) + 1
+        return held[key]
+
+    order = sorted(needs, key=lambda k: rng.random())
+    for k in sorted(needs, key=lambda k: (k[0], k[1][0] == "n" and -int(k[1][1:]))):
+        level(k)
+    calls = spark.createDataFrame([(s, c, i, 0, "n", "{}", needs[s, c]) for i, (s, c) in enumerate(order)], chat.CALL)
+    got = {(r.scope, r.call_id): r.level for r in chat.ordered(calls).collect()}
+    assert got == {k: held.get(k) for k in needs} and got["b", "far"] == 1003 and got["c", "t"] is None
+
+
 def test_turn_calls_equal_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
