@@ -1,14 +1,16 @@
 """Main text of HTML pages by tag-path ratios.
 
-Each page is tokenised once into text nodes, each with its root-to-leaf tag path. Text length,
-punctuation and link text are aggregated per path, the ratios per node are smoothed along the page
-and fused to one score, and paths over a threshold are content. The smallest element that holds
-nearly all content text leads to the main node: the outermost article (or else main) element around
-it, or without one the element reached by climbing while that adds content. The main node's text
-nodes that lie in no boilerplate element (menus, headers, footers, asides, forms, adverts, notices,
-comments and such, told by tag, role or class; inside an article not by class words that its own
-parts bear as well, such as header or notice) are the result. Character references are decoded once, white space inside a block is one space,
-blocks are joined by one space.
+Each page is tokenised once into text nodes, each with its root-to-leaf tag path (inline elements
+left out, a mark at elements whose tag, role or class tells of menus, headers, footers, asides, forms,
+adverts, notices, comments and such; inside an article not by class words that its own parts bear as
+well, such as header or notice). Text length, punctuation and link text are aggregated per path; the
+ratios are smoothed along the page and fused with two more features of the path, its marks and its
+place in an article, to one score. Paths over a threshold are content: their nodes, and no others, are
+the result. They are chosen twice: the smallest element that holds nearly all text of the first choice
+leads to the main node (the outermost article, or else main, element around it, or without one the
+element reached by climbing while that adds content), and lying outside it is the last feature of the
+second choice. Character references are decoded once, white space inside a block is one space, blocks
+are joined by one space.
 
 Defined results: null and empty pages, and pages without text, give an empty string; broken markup
 is read as far as it goes (an unclosed tag ends with its parent, an unfinished tag at the end is
@@ -30,8 +32,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A path is content from this share of the page's mean score on (weighted by text length).
-THRESHOLD = 0.3
+#: A path is content from this share of the page's mean score on (weighted by score and text length).
+THRESHOLD = 0.01
+#: Factors of the fused score: in an article, under an element that looks like boilerplate, outside
+#: the main node, for a path of links alone.
+IN_ARTICLE, MARKED, OUTSIDE, LINKED = 4.0, 0.001, 0.1, 0.1
+#: No path is content under this score: a page of menus alone has no content.
+LEAST = 0.25
 #: The smallest element with this share of the content text is where the main node is sought from.
 HOLDS = 0.85
 
@@ -46,6 +53,7 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
     **{t: {"p"} for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()},
 }
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 SCOPE = frozenset("html body article main section div aside nav footer header table td th ul ol dl form blockquote".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form button select menu dialog head noscript label input".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -55,6 +63,8 @@ BOILERPLATE_WORDS = frozenset(
 #: Of these the words that name real parts of an article as well.
 ARTICLE_WORDS = frozenset("header masthead banner notice alert legal disclaimer copyright meta tags promotion".split())
 CONTENT_TAGS = frozenset(("article", "main"))
+#: Stands in a path behind a tag that looks like boilerplate.
+MARK = "!"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -64,17 +74,18 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…¿¡]")
 
 @dataclass
 class Node:
-    """A piece of text: where it stands, its elements from the root on, whether it is in a link."""
+    """A piece of text: where it stands, its elements from the root on (numbers and tags), its tag
+    path with marks, whether it is in a link."""
 
     text: str
     block: int
     chain: tuple[int, ...]
+    tags: tuple[str, ...]
     path: str
     link: bool
-    boilerplate: bool
 
 
-def _is_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
+def _looks_like_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
     if tag in BOILERPLATE_TAGS or tag == "header" and not in_content:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -94,15 +105,19 @@ def _is_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
 def text_nodes(page: str) -> list[Node]:
     """Text nodes of a page in order, by one pass over its tokens."""
     out: list[Node] = []
-    # Open elements: tag, number, path, in a link, boilerplate, in an article.
-    stack: list[tuple[str, int, str, bool, bool, bool]] = [("", 0, "", False, False, False)]
+    # Open elements: tag, path, in a link, in an article.
+    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
     made, block, at, size = 0, 0, 0, len(page)
     chain: tuple[int, ...] = (0,)
+    tags: tuple[str, ...] | None = ("",)
 
     def text(raw: str) -> None:
+        nonlocal tags
         if raw and not raw.isspace():
-            _, _, path, link, bad, _ = stack[-1]
-            out.append(Node(html.unescape(raw), block, chain, path, link, bad))
+            _, path, link, _ = stack[-1]
+            if tags is None:
+                tags = tuple([x[0] for x in stack])
+            out.append(Node(html.unescape(raw), block, chain, tags, path, link))
         elif raw and out and out[-1].block == block:
             out[-1].text += " "
 
@@ -132,14 +147,14 @@ def text_nodes(page: str) -> list[Node]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
-                    chain = chain[: len(stack)]
+                    chain, tags = chain[: len(stack)], None
                     break
             continue
         if tag in CLOSES:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in CLOSES[tag]:
                     del stack[k:]
-                    chain = chain[: len(stack)]
+                    chain, tags = chain[: len(stack)], None
                     break
                 if stack[k][0] in SCOPE:
                     break
@@ -158,15 +173,17 @@ def text_nodes(page: str) -> list[Node]:
         if token[0].endswith("/>") and tag not in BLOCK and tag not in ("a", "span"):
             continue
         made += 1
-        _, _, path, link, bad, inside = stack[-1]
-        bad = bad or _is_boilerplate(tag, token[4], inside)
-        stack.append((tag, made, f"{path}/{tag}", link or tag == "a", bad, inside or tag in CONTENT_TAGS))
-        chain = (*chain, made)
+        _, path, link, inside = stack[-1]
+        mark = MARK if _looks_like_boilerplate(tag, token[4], inside) else ""
+        if mark or tag not in INLINE:
+            path = f"{path}/{tag}{mark}"
+        stack.append((tag, path, link or tag == "a", inside or tag in CONTENT_TAGS))
+        chain, tags = (*chain, made), None
     return out
 
 
-def path_scores(nodes: list[Node]) -> list[float]:
-    """Fused and smoothed score of each node's path."""
+def path_ratios(nodes: list[Node]) -> dict[str, float]:
+    """Fused ratios of each tag path: text length and punctuation a node, less what is link text."""
     held: dict[str, list[float]] = {}
     for n in nodes:
         h = held.setdefault(n.path, [0.0, 0.0, 0.0, 0.0])
@@ -175,30 +192,23 @@ def path_scores(nodes: list[Node]) -> list[float]:
         h[1] += size
         h[2] += len(_PUNCTUATION.findall(n.text))
         h[3] += size * n.link
-    fused = {}
-    for path, (count, size, signs, linked) in held.items():
-        inside = 4.0 if "/article" in path or "/main" in path else 1.0
-        fused[path] = inside * math.log1p(size / count) * math.log1p(1 + signs / count) * (1 - linked / size if size else 0)
-    raw = [fused[n.path] for n in nodes]
-    out = []
-    for i in range(len(raw)):  # a node's neighbours speak for it
+    return {p: math.log1p(size / count) * math.log1p(1 + signs / count) * (1 - (1 - LINKED) * linked / size) for p, (count, size, signs, linked) in held.items()}
+
+
+def path_scores(nodes: list[Node]) -> dict[str, float]:
+    """The score of each path: its ratio smoothed along the page (a node's neighbours speak for it,
+    the path takes the best of its nodes), times its factors."""
+    ratios = path_ratios(nodes)
+    raw = [ratios[n.path] for n in nodes]
+    smooth: dict[str, float] = {}
+    for i, n in enumerate(nodes):
         near = raw[max(0, i - 1) : i + 2]
-        out.append(0.6 * raw[i] + 0.4 * sum(near) / len(near))
-    return out
+        smooth[n.path] = max(0.6 * raw[i] + 0.4 * sum(near) / len(near), smooth.get(n.path, 0.0))
+    return {p: s * (IN_ARTICLE if "/article" in p or "/main" in p else 1.0) * (MARKED if MARK in p else 1.0) for p, s in smooth.items()}
 
 
-def main_text(page: str | None) -> str:
-    """The main text of one page."""
-    nodes = [n for n in text_nodes(page or "") if not n.boilerplate]
-    if not nodes:
-        return ""
-    scores = path_scores(nodes)
-    total = sum(len(n.text) for n in nodes)
-    mean = sum(s * len(n.text) for s, n in zip(scores, nodes, strict=True)) / total
-    best: dict[str, float] = {}
-    for s, n in zip(scores, nodes, strict=True):
-        best[n.path] = max(s, best.get(n.path, 0.0))
-    content = [n for n in nodes if best[n.path] >= THRESHOLD * mean]
+def main_node(nodes: list[Node], content: list[Node]) -> int:
+    """The number of the element that holds the article."""
     wanted = HOLDS * sum(len(n.text) for n in content)
     weight: dict[int, int] = {}
     n_content: dict[int, int] = {}
@@ -209,29 +219,41 @@ def main_text(page: str | None) -> str:
             n_content[element] = n_content.get(element, 0) + 1
             depth[element] = level
     top = max((e for e, w in weight.items() if w >= wanted), key=lambda e: (depth[e], -e), default=0)
+    first = next((n for n in content if top in n.chain), None)
+    if first is None:
+        return top
     # A paragraph or an inline element is no main node: its parent is.
-    for n in content:
-        if top in n.chain:
-            tags = n.path.split("/")
-            level = n.chain.index(top)
-            while level and tags[level] not in ("article", "main", "section", "div", "body", "html", "td", "center", "blockquote"):
-                level -= 1
-            around = [k for k in range(level + 1) if tags[k] == "article"] or [k for k in range(level + 1) if tags[k] == "main"]
-            if around:
-                level = around[0]
-            else:
-                n_all = Counter(e for m in nodes for e in m.chain)
-                for k in range(level - 1, -1, -1):
-                    if n_content[n.chain[k]] > n_content[n.chain[level]]:
-                        level = k
-                    elif n_all[n.chain[k]] > n_all[n.chain[level]]:
-                        break
-            top = n.chain[level]
+    tags, level = first.tags, first.chain.index(top)
+    while level and tags[level] not in ("article", "main", "section", "div", "body", "html", "td", "center", "blockquote"):
+        level -= 1
+    around = [k for k in range(level + 1) if tags[k] == "article"] or [k for k in range(level + 1) if tags[k] == "main"]
+    if around:
+        return first.chain[around[0]]
+    n_all = Counter(e for m in nodes if MARK not in m.path for e in m.chain)
+    for k in range(level - 1, -1, -1):
+        if n_content[first.chain[k]] > n_content[first.chain[level]]:
+            level = k
+        elif n_all[first.chain[k]] > n_all[first.chain[level]]:
             break
+    return first.chain[level]
+
+
+def content_nodes(nodes: list[Node]) -> list[Node]:
+    """The nodes whose paths reach the threshold."""
+    if not nodes:
+        return []
+    scores = path_scores(nodes)
+    weight = [scores[n.path] * len(n.text) for n in nodes]
+    least = max(LEAST, THRESHOLD * sum(scores[n.path] * w for n, w in zip(nodes, weight, strict=True)) / sum(weight))
+    top = main_node(nodes, [n for n in nodes if scores[n.path] >= least])
+    return [n for n in nodes if scores[n.path] * (1.0 if top in n.chain else OUTSIDE) >= least]
+
+
+def main_text(page: str | None) -> str:
+    """The main text of one page."""
     blocks: dict[int, list[str]] = {}
-    for n in nodes:
-        if top in n.chain:
-            blocks.setdefault(n.block, []).append(n.text)
+    for n in content_nodes(text_nodes(page or "")):
+        blocks.setdefault(n.block, []).append(n.text)
     parts = [_SPACE.sub(" ", "".join(b)).strip() for b in blocks.values()]
     return " ".join(p for p in parts if p)
 

@@ -232,6 +232,36 @@ def test_page_text():
     assert f(divs) == "Head A long text, with signs. And more of it, too. Another one, as long. It goes on, and on."
 
 
+def test_path_scores_equal_brute_force(spark, sf, monkeypatch):
+    """Scores by another route, on whole pages; and without the scores the result is another."""
+    import math
+    import re
+
+    differ = 0
+    pages = [r.html for r in table(spark, sf, "pages").collect()]
+    want = [html_extract.main_text(p) for p in pages]
+    for page in pages[:40]:
+        nodes = html_extract.text_nodes(page)
+        ratio = {}
+        for path in {n.path for n in nodes}:
+            own = [n for n in nodes if n.path == path]
+            size, signs = sum(len(n.text) for n in own), sum(len(re.findall(r"[.,;:!?。，、；：！？…¿¡]", n.text)) for n in own)
+            linked = sum(len(n.text) for n in own if n.link) / size
+            ratio[path] = math.log(1 + size / len(own)) * math.log(2 + signs / len(own)) * (1 - 0.9 * linked)
+        scores = html_extract.path_scores(nodes)
+        for path in ratio:
+            best = 0.0
+            for i, n in enumerate(nodes):
+                if n.path == path:
+                    near = [ratio[nodes[k].path] for k in (i - 1, i, i + 1) if 0 <= k < len(nodes)]
+                    best = max(best, 0.6 * ratio[path] + 0.4 * sum(near) / len(near))
+            factor = (4 if "/article" in path or "/main" in path else 1) * (0.001 if "!" in path else 1)
+            assert scores[path] == pytest.approx(best * factor)
+    monkeypatch.setattr(html_extract, "path_scores", lambda nodes: {n.path: 1.0 for n in nodes})
+    differ = sum(html_extract.main_text(p) != w for p, w in zip(pages, want, strict=True))
+    assert differ > len(pages) / 10
+
+
 def test_nested_articles_are_whole():
     f = html_extract.main_text
     body = " ".join(f"Sentence number {i} says something, and then more." for i in range(40))
@@ -253,6 +283,8 @@ def test_page_columns(spark):
     df = spark.createDataFrame([(1, "<p>x</p>", "t"), (2, None, "t")], "page_id long, html string, text string")
     got = {r.page_id: tuple(r.x) for r in df.select("page_id", html_extract.extracted(F.col("html")).alias("x")).collect()}
     assert got == {1: ("x", 1), 2: ("", 0)}
+    twice = df.union(df).select("page_id", "text", html_extract.extracted(F.col("html")).alias("x")).collect()
+    assert sorted((r.page_id, r.text, *r.x) for r in twice) == [(1, "t", "x", 1)] * 2 + [(2, "t", "", 0)] * 2
     assert df.limit(0).select(html_extract.extracted(F.col("html"))).count() == 0
 
 
