@@ -4,8 +4,9 @@
    counts; at most 27 cubed numbers travel from a task).
 2. Tokens that mix letters with digits or signs, repeat a letter three times or more, or are spelt
    with spaces become character lattices: a sign may stand for look-alike letters, a separator may
-   be dropped, a run of one letter may be one or two letters, each at a channel cost. Viterbi
-   decoding finds the likeliest word under the character model.
+   be dropped, a run of one letter may be one or two letters, a space between spelt letters may be
+   dropped or end a word, each at a channel cost. Viterbi decoding finds the likeliest word or words
+   under the character model, in time linear in the token, however long it is.
 3. Restored words and their beginnings are features. A list of features is fitted on a bounded,
    documented sample of labelled rows (``max_labelled``): each in turn explains the most toxic
    rows that are left. A score is the noisy or of the features found in the restored text.
@@ -36,22 +37,20 @@ from tessera.llm.common import slices
 
 #: Most labelled rows that the classifier is fitted on.
 MAX_LABELLED = 30_000
-#: Most features that the classifier keeps.
-MAX_FEATURES = 4_000
+#: Share of toxic rows, shrunk towards the prior by ``STRENGTH`` rows, that makes a feature.
+LEAST_SHARE, STRENGTH = 0.8, 1.0
 #: From this score on a document counts as toxic.
 THRESHOLD = 0.7
 #: Tokens that a worker remembers.
 CACHE_TOKENS = 150_000
 #: Tokens that a task of the fit remembers from slice to slice.
 FIT_TOKENS = 50_000
-#: Longer tokens are no words.
-LONGEST_WORD = 40
 
 # Letters that a sign can stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "£": "l", "¥": "y"}
 SEPARATORS = ".-_*~'·•/\\, "
 # Channel costs in nats: fixed values.
-SUBSTITUTED, DROPPED, DROPPED_DIGIT, SHORTENED = -1.0, -0.3, -20.0, -0.5
+SUBSTITUTED, DROPPED, DROPPED_DIGIT, SHORTENED, ENDED = -1.0, -0.3, -20.0, -0.5, -1.0
 
 _EDGE = ".,;:!?\"'()[]{}<>«»“”„…|*#%&=-_~`/\\"
 _EDGE_ONLY = "".join(c for c in _EDGE if c not in LOOKS_LIKE)
@@ -64,7 +63,7 @@ _CODE = bytes(ord(c) - 96 for c in _FOLDED)
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-case tokens without the signs around them; letters spelt with spaces are one token."""
+    """Lower-case tokens; letters spelt with spaces are one token, spaces included."""
     if not text:
         return []
     raw = text.lower().split()
@@ -73,14 +72,14 @@ def tokens(text: str | None) -> list[str]:
         out = []
         for single, run in groupby(raw, key=lambda t: len(t) == 1):
             run = list(run)
-            out += ["".join(run)] if single and len(run) > 2 else run
+            out += [" ".join(run)] if single and len(run) > 2 else run
         raw = out
     return raw
 
 
 def char_counts(words: Counter) -> np.ndarray:
     """27 cubed trigram counts of counted words, each with two borders before and one after."""
-    kept = [(w, n) for w, n in words.items() if len(w) <= LONGEST_WORD]
+    kept = [(w, n) for w, n in words.items() if " " not in w]
     if not kept:
         return np.zeros(27**3, dtype=np.int64)
     flat = "``" + "``".join([w for w, _ in kept]) + "``"
@@ -136,6 +135,9 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     out = []
     for char, run in groupby(token):
         n = len(list(run))
+        if char == " ":
+            out.append([("", DROPPED), (" ", ENDED)])
+            continue
         options = _options(char)
         if n == 1 or options == [("", DROPPED)]:
             out.append(options)
@@ -151,21 +153,31 @@ def code_of(char: str) -> int:
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest word behind a token: Viterbi over its lattice, states are two characters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest word behind a token, or words: Viterbi over its lattice, states are two characters."""
+    # State: (score, letters chosen last, the state before).
+    states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, "", None)}
     for options in lattice(token):
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, word) in states.items():
+        following: dict[tuple[int, int], tuple] = {}
+        for (a, b), state in states.items():
             for letters, cost in options:
-                x, y, s = a, b, score + cost
+                x, y, s = a, b, state[0] + cost
                 for c in letters:
-                    z = code_of(c)
-                    s += model[x, y, z]
-                    x, y = y, z
+                    if c == " ":  # a word ends: two borders, then the next one begins
+                        s += model[x, y, 0] + model[y, 0, 0]
+                        x = y = 0
+                    else:
+                        z = code_of(c)
+                        s += model[x, y, z]
+                        x, y = y, z
                 if (x, y) not in following or s > following[x, y][0]:
-                    following[x, y] = (s, word + letters)
+                    following[x, y] = (s, letters, state)
         states = following
-    return max(((s + model[a, b, 0], w) for (a, b), (s, w) in states.items()), default=(0.0, ""))[1]
+    best = max(states.items(), key=lambda kv: kv[1][0] + model[kv[0][0], kv[0][1], 0])[1]
+    parts = []
+    while best is not None:
+        parts.append(best[1])
+        best = best[2]
+    return "".join(reversed(parts))
 
 
 def plain(token: str) -> bool:
@@ -176,15 +188,16 @@ def plain(token: str) -> bool:
 def restore(token: str, model: np.ndarray) -> list[str]:
     """A token's readings: itself where it is plain, else the decoded word.
 
-    A plain word after a look-alike sign has both readings; a token without letters has none.
+    A plain word after a look-alike sign has both readings, and so has a word spelt with spaces
+    (whole, and cut into words); a token without letters has none.
     """
-    core = token.strip(_EDGE)
+    core = token.replace(" ", "").strip(_EDGE)
     found = [core] if plain(core) else []
     # Signs at the edge may be disguised letters only where they look like one.
     wide = token.lstrip(_EDGE_ONLY).rstrip(_EDGE_ONLY + "!")
     if wide != core or not found:
-        if len(wide) <= LONGEST_WORD and any(c.isalpha() for c in wide) and not plain(wide):
-            found.append(decode(wide, model))
+        if any(c.isalpha() for c in wide) and not plain(wide):
+            found += decode(wide, model).split()
     return found
 
 
@@ -240,7 +253,7 @@ def labelled_sample(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Data
     return own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """Character model from all documents, classifier from the bounded labelled sample."""
     spark = docs.sparkSession
     chars = char_model({r.gram: r.n for r in corpus_counts(docs).collect()})
@@ -272,9 +285,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     counted = rows.select("text", "toxic").mapInArrow(count, "f string, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     n_bad = sum(t for _, t in sample)
     prior = max(n_bad, 1) / len(sample)
-    expected = prior * (F.col("bad") + F.col("good"))
-    gain = F.col("bad") * F.log(F.col("bad") / expected)
-    chosen_features = [r.f for r in counted.filter(F.col("bad") >= 3).withColumn("gain", gain).filter(F.col("bad") > 3 * expected).orderBy(F.desc("gain"), "f").limit(max_features).collect()]
+    # One rule for all: the shrunk share. Features are those of at most max_labelled rows.
+    shrunk = (F.col("bad") + STRENGTH * prior) / (F.col("bad") + F.col("good") + STRENGTH)
+    chosen_features = sorted(r.f for r in counted.filter(shrunk >= LEAST_SHARE).collect())
     index = {f: k for k, f in enumerate(chosen_features)}
     sent_index = spark.sparkContext.broadcast(index)
 
@@ -301,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     return model
 
 
-def cover(rows: list[tuple[list[int], int, float, float]], n_features: int, prior: float, strength: float = 1.0, least: float = 0.8, explained: float = 0.5) -> tuple[dict[int, float], float]:
+def cover(rows: list[tuple[list[int], int, float, float]], n_features: int, prior: float, strength: float = STRENGTH, least: float = LEAST_SHARE, explained: float = 0.5) -> tuple[dict[int, float], float]:
     """Features chosen one by one, each for the rows that earlier ones do not explain.
 
     ``rows`` are (features, mark of near copies, rows, toxic rows). Near copies of one text share
@@ -322,7 +335,7 @@ def cover(rows: list[tuple[list[int], int, float, float]], n_features: int, prio
     while len(what):
         toxic = np.bincount(what, weights=(bad * factor)[who], minlength=n_features)
         share = (toxic + strength * prior) / (np.bincount(what, weights=(n * factor)[who], minlength=n_features) + strength)
-        gain = np.where((toxic >= 3) & (share >= least), toxic * np.log(share / prior), 0)
+        gain = np.where(share >= least, toxic * np.log(share / prior), 0)
         best = int(gain.argmax())
         if not gain[best]:
             break

@@ -2,8 +2,10 @@
 and token counts, against libraries and brute force, with the edge cases that they define."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -104,11 +106,39 @@ def test_held_out_accuracy(spark, toxic_model):
     assert all((r.s >= toxicity.THRESHOLD) == bool(r.toxic) for r in scored)
 
 
-@pytest.mark.parametrize("spelt", ["grumbold", "GRUMBOLD!", "grumb0ld", "g.r.u.m.b.o.l.d", "g r u m b o l d", "gruuuumbold", "gru-mb0ld", "sn0rvek", "$norvek", "so sn_orvek, yes"])
+@pytest.mark.parametrize("spelt", ["grumbold", "GRUMBOLD!", "grumb0ld", "g.r.u.m.b.o.l.d", "g r u m b o l d", "gruuuumbold", "gru-mb0ld", "sn0rvek", "$norvek", "so sn_orvek, yes", "gr" + "u" * 60 + "mbold", "t h e g r u m b o l d", "s n o r v e k a n d t h e", "g" + "-" * 50 + "rumbold"])
 def test_disguises_are_restored(toxic_model, spelt):
     assert toxic_model.score(f"the of {spelt} and was") >= toxicity.THRESHOLD
 
 
+def test_viterbi_equals_enumeration(toxic_model):
+    def score(choice, model):
+        a = b = 0
+        total = sum(cost for _, cost in choice)
+        for c in "".join(letters for letters, _ in choice):
+            if c == " ":
+                total, a, b = total + model[a, b, 0] + model[b, 0, 0], 0, 0
+            else:
+                z = toxicity.code_of(c)
+                total, a, b = total + model[a, b, z], b, z
+        return total + model[a, b, 0]
+
+    rng = random.Random(4)
+    for _ in range(300):
+        token = "".join(rng.choice("grumbolde1.0@3$ |") for _ in range(rng.randrange(1, 9)))
+        best = max(score(c, toxic_model.chars) for c in itertools.product(*toxicity.lattice(token)))
+        found = toxicity.decode(token, toxic_model.chars)
+        mine = max(score(c, toxic_model.chars) for c in itertools.product(*toxicity.lattice(token)) if "".join(x for x, _ in c) == found)
+        assert mine == pytest.approx(best)
+
+
+def test_long_tokens_take_linear_time(toxic_model):
+    text = "x1." * 30_000
+    began = time.time()
+    toxic_model.score(text)
+    assert time.time() - began < 20
+
+
 def test_clean_texts_score_low(toxic_model):
     for t in EDGE + ["there are 2020 items at 10:30, see www.example.org/x1"]:
         assert toxic_model.score(t) < 0.3
