@@ -7,8 +7,12 @@ its format and context. The features of all proposals are counted by one aggrega
 at most as many rows as there are feature combinations; boosted trees are fitted to those counts
 and turned into a column expression. Labels are weak ones: a number-like proposal counts as
 personal if it covers a span that passed a base check, an email-like one if its parts make a
-domain name, a secret if its value mixes letters and digits. A threshold for each kind is
-calibrated to a wanted precision; proposals beyond it that touch no base span are added.
+domain name, a secret if its value mixes letters and digits. Trees are fitted to one half of the
+proposals (by a hash of their text); a threshold for each kind is calibrated on the other half to a
+wanted precision; proposals beyond it that touch no base span are added.
+
+A text may hold any number of matches: places are sums over blocks of about the square root of their
+number, and overlaps are looked for in the blocks of spans that reach the place.
 
 Patterns are possessive and tied to the start of a run of their characters, so that no text makes
 them backtrack; they find what the plain greedy patterns find.
@@ -59,25 +63,64 @@ def _matches(df: DataFrame, kinds: tuple[str, ...], text: str) -> DataFrame:
     # One step for each stage: every pattern runs once, and splits only where it matched.
     df = df.withColumns({f"__tessera_m_{k}": F.when(holds(k), F.regexp_extract_all(F.col(text), F.lit(PATTERNS[k][1]), F.lit(0))).otherwise(none) for k in kinds})
     df = df.withColumns({f"__tessera_p_{k}": F.when(F.size(f"__tessera_m_{k}") > 0, F.split(F.col(text), PATTERNS[k][1], -1)).otherwise(none) for k in kinds})
-    return df.withColumns({f"__tessera_{k}": _located(k) for k in kinds}).drop(*[f"__tessera_{x}_{k}" for x in "mp" for k in kinds])
+    # Length of what lies before each match, and of the match; sums of whole blocks; places.
+    df = df.withColumns({f"__tessera_l_{k}": _lengths(k) for k in kinds})
+    df = df.withColumns({f"__tessera_b_{k}": _block_sums(F.col(f"__tessera_l_{k}")) for k in kinds})
+    df = df.withColumns({f"__tessera_a_{k}": _sums_before(F.col(f"__tessera_b_{k}")) for k in kinds})
+    df = df.withColumns({f"__tessera_{k}": _located(k) for k in kinds})
+    return df.drop(*[f"__tessera_{x}_{k}" for x in "mplba" for k in kinds])
+
+
+def _width(n: Column) -> Column:
+    """Size of a block where there are ``n`` things."""
+    return F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+
+
+def _block_numbers(n: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(n / _width(n)).cast("int")) - 1)
+
+
+def _block_sums(values: Column) -> Column:
+    n = F.size(values)
+    return F.transform(_block_numbers(n), lambda b: F.aggregate(F.slice(values, b * _width(n) + 1, _width(n)), F.lit(0), lambda acc, x: acc + x))
+
 
+def _lengths(kind: str) -> Column:
+    return F.transform(f"__tessera_m_{kind}", lambda m, i: F.length(F.get(f"__tessera_p_{kind}", i)) + F.length(m))
 
-_SPAN = "struct<kind:int,s:int,e:int,m:string,before:string,after:string>"
+
+def _sums_before(values: Column) -> Column:
+    return F.transform(values, lambda x, i: F.aggregate(F.slice(values, 1, i), F.lit(0), lambda n, y: n + y))
 
 
 def _located(kind: str) -> Column:
-    """Matches with their places in code points, from the lengths of what lies between them."""
-    pieces = F.col(f"__tessera_p_{kind}")
-    parts = F.transform(f"__tessera_m_{kind}", lambda m, i: F.struct(m.alias("m"), F.length(F.get(pieces, i)).alias("gap"), F.right(F.get(pieces, i), F.lit(24)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(1)).alias("after")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    """Matches as (kind, s, e, m, before, after) with their places in code points."""
+    pieces, lengths, begins = (F.col(f"__tessera_{x}_{kind}") for x in "pla")
+    width = _width(F.size(lengths))
+
+    def span(m: Column, i: Column) -> Column:
+        within = F.aggregate(F.slice(lengths, i - i % width + 1, i % width), F.lit(0), lambda n, x: n + x)
+        end = F.get(begins, F.floor(i / width).cast("int")) + within + F.get(lengths, i)
+        before, after = F.right(F.get(pieces, i), F.lit(24)), F.left(F.get(pieces, i + 1), F.lit(1))
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), (end - F.length(m)).alias("s"), end.alias("e"), m.alias("m"), before.alias("before"), after.alias("after"))
+
+    return F.transform(f"__tessera_m_{kind}", span)
+
 
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + F.length(x["m"])
-        span = F.struct(F.lit(KINDS.index(kind)).alias("kind"), s.alias("s"), e.alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+def _blocked(spans: Column) -> Column:
+    """Spans in order (a column of its own: each block reads it), in blocks with the places that each reaches."""
+    n = F.size(spans)
 
-    return F.aggregate(parts, start, add)["out"]
+    def block(b: Column) -> Column:
+        part = F.slice(spans, b * _width(n) + 1, _width(n))
+        return F.struct(F.array_min(F.transform(part, lambda x: x["s"])).alias("lo"), F.array_max(F.transform(part, lambda x: x["e"])).alias("hi"), part.alias("part"))
+
+    return F.transform(_block_numbers(n), block)
+
+
+def _some(blocks: Column, x: Column, test) -> Column:
+    """Whether a span of ``blocks`` that reaches x passes the test."""
+    return F.exists(blocks, lambda k: F.coalesce((k["lo"] < x["e"]) & (k["hi"] > x["s"]), F.lit(False)) & F.exists(k["part"], test))
 
 
 def _digits(m: Column) -> Column:
@@ -133,16 +176,17 @@ def _side(char: Column) -> Column:
     return F.when(F.coalesce(char, F.lit("")).rlike(r"^\s?$"), 0).when(char.rlike(r"^[\p{L}\p{N}]$"), 1).otherwise(2)
 
 
-def _proposal(x: Column, base: Column) -> Column:
-    """A proposal with its features and weak label."""
+def _proposal(x: Column, blocks: Column) -> Column:
+    """A proposal with its features, weak label, half, and whether it touches a base span."""
     d = F.length(_digits(x["m"]))
     label = (
-        F.when(x["kind"] == KINDS.index("number_like"), F.exists(base, lambda b: (b["s"] >= x["s"]) & (b["e"] <= x["e"])))
+        F.when(x["kind"] == KINDS.index("number_like"), _some(blocks, x, lambda b: (b["s"] >= x["s"]) & (b["e"] <= x["e"])))
         .when(x["kind"] == KINDS.index("email_like"), x["m"].rlike(r"[A-Za-z]{2,}$"))
         .otherwise(x["m"].rlike("[=].*[0-9]") & x["m"].rlike("[=].*[A-Za-z]"))
     )
     return F.struct(
-        x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), label.alias("label"),
+        x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), label.alias("label"), F.pmod(F.xxhash64(x["m"]), F.lit(2)).cast("int").alias("half"),
+        _some(blocks, x, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])).alias("touches"),
         _bucket(d, 4, 7, 10, 12, 16, 20).alias("digits"),
         _bucket(F.length(x["m"]), 9, 13, 17, 25, 41).alias("size"),
         _bucket(F.length(F.regexp_replace(x["m"], r"[\p{L}0-9]", "")), 1, 2, 4, 7).alias("signs"),
@@ -160,8 +204,10 @@ def with_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     df = _matches(df, KINDS, "__tessera_text")
     df = df.withColumn("__tessera_base", F.concat(*[_checked(k) for k in BASE_KINDS]))
     wide = F.concat(*[F.col(f"__tessera_{k}") for k in ADDED_KINDS])
-    df = df.withColumn("__tessera_more", F.transform(wide, lambda x: _proposal(x, F.col("__tessera_base"))))
-    return df.drop("__tessera_text", *[f"__tessera_{k}" for k in KINDS])
+    df = df.withColumn("__tessera_sorted", F.array_sort(F.transform("__tessera_base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+    df = df.withColumn("__tessera_near", _blocked(F.col("__tessera_sorted")))
+    df = df.withColumn("__tessera_more", F.transform(wide, lambda x: _proposal(x, F.col("__tessera_near"))))
+    return df.drop("__tessera_text", "__tessera_near", "__tessera_sorted", *[f"__tessera_{k}" for k in KINDS])
 
 
 @dataclass
@@ -229,21 +275,27 @@ def _walk(node: tuple, row: np.ndarray) -> float:
 
 def fit(spans: DataFrame, precision: float = PRECISION) -> SpanModel:
     """A model from the counts of all proposals' features (at most one row for each combination)."""
-    x = spans.select(F.explode("__tessera_more").alias("x"))
-    counted = x.groupBy(*[F.col(f"x.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), F.sum(F.col("x.label").cast("int")).alias("positive")).collect()
+    # The outer form: a filter inferred from a plain one would be computed from the text on its own.
+    x = spans.select(F.explode_outer("__tessera_more").alias("x")).filter("x IS NOT NULL")
+    counted = x.groupBy(*[F.col(f"x.{f}").alias(f) for f in (*FEATURES, "half")]).agg(F.count("*").alias("n"), F.sum(F.col("x.label").cast("int")).alias("positive")).collect()
     if not counted:
         return SpanModel([], {})
-    counted.sort(key=lambda r: tuple(r[f] for f in FEATURES))
+    counted.sort(key=lambda r: tuple(r[f] for f in (*FEATURES, "half")))
     values = np.array([[r[f] for f in FEATURES] for r in counted])
-    n, positive = (np.array([r[c] for r in counted], dtype=float) for c in ("n", "positive"))
-    trees = boost(values, n, positive)
+    n, positive, half = (np.array([r[c] for r in counted], dtype=float) for c in ("n", "positive", "half"))
+    learnt = half == 0 if len(set(half)) == 2 else np.ones(len(half), dtype=bool)
+    trees = boost(values[learnt], n[learnt], positive[learnt])
     margin = np.array([sum(_walk(t, v) for t in trees) for v in values])
     thresholds = {}
     for kind in map(KINDS.index, ADDED_KINDS):
-        own = np.flatnonzero(values[:, 0] == kind)
+        own = np.flatnonzero((values[:, 0] == kind) & ~learnt)
+        if not len(own):  # too few for two halves
+            own = np.flatnonzero(values[:, 0] == kind)
         order = own[np.argsort(-margin[own], kind="stable")]
         share = np.cumsum(positive[order]) / np.cumsum(n[order]) if len(order) else np.zeros(0)
-        good = np.flatnonzero(share >= precision)
+        # Equal margins are selected together: a threshold stands at the last of them.
+        last = np.append(np.diff(margin[order]) != 0, True) if len(order) else np.zeros(0, dtype=bool)
+        good = np.flatnonzero((share >= precision) & last)
         if len(good):
             thresholds[kind] = float(margin[order[good[-1]]]) - 1e-9
     return SpanModel(trees, thresholds)
@@ -252,7 +304,7 @@ def fit(spans: DataFrame, precision: float = PRECISION) -> SpanModel:
 def chosen(model: SpanModel) -> Column:
     """All spans of a row of :func:`with_spans`: base ones and the selected others, by kind and start."""
     base = F.col("__tessera_base")
-    extra = F.filter("__tessera_more", lambda x: model.selected(x) & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+    extra = F.filter("__tessera_more", lambda x: ~x["touches"] & model.selected(x))
     return F.concat(base, F.transform(extra, _place))
 
 
@@ -270,15 +322,36 @@ def digest(spans: DataFrame, model: SpanModel, id_col: str = "doc_id") -> DataFr
 def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by ``[KIND]``; overlapping spans become one."""
     df = with_spans(docs, text_col).withColumn("__tessera_all", F.array_sort(F.transform(chosen(model), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))))
-    text = F.col(f"`{text_col}`")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def cut(acc: Column, x: Column) -> Column:
+    text, spans = F.col(f"`{text_col}`"), F.col("__tessera_all")
+    width = _width(F.size(spans))
+
+    # ``reach``: how far the spans before one reach; where it starts behind that it heads a run of
+    # overlapping spans, and what lies between is kept.
+    df = df.withColumn("__tessera_his", F.transform(_blocked(spans), lambda k: k["hi"]))
+    df = df.withColumn("__tessera_reach", F.transform("__tessera_his", lambda x, i: F.coalesce(F.array_max(F.slice("__tessera_his", 1, i)), F.lit(0))))
+
+    def head(x: Column, i: Column) -> Column:
+        near = F.array_max(F.transform(F.slice(spans, i - i % width + 1, i % width), lambda y: y["e"]))
+        reach = F.greatest(F.get("__tessera_reach", F.floor(i / width).cast("int")), F.coalesce(near, F.lit(0)))
+        return F.struct(x["s"].alias("s"), x["kind"].alias("kind"), reach.alias("reach"))
+
+    # A column that only a lambda reads once would be computed anew for each element: each of those
+    # is read once more outside.
+    heads = F.filter(F.transform(spans, head), lambda x: x["s"] >= x["reach"])
+    df = df.withColumn("__tessera_heads", F.when(F.size("__tessera_reach") > 0, heads))
+    # Texts are cut in two steps, into blocks and then within them, since a cut reads from the start.
+    n = F.size("__tessera_heads")
+    wide = _width(n)
+    begin = F.transform(_block_numbers(n), lambda b: F.coalesce(F.get("__tessera_heads", b * wide)["reach"], F.lit(0)))
+    df = df.withColumn("__tessera_begins", begin)
+    cut = F.transform("__tessera_begins", lambda at, b: F.substring(text, at + 1, F.coalesce(F.get("__tessera_begins", b + 1), F.lit(2**31 - 2)) - at))
+    df = df.withColumn("__tessera_parts", F.when(n > 0, cut))
+
+    def piece(x: Column, i: Column) -> Column:
+        b = F.floor(i / wide).cast("int")
         name = F.upper(F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["kind"] + 1))
-        fresh = F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), name, F.lit("]")).alias("out"))
-        return F.when(x["s"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
+        return F.concat(F.substring(F.get("__tessera_parts", b), x["reach"] - F.get("__tessera_begins", b) + 1, x["s"] - x["reach"]), F.lit("["), name, F.lit("]"))
 
-    done = F.aggregate("__tessera_all", start, cut)
-    df = df.withColumn("__tessera_done", F.when(F.size("__tessera_all") > 0, done))
-    new = F.when(F.col("__tessera_done").isNull(), text).otherwise(F.concat(F.col("__tessera_done.out"), F.substring(text, F.col("__tessera_done.at") + 1, F.lit(2**31 - 1))))
-    return df.withColumn(text_col, new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    done = F.array_join(F.transform("__tessera_heads", piece), "")
+    rest = F.substring(text, F.array_max("__tessera_his") + 1, F.lit(2**31 - 1))
+    return df.withColumn(text_col, F.when(F.col("__tessera_parts").isNotNull(), F.concat(done, rest)).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])

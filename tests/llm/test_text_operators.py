@@ -219,6 +219,46 @@ def test_redaction(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {0: "mail [EMAIL], now", 1: None, 2: "é [IP] and [PHONE].", 3: "clean"}
 
 
+def test_many_matches_in_one_text_end_soon(spark):
+    n = 20_000
+    text = "a@b.cd 1.2.3.4 +44 20 7946 0958, " * n
+    df = frame(spark, [text, "x a@b.cd"])
+    began = time.time()
+    got = pii.digest(pii.with_spans(df), pii.SpanModel([], {})).collect()[0]
+    assert (got.n_email, got.n_ip, got.n_phone) == (n, n, n)
+    assert got.spans.count(",") == 3 * n - 1 and got.spans.endswith(f":{len(text) - 2}")
+    out = [r.text for r in pii.redact(df, pii.SpanModel([], {})).collect()]
+    assert out == ["[EMAIL] [IP] [PHONE], " * n, "x [EMAIL]"]
+    assert time.time() - began < 120
+
+
+def test_trees_and_added_spans_equal_brute_force(spark):
+    """The column expression of the trees against a walk; redaction against a plain loop."""
+    texts = (PERSONAL + EDGE + scrambled(300, "aé@.+- 1250()=", 60) + [f"call +44 20 7946 0{i} or 55 1234 98{i}, token=abc{i}def" for i in range(100, 140)]) * 2
+    df = frame(spark, texts)
+    model = pii.fit(pii.with_spans(df))
+    assert model.trees and model.thresholds
+    rows = pii.with_spans(df).select("doc_id", "text", "__tessera_base", "__tessera_more", F.transform("__tessera_more", model.expression).alias("margins"), pii.chosen(model).alias("all")).collect()
+    redacted = {r.doc_id: r.text for r in pii.redact(df, model).collect()}
+    for r in rows:
+        base = [(b.kind, b.s, b.e) for b in r.__tessera_base]
+        want = list(base)
+        for x, margin in zip(r.__tessera_more, r.margins, strict=True):
+            mine = sum(pii._walk(t, [x[f] for f in pii.FEATURES]) for t in model.trees)
+            assert margin == pytest.approx(mine)
+            touches = any(s < x.e and e > x.s for _, s, e in base)
+            assert x.touches == touches
+            if x.kind in model.thresholds and mine >= model.thresholds[x.kind] and not touches:
+                want.append((x.kind, x.s, x.e))
+        assert [(x.kind, x.s, x.e) for x in r.all] == want
+        out, at = [], 0
+        for s, e, kind in sorted((s, e, k) for k, s, e in want):
+            if s >= at:
+                out += [(r.text or "")[at:s], f"[{pii.KINDS[kind].upper()}]"]
+            at = max(at, e)
+        assert redacted[r.doc_id] == (None if r.text is None else "".join(out) + r.text[at:])
+
+
 def test_empty_table_of_personal_data(spark):
     spans = pii.with_spans(frame(spark, []))
     model = pii.fit(spans)
