@@ -241,9 +241,9 @@ def test_trees_and_added_spans_equal_brute_force(spark):
     rows = pii.with_spans(df).select("doc_id", "text", "__tessera_base", "__tessera_more", F.transform("__tessera_more", model.expression).alias("margins"), pii.chosen(model).alias("all")).collect()
     redacted = {r.doc_id: r.text for r in pii.redact(df, model).collect()}
     for r in rows:
-        base = [(b.kind, b.s, b.e) for b in r.__tessera_base]
+        base = [(b.kind, b.s, b.e) for b in r["__tessera_base"]]
         want = list(base)
-        for x, margin in zip(r.__tessera_more, r.margins, strict=True):
+        for x, margin in zip(r["__tessera_more"], r.margins, strict=True):
             mine = sum(pii._walk(t, [x[f] for f in pii.FEATURES]) for t in model.trees)
             assert margin == pytest.approx(mine)
             touches = any(s < x.e and e > x.s for _, s, e in base)
