@@ -25,7 +25,7 @@ def pieces(text: Column) -> Column:
     return F.flatten(F.transform(words(text), cut))
 
 
-def _capped(text: Column, limit: int) -> Column:
+def capped(text: Column, limit: int) -> Column:
     """The longest beginning of at most ``limit`` bytes, cut between characters."""
     raw = F.encode(text, "UTF-8")
     # Step back over the bytes that continue a character.
@@ -48,6 +48,6 @@ def chunk_blocks(blocks: DataFrame, keys: list[str], window: int = 256, overlap:
     count = F.least(F.size("w") - F.col("k") * step, F.lit(window))
     index = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "k")) - 1 if order else F.col("k")
     return split.select(
-        *keys, index.cast("int").alias("sequence_index"), _capped(text, max_bytes).alias("text_content"), F.col("page_or_location").alias("page_or_location_ref"),
+        *keys, index.cast("int").alias("sequence_index"), capped(text, max_bytes).alias("text_content"), F.col("page_or_location").alias("page_or_location_ref"),
         count.cast("int").alias("token_count"), F.lit(VERSION).alias("parser_version"),
     )

@@ -1,35 +1,34 @@
 """Retrieval.
 
-Hits are rows (query_id, chunk_id, document_id, workspace_id, text_content, score). Queries are a
-small stated set: :func:`each_query` puts them into the plan as a literal of a checked size, so a
-scan of the chunks serves all of them without a join.
+Hits are rows (query_id, chunk_id, score). Queries are a small stated set, read in blocks of
+``QUERY_BLOCK``: one pass over the chunks serves a block, finds all its terms in a chunk by one
+automaton, scores the chunk for all queries by a matrix product, and keeps each query's best within
+the task. So neither texts nor pairs of chunk and query are shuffled: what leaves a task is at most
+``limit`` rows a query. Texts are joined to the hits that are left.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import rerank_score, search_snippet, tokens
+from tessera.functions.vectors import DIMENSIONS, TokenHasher
 
 KEYWORD_WEIGHT, VECTOR_WEIGHT = 0.4, 0.6
 POOL_FACTOR = 3
 DEFAULT_LIMIT = 20
 #: Queries that one scan serves; more are served in blocks.
 QUERY_BLOCK = 1000
-
-
-def each_query(rows: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
-    """``rows`` once for each query (query_id, query); queries without words are left out."""
-    held = [(int(r.query_id), r.query) for r in queries.select("query_id", "query").toLocalIterator() if r.query and r.query.strip()]
-    if not held:
-        return rows.withColumns({"query_id": F.lit(None).cast("long"), "query": F.lit(None).cast("string")}).filter(F.lit(False))
-    out = None
-    for lo in range(0, len(held), block):
-        literal = F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), F.lit(q).alias("query")) for i, q in held[lo : lo + block]])
-        part = rows.select("*", F.explode(literal).alias("q")).select(*rows.columns, "q.query_id", "q.query")
-        out = part if out is None else out.union(part)
-    return out
+#: Chunks scored at once in a task.
+CHUNK_SLICE = 256
+#: Rows of hits that may be broadcast to fetch their texts; more are joined by a shuffle.
+BROADCAST_HITS = 200_000
 
 
 def each_vector(rows: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
@@ -49,17 +48,139 @@ def ranked(hits: DataFrame, by: list[str], limit: int, score: str = "score") ->
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def keyword_hits(chunks: DataFrame, queries: DataFrame, workspace: int | None = None) -> DataFrame:
+class QueryBlock:
+    """Terms and hash vectors of the queries of a block: what a task needs to score chunks."""
+
+    def __init__(self, rows: list[tuple[int, list[str]]]):
+        self.ids = np.array([i for i, _ in rows], dtype=np.int64)
+        self.size = np.array([len(t) for _, t in rows], dtype=np.float64)
+        self.terms = sorted({t for _, own in rows for t in own})
+        at = {t: k for k, t in enumerate(self.terms)}
+        self.uses = np.zeros((len(self.terms), len(rows)), dtype=np.float32)  # equal terms count each
+        for k, (_, own) in enumerate(rows):
+            for t in own:
+                self.uses[at[t], k] += 1
+        hasher = TokenHasher()
+        self.vectors = np.array([hasher.vector(own) for _, own in rows]).reshape(len(rows), DIMENSIONS)
+
+    def keyword(self, lowered: list[str], automaton) -> np.ndarray:
+        """(chunks, queries) shares of terms that a chunk contains; not hit: minus infinity."""
+        there = np.zeros((len(lowered), len(self.terms)), dtype=np.float32)
+        for k, text in enumerate(lowered):
+            there[k, list({v for _, v in automaton.iter(text)})] = 1
+        found = there @ self.uses
+        return np.where(found > 0, found / self.size, -np.inf)
+
+    def vector(self, lowered: list[str], hasher: TokenHasher) -> np.ndarray:
+        """(chunks, queries) cosines of hash vectors to six decimals; without a common bucket: minus infinity."""
+        x = np.array([hasher.vector(t.split(" ")) for t in lowered]).reshape(len(lowered), DIMENSIONS)
+        common = (x != 0).astype(np.float32) @ (self.vectors != 0).astype(np.float32).T
+        return np.where(common > 0, np.round(x @ self.vectors.T, 6), -np.inf)
+
+
+class Best:
+    """The best chunks of each query so far, ties by chunk id."""
+
+    def __init__(self, n_queries: int, limit: int):
+        self.score = np.full((n_queries, limit), -np.inf)
+        self.chunk = np.full((n_queries, limit), np.iinfo(np.int64).max)
+
+    def add(self, scores: np.ndarray, chunks: np.ndarray) -> None:
+        score = np.concatenate((self.score, scores.T), axis=1)
+        chunk = np.concatenate((self.chunk, np.broadcast_to(chunks, (len(self.score), len(chunks)))), axis=1)
+        order = np.lexsort((chunk, -score), axis=1)[:, : self.score.shape[1]]
+        self.score, self.chunk = np.take_along_axis(score, order, 1), np.take_along_axis(chunk, order, 1)
+
+
+def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[QueryBlock]:
+    """The queries (query_id, query) that have words, block by block."""
+    held: list[tuple[int, list[str]]] = []
+    for r in queries.select("query_id", tokens(F.coalesce("query", F.lit(""))).alias("terms")).toLocalIterator():
+        if r.terms and r.query_id is not None:
+            held.append((r.query_id, list(r.terms)))
+        if len(held) == block:
+            yield QueryBlock(held)
+            held = []
+    if held:
+        yield QueryBlock(held)
+
+
+def top_hits(chunks: DataFrame, queries: DataFrame, limit: int | None, kinds: tuple[str, ...] = ("keyword",), by: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """kind, query_id, group, chunk_id, score: for each kind of score (``keyword``: F2, ``vector``: V1
+    on hash vectors) the best ``limit`` hits of each query and of each value of ``by``, as far as
+    tasks can tell; :func:`ranked` merges them. Without a limit all hits of a query."""
+    spark = chunks.sparkSession
+    group = F.col(by).cast("long") if by else F.lit(0).cast("long")
+    rows = chunks.select(F.col("chunk_id").cast("long"), group.alias("group"), F.lower("text_content").alias("low")).filter("chunk_id IS NOT NULL AND low IS NOT NULL")
+    schema = T.StructType([T.StructField("kind", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("query_id", "group", "chunk_id")), T.StructField("score", T.DoubleType())])
+    out = spark.createDataFrame([], schema)
+    for held in query_blocks(queries, block):
+        out = out.union(rows.mapInArrow(_scorer(spark.sparkContext.broadcast(held), limit, kinds), schema))
+    return out
+
+
+def _scorer(sent, limit: int | None, kinds: tuple[str, ...]):
+    names = ["kind", "query_id", "group", "chunk_id", "score"]
+
+    def made(kind: str, query: np.ndarray, group: int, chunk: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        n = len(query)
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n, type=pa.string()), pa.array(query), pa.array([group] * n, type=pa.int64()), pa.array(chunk), pa.array(score)], names=names)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        own, hasher = sent.value, TokenHasher()
+        automaton = ahocorasick.Automaton()
+        for k, t in enumerate(own.terms):
+            automaton.add_word(t, k)
+        automaton.make_automaton()
+        best: dict[tuple[str, int], Best] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK_SLICE):
+                batch = whole.slice(at, CHUNK_SLICE)
+                ids, groups = batch.column("chunk_id").to_numpy(), batch.column("group").fill_null(-1).to_numpy()
+                lowered = batch.column("low").to_pylist()
+                for kind in kinds:
+                    scores = own.keyword(lowered, automaton) if kind == "keyword" else own.vector(lowered, hasher)
+                    for g in np.unique(groups):
+                        part = np.flatnonzero(groups == g)
+                        if limit is None:
+                            c, q = np.nonzero(scores[part] > -np.inf)
+                            yield made(kind, own.ids[q], int(g), ids[part][c], scores[part][c, q])
+                        else:
+                            best.setdefault((kind, int(g)), Best(len(own.ids), limit)).add(scores[part], ids[part])
+        for (kind, g), b in best.items():
+            q, place = np.nonzero(b.score > -np.inf)
+            yield made(kind, own.ids[q], g, b.chunk[q, place], b.score[q, place])
+
+    return score
+
+
+def keyword_hits(chunks: DataFrame, queries: DataFrame, workspace: int | None = None, limit: int | None = None) -> DataFrame:
     """F2: chunks that contain a term of a query, scored by the share of terms (J1 where chunks carry
-    their document's workspace)."""
+    their document's workspace), with the chunks' columns; ``limit`` keeps each query's best."""
     if workspace is not None:
         chunks = chunks.filter(F.col("workspace_id") == workspace)
-    # The lower-case text is made once for a chunk, not once for a query.
-    low = chunks.withColumn("low", F.lower("text_content"))
-    each = each_query(low, queries).withColumn("terms", tokens(F.col("query")))
-    found = F.aggregate("terms", F.lit(0), lambda n, t: n + F.contains(F.col("low"), t).cast("int"))
-    scored = each.withColumn("score", found / F.size("terms")).filter("score > 0")
-    return scored.select("query_id", "query", *[c for c in chunks.columns], "score")
+    hits = top_hits(chunks, queries, limit).select("query_id", "chunk_id", "score")
+    if limit is not None:
+        hits = ranked(hits, ["query_id"], limit).drop("rank")
+    return hydrated(hits, chunks, queries, limit).join(F.broadcast(queries.select("query_id", "query")), "query_id")
+
+
+def ranked_hits(chunks: DataFrame, queries: DataFrame, limit: int, kind: str = "keyword", by: str | None = None) -> DataFrame:
+    """Rank, query_id, chunk_id, score (and ``by``) of each query's best hits."""
+    hits = top_hits(chunks, queries, limit, (kind,), by).drop("kind")
+    return ranked(hits, ["query_id", "group"], limit).withColumnRenamed("group", by or "group")
+
+
+def hybrid_hits(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """Rank, query_id, chunk_id, score of the best ``POOL_FACTOR * limit`` hits of each query, merged
+    from as many of each kind; one pass over the chunks finds both."""
+    pool = POOL_FACTOR * limit
+    both = ranked(top_hits(chunks, queries, pool, ("keyword", "vector")), ["kind", "query_id"], pool)
+    weighted = both.select("query_id", "chunk_id", (F.col("score") * F.when(F.col("kind") == "keyword", KEYWORD_WEIGHT).otherwise(VECTOR_WEIGHT)).alias("score"))
+    out = weighted.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
+    return ranked(out, ["query_id"], pool)
 
 
 def merged(keyword: DataFrame, vector: DataFrame, keyword_weight: float = KEYWORD_WEIGHT, vector_weight: float = VECTOR_WEIGHT) -> DataFrame:
@@ -68,9 +189,17 @@ def merged(keyword: DataFrame, vector: DataFrame, keyword_weight: float = KEYWOR
     return both.groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
 
 
-def hydrated(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Hits with their chunks' columns; hits without a chunk are dropped."""
-    return hits.join(chunks, "chunk_id")
+def hydrated(hits: DataFrame, chunks: DataFrame, queries: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Hits with their chunks' columns; hits without a chunk are dropped.
+
+    Where the number of queries times ``limit`` is small the hits go to the chunks, so no text moves."""
+    few = queries is not None and limit is not None and queries.count() * limit <= BROADCAST_HITS
+    return chunks.join(F.broadcast(hits) if few else hits, "chunk_id")
+
+
+def existing(hits: DataFrame, pointers: DataFrame) -> DataFrame:
+    """Hits, after their top-k, whose chunk still has a pointer: fewer may be left than asked for."""
+    return hits.join(pointers.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
 
 def reranked(hits: DataFrame, query: Column, limit: int | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Snapshot and delta merges, job and workspace state.
+"""Snapshot and delta merges, job and workspace state.
 
 Upserts are full-outer merges of a snapshot and a delta to a new version; Parquet folders are
 swapped as a whole by the caller.
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.chunking import capped
+
 
 def upsert(snapshot: DataFrame, delta: DataFrame, keys: list[str], version: str | None = None) -> DataFrame:
     """Rows of both; where a key (null-safe) is in both, the delta's. ``version`` orders several
@@ -35,6 +37,40 @@ def without(snapshot: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return snapshot.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def lookup(table: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of the wanted ids, in bulk; ids without a row are left out. A single id is a filter on the key."""
+    return table.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def listed(table: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows of each foreign key with their place in order."""
+    return table.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def searchable(workspaces: DataFrame) -> DataFrame:
+    """Workspaces that a search covers."""
+    return workspaces.filter(F.col("status").isin("Active", "Indexing"))
+
+
+def archived(status: Column) -> Column:
+    """On which side of the archived split of a list a workspace stands."""
+    return status == "Archived"
+
+
+def extraction_totals(outcomes: DataFrame, by: list[str]) -> DataFrame:
+    """Totals of what an extraction made (concepts, relations, sources, failed chunks or the like)."""
+    return outcomes.groupBy(*by).agg(*[F.sum(c).alias(c) for c in outcomes.columns if c not in by])
+
+
+def extraction_text(chunks: DataFrame, by: list[str], order: str, limit: int = 12_000) -> DataFrame:
+    """chunks joined by blank lines until ``limit`` bytes are reached, cut there between characters."""
+    row = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.octet_length("text_content") + 2).over(row), F.lit(0))
+    held = chunks.withColumn("__before", before).filter(F.col("__before") < limit + 2)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("text_content")))), lambda x: x["text_content"])
+    return held.groupBy(*by).agg(F.array_join(texts, "\n\n").alias("t")).select(*by, capped(F.col("t"), limit).alias("extraction_text"))
+
+
 def changed(files: DataFrame, documents: DataFrame, version: str | None = None, force: bool = False) -> DataFrame:
     """Incoming files whose content differs from what was indexed last, with the id held."""
     held = documents.select("workspace_id", "relative_path", "document_id", F.col("last_indexed_hash").alias("__last"))

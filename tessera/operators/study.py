@@ -1,4 +1,4 @@
-"""Study memory: quizzes, progress, chat, analytics."""
+"""Study memory: quizzes, progress, chat, analytics."""
 
 from __future__ import annotations
 
@@ -28,6 +28,24 @@ def progressed(results: DataFrame) -> DataFrame:
     )
 
 
+def progress_merged(held: DataFrame, results: DataFrame) -> DataFrame:
+    """M2: held progress after new results: their latest score stands, attempts add up, concepts
+    without new results stay as they are."""
+    new = progressed(results).select("concept_node_id", *[F.col(c).alias(f"__{c}") for c in ("mastery_score", "weakness_score", "last_reviewed_at", "attempt_count")])
+    both = held.join(new, "concept_node_id", "full_outer")
+    latest = [F.coalesce(f"__{c}", c).alias(c) for c in ("mastery_score", "weakness_score", "last_reviewed_at")]
+    return both.select("concept_node_id", *latest, (F.coalesce("attempt_count", F.lit(0)) + F.coalesce("__attempt_count", F.lit(0))).alias("attempt_count"))
+
+
+def topic_progress(quizzes: DataFrame, nodes: DataFrame, progress: DataFrame) -> DataFrame:
+    """Quizzes (quiz_id, workspace_id, topic) with the concept of that label, whatever its case
+    (the least id of several), and its progress, if any."""
+    key = F.lower(F.trim(F.col("label")))
+    concepts = nodes.groupBy("workspace_id", key.alias("__topic")).agg(F.min("node_id").alias("concept_node_id"))
+    found = quizzes.withColumn("__topic", F.lower(F.trim("topic"))).join(concepts, ["workspace_id", "__topic"], "left").drop("__topic")
+    return found.join(progress, "concept_node_id", "left")
+
+
 def with_progress(nodes: DataFrame, progress: DataFrame) -> DataFrame:
     """Concepts with their progress, if any."""
     return nodes.join(progress, "concept_node_id", "left")
@@ -48,6 +66,19 @@ def sessions(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session_id").agg(session_title(first).alias("title"), F.max("at").alias("updated_at"), F.count("*").alias("n_messages"))
 
 
+def sessions_bumped(held: DataFrame, messages: DataFrame) -> DataFrame:
+    """M9: sessions (session_id, title, updated_at, n_messages) after appended messages; a held title stays."""
+    new = sessions(messages).select("session_id", *[F.col(c).alias(f"__{c}") for c in ("title", "updated_at", "n_messages")])
+    both = held.join(new, "session_id", "full_outer")
+    count = F.coalesce("n_messages", F.lit(0)) + F.coalesce("__n_messages", F.lit(0))
+    return both.select("session_id", F.coalesce("title", "__title").alias("title"), F.greatest("updated_at", "__updated_at").alias("updated_at"), count.alias("n_messages"))
+
+
+def latest_first(held: DataFrame, by: list[str]) -> DataFrame:
+    """Sessions of each group with their place, the last changed first."""
+    return held.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("updated_at"), "session_id")))
+
+
 def metrics(events: DataFrame, by: list[str], key: str, value: str) -> DataFrame:
     """Metrics of each workspace and period."""
     return events.groupBy(*by).agg(F.sum(value).alias("metric_value")).withColumn("metric_key", F.lit(key))

@@ -141,7 +141,7 @@ def heading_slugs(spark, sf):
 
 @query("SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM kwr WHERE rank <= 10", "kwr")
 def keyword_topk(spark, sf):
-    hits = search.ranked(search.keyword_hits(D.chunks(spark, sf), D.questions(spark, sf)), ["query_id"], 10)
+    hits = search.ranked_hits(D.chunks(spark, sf), D.questions(spark, sf), 10)
     return hits.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -167,7 +167,7 @@ def vector_topk_all(spark, sf):
 
 EMBED = r"""
 t AS (SELECT chunk_id AS id, unnest(list_filter(string_split_regex(lower(text_content), '\s+'), lambda w: w <> '')) AS token FROM c),
-h AS (SELECT id, CAST('0x' || substr(sha256(token), 1, 8) AS BIGINT) % 128 AS bucket, CASE WHEN CAST('0x' || substr(sha256(token), 9, 8) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS sign FROM t),
+h AS MATERIALIZED (SELECT id, CAST('0x' || substr(sha256(token), 1, 8) AS BIGINT) % 128 AS bucket, CASE WHEN CAST('0x' || substr(sha256(token), 9, 8) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END AS sign FROM t),
 s AS (SELECT id, bucket, sum(sign) AS n FROM h GROUP BY 1, 2 HAVING sum(sign) <> 0),
 v AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS weight FROM s)"""
 EMBED_Q = r"""
@@ -193,13 +193,10 @@ def hash_embedding_sparse(spark, sf):
     return e.select("chunk_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
-def _hybrid(spark, sf, pool: int = 30) -> tuple[DataFrame, DataFrame]:
-    """Merged pool of each query, and the chunks."""
-    chunks, queries = D.chunks(spark, sf), D.questions(spark, sf)
-    keyword = search.ranked(search.keyword_hits(chunks, queries), ["query_id"], pool).select("query_id", "chunk_id", "score")
-    near = vectors.sparse_cosine(vectors.hash_embedding(queries, "query_id", "query"), vectors.hash_embedding(chunks, "chunk_id", "text_content"), "query_id", "chunk_id").withColumn("score", F.round("score", 6))
-    both = search.merged(keyword, search.ranked(near, ["query_id"], pool).select("query_id", "chunk_id", "score")).withColumn("score", F.round("score", 6))
-    return search.ranked(both, ["query_id"], pool), chunks
+def _hybrid(spark, sf, limit: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Merged pool of each query (three times the limit), and the chunks."""
+    chunks = D.chunks(spark, sf)
+    return search.hybrid_hits(chunks, D.questions(spark, sf), limit), chunks
 
 
 @query(_with("kwr", EMBED + "," + EMBED_Q, "SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM mr WHERE rank <= 30"))
@@ -216,7 +213,8 @@ row_number() OVER (PARTITION BY mr.query_id ORDER BY {RERANK} DESC, mr.score DES
 FROM mr JOIN c USING (chunk_id) JOIN qt USING (query_id) JOIN (SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS workspace_id, 'Workspace ' || substr(source, 4) AS display_name FROM documents) ws ON ws.workspace_id = c.workspace_id LEFT JOIN d ON d.document_id = c.document_id WHERE mr.rank <= 30) WHERE rank <= 20"""))
 def global_search(spark, sf):
     pool, chunks = _hybrid(spark, sf)
-    full = search.hydrated(pool.drop("rank"), chunks).join(D.questions(spark, sf), "query_id")
+    queries = D.questions(spark, sf)
+    full = search.hydrated(pool.drop("rank"), chunks, queries, 30).join(queries, "query_id")
     best = search.reranked(full, F.col("query"), 20)
     out = search.decorated(best, D.documents(spark, sf), D.workspaces(spark, sf))
     return out.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), "relative_path", "workspace_name", "snippet")
@@ -224,13 +222,14 @@ def global_search(spark, sf):
 
 @query("""SELECT query_id, workspace_id, CAST(rank AS INTEGER) AS rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, workspace_id ORDER BY score DESC, chunk_id) AS rank FROM kw) WHERE rank <= 3""", "kw")
 def retrieve_multi_workspace(spark, sf):
-    hits = search.ranked(search.keyword_hits(D.chunks(spark, sf), D.questions(spark, sf)), ["query_id", "workspace_id"], 3)
+    """The pool of each workspace (three times a limit of one), all of them without a further limit."""
+    hits = search.ranked_hits(D.chunks(spark, sf), D.questions(spark, sf), search.POOL_FACTOR, by="workspace_id")
     return hits.select("query_id", "workspace_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {RERANK} DESC, score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, round({RERANK}, 6) AS score FROM kwr JOIN qt USING (query_id, query) WHERE rank <= 15""", "kwr")
+@query(f"""SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {RERANK} DESC, score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, round({RERANK}, 6) AS score FROM kwr WHERE rank <= 15""", "kwr")
 def rerank_topk(spark, sf):
-    hits = search.ranked(search.keyword_hits(D.chunks(spark, sf), D.questions(spark, sf)), ["query_id"], 15)
+    hits = search.keyword_hits(D.chunks(spark, sf), D.questions(spark, sf), limit=15)
     return search.reranked(hits, F.col("query")).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -238,50 +237,51 @@ def rerank_topk(spark, sf):
 
 
 def _pool(spark, sf) -> DataFrame:
-    """Chunks of each workspace in order of a rank that mixes documents."""
-    order = Window.partitionBy("workspace_id").orderBy(F.col("chunk_id") % 997, "chunk_id")
-    c = D.chunks(spark, sf).withColumn("rank", F.row_number().over(order)).filter("rank <= 60")
-    return c.withColumn("score", 1.0 / F.col("rank"))
+    """Ranked hits of each query: three times a limit of 20."""
+    hits = search.keyword_hits(D.chunks(spark, sf), D.questions(spark, sf), limit=POOL_SIZE)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return hits.withColumn("rank", F.row_number().over(order))
 
 
-POOL = "p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY chunk_id % 997, chunk_id) AS rank FROM c) WHERE rank <= 60)"
+POOL_SIZE = search.POOL_FACTOR * search.DEFAULT_LIMIT
+POOL = f"p AS (SELECT * FROM kwr WHERE rank <= {POOL_SIZE})"
 
 
-@query("SELECT workspace_id, document_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, document_id ORDER BY rank) AS k FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY chunk_id % 997, chunk_id) AS rank FROM c)) WHERE k = 1 AND rank <= 60", "c")
+@query(_with("kwr", " " + POOL, "SELECT query_id, document_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY rank) AS k FROM p) WHERE k = 1"))
 def context_exact_dedup(spark, sf):
     hits = _pool(spark, sf).withColumn("chunk_id", F.col("document_id"))
-    return context.exact_dedup(hits, ["workspace_id"]).select("workspace_id", "document_id", "rank")
+    return context.exact_dedup(hits, ["query_id"]).select("query_id", "document_id", "rank")
 
 
-@query(_with("c", " " + POOL, "SELECT workspace_id, chunk_id, CAST(cum AS BIGINT) AS total_tokens FROM (SELECT *, sum(token_count) OVER (PARTITION BY workspace_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum FROM p) WHERE cum <= 3072 OR rank = 1"))
+@query(_with("kwr", " " + POOL, "SELECT query_id, chunk_id, CAST(cum AS BIGINT) AS total_tokens FROM (SELECT *, sum(token_count) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum FROM p) WHERE cum <= 3072 OR rank = 1"))
 def context_token_budget(spark, sf):
-    return context.token_budget(_pool(spark, sf), ["workspace_id"], 3072).select("workspace_id", "chunk_id", "total_tokens")
+    return context.token_budget(_pool(spark, sf), ["query_id"], 3072).select("query_id", "chunk_id", "total_tokens")
 
 
-@query(_with("c", " " + POOL + """, g AS (SELECT *, sum(fresh) OVER (PARTITION BY workspace_id ORDER BY chunk_id ROWS UNBOUNDED PRECEDING) AS island FROM (
-SELECT *, CASE WHEN lag(document_id) OVER o = document_id AND lag(chunk_id) OVER o = chunk_id - 1 THEN 0 ELSE 1 END AS fresh FROM p WINDOW o AS (PARTITION BY workspace_id ORDER BY chunk_id)))""",
-"SELECT workspace_id, min(chunk_id) AS chunk_id, min(document_id) AS document_id, sha256(string_agg(text_content, chr(10) ORDER BY chunk_id)) AS text_sha, round(max(1.0 / rank), 6) AS score, count(*) AS n_merged FROM g GROUP BY workspace_id, island"))
+@query(_with("kwr", " " + POOL + """, g AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id ORDER BY chunk_id ROWS UNBOUNDED PRECEDING) AS island FROM (
+SELECT *, CASE WHEN lag(document_id) OVER o = document_id AND lag(chunk_id) OVER o = chunk_id - 1 THEN 0 ELSE 1 END AS fresh FROM p WINDOW o AS (PARTITION BY query_id ORDER BY chunk_id)))""",
+"SELECT query_id, min(chunk_id) AS chunk_id, min(document_id) AS document_id, sha256(string_agg(text_content, chr(10) ORDER BY chunk_id)) AS text_sha, round(max(score), 6) AS score, count(*) AS n_merged FROM g GROUP BY query_id, island"))
 def context_merge_adjacent(spark, sf):
-    m = context.merge_adjacent(_pool(spark, sf), ["workspace_id"])
-    return m.select("workspace_id", "chunk_id", "document_id", F.sha2("text_content", 256).alias("text_sha"), F.round("score", 6).alias("score"), "n_merged")
+    m = context.merge_adjacent(_pool(spark, sf), ["query_id"])
+    return m.select("query_id", "chunk_id", "document_id", F.sha2("text_content", 256).alias("text_sha"), F.round("score", 6).alias("score"), "n_merged")
 
 
-@query(_with("c", " " + POOL + r""", l AS (SELECT workspace_id, list({'r': CAST(rank AS INTEGER), 'c': chunk_id, 't': lower(array_to_string(list_filter(string_split_regex(text_content, '\s+'), lambda w: w <> ''), ' '))} ORDER BY rank) AS l FROM p GROUP BY 1),
-k AS (SELECT workspace_id, list_reduce(list_prepend([l[1]], list_transform(l[2:], lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: strlen(y.t) > 0 AND strlen(x[1].t) > 0 AND (contains(y.t, x[1].t) OR contains(x[1].t, y.t)) AND 10 * least(strlen(y.t), strlen(x[1].t)) >= 9 * greatest(strlen(y.t), strlen(x[1].t)))) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM l)""",
-"SELECT workspace_id, x.c AS chunk_id FROM (SELECT workspace_id, unnest(kept) AS x FROM k)"))
+@query(_with("kwr", " " + POOL + r""", l AS (SELECT query_id, list({'r': CAST(rank AS INTEGER), 'c': chunk_id, 't': lower(array_to_string(list_filter(string_split_regex(text_content, '\s+'), lambda w: w <> ''), ' '))} ORDER BY rank) AS l FROM p GROUP BY 1),
+k AS (SELECT query_id, list_reduce(list_prepend([l[1]], list_transform(l[2:], lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: strlen(y.t) > 0 AND strlen(x[1].t) > 0 AND (contains(y.t, x[1].t) OR contains(x[1].t, y.t)) AND 10 * least(strlen(y.t), strlen(x[1].t)) >= 9 * greatest(strlen(y.t), strlen(x[1].t)))) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM l)""",
+"SELECT query_id, x.c AS chunk_id FROM (SELECT query_id, unnest(kept) AS x FROM k)"))
 def context_near_dup(spark, sf):
-    return context.near_dedup(_pool(spark, sf), ["workspace_id"]).select("workspace_id", "chunk_id")
+    return context.near_dedup(_pool(spark, sf), ["query_id"]).select("query_id", "chunk_id")
 
 
-@query(_with("c", " " + POOL, "SELECT workspace_id, CAST(row_number() OVER (PARTITION BY workspace_id ORDER BY chunk_id) AS INTEGER) AS number, chunk_id, document_id, CASE WHEN length(trim(text_content)) <= 160 THEN trim(text_content) ELSE rtrim(left(trim(text_content), 160)) || '...' END AS snippet FROM p"))
+@query(_with("kwr", " " + POOL, "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS INTEGER) AS number, chunk_id, document_id, CASE WHEN length(trim(text_content)) <= 160 THEN trim(text_content) ELSE rtrim(left(trim(text_content), 160)) || '...' END AS snippet FROM p"))
 def citations(spark, sf):
-    return context.citations(_pool(spark, sf), ["workspace_id"])
+    return context.citations(_pool(spark, sf), ["query_id"])
 
 
 @query(_with("kwr", " x AS (SELECT query_id, query, array_to_string(list('[' || n || '] ' || text_content ORDER BY n), chr(10) || chr(10)) AS ctx FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS n FROM kwr WHERE rank <= 5) GROUP BY 1, 2)",
-f"SELECT query_id, sha256('SYSTEM' || chr(10) || chr(10) || '{text.TUTOR}' || chr(10) || chr(10) || '{text.MATHS}' || r || 'WORKSPACE CONTEXT' || chr(10) || chr(10) || ctx || r || 'USER QUESTION' || chr(10) || chr(10) || query || r || 'ANSWER' || chr(10) || chr(10) || 'Begin naturally.') AS prompt_sha FROM (SELECT *, chr(10) || chr(10) || '---' || chr(10) || chr(10) AS r FROM x)"))
+f"SELECT query_id, sha256('SYSTEM' || chr(10) || chr(10) || '{text.TUTOR}' || chr(10) || chr(10) || '{text.MATHS}' || r || 'PASSAGES' || chr(10) || chr(10) || ctx || r || 'QUESTION' || chr(10) || chr(10) || query || r || 'REPLY' || chr(10) || chr(10) || 'Write the answer only.') AS prompt_sha FROM (SELECT *, chr(10) || chr(10) || '---' || chr(10) || chr(10) AS r FROM x)"))
 def rag_prompt(spark, sf):
-    hits = search.ranked(search.keyword_hits(D.chunks(spark, sf), D.questions(spark, sf)), ["query_id"], 5)
+    hits = search.keyword_hits(D.chunks(spark, sf), D.questions(spark, sf), limit=5)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text_content"))), lambda x: x["text_content"])
     return hits.groupBy("query_id", "query").agg(listed.alias("hits")).select("query_id", F.sha2(text.prompt(F.col("query"), F.col("hits")), 256).alias("prompt_sha"))
 
@@ -348,12 +348,12 @@ def weak_concepts(spark, sf):
 
 
 @query(f"""WITH {RESULTS}, {PROGRESS}, w AS (SELECT n_nationkey AS plan_id, unnest(list_transform(generate_series(0, 9), lambda k: CAST(n_nationkey * 3 + k * 7 AS BIGINT))) AS concept_node_id, unnest(generate_series(0, 9)) AS pos FROM nation)
-SELECT plan_id, sha256(string_agg('concept ' || concept_node_id || ': attempts ' || attempt_count, chr(10) ORDER BY pos)) AS plan_sha FROM w JOIN g USING (concept_node_id) GROUP BY 1""")
+SELECT plan_id, sha256(string_agg('concept ' || concept_node_id || ': mastery ' || round(CAST(mastery_score AS DECIMAL(10, 4)), 2) || ', weakness ' || round(CAST(weakness_score AS DECIMAL(10, 4)), 2) || ', attempts ' || attempt_count, chr(10) ORDER BY pos)) AS plan_sha FROM w JOIN g USING (concept_node_id) GROUP BY 1""")
 def revision_plan(spark, sf):
     ids = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: (F.col("n_nationkey") * 3 + k * 7).cast("long"))
-    plans = study.revision_plan(D.table(spark, sf, "nation").select(F.col("n_nationkey").alias("plan_id"), ids.alias("ids")), _progress(spark, sf))
-    # Two decimals are printed by different rules in different engines: the digest leaves them out.
-    return plans.select("plan_id", F.sha2(F.regexp_replace("plan", "mastery [0-9.]+, weakness [0-9.]+, ", ""), 256).alias("plan_sha"))
+    progress = _progress(spark, sf).withColumns({c: F.round(c, 4) for c in ("mastery_score", "weakness_score")})
+    plans = study.revision_plan(D.table(spark, sf, "nation").select(F.col("n_nationkey").alias("plan_id"), ids.alias("ids")), progress)
+    return plans.select("plan_id", F.sha2("plan", 256).alias("plan_sha"))
 
 
 @query("""SELECT conv_id, left(min_by(text, turn), 60) AS title, max(turn) AS updated_at, count(*) AS n_messages FROM conversations WHERE role <> 'system' GROUP BY 1""")
@@ -549,3 +549,195 @@ def relation_resolution(spark, sf):
     kind = F.when(F.col("p_partkey") % 3 == 0, "part-of").when(F.col("p_partkey") % 3 == 1, "related-to").otherwise("other")
     r = p.select("workspace_id", F.concat(F.lit(" "), F.upper("p_type")).alias("from_label"), F.col("p_brand").alias("to_label"), kind.alias("relation_type"))
     return graph.resolved_relations(r, n).select("from_node_id", "to_node_id", "relation_type").distinct()
+
+
+# --- lookups, lists, merges onto held rows ----------------------------------------------------------
+
+
+@query("SELECT document_id, workspace_id, relative_path FROM d WHERE document_id IN (SELECT doc_id FROM labels)", "d")
+def documents_by_id(spark, sf):
+    """The documents that labels name."""
+    ids = D.table(spark, sf, "labels").select(F.col("doc_id").alias("document_id"))
+    return state.lookup(D.documents(spark, sf), "document_id", ids).select("document_id", "workspace_id", "relative_path")
+
+
+@query("SELECT workspace_id, document_id, CAST(row_number() OVER (PARTITION BY workspace_id ORDER BY relative_path, document_id) AS INTEGER) AS place FROM d", "d")
+def workspace_document_list(spark, sf):
+    """Documents of each workspace in order of their paths."""
+    return state.listed(D.documents(spark, sf), ["workspace_id"], ["relative_path", "document_id"]).select("workspace_id", "document_id", "place")
+
+
+@query("SELECT document_id, chunk_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY sequence_index) AS INTEGER) AS place FROM c", "c")
+def document_chunk_list(spark, sf):
+    """Chunks of each document in reading order."""
+    return state.listed(D.chunks(spark, sf), ["document_id"], ["sequence_index"]).select("document_id", "chunk_id", "place")
+
+
+STATES = "st AS (SELECT c_custkey AS workspace_id, ['Unlinked', 'Linking', 'Indexing', 'Active', 'Archived'][c_custkey % 5 + 1] AS status FROM customer)"
+
+
+def _states(spark, sf) -> DataFrame:
+    status = F.element_at(F.array(*[F.lit(x) for x in ("Unlinked", "Linking", "Indexing", "Active", "Archived")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    return D.table(spark, sf, "customer").select(F.col("c_custkey").alias("workspace_id"), status.alias("status"))
+
+
+@query(f"WITH {STATES} SELECT workspace_id, status FROM st WHERE status IN ('Active', 'Indexing')")
+def searchable_workspaces(spark, sf):
+    """Workspaces that a search over all of them covers."""
+    return state.searchable(_states(spark, sf))
+
+
+@query(f"WITH {STATES} SELECT status = 'Archived' AS archived, count(*) AS n FROM st GROUP BY 1")
+def archived_split(spark, sf):
+    """Both sides of the list of workspaces."""
+    return _states(spark, sf).groupBy(state.archived(F.col("status")).alias("archived")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)) WHERE rank <= 10 AND vec_id IN (SELECT vec_id FROM embeddings WHERE label % 2 = 0)""")
+def vector_hits_with_pointer(spark, sf):
+    """Of the ten nearest those that still have a pointer."""
+    pointers = D.table(spark, sf, "embeddings").filter("label % 2 = 0").select(F.col("vec_id").alias("chunk_id"))
+    hits = vector_topk_all(spark, sf).withColumn("chunk_id", F.col("vec_id"))
+    return search.existing(hits, pointers).select("query_id", "rank", "vec_id")
+
+
+@query(f"""WITH {RESULTS}, {PROGRESS} SELECT quiz_id, k.node_id AS concept_node_id, round(mastery_score, 4) AS mastery_score, attempt_count
+FROM (SELECT p_partkey AS quiz_id, p_size % 5 AS workspace_id, CASE WHEN p_partkey % 9 = 0 THEN 'no such topic' ELSE ' ' || upper(p_type) END AS topic FROM part) z
+LEFT JOIN (SELECT p_size % 5 AS workspace_id, lower(p_type) AS t, min(p_partkey) AS node_id FROM part GROUP BY 1, 2) k ON k.workspace_id = z.workspace_id AND k.t = lower(trim(z.topic)) LEFT JOIN g ON g.concept_node_id = k.node_id""")
+def quiz_topic_progress(spark, sf):
+    """The concept that a quiz is about, and its progress."""
+    p = D.table(spark, sf, "part").withColumn("workspace_id", F.col("p_size") % 5)
+    topic = F.when(F.col("p_partkey") % 9 == 0, "no such topic").otherwise(F.concat(F.lit(" "), F.upper("p_type")))
+    nodes = p.select("workspace_id", F.col("p_partkey").alias("node_id"), F.col("p_type").alias("label"))
+    out = study.topic_progress(p.select(F.col("p_partkey").alias("quiz_id"), "workspace_id", topic.alias("topic")), nodes, _progress(spark, sf))
+    return out.select("quiz_id", "concept_node_id", F.round("mastery_score", 4).alias("mastery_score"), "attempt_count")
+
+
+@query("SELECT workspace_id, CAST(sum(document_id % 5) AS BIGINT) AS concepts_added, CAST(sum(document_id % 3) AS BIGINT) AS relations_added, CAST(sum(document_id % 7) AS BIGINT) AS chunks_read, CAST(sum(CASE WHEN document_id % 11 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS failures FROM d GROUP BY 1", "d")
+def extraction_outcomes(spark, sf):
+    """Totals of a re-extraction of each workspace."""
+    d = F.col("document_id")
+    made = D.documents(spark, sf).select("workspace_id", (d % 5).alias("concepts_added"), (d % 3).alias("relations_added"), (d % 7).alias("chunks_read"), (d % 11 == 0).cast("long").alias("failures"))
+    return state.extraction_totals(made, ["workspace_id"])
+
+
+@query(_with("c", " b AS (SELECT *, coalesce(sum(strlen(text_content) + 2) OVER (PARTITION BY document_id ORDER BY sequence_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM c), x AS (SELECT document_id, string_agg(text_content, chr(10) || chr(10) ORDER BY sequence_index) AS t FROM b WHERE ahead < 12002 GROUP BY 1)",
+"SELECT document_id, sha256(CASE WHEN strlen(t) <= 12000 THEN t ELSE left(t, list_max(list_filter(range(3000, 12001), lambda k: strlen(left(t, k)) <= 12000))) END) AS text_sha FROM x"))
+def extraction_texts(spark, sf):
+    """what of each document an extraction reads (12,000 bytes)."""
+    return state.extraction_text(D.chunks(spark, sf), ["document_id"], "sequence_index").select("document_id", F.sha2("extraction_text", 256).alias("text_sha"))
+
+
+@query(_with("c", EMBED, "SELECT chunk_id, 128 AS dimensions, CAST(count(v.id) AS BIGINT) AS n_buckets, round(coalesce(sum(abs(weight)), 0), 6) AS total FROM c LEFT JOIN v ON v.id = chunk_id GROUP BY 1"))
+def embedded_chunks(spark, sf):
+    """V3: every chunk with words has its vector."""
+    e = vectors.embedded_chunks(D.chunks(spark, sf))
+    return e.select("chunk_id", F.size("embedding").alias("dimensions"), F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("n_buckets"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.abs(x)), 6).alias("total"))
+
+
+@query("SELECT n_nationkey, coalesce(TRY_CAST(CASE n_nationkey % 3 WHEN 0 THEN CAST(n_nationkey AS VARCHAR) WHEN 1 THEN n_name END AS INTEGER), 20) AS search_limit FROM nation")
+def search_limits(spark, sf):
+    """Limits from settings."""
+    n = D.table(spark, sf, "nation")
+    value = F.when(F.col("n_nationkey") % 3 == 0, F.col("n_nationkey").cast("string")).when(F.col("n_nationkey") % 3 == 1, F.col("n_name"))
+    return n.select("n_nationkey", search.default_limit(value).alias("search_limit"))
+
+
+HALVES = "g1 AS (SELECT concept_node_id, max_by(score, {'a': seen, 's': score}) AS m, max(seen) AS l, count(*) AS n FROM r WHERE event_id % 2 = 0 GROUP BY 1), g2 AS (SELECT concept_node_id, max_by(score, {'a': seen, 's': score}) AS m, max(seen) AS l, count(*) AS n FROM r WHERE event_id % 2 = 1 AND concept_node_id % 5 <> 0 GROUP BY 1)"
+
+
+@query(f"WITH {RESULTS}, {HALVES} SELECT concept_node_id, round(coalesce(g2.m, g1.m), 4) AS mastery_score, round(1 - coalesce(g2.m, g1.m), 4) AS weakness_score, coalesce(g2.l, g1.l) AS last_reviewed_at, coalesce(g1.n, 0) + coalesce(g2.n, 0) AS attempt_count FROM g1 FULL JOIN g2 USING (concept_node_id)")
+def progress_merge(spark, sf):
+    """M2: held progress after new results."""
+    e = D.table(spark, sf, "events").filter(F.col("event_type").isin("click", "view")).select("event_id", F.col("user_id").alias("concept_node_id"), F.col("ts").alias("at"), F.round(F.col("value") % 1, 4).alias("score"))
+    out = study.progress_merged(study.progressed(e.filter("event_id % 2 = 0")), e.filter("event_id % 2 = 1 AND concept_node_id % 5 <> 0"))
+    return out.withColumns({c: F.round(c, 4) for c in ("mastery_score", "weakness_score")})
+
+
+POINTS = "pt AS (SELECT user_id % 10 AS workspace_id, event_type AS metric_key, CAST(date_trunc('month', ts) AS DATE) AS period, value AS metric_value, ts AS computed_at, event_id FROM events)"
+
+
+@query(f"WITH {POINTS} SELECT workspace_id, metric_key, period, metric_value, computed_at FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, metric_key, period ORDER BY event_id % 2 DESC, computed_at DESC, metric_value DESC) AS n FROM pt) WHERE n = 1")
+def analytics_merge(spark, sf):
+    """M3: held points (even events) overwritten by new ones (odd events)."""
+    e = D.table(spark, sf, "events")
+    point = [(F.col("user_id") % 10).alias("workspace_id"), F.col("event_type").alias("metric_key"), F.trunc(F.col("ts").cast("date"), "month").alias("period"), F.col("value").alias("metric_value"), F.col("ts").alias("computed_at")]
+    held, new = (study.latest_metrics(e.filter(F.col("event_id") % 2 == k).select(*point)) for k in (0, 1))
+    return state.upsert(held, new, ["workspace_id", "metric_key", "period"])
+
+
+@query("SELECT scope, workspace_id, key, value FROM (SELECT CASE WHEN n_nationkey % 4 = 0 THEN 'user' ELSE 'workspace' END AS scope, CASE WHEN n_nationkey % 4 <> 0 THEN n_nationkey END AS workspace_id, 'k' || n_nationkey AS key, CASE WHEN n_nationkey % 2 = 0 THEN 'new ' || n_name ELSE n_name END AS value FROM nation)")
+def settings_merge(spark, sf):
+    """Settings updated or inserted by a key whose workspace may be null."""
+    n, k = D.table(spark, sf, "nation"), F.col("n_nationkey")
+    columns = [F.when(k % 4 == 0, "user").otherwise("workspace").alias("scope"), F.when(k % 4 != 0, k).alias("workspace_id"), F.concat(F.lit("k"), k.cast("string")).alias("key")]
+    held = n.filter(k % 3 != 0).select(*columns, F.col("n_name").alias("value"))
+    new = n.filter((k % 2 == 0) | (k % 3 == 0)).select(*columns, F.when(k % 2 == 0, F.concat(F.lit("new "), F.col("n_name"))).otherwise(F.col("n_name")).alias("value"))
+    return state.upsert(held, new, ["scope", "workspace_id", "key"])
+
+
+@query("SELECT model_identifier, engine_role, CASE WHEN pos % 4 = 0 THEN 'updated' ELSE 'held' END AS status FROM mr WHERE pos % 3 <> 0 OR pos % 4 = 0", "mr")
+def registry_upsert(spark, sf):
+    """M5: registry entries updated or inserted by model and role."""
+    m = registry.candidates(D.models(spark, sf)).select("pos", "model_identifier", "engine_role")
+    held = m.filter("pos % 3 <> 0").select("model_identifier", "engine_role", F.lit("held").alias("status"))
+    return state.upsert(held, m.filter("pos % 4 = 0").select("model_identifier", "engine_role", F.lit("updated").alias("status")), ["model_identifier", "engine_role"])
+
+
+@query("SELECT document_id, chunk_id, 'old' AS state FROM c WHERE document_id % 3 <> 0 UNION ALL SELECT document_id, chunk_id, 'new' FROM c WHERE document_id % 3 = 0 AND sequence_index < 2", "c")
+def rechunked_documents(spark, sf):
+    """M8: the chunks of re-indexed documents are replaced as a whole."""
+    c = D.chunks(spark, sf)
+    new = c.filter("document_id % 3 = 0 AND sequence_index < 2").select("document_id", "chunk_id", F.lit("new").alias("state"))
+    return state.replace_rows(c.select("document_id", "chunk_id", F.lit("old").alias("state")), new, "document_id")
+
+
+@query("SELECT conv_id, coalesce(a.title, b.title) AS title, greatest(a.u, b.u) AS updated_at, coalesce(a.n, 0) + coalesce(b.n, 0) AS n_messages FROM (SELECT conv_id, left(min_by(text, turn), 60) AS title, max(turn) AS u, count(*) AS n FROM conversations WHERE turn < 3 GROUP BY 1) a FULL JOIN (SELECT conv_id, left(min_by(text, turn), 60) AS title, max(turn) AS u, count(*) AS n FROM conversations WHERE turn >= 3 GROUP BY 1) b USING (conv_id)")
+def chat_append(spark, sf):
+    """M9: sessions after messages were appended."""
+    m = D.table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("at"), "role", F.col("text").alias("content"))
+    return study.sessions_bumped(study.sessions(m.filter("at < 3")), m.filter("at >= 3")).withColumnRenamed("session_id", "conv_id")
+
+
+@query("SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id % 10 ORDER BY u DESC, conv_id) AS INTEGER) AS place FROM (SELECT conv_id, max(turn) AS u FROM conversations GROUP BY 1)")
+def chat_session_list(spark, sf):
+    """Sessions of each workspace, the last changed first."""
+    m = D.table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("at"), "role", F.col("text").alias("content"))
+    listed = study.latest_first(study.sessions(m).withColumn("workspace_id", F.col("session_id") % 10), ["workspace_id"])
+    return listed.select(F.col("session_id").alias("conv_id"), "place")
+
+
+@query("SELECT document_id, CASE WHEN document_id % 13 = 0 THEN 'failed' WHEN n = 0 THEN 'parsed_empty' ELSE 'parsed' END AS parse_status FROM (SELECT d.document_id, count(c.chunk_id) AS n FROM d LEFT JOIN c USING (document_id) GROUP BY 1)", "d c")
+def parse_statuses(spark, sf):
+    """Outcome of each document's parsing."""
+    n = D.chunks(spark, sf).groupBy("document_id").agg(F.count("*").alias("n"))
+    d = D.documents(spark, sf).select("document_id").join(n, "document_id", "left")
+    return d.select("document_id", state.parse_outcome(F.coalesce("n", F.lit(0)), F.when(F.col("document_id") % 13 == 0, "unreadable")).alias("parse_status"))
+
+
+@query("SELECT s_suppkey, least(4096, greatest(w - 1024, 0)) AS budget, least(greatest(s_suppkey + 1024, 2048), coalesce(w, 4096)) AS num_ctx FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 4 <> 0 THEN s_nationkey * 512 + 512 END AS w FROM supplier)")
+def context_sizes(spark, sf):
+    """V5/V6: tokens left for context, and the context to ask for, of each model."""
+    w = F.when(F.col("s_suppkey") % 4 != 0, F.col("s_nationkey") * 512 + 512)
+    return D.table(spark, sf, "supplier").select("s_suppkey", text.context_budget(w).alias("budget"), text.context_size(F.col("s_suppkey"), w).alias("num_ctx"))
+
+
+@query("SELECT id, 'queued' AS status FROM jobs WHERE status IN ('queued', 'running')", "jobs")
+def resumable_jobs(spark, sf):
+    """Jobs that a restart queues again."""
+    return state.resumable(D.jobs(spark, sf)).select("id", "status")
+
+
+@query("SELECT n_nationkey AS plan_id, n_regionkey AS scheduled_at, n_regionkey AS created_at FROM nation")
+def revision_history(spark, sf):
+    """Appended history rows."""
+    n = D.table(spark, sf, "nation").select(F.col("n_nationkey").alias("plan_id"), F.col("n_regionkey").alias("scheduled_at"))
+    return study.revision_rows(n)
+
+
+@query(r"""SELECT p_partkey, '$' || p_name || '$ and $$' || p_brand || '$$, \( \)' AS shown FROM part""")
+def latex_texts(spark, sf):
+    r"""delimiters of formulas."""
+    t = F.concat(F.lit(r"\( "), F.col("p_name"), F.lit(r" \) and \["), F.col("p_brand"), F.lit(r"\], \( \)"))
+    return D.table(spark, sf, "part").select("p_partkey", text.latex_delimiters(t).alias("shown"))

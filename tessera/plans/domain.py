@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from tessera.operators import chunking
 
 
+#: Distance of two documents' first chunk ids: no document has so many chunks.
+CHUNKS_APART = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,13 +38,12 @@ def workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = documents(spark, sf_dir).select("document_id", "workspace_id", F.col("text").alias("text_content"), F.lit("1").alias("page_or_location"))
     made = chunking.chunk_blocks(blocks, ["document_id", "workspace_id"])
-    return made.withColumn("chunk_id", F.col("document_id") * 1000 + F.col("sequence_index"))
+    return made.withColumn("chunk_id", F.col("document_id") * CHUNKS_APART + F.col("sequence_index"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries: the first four words of each benchmark item."""
-    first = F.slice(F.filter(F.split("text", r"\s+"), lambda w: w != ""), 1, 4)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(first, " ").alias("query"))
+    """Queries: the whole text of each benchmark item."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +89,12 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 CTE = {
     "d": "SELECT doc_id AS document_id, CAST(substr(source, 4) AS BIGINT) AS workspace_id, source || '/' || doc_id || '.txt' AS relative_path, sha256(coalesce(text, '')) AS content_hash, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, coalesce(text, '') AS text FROM documents",
     "ws": "SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS workspace_id, 'Workspace ' || substr(source, 4) AS display_name FROM documents",
-    "cw": r"SELECT document_id, workspace_id, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS w FROM d",
-    "c": "SELECT document_id, workspace_id, CAST(k AS INTEGER) AS sequence_index, array_to_string(w[k * 224 + 1 : k * 224 + 256], ' ') AS text_content, CAST(least(len(w) - k * 224, 256) AS INTEGER) AS token_count, document_id * 1000 + k AS chunk_id FROM (SELECT *, unnest(generate_series(0, CAST(ceil(greatest(len(w) - 256, 0) / 224.0) AS BIGINT))) AS k FROM cw WHERE len(w) > 0)",
-    "q": r"SELECT item_id AS query_id, array_to_string((list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''))[1:4], ' ') AS query FROM benchmark",
+    "cw": r"SELECT document_id, workspace_id, flatten(list_transform(list_filter(string_split_regex(text, '\s+'), lambda w: w <> ''), lambda w: CASE WHEN strlen(w) <= 64 THEN [w] ELSE list_transform(range(CAST(ceil(length(w) / CAST(CASE WHEN strlen(w) = length(w) THEN 64 ELSE 16 END AS DOUBLE)) AS BIGINT)), lambda i: substr(w, i * CASE WHEN strlen(w) = length(w) THEN 64 ELSE 16 END + 1, CASE WHEN strlen(w) = length(w) THEN 64 ELSE 16 END)) END)) AS w FROM d",
+    "cx": "SELECT document_id, workspace_id, CAST(k AS INTEGER) AS sequence_index, array_to_string(w[k * 224 + 1 : k * 224 + 256], ' ') AS whole, CAST(least(len(w) - k * 224, 256) AS INTEGER) AS token_count, document_id * 1048576 + k AS chunk_id FROM (SELECT *, unnest(generate_series(0, CAST(ceil(greatest(len(w) - 256, 0) / 224.0) AS BIGINT))) AS k FROM cw WHERE len(w) > 0)",
+    "c": "SELECT document_id, workspace_id, sequence_index, token_count, chunk_id, CASE WHEN strlen(whole) <= 4000 THEN whole ELSE left(whole, list_max(list_filter(range(1000, 4001), lambda k: strlen(left(whole, k)) <= 4000))) END AS text_content FROM cx",
+    "q": "SELECT item_id AS query_id, coalesce(text, '') AS query FROM benchmark",
     "qt": r"SELECT query_id, query, list_filter(string_split_regex(lower(query), '\s+'), lambda w: w <> '') AS terms FROM q",
-    "kw": "SELECT query_id, query, chunk_id, document_id, workspace_id, text_content, len(list_filter(terms, lambda t: contains(lower(text_content), t))) / CAST(len(terms) AS DOUBLE) AS score FROM c, qt WHERE len(list_filter(terms, lambda t: contains(lower(text_content), t))) > 0",
+    "kw": "SELECT query_id, query, terms, chunk_id, document_id, workspace_id, sequence_index, token_count, text_content, n / CAST(len(terms) AS DOUBLE) AS score FROM (SELECT *, len(list_filter(terms, lambda t: contains(low, t))) AS n FROM (SELECT *, lower(text_content) AS low FROM c) c, qt) WHERE n > 0",
     "kwr": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM kw",
     "jobs": "SELECT o_orderkey AS id, o_custkey % 10 AS workspace_id, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE CASE WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'succeeded' END END AS status, 5 - CAST(left(o_orderpriority, 1) AS INTEGER) AS priority, CASE WHEN o_orderstatus NOT IN ('O', 'P') AND o_orderkey % 7 <> 0 THEN o_orderdate END AS completed_at FROM orders",
     "n": "SELECT p_partkey AS node_id, p_partkey % 10 AS workspace_id, p_name AS label FROM part",
@@ -100,7 +104,7 @@ CTE = {
     "mr": "SELECT *, unnest(CASE WHEN list_contains(capabilities, 'Vision') THEN ['Tutor', 'Reasoning', 'Planner', 'Vision'] WHEN list_contains(capabilities, 'Embedding') THEN ['Tutor', 'Reasoning', 'Planner', 'Embedding'] ELSE ['Tutor', 'Reasoning', 'Planner'] END) AS engine_role FROM m",
     "ch": "SELECT user_id AS path, CASE event_type WHEN 'signup' THEN 'Created' WHEN 'error' THEN 'Removed' ELSE 'Modified' END AS kind, epoch_us(ts) // 1000 AS at_ms, event_id AS seq FROM events",
 }
-NEEDS = {"cw": ("d",), "c": ("cw",), "qt": ("q",), "kw": ("c", "qt"), "kwr": ("kw",), "mr": ("m",)}
+NEEDS = {"cw": ("d",), "cx": ("cw",), "c": ("cx",), "qt": ("q",), "kw": ("c", "qt"), "kwr": ("kw",), "mr": ("m",)}
 
 
 def with_ctes(names: str, body: str) -> str:
