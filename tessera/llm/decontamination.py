@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import stored
+from tessera.llm.common import entering, stored
 
 WINDOW = 10
 #: Characters of pattern in one automaton (a worker needs some 40 bytes for each at most).
@@ -169,12 +169,14 @@ def _scanned(docs: DataFrame, block: dict[str, list[str]], text: Column, before:
 
     @F.pandas_udf(RESULT)
     def first(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        entering("decontamination", _BUILT.clear)
         own = _shared(key, sent)
         for texts in batches:
             yield pd.DataFrame([row(own, t) for t in texts], columns=RESULT.names)
 
     @F.pandas_udf(RESULT)
     def later(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        entering("decontamination", _BUILT.clear)
         own = _shared(key, sent)
         for texts, runs, ids in batches:
             yield pd.DataFrame([row(own, t, [(x["start"], x["end"]) for x in r], i) for t, r, i in zip(texts, runs, ids, strict=True)], columns=RESULT.names)

@@ -1,21 +1,26 @@
 """Near-duplicate classes: consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-Shingles are ``shingle`` consecutive words. Their weight is the count in the text times
-``1 + ln(N / max(df, RARE * N))``: the inverse document frequency is exact for every shingle that
-stands in at least a share ``RARE`` of all documents and levels off below it. There are at most
-(mean shingles a document / RARE) such shingles whatever the corpus, which bounds what is
-broadcast; they are found exactly by two counting passes over all documents (first of hash
-buckets, then of the shingles in heavy buckets).
+Shingles are ``shingle`` consecutive words. Their weight is the count in the text times the
+normalised inverse document frequency ``1 + ln(N / df) / ln N`` (1 for a shingle of all texts, 2 for
+one of a single text), with the true ``df`` of every shingle among the N distinct texts. The idf is
+normalised so that the ratio of two weights has the bound 2 at every N: near copies in large
+families, whose own words are rarer than what they share, stay near.
+
+Document frequencies are counted by one exchange of packed arrays. Distinct texts are dealt into
+blocks of about ``BLOCK`` shingles; each block sends its distinct shingles with their counts, once
+each, to ``GROUP``-sized parts of the hash space, which add them up and answer each block. However
+common a shingle is, a part sees it once for each block.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples of each text; two texts agree
 on a sample with the probability of their weighted Jaccard similarity. Texts that agree on all
-samples of a band share a bucket. Exact copies are one node. Within a bucket every node is
-verified by weighted Jaccard similarity against one leader, never against all. The rest, which is
-the nodes that fail and the members of the leader's group that the triangle inequality lets them
-reach, is compared in full, failing nodes with any: in one task up to ``LOCAL`` nodes, above that
-in pairs of blocks. Only where that is more than ``DIRECT`` squares of ``LOCAL`` pairs are failing
-nodes and members alike dealt anew by the further bands, which true pairs share as well, and go
-through further rounds under new leaders. Classes are the connected components of the verified links.
+samples of a band share a bucket. Exact copies are one node. Within a bucket every node is verified
+by weighted Jaccard similarity against one leader, never against all. What that leaves (nodes that
+fail and, since the distance is a metric, members of the leader's group that such a node can reach)
+is compared exactly: two texts of similarity t or more share one of the rarest shingles that make up
+1 - t of either's weight, so the rest meets by those shingles; groups of one connected class are
+done, the others are compared in full, in tasks of a bounded number of shingles (pairs of blocks
+where a group is larger). No pair of a bucket is lost at any size. Classes are the connected
+components of the verified links.
 
 Defined results: null and empty texts are classes of their own; texts without words are classes of
 equal texts; texts of fewer words than a shingle have one shingle; equal texts share a class
@@ -29,25 +34,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices, stored
+from tessera.llm.common import delete, entering, slices, stored, trim
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 3
-#: Share of documents from which a shingle's document frequency counts exactly.
-RARE = 0.05
-#: Hash buckets of the first counting pass.
-BUCKETS = 1 << 16
-#: Most nodes that are compared in one task.
-LOCAL = 2048
-#: Most pairs of one bucket's rest that are compared in blocks, in squares of ``LOCAL``.
-DIRECT = 16
+#: Shingles of a block of texts, and of a part of the hash space.
+BLOCK, GROUP = 500_000, 1_000_000
+#: Most texts, and about the most shingles, that one task compares with as many others.
+LOCAL, LOCAL_SHINGLES = 1024, 500_000
 #: Shingles sampled at once.
 SLAB = 1 << 15
 
@@ -77,21 +78,10 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> tuple[np.ndarray, np.n
     return np.unique(_mix(h), return_counts=True)
 
 
-class Weights:
-    """Inverse document frequencies: of the frequent shingles, and one for all others."""
-
-    def __init__(self, frequent: dict[int, int], n_docs: int):
-        keys = sorted(frequent)
-        self.keys = np.array(keys, dtype=np.uint64)
-        self.rest = 1 + float(np.log(1 / RARE))
-        self.idf = 1 + np.log(n_docs / np.array([frequent[k] for k in keys], dtype=float)) if keys else np.zeros(0)
-
-    def of(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        idf = np.full(len(hashes), self.rest)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-            idf = np.where(self.keys[at] == hashes, self.idf[at], idf)
-        return counts * idf
+def weights(counts: np.ndarray, df: np.ndarray, n_texts: int) -> np.ndarray:
+    """Counts in a text times the normalised inverse document frequency among ``n_texts`` texts."""
+    scale = np.log(n_texts) if n_texts > 1 else 1.0
+    return counts * (1 + np.log(n_texts / df) / scale)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -158,79 +148,146 @@ class Sampler:
         return out
 
 
-def _texts(df: DataFrame, text_col: str) -> DataFrame:
-    return df.select(F.col(f"`{text_col}`").alias("text"))
-
-
-def document_frequencies(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> tuple[dict[int, int], int]:
-    """Frequent shingles with their document counts, and the number of documents with words."""
-    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(BUCKETS, dtype=np.int64), 0
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                h, _ = shingles(text, shingle)
-                if len(h):
-                    n += 1
-                    np.add.at(total, (h & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(total[seen], n))], names=["bucket", "n"])
-
-    counted = _texts(docs, text_col).mapInArrow(buckets, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    n_docs = sum(r.n for r in counted if r.bucket == -1)
-    least = max(2, RARE * n_docs)
-    heavy = np.zeros(BUCKETS, dtype=bool)
-    heavy[[r.bucket for r in counted if r.bucket >= 0 and r.n >= least]] = True
-    if not heavy.any():
-        return {}, n_docs
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, first (least id), text: one row for each text that is not empty. Tasks combine copies first."""
+    text = F.col(f"`{text_col}`")
+    own = docs.select(text_key(text).alias("key"), F.col(f"`{id_col}`").alias("id"), text.alias("text")).filter("key IS NOT NULL")
+    return own.groupBy("key").agg(F.min("id").alias("first"), F.first("text").alias("text"))
+
+
+def packed(texts: DataFrame, n_parts: int, shingle: int = SHINGLE) -> DataFrame:
+    """Rows of texts (block, node, key, first, text), and of blocks' shingles (block, part, hashes, counts).
+
+    A block's distinct shingles stand in order of (hash modulo parts, hash); six bytes of the
+    quotient go to the part."""
+    schema = T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("node", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("first", texts.schema["first"].dataType), T.StructField("text", T.StringType()),
+        T.StructField("part", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType()),
+    ])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("near_dedup")
+        task = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
+        size, block, node = 0, task << 32, task << 32
 
-        def flush() -> pa.RecordBatch:
+        def sent() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+            order, cuts = _dealt(h, n_parts)
+            rest, n = (h[order] // np.uint64(n_parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], n[order].astype("<u4")
+            parts = [p for p in range(n_parts) if cuts[p] < cuts[p + 1]]
+            none = pa.nulls(len(parts))
+            columns = [pa.array([block] * len(parts), type=pa.int64()), *[none.cast(arrow.field(i).type) for i in range(1, 5)], pa.array(parts, type=pa.int64()), pa.array([rest[cuts[p] : cuts[p + 1]].tobytes() for p in parts], type=pa.binary()), pa.array([n[cuts[p] : cuts[p + 1]].tobytes() for p in parts], type=pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+        def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n = batch.num_rows
+            none = pa.nulls(n)
+            own = [pa.array([block] * n, type=pa.int64()), pa.array(range(node, node + n), type=pa.int64()), batch.column("key").cast(pa.binary()), batch.column("first"), batch.column("text").cast(pa.string())]
+            return pa.RecordBatch.from_arrays([*own, none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary())], schema=arrow)
+
+        arrow = None
+        for batch in slices(batches, 200):
+            if arrow is None:
+                first = batch.schema.field("first").type
+                arrow = pa.schema([("block", pa.int64()), ("node", pa.int64()), ("key", pa.binary()), ("first", first), ("text", pa.string()), ("part", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+            begin = 0
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                h, _ = shingles(t, shingle)
+                held.append(h)
+                size += len(h)
+                if size >= BLOCK:
+                    yield rows(batch.slice(begin, i + 1 - begin))
+                    yield sent()
+                    held.clear()
+                    node, begin = node + i + 1 - begin, i + 1
+                    size, block = 0, block + 1
+            if begin < batch.num_rows:
+                yield rows(batch.slice(begin))
+                node += batch.num_rows - begin
+        if size:
+            yield sent()
+        trim()
+
+    return texts.mapInArrow(pack, schema)
+
+
+def _dealt(h: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of ascending hashes by (part, hash), and where each part begins."""
+    part = (h % np.uint64(n_parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(n_parts + 1))
+
+
+def document_frequencies(blocks: DataFrame) -> DataFrame:
+    """block, part, df: for the shingles that each block sent to each part, in its order, their counts over all blocks."""
+
+    def count(table: pa.Table) -> pa.Table:
+        entering("near_dedup")
+        sizes, values, counts = [], [], []
+        for h, n in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True):
+            wide = np.zeros((len(h) // 6, 8), dtype=np.uint8)
+            wide[:, :6] = np.frombuffer(h, dtype=np.uint8).reshape(-1, 6)
+            values.append(wide.view("<u8").ravel())
+            counts.append(np.frombuffer(n, dtype="<u4"))
+            sizes.append(len(wide))
+        _, at = np.unique(np.concatenate(values), return_inverse=True)
+        df = np.bincount(at, weights=np.concatenate(counts))[at].astype("<u4")
+        ends = np.cumsum(sizes)
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "df": pa.array([df[e - k : e].tobytes() for k, e in zip(sizes, ends, strict=True)], type=pa.binary())})
+
+    return blocks.filter("part IS NOT NULL").select("block", "part", "hashes", "counts").groupBy("part").applyInArrow(count, "block long, part long, df binary")
+
+
+def signatures(blocks: DataFrame, frequencies: DataFrame, n_texts: int, n_parts: int, shingle: int = SHINGLE) -> DataFrame:
+    """node, key, first, size, bands, df: distinct texts with their number of shingles, their buckets (null: no
+    words) and the document frequencies of their ascending shingles."""
+    texts = blocks.filter("part IS NULL").select("block", "node", "key", "first", "text")
+    schema = T.StructType([texts.schema["node"], texts.schema["key"], texts.schema["first"], T.StructField("size", T.IntegerType()), T.StructField("bands", T.BinaryType()), T.StructField("df", T.BinaryType())])
+
+    def sign(left: pa.Table, right: pa.Table) -> pa.Table:
+        entering("near_dedup")
+        found = [shingles(t, shingle) for t in left.column("text").to_pylist()]
+        bands: list[bytes | None] = [None] * len(found)
+        dfs: list[bytes | None] = [None] * len(found)
+        own = np.unique(np.concatenate([h for h, _ in found])) if found else np.zeros(0, dtype=np.uint64)
+        df = np.zeros(len(own))
+        if len(own):
+            order, _ = _dealt(own, n_parts)
+            sent = right.sort_by("part").column("df").to_pylist()
+            df[order] = np.frombuffer(b"".join(sent), dtype="<u4")
+        sampler = _sampler()
+        slab: list[int] = []
+        size = 0
+        for i, (h, _) in enumerate([*found, (None, None)]):
+            if slab and (h is None or size + len(h) > SLAB):
+                hashes = np.concatenate([found[k][0] for k in slab])
+                own_df = df[np.searchsorted(own, hashes)]
+                sizes = np.array([len(found[k][0]) for k in slab])
+                made = sampler.bands(hashes, weights(np.concatenate([found[k][1] for k in slab]), own_df, n_texts), sizes)
+                ends = np.cumsum(sizes)
+                for k, row, n, e in zip(slab, made, sizes, ends, strict=True):
+                    bands[k] = row.astype("<u8").tobytes()
+                    dfs[k] = own_df[e - n : e].astype("<u4").tobytes()
+                slab, size = [], 0
+            if h is not None and len(h):
+                slab.append(i)
+                size += len(h)
+        out = pa.table({"node": left.column("node"), "key": left.column("key"), "first": left.column("first"), "size": pa.array([len(h) for h, _ in found], type=pa.int32()), "bands": pa.array(bands, type=pa.binary()), "df": pa.array(dfs, type=pa.binary())})
+        trim()
+        return out
 
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                h, _ = shingles(text, shingle)
-                held.append(h[heavy[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]])
-            if sum(map(len, held)) > 1 << 20:
-                yield flush()
-        if held:
-            yield flush()
+    return texts.groupBy("block").cogroup(frequencies.groupBy("block")).applyInArrow(sign, schema)
 
-    found = _texts(docs, text_col).mapInArrow(counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return {r.h & 0xFFFFFFFFFFFFFFFF: r.n for r in found.toLocalIterator()}, n_docs
 
+_SAMPLER: list[Sampler] = []
 
-def signatures(docs: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, key (digest of the text; null for null and empty texts), bands (null: no words)."""
-    text = F.col(f"`{text_col}`")
-    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
-    schema = T.StructType([source.schema["doc_id"], T.StructField("key", T.BinaryType()), T.StructField("bands", T.BinaryType())])
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler()
-        for batch in slices(batches):
-            found = [shingles(t, shingle) for t in batch.column("text").to_pylist()]
-            bands: list[bytes | None] = [None] * len(found)
-            slab: list[int] = []
-            size = 0
-            for i, (h, _) in enumerate([*found, (None, None)]):
-                if slab and (h is None or size + len(h) > SLAB):
-                    hashes = np.concatenate([found[k][0] for k in slab])
-                    made = sampler.bands(hashes, sent.value.of(hashes, np.concatenate([found[k][1] for k in slab])), np.array([len(found[k][0]) for k in slab]))
-                    for k, row in zip(slab, made, strict=True):
-                        bands[k] = row.astype("<u8").tobytes()
-                    slab, size = [], 0
-                if h is not None and len(h):
-                    slab.append(i)
-                    size += len(h)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(bands, type=pa.binary())], names=schema.names)
-
-    return source.mapInArrow(sign, schema)
+
+def _sampler() -> Sampler:
+    """The worker's sampler: tables of some 800 KB."""
+    if not _SAMPLER:
+        _SAMPLER.append(Sampler())
+    return _SAMPLER[0]
 
 
 def text_key(text):
@@ -238,24 +295,29 @@ def text_key(text):
     return F.when(F.length(text) > 0, F.unhex(F.md5(text)))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights, shingle: int) -> DataFrame:
+def vector(text: str, df: bytes, n_texts: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending shingle hashes of a text and their weights."""
+    h, n = shingles(text, shingle)
+    return h, weights(n, np.frombuffer(df, dtype="<u4"), n_texts)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, n_texts: int, shingle: int) -> DataFrame:
     """(a, b) with their weighted Jaccard similarity; texts are joined on both sides by node."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    sent = pairs.sparkSession.sparkContext.broadcast(weights)
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.col("df").alias("df_a"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"), F.col("df").alias("df_b"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "df_a", "text_b", "df_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("near_dedup")
         last, other = None, None
-        for batch in slices(batches):
+        for batch in slices(batches, 200):
             out = []
-            for b, ta, tb in zip(batch.column("b").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+            for _, b, ta, da, tb, db in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
                 if b != last:  # rows of one leader come together
-                    h, n = shingles(tb, shingle)
-                    last, other = b, (h, sent.value.of(h, n))
-                h, n = shingles(ta, shingle)
-                out.append(similarity((h, sent.value.of(h, n)), other))
+                    last, other = b, vector(tb, db, n_texts, shingle)
+                out.append(similarity(vector(ta, da, n_texts, shingle), other))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, type=pa.float64())], names=["a", "b", "sim"])
+        trim()
 
     return joined.mapInArrow(verify, "a long, b long, sim double")
 
@@ -289,137 +351,124 @@ def _upper_bounds(vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def _leaders(rows: DataFrame) -> DataFrame:
-    """bucket, b, led: the leader of each bucket, and its group, is the node that stands in the
-    fullest buckets, of those outside the main group and without a group where there are such.
+    """bucket, b: the leader of each bucket is the node that stands in the fullest buckets.
 
     In a family of near copies that is its most central text, and all its bands agree on it.
     """
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
     central = rows.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("weight"))
-    place = F.col("weight").cast("double") + F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / (1 << 21)
-    best = F.max_by(F.struct("node", "grp"), F.struct("rim", F.col("grp") == F.col("node"), place))
-    return rows.join(central, "node").groupBy("bucket").agg(best.alias("best")).select("bucket", F.col("best.node").alias("b"), F.col("best.grp").alias("led"))
-
-
-def _blocks(rest: DataFrame) -> DataFrame:
-    """Rows with the task (bucket, p, q) that each goes to.
-
-    Up to ``LOCAL`` rows a bucket is one task. Above, block p of the rows outside the main group
-    meets block q of all rows, for every p and q, with ``LOCAL`` rows a task on average.
+    place = F.struct(F.col("weight"), F.xxhash64("node"))
+    return rows.join(central, "node").groupBy("bucket").agg(F.max_by("node", place).alias("b"))
+
+
+def rare_shingles(texts: DataFrame, n_texts: int, least: float, shingle: int) -> DataFrame:
+    """node, h: of each text the rarest shingles (by document frequency, then hash) that two texts of
+    similarity ``least`` must have in common: those before which ``least`` of the weight is left.
+    Shingles of one text alone are left out."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("near_dedup")
+        for batch in slices(batches, 200):
+            nodes, found = [], []
+            for node, text, df in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist(), batch.column("df").to_pylist(), strict=True):
+                h, w = vector(text, df, n_texts, shingle)
+                d = np.frombuffer(df, dtype="<u4")
+                order = np.lexsort((h, d))
+                before = np.cumsum(w[order]) - w[order]
+                total = w.sum()
+                kept = order[total - before >= least * total * (1 - 1e-9)]
+                kept = kept[d[kept] > 1]
+                nodes.append(np.full(len(kept), node, dtype=np.int64))
+                found.append(h[kept])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(found).view(np.int64))], names=["node", "h"])
+
+    return texts.select("node", "text", "df").mapInArrow(choose, "node long, h long")
+
+
+def _tasks(rows: DataFrame) -> DataFrame:
+    """Rows (h, node, size, label) with the task (h, p, q) that each goes to.
+
+    Of groups with equal members one is kept, of groups with one label none. A group of several
+    blocks is compared in pairs of blocks.
     """
-    def parts(n: str):
-        return F.when(F.col("n") <= LOCAL, 1).otherwise(F.ceil(2 * F.col(n) / LOCAL)).cast("int")
+    groups = rows.groupBy("h").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("y")).filter("low < high")
+    one = groups.groupBy("x", "y", "n").agg(F.min("h").alias("h"), F.max("total").alias("total"))
+    parts = F.greatest(F.ceil(F.col("n") / LOCAL), F.ceil(F.col("total") / LOCAL_SHINGLES)).cast("int")
+    held = rows.join(one.select("h", parts.alias("parts")), "h").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select("h", "node", "label", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
 
-    rows = rest.withColumn("n_p", parts("n_rim")).withColumn("n_q", parts("n"))
-    any_row = rows.select("bucket", "node", "grp", F.explode(F.sequence(F.lit(0), F.col("n_p") - 1)).alias("p"), F.pmod(F.xxhash64("node"), F.col("n_q")).cast("int").alias("q"))
-    failing = rows.filter(F.col("rim") & (F.col("n") > LOCAL)).select("bucket", "node", "grp", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_p")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("q"))
-    return any_row.union(failing)
 
-
-def _local_links(rows: DataFrame, texts: DataFrame, weights: Weights, least: float, shingle: int) -> DataFrame:
-    """Links between the nodes of each task (bucket, p, q).
+def _local_links(rows: DataFrame, texts: DataFrame, n_texts: int, least: float, shingle: int) -> DataFrame:
+    """Links between the nodes of each task (h, p, q).
 
     Pairs already connected are skipped and so are those that an upper bound rules out, but no other.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(weights)
-
-    def cluster(held: pd.DataFrame) -> pd.DataFrame:
-        held = held.drop_duplicates("node").sort_values("node")
-        nodes = held["node"].tolist()
-        vectors = []
-        for text in held["text"]:
-            h, n = shingles(text, shingle)
-            vectors.append((h, sent.value.of(h, n)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        entering("near_dedup")
+        held = sorted(zip(*[table.column(c).to_pylist() for c in ("node", "label", "text", "df")], strict=True), key=lambda r: r[0])
+        nodes = [r[0] for r in held]
+        vectors = [vector(r[2], r[3], n_texts, shingle) for r in held]
         possible = _upper_bounds(vectors) >= least - 1e-3
-        # Members of a group are connected from the start.
-        group = held["grp"].to_numpy(dtype=np.int64, copy=True)
-        found = []
+        group = np.array([r[1] for r in held], dtype=np.int64)  # members of a class are connected from the start
+        a, b = [], []
         for j in range(1, len(nodes)):
             for i in np.flatnonzero(possible[j, :j]):
                 if group[i] != group[j] and similarity(vectors[i], vectors[j]) >= least:
-                    found.append((nodes[j], nodes[i]))
+                    a.append(nodes[j])
+                    b.append(nodes[i])
                     group[group == group[j]] = group[i]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return rows.join(texts, "node").select("bucket", "p", "q", "node", "grp", "text").groupBy("bucket", "p", "q").applyInPandas(cluster, "a long, b long").distinct()
-
-
-def links(docs: DataFrame, nodes: DataFrame, weights: Weights, text_col: str = "text", least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """Verified links (a, b) between nodes that share a bucket."""
-    numbers = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.conv(F.hex(F.substring("bands", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
-    banded = nodes.filter("bands IS NOT NULL").select("node", F.posexplode(numbers).alias("last", "bucket")).withColumn("grp", F.col("node")).withColumn("rim", F.lit(True))
-    open_rows = stored(_crowded(banded), "dedup-open")
-    texts = stored(_one_text_each(docs, nodes.join(open_rows.select("node").distinct(), "node").select("node", "key"), text_col), "dedup-texts")
-    found: list[DataFrame] = []
-    turn = 0
-    while not open_rows.isEmpty():
-        leads = _leaders(open_rows)
-        rows = stored(open_rows.join(leads, "bucket").filter("node <> b").select("bucket", "last", "grp", "led", F.col("node").alias("a"), "b"), f"dedup-rows{turn}")
-        checked = stored(_verified(rows.select("a", "b").distinct(), texts, weights, shingle), f"dedup-checked{turn}")
-        found.append(checked.filter(F.col("sim") >= least).select("a", "b"))
-        joined = rows.join(checked, ["a", "b"]).withColumn("inside", F.col("sim") >= least)
-        if turn:  # a group of which the leader meets one is its own as a whole
-            met = joined.groupBy("bucket", "grp").agg(F.bool_or("inside").alias("met"))
-            joined = joined.join(met, ["bucket", "grp"]).withColumn("inside", F.col("met") | (F.col("grp") == F.col("led"))).drop("met")
-        joined = stored(joined, f"dedup-joined{turn}")
-        # What a leader leaves: the nodes outside its group and, since distance is a metric, the
-        # members of its group that such a node can still reach.
-        sim, room, inside = F.col("sim"), 1 - least + 1e-9, F.col("inside")
-        marks = joined.filter(~inside).groupBy("bucket").agg(F.min("sim").alias("low"), F.max("sim").alias("top"))
-        left = joined.join(marks, "bucket").filter(~inside | sim.between(F.col("low") - room, F.col("top") + room))
-        left = left.select("bucket", "last", F.col("a").alias("node"), F.when(inside, F.col("led")).otherwise(F.col("grp")).alias("grp"))
-        groups = left.groupBy("bucket", "grp").agg(F.count("*").alias("own"))
-        sizes = groups.groupBy("bucket").agg(F.sum("own").alias("n"), F.max("own").alias("most"), F.count("*").alias("n_groups"), F.max_by("grp", F.struct("own", "grp")).alias("main")).filter("n_groups > 1")
-        rest = left.join(sizes, "bucket").select("bucket", "last", "node", "grp", "n", (F.col("n") - F.col("most")).alias("n_rim"), (F.col("grp") != F.col("main")).alias("rim"))
-        rest = stored(rest, f"dedup-rest{turn}")
-        direct = (F.col("n") <= LOCAL) | (F.col("n") * F.col("n_rim") <= DIRECT * LOCAL * LOCAL)
-        found.append(stored(_local_links(_blocks(rest.filter(direct)), texts, weights, least, shingle), f"dedup-local{turn}"))
-        open_rows = stored(_crowded(_dealt_anew(rest.filter(~direct), nodes)), f"dedup-open{turn}")
-        turn += 1
-    if not found:
-        return nodes.sparkSession.createDataFrame([], "a long, b long")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return stored(out.distinct(), "dedup-links")
+        trim()
+        return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
 
+    joined = rows.join(texts.select("node", "text", "df"), "node").select("h", "p", "q", "node", "label", "text", "df")
+    return joined.groupBy("h", "p", "q").applyInArrow(compare, "a long, b long").distinct()
 
-def _crowded(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold two groups or more (a node without a group is its own)."""
-    crowded = rows.groupBy("bucket").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).filter("low < high").select("bucket")
-    return rows.join(crowded, "bucket").select("bucket", "last", "node", "grp", "rim")
 
+def links(texts: DataFrame, nodes: DataFrame, n_texts: int, least: float = SIMILARITY, shingle: int = SHINGLE, paths: list[str] | None = None) -> DataFrame:
+    """Verified links (a, b) that connect all nodes of similarity ``least`` or more that share a bucket.
 
-def _dealt_anew(rest: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of the failing nodes and of the members they may reach, their buckets split by each later band.
-
-    A pair meets in the bucket of its first shared band and there goes on to its second, so earlier
-    bands need not be tried again: it is lost only where every band it shares leaves too large a rest.
-    """
-    dealt = rest.join(nodes.select("node", "bands"), "node").filter(F.col("last") < BANDS - 1).select("bucket", "node", "grp", "rim", "bands", F.explode(F.sequence(F.col("last") + 1, F.lit(BANDS - 1))).alias("last"))
-    return dealt.select(F.xxhash64("bucket", "last", F.substring("bands", F.col("last") * 8 + 1, F.lit(8))).alias("bucket"), "last", "node", "grp", "rim")
-
-
-def _one_text_each(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """node and text of the wanted nodes, one row each."""
-    source = docs.select(text_key(F.col(f"`{text_col}`")).alias("key"), F.col(f"`{text_col}`").alias("text")).filter("key IS NOT NULL")
-    return source.join(wanted, "key").groupBy("node").agg(F.first("text").alias("text"))
-
-
-def components(edges: DataFrame) -> DataFrame:
+    ``texts``: node, text; ``nodes``: node, size, bands, df."""
+    paths = [] if paths is None else paths
+    numbers = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.conv(F.hex(F.substring("bands", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    banded = nodes.filter("bands IS NOT NULL").select("node", F.explode(numbers).alias("bucket"))
+    crowded = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket")
+    rows = stored(banded.join(crowded, "bucket").select("bucket", "node"), "dedup-rows", paths)
+    own = rows.select("node").distinct().join(nodes.select("node", "size", "df"), "node")
+    texts = stored(texts.join(own, "node").select("node", "size", "df", "text"), "dedup-texts", paths)
+    led = stored(rows.join(_leaders(rows), "bucket").filter("node <> b").select("bucket", F.col("node").alias("a"), "b"), "dedup-led", paths)
+    checked = stored(_verified(led.select("a", "b").distinct(), texts, n_texts, shingle), "dedup-checked", paths)
+    near = stored(checked.filter(F.col("sim") >= least).select("a", "b"), "dedup-near", paths)
+    # What the leaders leave: nodes that fail, and members that such a node can reach.
+    joined = led.join(checked, ["a", "b"])
+    marks = joined.filter(F.col("sim") < least).groupBy("bucket").agg(F.min("sim").alias("low"), F.max("sim").alias("top"))
+    sim, room = F.col("sim"), 1 - least + 1e-9
+    left = joined.join(marks, "bucket").filter((sim < least) | sim.between(F.col("low") - room, F.col("top") + room))
+    rest = stored(left.select(F.col("a").alias("node")).distinct(), "dedup-rest", paths)
+    if rest.isEmpty():
+        return near
+    labels = components(near, paths)
+    rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rare = rare_shingles(texts.join(rest.select("node"), "node"), n_texts, least, shingle)
+    met = stored(rare.join(rest, "node").join(texts.select("node", "size"), "node"), "dedup-met", paths)
+    return near.union(stored(_local_links(_tasks(met), texts, n_texts, least, shingle), "dedup-local", paths))
+
+
+def components(edges: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """node, label (least node of its component) of all nodes of ``edges`` (a, b).
 
     Each round takes the least label among the neighbours, then the label's own label; rounds
     are written to the shared folder, so lineage stays short.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "components-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "components-start")
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "components-edges", paths)
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "components-start", paths)
     turn = 0
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         over = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        fresh = stored(step.join(over, "new").select("node", "label", F.least("new", "far").alias("new")), f"components{turn}")
+        fresh = stored(step.join(over, "new").select("node", "label", F.least("new", "far").alias("new")), f"components{turn}", paths)
         turn += 1
         done = fresh.filter("new <> label").isEmpty()
         labels = fresh.select("node", F.col("new").alias("label"))
@@ -427,29 +476,36 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """Signatures of the documents, and (key, class_id, stays, first) of the distinct texts."""
-    frequent, n_docs = document_frequencies(docs, text_col, shingle)
-    weights = Weights(frequent, n_docs)
-    signed = stored(signatures(docs, weights, id_col, text_col, shingle), "dedup-signed")
-    distinct = signed.filter("key IS NOT NULL").groupBy("key", "bands").agg(F.min("doc_id").alias("first"))
-    nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "dedup-nodes")
-    labels = components(links(docs, nodes, weights, text_col, least, shingle))
+def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, shingle: int) -> DataFrame:
+    """key, class_id, stays, first of the distinct texts, as a stored table."""
+    spark, paths = docs.sparkSession, []
+    text = F.col(f"`{text_col}`")
+    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
+    n_parts = max(1, size // (6 * GROUP))  # some six bytes a word
+    blocks = stored(packed(distinct_texts(docs, id_col, text_col), n_parts, shingle), "dedup-blocks", paths)
+    n_texts = blocks.filter("part IS NULL").count()
+    frequencies = stored(document_frequencies(blocks), "dedup-df", paths)
+    nodes = stored(signatures(blocks, frequencies, n_texts, n_parts, shingle), "dedup-nodes", paths)
+    texts = blocks.filter("part IS NULL").select("node", "text")
+    labels = components(stored(links(texts, nodes, n_texts, least, shingle, paths), "dedup-links", paths), paths)
     labelled = nodes.select("node", "key", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     last = F.lit(2**63 - 1)
     heads = labelled.groupBy("label").agg(F.min("first").alias("class_id"), F.min_by("node", F.coalesce("first", last)).alias("head"))
-    return signed, labelled.join(heads, "label").select("key", "class_id", (F.col("node") == F.col("head")).alias("stays"), "first")
+    made = stored(labelled.join(heads, "label").select("key", "class_id", (F.col("node") == F.col("head")).alias("stays"), "first"), "dedup-classes")
+    delete(spark, paths)
+    return made
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and class_id, one row for each row of ``docs``."""
-    signed, classes = _classes(docs, id_col, text_col, least, shingle)
-    return signed.select("doc_id", "key").join(classes.select("key", "class_id"), "key", "left").select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    classes = _classes(docs, id_col, text_col, least, shingle)
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_key(F.col(f"`{text_col}`")).alias("key"))
+    return own.join(classes.select("key", "class_id"), "key", "left").select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """One row of ``docs`` for each class (that of its smallest id), all columns as they were."""
-    _, classes = _classes(docs, id_col, text_col, least, shingle)
+    classes = _classes(docs, id_col, text_col, least, shingle)
     heads = classes.filter("stays").select(F.col("key").alias("__tessera_key"), F.col("first").alias("__tessera_first"))
     own = docs.withColumn("__tessera_key", text_key(F.col(f"`{text_col}`")))
     kept = own.join(heads, "__tessera_key").filter(F.col(f"`{id_col}`").eqNullSafe(F.col("__tessera_first")))

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import entering
+
 SPACE = "▁"
 #: Encoded units that a worker keeps in each of two generations; units of the old one that
 #: are met again move to the new one, the others go when the new one is full.
@@ -209,6 +211,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        entering("sentencepiece", encoder.cache_clear)
         own = encoder(model_path)
         for texts in batches:
             yield pd.Series([own.encode(t) for t in texts], dtype=object)
@@ -221,6 +224,7 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str =
 
     @F.pandas_udf(T.StringType())
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        entering("sentencepiece", encoder.cache_clear)
         own = encoder(model_path)
         for ids in batches:
             yield pd.Series([None if x is None else own.decode([int(i) for i in x]) for x in ids], dtype=object)
@@ -236,6 +240,7 @@ def digests(text: Column, model_path: str) -> Column:
 
     @F.pandas_udf(RESULT)
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        entering("sentencepiece", encoder.cache_clear)
         own = encoder(model_path)
         names = own.names
         for texts in batches:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices
+from tessera.llm.common import entering, slices, trim
 
 #: Most labelled rows that the classifier is fitted on.
 MAX_LABELLED = 30_000
@@ -94,6 +94,7 @@ def corpus_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = "gram int, n long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("toxicity")
         total = np.zeros(27**3, dtype=np.int64)
         for batch in slices(batches):
             words: Counter = Counter()
@@ -267,6 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     sent = spark.sparkContext.broadcast(chars)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("toxicity")
         known: dict[str, list[str]] = {}
         bad, good = Counter(), Counter()
         for batch in slices(batches):
@@ -292,6 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     sent_index = spark.sparkContext.broadcast(index)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering("toxicity")
         known: dict[str, tuple[int, ...]] = {}
         for batch in slices(batches):
             if len(known) > FIT_TOKENS:
@@ -354,8 +357,11 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> C
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        entering("toxicity")
         own = ToxicityModel(*sent.value)
         for texts in batches:
             yield pd.Series([own.score(t) for t in texts], dtype=float)
+        own._known.clear()
+        trim()
 
     return score(F.col(f"`{text_col}`"))

@@ -1,7 +1,8 @@
 """Near-duplicates, nearest neighbours, pages, tool calls and the pipeline."""
 
-import hashlib
+import math
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -15,13 +16,18 @@ from tessera.llm.common import table
 # --- near-duplicates ------------------------------------------------------------------------------
 
 
-def brute_classes(rows, weights):
+def brute_vectors(texts):
+    """Shingles and weights of distinct texts, with document frequencies counted one by one."""
+    found = {t: near_dedup.shingles(t) for t in set(texts)}
+    df = Counter(x for h, _ in found.values() for x in h.tolist())
+    n = len(found)
+    return {t: (h, c * np.array([1 + math.log(n / df[x]) / math.log(n) for x in h.tolist()])) for t, (h, c) in found.items()}, df
+
+
+def brute_classes(rows):
     """Class of each row by comparing all pairs of texts."""
     texts = sorted({t for _, t in rows if t})
-    vectors = {}
-    for t in texts:
-        h, n = near_dedup.shingles(t)
-        vectors[t] = (h, weights.of(h, n))
+    vectors, _ = brute_vectors(texts)
     parent = {t: t for t in texts}
 
     def find(t):
@@ -68,42 +74,45 @@ def copies(spark):
 
 def test_classes_equal_brute_force(spark, copies):
     rows, df = copies
-    frequent, n = near_dedup.document_frequencies(df)
     got = sorted(map(tuple, near_dedup.near_duplicates(df).collect()), key=repr)
-    assert got == sorted(brute_classes(rows, near_dedup.Weights(frequent, n)), key=repr)
+    assert got == sorted(brute_classes(rows), key=repr)
 
 
-def test_small_local_bound_finds_the_same(spark, copies, monkeypatch):
+def test_small_blocks_find_the_same(spark, copies, monkeypatch):
     rows, df = copies
-    want = sorted(map(tuple, near_dedup.near_duplicates(df).collect()), key=repr)
-    monkeypatch.setattr(near_dedup, "LOCAL", 3)
-    assert sorted(map(tuple, near_dedup.near_duplicates(df).collect()), key=repr) == want
-
-
-@pytest.mark.parametrize(("direct", "shared"), [(16, 1), (0, 8)])
-def test_fringe_text_near_one_member_is_linked(spark, monkeypatch, direct, shared):
-    # A line of nine texts that meet in the same buckets; each is similar to its neighbours only.
-    texts = [" ".join(f"w{k}" for k in range(8 * i, 8 * i + 100)) for i in range(9)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    bands = [np.array([b if b < shared else 1000 * b + i for b in range(near_dedup.BANDS)], dtype="<u8").tobytes() for i in range(9)]
-    nodes = spark.createDataFrame([(i, hashlib.md5(t.encode()).digest(), bytearray(b)) for i, (t, b) in enumerate(zip(texts, bands, strict=True))], "node long, key binary, bands binary")
-    monkeypatch.setattr(near_dedup, "LOCAL", 3)
-    monkeypatch.setattr(near_dedup, "DIRECT", direct, raising=False)
-    found = {tuple(sorted(r)) for r in near_dedup.links(docs, nodes, near_dedup.Weights({}, 9)).collect()}
-    assert found == {(i, i + 1) for i in range(8)}
-
-
-def test_document_frequencies_are_exact(spark, copies):
+    for name, value in (("LOCAL", 3), ("LOCAL_SHINGLES", 400), ("BLOCK", 500), ("GROUP", 300)):
+        monkeypatch.setattr(near_dedup, name, value)
+    assert sorted(map(tuple, near_dedup.near_duplicates(df).collect()), key=repr) == sorted(brute_classes(rows), key=repr)
+
+
+@pytest.mark.parametrize(("local", "shared"), [(1024, 1), (3, 1), (2, 8)])
+def test_fringe_texts_are_linked(spark, monkeypatch, local, shared):
+    # A line of thirty texts that meet in the same buckets; each is similar to its neighbours only.
+    texts = [" ".join(f"w{k}" for k in range(8 * i, 8 * i + 100)) for i in range(30)]
+    vectors, df = brute_vectors(texts)
+    bands = [np.array([b if b < shared else 1000 * b + i for b in range(near_dedup.BANDS)], dtype="<u8").tobytes() for i in range(30)]
+    nodes = spark.createDataFrame([(i, len(vectors[t][0]), bytearray(b), bytearray(np.array([df[x] for x in vectors[t][0].tolist()], dtype="<u4").tobytes())) for i, (t, b) in enumerate(zip(texts, bands, strict=True))], "node long, size int, bands binary, df binary")
+    monkeypatch.setattr(near_dedup, "LOCAL", local)
+    found = {tuple(sorted(r)) for r in near_dedup.links(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), nodes, 30).collect()}
+    want = {(i, j) for j in range(30) for i in range(j) if near_dedup.similarity(vectors[texts[i]], vectors[texts[j]]) >= near_dedup.SIMILARITY}
+    assert want == {(i, i + 1) for i in range(29)} and found <= want
+    assert len({r.label for r in near_dedup.components(spark.createDataFrame(sorted(found), "a long, b long")).collect()}) == 1
+
+
+def test_document_frequencies_are_exact(spark, copies, monkeypatch):
     rows, df = copies
-    frequent, n = near_dedup.document_frequencies(df)
-    counts, with_words = {}, 0
-    for _, t in rows:
-        h, _ = near_dedup.shingles(t)
-        with_words += len(h) > 0
-        for x in h.tolist():
-            counts[x] = counts.get(x, 0) + 1
-    assert n == with_words
-    assert frequent == {h: c for h, c in counts.items() if c >= max(2, near_dedup.RARE * n)} and frequent
+    monkeypatch.setattr(near_dedup, "BLOCK", 700)
+    _, want = brute_vectors([t for _, t in rows if t])
+    blocks = near_dedup.stored(near_dedup.packed(near_dedup.distinct_texts(df, "doc_id", "text"), 5), "test-blocks")
+    n = blocks.filter("part IS NULL").count()
+    assert n == len({t for _, t in rows if t}) and blocks.filter("part IS NOT NULL").select("block").distinct().count() > 3
+    signed = near_dedup.signatures(blocks, near_dedup.document_frequencies(blocks), n, 5).join(blocks.filter("part IS NULL").select("node", "text"), "node").collect()
+    assert len(signed) == n
+    for r in signed:
+        h, _ = near_dedup.shingles(r.text)
+        assert r["size"] == len(h) and (r.df is None) == (not len(h))
+        if len(h):
+            assert np.frombuffer(r.df, dtype="<u4").tolist() == [want[x] for x in h.tolist()]
 
 
 def test_samples_estimate_weighted_jaccard():
@@ -234,7 +243,6 @@ def test_page_text():
 
 def test_path_scores_equal_brute_force(spark, sf, monkeypatch):
     """Scores by another route, on whole pages; and without the scores the result is another."""
-    import math
     import re
 
     differ = 0
