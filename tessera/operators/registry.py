@@ -74,22 +74,34 @@ def selected_model(registry: DataFrame) -> DataFrame:
 
 
 def by_role(registry: DataFrame) -> DataFrame:
-    """Models of each role and whether one is selected."""
-    return registry.groupBy("engine_role").agg(F.array_sort(F.collect_list("model_identifier")).alias("models"), F.bool_or("is_selected_for_role").alias("has_selection"))
+    """Models of each role, one row each, with their number and whether one is selected.
+
+    What is broadcast has a row for each role, a closed domain."""
+    roles_held = registry.groupBy("engine_role").agg(F.count("*").alias("n_models"), F.bool_or("is_selected_for_role").alias("has_selection"))
+    return registry.select("engine_role", "model_identifier").join(F.broadcast(roles_held), "engine_role")
+
+
+#: Most keys that have a value for all workspaces: settings are a closed vocabulary.
+MAX_KEYS = 10_000
 
 
 def resolved_settings(entries: DataFrame, workspaces: DataFrame) -> DataFrame:
     """Value of each key in each workspace: from the highest layer, its own entry before the global.
 
-    ``entries``: layer, key, workspace_id (null: global), value."""
+    ``entries``: layer, key, workspace_id (null: global), value. Values for all workspaces are at
+    most ``MAX_KEYS`` and enter the plan as a literal; more are an error."""
     rank = F.array_position(F.array(*[F.lit(x) for x in LAYERS]), F.col("layer"))
     ranked = entries.withColumn("rank", rank)
-    own = ranked.filter("workspace_id IS NOT NULL").join(workspaces.select("workspace_id").distinct(), "workspace_id", "left_semi")
-    best_own = _best(own, ["workspace_id", "key"])
-    best_all = _best(ranked.filter("workspace_id IS NULL"), ["key"]).select("key", F.col("value").alias("global_value"), F.col("rank").alias("global_rank"))
-    keys = entries.select("key").distinct()
-    pairs = workspaces.select("workspace_id").distinct().select("workspace_id", F.lit(1).alias("one")).join(keys.select("key", F.lit(1).alias("one")), "one").drop("one")
-    joined = pairs.join(best_own.select("workspace_id", "key", "value", "rank"), ["workspace_id", "key"], "left").join(best_all, "key", "left")
+    every = workspaces.select("workspace_id").distinct()
+    own = ranked.filter("workspace_id IS NOT NULL").join(every, "workspace_id", "left_semi")
+    best_own = _best(own, ["workspace_id", "key"]).select("workspace_id", "key", "value", "rank")
+    shared = _best(ranked.filter("workspace_id IS NULL"), ["key"]).select("key", "value", "rank").limit(MAX_KEYS + 1).collect()
+    if len(shared) > MAX_KEYS:
+        raise ValueError("too many keys")
+    listed = [F.struct(F.lit(r.key).alias("key"), F.lit(r.value).cast("string").alias("global_value"), F.lit(int(r["rank"])).alias("global_rank")) for r in shared]
+    none = F.array().cast("array<struct<key:string,global_value:string,global_rank:int>>")
+    given = every.select("workspace_id", F.inline(F.array(*listed) if listed else none))
+    joined = given.join(best_own, ["workspace_id", "key"], "full_outer")
     value = F.when(F.col("rank").isNotNull() & (F.coalesce("global_rank", F.lit(0)) <= F.col("rank")), F.col("value")).otherwise(F.col("global_value"))
     return joined.select("workspace_id", "key", value.alias("value")).filter("value IS NOT NULL")
 

@@ -145,6 +145,24 @@ def workspace_fold(actions: Column) -> Column:
     return F.aggregate(actions, start, step)
 
 
+def workspaces_folded(actions: DataFrame, by: list[str], order: list[str], action: str) -> DataFrame:
+    """M11 as :func:`workspace_fold`, by running windows and aggregates instead of one list per key.
+
+    A workspace is linked after ``link`` and not after ``unlink``; while it is linked the last of link
+    (where it was not), archive and restore tells its status.
+    """
+    a, run = F.col(action), Window.partitionBy(*by).orderBy(*order)
+    earlier = run.rowsBetween(Window.unboundedPreceding, -1)
+    linked = F.coalesce(F.last(F.when(a.isin("link", "unlink"), a == "link"), ignorenulls=True).over(earlier), F.lit(False))
+    held = actions.withColumn("__linked", linked)
+    turned = F.when(a == "unlink", "Unlinked").when((a == "link") & ~F.col("__linked"), "Active").when((a == "archive") & F.col("__linked"), "Archived").when((a == "restore") & F.col("__linked"), "Active")
+    held = held.withColumn("__turned", turned).withColumn("__was", F.coalesce(F.last("__turned", ignorenulls=True).over(earlier), F.lit("Unlinked")))
+    refused = F.when(a == "link", F.col("__linked")).when(a == "restore", F.col("__was") != "Archived").when(a.isin("archive", "unlink"), ~F.col("__linked")).otherwise(True)
+    after = F.coalesce("__turned", "__was")
+    place = F.struct(*[c for o in order for c in (F.col(o).isNotNull(), F.col(o))])
+    return held.groupBy(*by).agg(F.max_by(after, place).alias("status"), F.count_if(refused).cast("int").alias("refused"))
+
+
 def recent_documents(opened: DataFrame, by: list[str], limit: int = 10) -> DataFrame:
     """The documents opened last, each once."""
     last = opened.groupBy(*by, "document_id").agg(F.max("at").alias("at"))

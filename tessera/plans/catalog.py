@@ -502,15 +502,13 @@ def workspace_lifecycle(spark, sf):
     """Status of each workspace after its ordered actions."""
     e = D.table(spark, sf, "events")
     a = F.when(F.col("event_type") == "error", "archive").when(F.col("event_type") == "purchase", "restore").when(F.col("event_type") == "click", "unlink").otherwise("link")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", a.alias("a")))), lambda x: x["a"])
-    return e.groupBy("user_id").agg(state.workspace_fold(listed).alias("s")).select("user_id", "s.status", "s.refused")
+    return state.workspaces_folded(e.select("user_id", "ts", "event_id", a.alias("a")), ["user_id"], ["ts", "event_id"], "a")
 
 
-@query("SELECT engine_role, CAST(count(*) AS BIGINT) AS n_models, sha256(string_agg(model_identifier, ',' ORDER BY model_identifier)) AS models_sha, bool_or(pos % 9 = 0) AS has_selection FROM mr GROUP BY 1", "mr")
+@query("SELECT engine_role, model_identifier, count(*) OVER (PARTITION BY engine_role) AS n_models, bool_or(pos % 9 = 0) OVER (PARTITION BY engine_role) AS has_selection FROM mr", "mr")
 def models_by_role(spark, sf):
     """Models of each role."""
-    r = registry.by_role(_registry(spark, sf))
-    return r.select("engine_role", F.size("models").cast("long").alias("n_models"), F.sha2(F.array_join("models", ","), 256).alias("models_sha"), "has_selection")
+    return registry.by_role(_registry(spark, sf))
 
 
 @query("SELECT model_identifier, engine_role FROM mr WHERE pos % 9 = 0 AND pos % 4 = 0", "mr")

@@ -37,12 +37,23 @@ def next_pending(pending: str, kind: str) -> str:
 
 def debounced(changes: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     """path, kind, at_ms (of the last change) for each burst of ``changes`` (path, kind, at_ms, seq)
-    that leaves something."""
+    that leaves something.
+
+    Added is pending after a creation and the modifications that follow it, so a burst's outcome
+    follows from its last change and from the last creation or removal before that: running windows
+    and aggregates, no lists.
+    """
     order = Window.partitionBy("path").orderBy("at_ms", "seq")
     fresh = (F.coalesce(F.col("at_ms") - F.lag("at_ms").over(order) >= gap_ms, F.lit(True))).cast("int")
     bursts = changes.withColumn("fresh", fresh).withColumn("burst", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("at_ms", "seq", "kind"))), lambda x: x["kind"])
-    return bursts.groupBy("path", "burst").agg(fold(listed).alias("kind"), F.max("at_ms").alias("at_ms")).filter("kind <> ''").select("path", "kind", "at_ms")
+    marked = F.when(F.col("kind") != "Modified", F.struct("burst", "kind"))
+    before = F.last(marked, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    added = F.coalesce((before["burst"] == F.col("burst")) & (before["kind"] == "Created"), F.lit(False))
+    place = F.struct("at_ms", "seq")
+    ends = bursts.withColumn("added", added).groupBy("path", "burst").agg(F.max_by(F.struct("kind", "added"), place).alias("end"), F.max("at_ms").alias("at_ms"))
+    last, pending = F.col("end.kind"), F.col("end.added")
+    kind = F.when(last == "Created", "Added").when(last == "Modified", F.when(pending, "Added").otherwise("Updated")).otherwise(F.when(pending, "").otherwise("Deleted"))
+    return ends.select("path", kind.alias("kind"), "at_ms").filter("kind <> ''")
 
 
 def debounce_stream(changes: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
