@@ -6,7 +6,7 @@ a pattern `` w1 w2 ... `` of one automaton; each text is normalised once, scanne
 offsets of the hits are mapped back to word numbers and to places in the original text.
 
 Patterns are held by every worker, so their size is checked: items are read one by one and dealt
-into blocks of at most ``block_chars`` characters of pattern. Each block is one automaton, sent by
+into blocks of at most ``block_chars`` characters of patterns and ids. Each block is one automaton, sent by
 its own broadcast, and every text is scanned once per block; between blocks what was found so far is
 written to the shared folder with the rows. Usual benchmarks make one block and no such table;
 larger ones cost more scans, never more memory of the driver or a worker.
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from tessera.llm.common import entering, stored
 
 WINDOW = 10
-#: Characters of pattern in one automaton (a worker needs some 40 bytes for each at most).
+#: Characters of patterns and ids in one automaton (a worker needs some 40 bytes for each at most).
 BLOCK_CHARS = 4_000_000
 
 #: Bytes to bytes: A-Z to a-z, other ASCII but digits and letters to a space; UTF-8 bytes beyond ASCII stay.
@@ -72,14 +72,14 @@ def item_blocks(items: Iterable[tuple[object, str | None]], window: int = WINDOW
     size = 0
     for item_id, text in items:
         for p in windows(text, window):
-            if p not in block:
-                if block and size + len(p) > block_chars:
-                    yield block
-                    block, size = {}, 0
-                block[p] = []
-                size += len(p)
-            if item_id is not None:
-                block[p].append(str(item_id))
+            # Ids count as well: a window that many items share may go on in the next block.
+            listed = [] if item_id is None else [str(item_id)]
+            more = (0 if p in block else len(p)) + sum(map(len, listed))
+            if block and size + more > block_chars:
+                yield block
+                block, size, more = {}, 0, len(p) + sum(map(len, listed))
+            block.setdefault(p, []).extend(listed)
+            size += more
     if block:
         yield block
 

@@ -275,13 +275,19 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 1,
     ordered.mapInArrow(write, schema).write.parquet(path)
 
 
+#: Most shards whose sums are broadcast.
+MAX_BROADCAST = 100_000
+
+
 def _with_start(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the file set with the global place of each document."""
     held = spark.read.parquet(path)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per shard, whatever the corpus: the window and the join stay small.
+    # One row per shard, whatever the documents: the window stays small, and the sums are broadcast
+    # where their checked number allows it.
     base = held.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return held.join(F.broadcast(base), "shard").withColumn("start", F.col("base") + F.col("local_start"))
+    few = held.select("shard").distinct().count() <= MAX_BROADCAST
+    return held.join(F.broadcast(base) if few else base, "shard").withColumn("start", F.col("base") + F.col("local_start"))
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
