@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,9 +48,17 @@ def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFram
     df.write.parquet(path)
     if paths is not None:
         paths.append(path)
+    forget_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files that no plan refers to any more: it finds them when
+    the driver collects garbage, which a mostly idle driver seldom does on its own."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Remove stored tables, through Spark's own file systems."""
     for path in paths:

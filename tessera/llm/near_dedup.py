@@ -31,6 +31,7 @@ repeated rows each get their row; an empty table gives an empty table; extra col
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,13 +41,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import delete, entering, slices, stored, trim
+from tessera.llm.common import delete, entering, forget_shuffles, shared_dir, slices, stored, trim
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 3
 #: Shingles of a block of texts, and of a part of the hash space.
 BLOCK, GROUP = 500_000, 1_000_000
+#: Bytes by which a part tells its shingles apart (one in two million counts with another one).
+SENT = 5
 #: Most texts, and about the most shingles, that one task compares with as many others.
 LOCAL, LOCAL_SHINGLES = 1024, 500_000
 #: Shingles sampled at once.
@@ -158,8 +161,8 @@ def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def packed(texts: DataFrame, n_parts: int, shingle: int = SHINGLE) -> DataFrame:
     """Rows of texts (block, node, key, first, text), and of blocks' shingles (block, part, hashes, counts).
 
-    A block's distinct shingles stand in order of (hash modulo parts, hash); six bytes of the
-    quotient go to the part."""
+    A block's distinct shingles stand in order of (hash modulo parts, hash); ``SENT`` bytes of the
+    quotient go to the part, where about ``GROUP`` shingles must differ."""
     schema = T.StructType([
         T.StructField("block", T.LongType()), T.StructField("node", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("first", texts.schema["first"].dataType), T.StructField("text", T.StringType()),
         T.StructField("part", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("counts", T.BinaryType()),
@@ -174,7 +177,7 @@ def packed(texts: DataFrame, n_parts: int, shingle: int = SHINGLE) -> DataFrame:
         def sent() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
             order, cuts = _dealt(h, n_parts)
-            rest, n = (h[order] // np.uint64(n_parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], n[order].astype("<u4")
+            rest, n = (h[order] // np.uint64(n_parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT], n[order].astype("<u4")
             parts = [p for p in range(n_parts) if cuts[p] < cuts[p + 1]]
             none = pa.nulls(len(parts))
             columns = [pa.array([block] * len(parts), type=pa.int64()), *[none.cast(arrow.field(i).type) for i in range(1, 5)], pa.array(parts, type=pa.int64()), pa.array([rest[cuts[p] : cuts[p + 1]].tobytes() for p in parts], type=pa.binary()), pa.array([n[cuts[p] : cuts[p + 1]].tobytes() for p in parts], type=pa.binary())]
@@ -226,8 +229,8 @@ def document_frequencies(blocks: DataFrame) -> DataFrame:
         entering("near_dedup")
         sizes, values, counts = [], [], []
         for h, n in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            wide = np.zeros((len(h) // 6, 8), dtype=np.uint8)
-            wide[:, :6] = np.frombuffer(h, dtype=np.uint8).reshape(-1, 6)
+            wide = np.zeros((len(h) // SENT, 8), dtype=np.uint8)
+            wide[:, :SENT] = np.frombuffer(h, dtype=np.uint8).reshape(-1, SENT)
             values.append(wide.view("<u8").ravel())
             counts.append(np.frombuffer(n, dtype="<u4"))
             sizes.append(len(wide))
@@ -482,18 +485,28 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, shingle:
     text = F.col(f"`{text_col}`")
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
     n_parts = max(1, size // (6 * GROUP))  # some six bytes a word
-    blocks = stored(packed(distinct_texts(docs, id_col, text_col), n_parts, shingle), "dedup-blocks", paths)
-    n_texts = blocks.filter("part IS NULL").count()
-    frequencies = stored(document_frequencies(blocks), "dedup-df", paths)
-    nodes = stored(signatures(blocks, frequencies, n_texts, n_parts, shingle), "dedup-nodes", paths)
-    texts = blocks.filter("part IS NULL").select("node", "text")
+    # Texts and blocks' shingles are made in one pass and kept apart: the shingles go once they are counted.
+    made = packed(distinct_texts(docs, id_col, text_col), n_parts, shingle)
+    path = f"{shared_dir(spark)}/dedup-blocks-{uuid.uuid4().hex}"
+    made.withColumn("kind", F.when(F.col("part").isNull(), "texts").otherwise("shingles")).write.partitionBy("kind").parquet(path)
+    forget_shuffles(spark)
+    paths.append(path)
+    # A table without rows has no folders: the whole is read, and pruned to one folder by its kind.
+    blocks = spark.read.schema(T.StructType([*made.schema, T.StructField("kind", T.StringType())])).parquet(path)
+    texts = blocks.filter("kind = 'texts'").drop("kind")
+    n_texts = texts.count()
+    frequencies = stored(document_frequencies(blocks.filter("kind = 'shingles'")), "dedup-df", paths)
+    delete(spark, [f"{path}/kind=shingles"])
+    texts = spark.read.schema(T.StructType([*made.schema, T.StructField("kind", T.StringType())])).parquet(path).drop("kind")
+    nodes = stored(signatures(texts, frequencies, n_texts, n_parts, shingle), "dedup-nodes", paths)
+    texts = texts.select("node", "text")
     labels = components(stored(links(texts, nodes, n_texts, least, shingle, paths), "dedup-links", paths), paths)
     labelled = nodes.select("node", "key", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     last = F.lit(2**63 - 1)
     heads = labelled.groupBy("label").agg(F.min("first").alias("class_id"), F.min_by("node", F.coalesce("first", last)).alias("head"))
-    made = stored(labelled.join(heads, "label").select("key", "class_id", (F.col("node") == F.col("head")).alias("stays"), "first"), "dedup-classes")
+    classes = stored(labelled.join(heads, "label").select("key", "class_id", (F.col("node") == F.col("head")).alias("stays"), "first"), "dedup-classes")
     delete(spark, paths)
-    return made
+    return classes
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
