@@ -7,7 +7,9 @@ stage before it kept.
 4. pii: personal data is replaced by its kind in brackets, ``n_chars`` follows the new text;
 5. sentencepiece: digests of each text's ids and of what they decode to.
 
-All stages but the last return the columns of ``documents``. Rows with null texts pass through.
+All stages but the last return the columns of ``documents``, extra ones included; own columns start
+with ``__tessera_``, so names cannot clash. Rows with null or empty texts pass through all stages;
+equal rows are one after stage 2; of ties the smallest id stays; empty tables stay empty.
 """
 
 from __future__ import annotations

@@ -301,6 +301,16 @@ def test_contamination_equals_brute_force(spark, block_chars):
         assert got[i] == brute_contamination(t, items), t
 
 
+def test_ids_of_a_shared_window_go_on_in_further_blocks(spark):
+    items = [(f"item-{i:03}", "one two three four five six seven eight nine ten") for i in range(50)]
+    blocks = list(decontamination.item_blocks(items, block_chars=120))
+    assert len(blocks) > 5 and all(sum(len(p) + sum(map(len, ids)) for p, ids in b.items()) <= 120 for b in blocks)
+    docs = spark.createDataFrame([(1, "x one two three four five six seven eight nine ten y")], "doc_id long, text string")
+    got = decontamination.with_contamination(docs, spark.createDataFrame(items, "item_id string, text string"), "d", block_chars=1000).select("d.*").collect()[0]
+    assert (got.n_items, got.n_hit, got.contaminated) == (50, 10, True)
+    assert got.items_sha256 == hashlib.sha256(",".join(i for i, _ in items).encode()).hexdigest()
+
+
 def test_hit_spans_lie_in_the_original_text(spark):
     docs = frame(spark, ["é, Two Words! then two;words again"])
     bench = spark.createDataFrame([(1, "two words")], "item_id long, text string")
