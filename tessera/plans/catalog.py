@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import schemas
 from tessera.functions import dates, json_ops, paths, text, vectors
 from tessera.operators import context, graph, registry, search, state, study
 from tessera.plans import domain as D
@@ -739,3 +740,100 @@ def latex_texts(spark, sf):
     r"""delimiters of formulas."""
     t = F.concat(F.lit(r"\( "), F.col("p_name"), F.lit(r" \) and \["), F.col("p_brand"), F.lit(r"\], \( \)"))
     return D.table(spark, sf, "part").select("p_partkey", text.latex_delimiters(t).alias("shown"))
+
+
+# --- functions on derived columns -------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 3 THEN strftime(o_orderdate, '%Y-%m-%d') END AS made, strftime(make_timestamp(CAST(o_orderkey AS BIGINT) * 86461 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS at FROM orders")
+def pdf_and_unix_times(spark, sf):
+    """Dates of PDF headers (a month 13 is none), Unix seconds as text."""
+    k = F.col("o_orderkey")
+    raw = F.when(k % 4 == 3, "D:20241301000000").otherwise(F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("120000+01'00'")))
+    return D.table(spark, sf, "orders").select("o_orderkey", dates.pdf_date(raw).alias("made"), dates.iso_time(k * 86461).alias("at"))
+
+
+@query("""SELECT c_custkey, '{"workspace_id":' || c_nationkey || ',"relative_path":"' || c_name || '"}' AS payload, c_nationkey AS workspace_back, c_name AS path_back FROM customer""")
+def event_payload_round_trip(spark, sf):
+    """K1/K2/K4: payloads written and read back."""
+    made = D.table(spark, sf, "customer").select("c_custkey", json_ops.payload(workspace_id=F.col("c_nationkey"), relative_path=F.col("c_name")).alias("payload"))
+    return made.select("c_custkey", "payload", json_ops.payload_long(F.col("payload"), "workspace_id").cast("int").alias("workspace_back"), json_ops.payload_text(F.col("payload"), "relative_path").alias("path_back"))
+
+
+@query("SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 4096 ELSE s_nationkey * 100 + 512 END AS INTEGER) AS context_length FROM supplier")
+def model_context_lengths(spark, sf):
+    """K5: context length from a model's description; 4096 where it has none."""
+    info = F.when(F.col("s_suppkey") % 3 == 0, '{"general.name": "m"}').otherwise(F.concat(F.lit('{"general.name": "m", "arch.context_length": '), (F.col("s_nationkey") * 100 + 512).cast("string"), F.lit("}")))
+    return D.table(spark, sf, "supplier").select("s_suppkey", json_ops.context_length(info).alias("context_length"))
+
+
+@query("SELECT s_suppkey, array_to_string(CASE s_suppkey % 4 WHEN 0 THEN ['TextGeneration'] WHEN 1 THEN ['TextGeneration', 'Vision'] WHEN 2 THEN ['TextGeneration', 'Embedding'] ELSE ['TextGeneration', 'Vision', 'Tools'] END, ',') AS capabilities FROM supplier")
+def model_capabilities(spark, sf):
+    """What models can do, as they say or as their families tell."""
+    k = F.col("s_suppkey") % 4
+    said = F.when(k == 3, F.array(F.lit("Vision"), F.lit("tools")))
+    families = F.when(k == 1, F.array(F.lit("Llava"))).when(k == 2, F.array(F.lit("nomic-bert"))).otherwise(F.array(F.lit("llama")))
+    return D.table(spark, sf, "supplier").select("s_suppkey", F.array_join(json_ops.capabilities(said, families), ",").alias("capabilities"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'blank key' WHEN p_partkey % 5 = 1 THEN 'unknown scope' WHEN p_partkey % 5 = 2 THEN 'workspace scope without workspace' WHEN p_partkey % 5 = 3 THEN 'global scope with workspace' ELSE '' END AS errors FROM part""")
+def setting_checks(spark, sf):
+    """What is wrong with settings rows."""
+    k = F.col("p_partkey") % 5
+    key = F.when(k == 0, " ").otherwise(F.col("p_name"))
+    scope = F.when(k == 1, "elsewhere").when(k.isin(2, 4), "workspace").otherwise("global")
+    workspace = F.when(k.isin(1, 3, 4), F.col("p_partkey"))
+    return D.table(spark, sf, "part").select("p_partkey", F.array_join(schemas.setting_errors(key, F.lit("string"), scope, workspace), ",").alias("errors"))
+
+
+@query("SELECT id, status, status IN ('queued', 'running', 'succeeded', 'failed', 'cancelled') AS known FROM jobs", "jobs")
+def job_domains(spark, sf):
+    """Values of a closed domain; an unknown one would stop the query."""
+    return D.jobs(spark, sf).select("id", schemas.checked(F.col("status"), "job_status").alias("status"), schemas.in_domain(F.col("status"), "job_status").alias("known"))
+
+
+@query("""SELECT path, kind, 'File' || kind AS event_type, kind <> 'Deleted' AS makes_job, count(*) AS n FROM (SELECT path, list_reduce(list_prepend('', list(kind ORDER BY at_ms, seq)), lambda p, k: CASE k WHEN 'Created' THEN 'Added' WHEN 'Modified' THEN CASE WHEN p = 'Added' THEN 'Added' ELSE 'Updated' END ELSE CASE WHEN p = 'Added' THEN '' ELSE 'Deleted' END END) AS kind
+FROM (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY at_ms, seq ROWS UNBOUNDED PRECEDING) AS burst FROM (SELECT *, CASE WHEN at_ms - lag(at_ms) OVER (PARTITION BY path ORDER BY at_ms, seq) < 3600000 THEN 0 ELSE 1 END AS fresh FROM ch)) GROUP BY path, burst) WHERE kind <> '' GROUP BY 1, 2""", "ch")
+def change_event_counts(spark, sf):
+    """Events and index jobs that debounced changes make."""
+    c = debounce.debounced(D.changes(spark, sf), 3_600_000)
+    made = events.change_events(c, 1).select(json_ops.payload_long(F.col("payload"), "relative_path").alias("path"), "event_type", F.lit(0).alias("job"))
+    jobs = events.change_jobs(c, 1).select(json_ops.payload_long(F.col("payload"), "relative_path").alias("path"), F.lit(None).cast("string").alias("event_type"), F.lit(1).alias("job"))
+    both = made.groupBy("path", "event_type").agg(F.count("*").alias("n"))
+    with_jobs = jobs.select("path").distinct().withColumn("held", F.lit(True))
+    kind = F.regexp_replace("event_type", "^File", "")
+    return both.join(with_jobs, "path", "left").select("path", kind.alias("kind"), "event_type", (F.coalesce("held", F.lit(False)) & (kind != "Deleted")).alias("makes_job"), "n")
+
+
+@query("SELECT node_id, min(label) AS label FROM (SELECT e.from_node_id AS node_id, a.label FROM e JOIN n a ON a.node_id = e.from_node_id UNION ALL SELECT e.to_node_id, b.label FROM e JOIN n b ON b.node_id = e.to_node_id) GROUP BY 1", "e n")
+def edge_end_nodes(spark, sf):
+    """The distinct nodes of labelled edges."""
+    n = D.nodes(spark, sf).select("node_id", "label")
+    e = D.edges(spark, sf).join(n.select(F.col("node_id").alias("from_node_id"), F.col("label").alias("from_label")), "from_node_id").join(n.select(F.col("node_id").alias("to_node_id"), F.col("label").alias("to_label")), "to_node_id")
+    return graph.edge_ends(e)
+
+
+@query("SELECT DISTINCT node_id, document_id FROM src", "src")
+def recorded_sources(spark, sf):
+    """U4: sources of nodes as a set, however often they are recorded."""
+    s = D.node_sources(spark, sf)
+    return graph.recorded_sources(s.filter("document_id % 3 <> 0"), s.filter("document_id % 2 = 0 OR document_id % 3 = 0"))
+
+
+@query(_with("kwr", " x AS (SELECT query_id, query, array_to_string(list('[' || n || '] (source: document ' || document_id || ')' || chr(10) || text_content ORDER BY n), chr(10) || chr(10)) AS ctx FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS n FROM kwr WHERE rank <= 5) GROUP BY 1, 2)",
+f"SELECT query_id, sha256('SYSTEM' || chr(10) || chr(10) || '{text.REVIEW}' || chr(10) || chr(10) || '{text.MATHS}' || r || 'SOURCES' || chr(10) || chr(10) || ctx || r || 'QUESTION' || chr(10) || chr(10) || query || r || 'REPLY' || chr(10) || chr(10) || 'Write the answer only.') AS prompt_sha FROM (SELECT *, chr(10) || chr(10) || '---' || chr(10) || chr(10) AS r FROM x)"))
+def research_prompts(spark, sf):
+    """F16: prompts of labelled sources."""
+    hits = search.keyword_hits(D.chunks(spark, sf), D.questions(spark, sf), limit=5)
+    named = F.struct("chunk_id", F.concat(F.lit("document "), F.col("document_id").cast("string")).alias("label"), F.col("text_content").alias("text"))
+    listed = F.transform(F.array_sort(F.collect_list(named)), lambda x: F.struct(x["label"].alias("label"), x["text"].alias("text")))
+    return hits.groupBy("query_id", "query").agg(listed.alias("hits")).select("query_id", F.sha2(text.research_prompt(F.col("query"), F.col("hits")), 256).alias("prompt_sha"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE '{\"name\": \"' || p_name || '\"}' END AS inside, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE '{\"name\": \"' || p_name || '\"}' END AS object FROM part")
+def fenced_texts(spark, sf):
+    """what stands in a code fence, and the first object in it."""
+    body = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat(F.lit('{"name": "'), F.col("p_name"), F.lit('"}')))
+    fenced = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    inside = text.without_fence(fenced)
+    return D.table(spark, sf, "part").select("p_partkey", inside.alias("inside"), text.first_object(inside).alias("object"))

@@ -1,4 +1,7 @@
-"""Small cases of the column functions and parsers."""
+"""Small cases of the column functions and parsers.
+
+Inputs and expected values are fixed values of the domain, given with it.
+"""
 
 import pytest
 from pyspark.sql import functions as F
