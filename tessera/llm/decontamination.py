@@ -140,7 +140,7 @@ def spans(text: str, marks: np.ndarray) -> list[tuple[int, int]]:
 def with_contamination(docs: DataFrame, benchmark: DataFrame, out_col: str = "contamination", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with a struct of counts, digest, flag and original places of the hits.
 
-    Texts never move. ``benchmark`` is the stated query set and is read in blocks.
+    Texts never move; a column named ``out_col`` is replaced. ``benchmark`` is the stated query set and is read in blocks.
     """
     items = ((r[0], r[1]) for r in benchmark.select(F.col(f"`{item_id_col}`"), F.col(f"`{item_text_col}`")).toLocalIterator())
     blocks = item_blocks(items, window, block_chars)

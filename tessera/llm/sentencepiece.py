@@ -207,7 +207,7 @@ def encoder(model_path: str, check: bool = True) -> AgendaEncoder:
 
 
 def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Add the ids of every text (end id included) as an array column."""
+    """Add the ids of every text (end id included) as an array column; one of that name is replaced."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -220,7 +220,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", ids_col: str
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """Add the text of every array of ids."""
+    """Add the text of every array of ids; a column of that name is replaced."""
 
     @F.pandas_udf(T.StringType())
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
