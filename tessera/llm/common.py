@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,18 +44,25 @@ def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFram
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    write(df, path)
     if paths is not None:
         paths.append(path)
-    forget_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files that no plan refers to any more: it finds them when
-    the driver collects garbage, which a mostly idle driver seldom does on its own."""
-    gc.collect()
-    spark._jvm.System.gc()
+#: Setting by which Spark removes a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str, *partition_by: str) -> None:
+    """Write Parquet; the shuffle files behind it go when it is done, since it is reread from ``path``."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import delete, entering, forget_shuffles, shared_dir, slices, stored, trim
+from tessera.llm.common import delete, entering, shared_dir, slices, stored, trim, write
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -226,7 +226,6 @@ def document_frequencies(blocks: DataFrame) -> DataFrame:
     """block, part, df: for the shingles that each block sent to each part, in its order, their counts over all blocks."""
 
     def count(table: pa.Table) -> pa.Table:
-        entering("near_dedup")
         sizes, values, counts = [], [], []
         for h, n in zip(table.column("hashes").to_pylist(), table.column("counts").to_pylist(), strict=True):
             wide = np.zeros((len(h) // SENT, 8), dtype=np.uint8)
@@ -409,7 +408,6 @@ def _local_links(rows: DataFrame, texts: DataFrame, n_texts: int, least: float,
     """
 
     def compare(table: pa.Table) -> pa.Table:
-        entering("near_dedup")
         held = sorted(zip(*[table.column(c).to_pylist() for c in ("node", "label", "text", "df")], strict=True), key=lambda r: r[0])
         nodes = [r[0] for r in held]
         vectors = [vector(r[2], r[3], n_texts, shingle) for r in held]
@@ -422,7 +420,6 @@ def _local_links(rows: DataFrame, texts: DataFrame, n_texts: int, least: float,
                     a.append(nodes[j])
                     b.append(nodes[i])
                     group[group == group[j]] = group[i]
-        trim()
         return pa.table({"a": pa.array(a, type=pa.int64()), "b": pa.array(b, type=pa.int64())})
 
     joined = rows.join(texts.select("node", "text", "df"), "node").select("h", "p", "q", "node", "label", "text", "df")
@@ -488,8 +485,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, shingle:
     # Texts and blocks' shingles are made in one pass and kept apart: the shingles go once they are counted.
     made = packed(distinct_texts(docs, id_col, text_col), n_parts, shingle)
     path = f"{shared_dir(spark)}/dedup-blocks-{uuid.uuid4().hex}"
-    made.withColumn("kind", F.when(F.col("part").isNull(), "texts").otherwise("shingles")).write.partitionBy("kind").parquet(path)
-    forget_shuffles(spark)
+    write(made.withColumn("kind", F.when(F.col("part").isNull(), "texts").otherwise("shingles")), path, "kind")
     paths.append(path)
     # A table without rows has no folders: the whole is read, and pruned to one folder by its kind.
     blocks = spark.read.schema(T.StructType([*made.schema, T.StructField("kind", T.StringType())])).parquet(path)
