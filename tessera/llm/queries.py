@@ -126,9 +126,46 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import filter_audit
+
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d
+), l AS (
+  SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic FROM labels GROUP BY 1
+), f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+    100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(first < w.doc_id, false)] AS fails
+  FROM w LEFT JOIN l USING (doc_id)
+), n AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL
+), s AS (
+  SELECT unnest([1, 2, 3, 4, 5]) AS i
+), o AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM s a, s b, s c, s d, s e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), g AS (
+  SELECT part, array_to_string(list_transform(o, lambda x: 'ABCDE'[x]), '') AS filter_order, i AS step, o[i] AS f, fails[o[i]] AS failing,
+    len(list_filter(o[1:i-1], lambda x: fails[x])) > 0 AS gone, len(list_filter(fails, lambda x: x)) = 1 AS alone, n, good, toxic
+  FROM n, o, s
+), r AS (
+  SELECT part, filter_order, step, f, CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND NOT failing), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE NOT gone AND failing), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (WHERE gone AND failing), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (WHERE failing AND alone), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (WHERE NOT gone AND failing), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (WHERE NOT gone AND failing), 0) AS BIGINT) AS toxic_lost
+  FROM g GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_pii, op4_decontamination, op5_tool_calls, op6_html_extraction, op7_nearest_neighbours, op8_near_duplicates, op9_token_files, op10_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_pii, op4_decontamination, op5_tool_calls, op6_html_extraction, op7_nearest_neighbours, op8_near_duplicates, op9_token_files, op10_token_counts, op11_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_tool_calls": OP5_SQL}
+    return {"op5_tool_calls": OP5_SQL, "op11_filter_audit": OP11_SQL}
