@@ -163,9 +163,38 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 """
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import lexical_search
+
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), n AS (
+  SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0
+), t AS (
+  SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d
+), c AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM t GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM c, n GROUP BY term, docs
+), q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * c.n * docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN c USING (term), n GROUP BY 1, 2
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_pii, op4_decontamination, op5_tool_calls, op6_html_extraction, op7_nearest_neighbours, op8_near_duplicates, op9_token_files, op10_token_counts, op11_filter_audit)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_pii, op4_decontamination, op5_tool_calls, op6_html_extraction, op7_nearest_neighbours, op8_near_duplicates, op9_token_files, op10_token_counts, op11_filter_audit, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_tool_calls": OP5_SQL, "op11_filter_audit": OP11_SQL}
+    return {"op5_tool_calls": OP5_SQL, "op11_filter_audit": OP11_SQL, "op13_lexical_search": OP13_SQL}

@@ -34,8 +34,8 @@ def failures(rows):
 def brute(rows, labels):
     """All orders applied by removing documents one filter at a time. rows: (id, text, lang)."""
     failed = failures([(i, t) for i, t, _ in rows])
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, x in labels if x == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, x in labels if x == 1 and i is not None}
     found, shapley = {}, Counter()
     for part in {lang or "" for _, _, lang in rows}:
         own = [(r[0], f) for r, f in zip(rows, failed, strict=True) if (r[2] or "") == part]
