@@ -163,6 +163,13 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 """
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import suffix_dedup
+
+    columns = [F.col("doc_id"), F.col("n_bytes"), F.col("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), select=columns)
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import lexical_search
 
@@ -193,7 +200,7 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_pii, op4_decontamination, op5_tool_calls, op6_html_extraction, op7_nearest_neighbours, op8_near_duplicates, op9_token_files, op10_token_counts, op11_filter_audit, op13_lexical_search)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_pii, op4_decontamination, op5_tool_calls, op6_html_extraction, op7_nearest_neighbours, op8_near_duplicates, op9_token_files, op10_token_counts, op11_filter_audit, op12_suffix_dedup, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
