@@ -5,11 +5,13 @@ fixed patterns and checks and always stay. High-recall generators propose furthe
 spans (``email_like``, ``number_like``, ``secret``); each carries small whole-number features of
 its format and context. The features of all proposals are counted by one aggregation, which gives
 at most as many rows as there are feature combinations; boosted trees are fitted to those counts
-and turned into a column expression. Labels are weak ones: a number-like proposal counts as
-personal if it covers a span that passed a base check, an email-like one if its parts make a
-domain name, a secret if its value mixes letters and digits. Trees are fitted to one half of the
+and turned into a column expression. Only proposals that touch no base span can be selected, and
+only those are learnt from. Labels are weak ones: a number-like proposal counts as personal if it
+stands free (no letter or digit beside it) and either follows a cue with 7 to 15 digits, or is
+written like a national telephone or social security number; an email-like one if its parts make a
+domain name; a secret if its value mixes letters and digits. Trees are fitted to one half of the
 proposals (by a hash of their text); a threshold for each kind is calibrated on the other half to a
-wanted precision; proposals beyond it that touch no base span are added.
+wanted precision. Of proposals beyond it that overlap, the one furthest beyond it is added.
 
 A text may hold any number of matches: places are sums over blocks of about the square root of their
 number, and overlaps are looked for in the blocks of spans that reach the place.
@@ -44,12 +46,15 @@ PATTERNS = {
     "card": ("", r"[0-9](?:[\x20-]?+[0-9])++"),
     "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
     "email_like": ("at", r"(?i)(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++\x20?+[(\[{]at[)\]}]\x20?+[A-Za-z0-9-]++(?:\x20?(?:\.|[(\[{]dot[)\]}])\x20?[A-Za-z0-9-]++)++"),
-    "number_like": ("", r"\+?+[0-9](?:[\x20()./-]{0,2}+[0-9]){6,}+"),
+    "number_like": ("", r"\+?+\(?+[0-9](?:[\x20()./-]{0,2}+[0-9]){6,}+"),
     "secret": ("=", r"(?i)\b(?:token|password|passwd|pwd|secret|api[_-]?+key|access[_-]?+key)\x20?+=\x20?+[\"']?+[A-Za-z0-9_./+-]{8,}+[\"']?+"),
 }
 _OCTET = "0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 _CUE = r"(?i)(?:call|tel|phone|fax|mobile|card|visa|account|iban|ssn|id|mail|contact|reach|token|password|key|secret)\b[^\n]{0,12}$"
 
+#: (545) 555-9193, 545-555-9193, 078-05-1120. Fixed values.
+_NATIONAL = r"^(?:\([0-9]{2,5}\)\x20?[0-9]{3,4}[\x20.-][0-9]{3,4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})$"
+
 FEATURES = ("kind", "digits", "size", "signs", "plus", "paren", "cue", "left", "right")
 
 
@@ -71,6 +76,11 @@ def _matches(df: DataFrame, kinds: tuple[str, ...], text: str) -> DataFrame:
     return df.drop(*[f"__tessera_{x}_{k}" for x in "mplba" for k in kinds])
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _width(n: Column) -> Column:
     """Size of a block where there are ``n`` things."""
     return F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
@@ -179,15 +189,16 @@ def _side(char: Column) -> Column:
 def _proposal(x: Column, blocks: Column) -> Column:
     """A proposal with its features, weak label, half, and whether it touches a base span."""
     d = F.length(_digits(x["m"]))
+    free = (_side(F.right(x["before"], F.lit(1))) != 1) & (_side(x["after"]) != 1)
     label = (
-        F.when(x["kind"] == KINDS.index("number_like"), _some(blocks, x, lambda b: (b["s"] >= x["s"]) & (b["e"] <= x["e"])))
+        F.when(x["kind"] == KINDS.index("number_like"), free & ((x["before"].rlike(_CUE) & d.between(7, 15)) | x["m"].rlike(_NATIONAL)))
         .when(x["kind"] == KINDS.index("email_like"), x["m"].rlike(r"[A-Za-z]{2,}$"))
         .otherwise(x["m"].rlike("[=].*[0-9]") & x["m"].rlike("[=].*[A-Za-z]"))
     )
     return F.struct(
         x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), label.alias("label"), F.pmod(F.xxhash64(x["m"]), F.lit(2)).cast("int").alias("half"),
         _some(blocks, x, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])).alias("touches"),
-        _bucket(d, 4, 7, 10, 12, 16, 20).alias("digits"),
+        _bucket(d, 1, 4, 7, 10, 12, 16, 20).alias("digits"),
         _bucket(F.length(x["m"]), 9, 13, 17, 25, 41).alias("size"),
         _bucket(F.length(F.regexp_replace(x["m"], r"[\p{L}0-9]", "")), 1, 2, 4, 7).alias("signs"),
         x["m"].startswith("+").cast("int").alias("plus"),
@@ -206,7 +217,7 @@ def with_spans(df: DataFrame, text_col: str = "text") -> DataFrame:
     wide = F.concat(*[F.col(f"__tessera_{k}") for k in ADDED_KINDS])
     df = df.withColumn("__tessera_sorted", F.array_sort(F.transform("__tessera_base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))))
     df = df.withColumn("__tessera_near", _blocked(F.col("__tessera_sorted")))
-    df = df.withColumn("__tessera_more", F.transform(wide, lambda x: _proposal(x, F.col("__tessera_near"))))
+    df = df.withColumn("__tessera_more", _let(F.col("__tessera_near"), lambda near: F.transform(wide, lambda x: _proposal(x, near))))
     return df.drop("__tessera_text", "__tessera_near", "__tessera_sorted", *[f"__tessera_{k}" for k in KINDS])
 
 
@@ -230,12 +241,12 @@ class SpanModel:
             out = out + grow(tree)
         return out
 
-    def selected(self, x: Column) -> Column:
-        """Whether a proposal reaches its kind's threshold."""
-        out = F.lit(False)
+    def surplus(self, x: Column) -> Column:
+        """By how much a proposal's margin is over its kind's threshold; null where its kind has none."""
+        own = F.lit(None).cast("double")
         for kind, threshold in self.thresholds.items():
-            out = out | ((x["kind"] == kind) & (self.expression(x) >= threshold))
-        return out
+            own = F.when(x["kind"] == kind, F.lit(threshold)).otherwise(own)
+        return self.expression(x) - own
 
 
 def boost(values: np.ndarray, n: np.ndarray, positive: np.ndarray, rounds: int = 30, rate: float = 0.3, depth: int = 3) -> list[tuple]:
@@ -274,9 +285,9 @@ def _walk(node: tuple, row: np.ndarray) -> float:
 
 
 def fit(spans: DataFrame, precision: float = PRECISION) -> SpanModel:
-    """A model from the counts of all proposals' features (at most one row for each combination)."""
+    """A model from the counts of the features of all proposals that can be selected (at most one row for each combination)."""
     # The outer form: a filter inferred from a plain one would be computed from the text on its own.
-    x = spans.select(F.explode_outer("__tessera_more").alias("x")).filter("x IS NOT NULL")
+    x = spans.select(F.explode_outer("__tessera_more").alias("x")).filter("x IS NOT NULL AND NOT x.touches")
     counted = x.groupBy(*[F.col(f"x.{f}").alias(f) for f in (*FEATURES, "half")]).agg(F.count("*").alias("n"), F.sum(F.col("x.label").cast("int")).alias("positive")).collect()
     if not counted:
         return SpanModel([], {})
@@ -301,11 +312,24 @@ def fit(spans: DataFrame, precision: float = PRECISION) -> SpanModel:
     return SpanModel(trees, thresholds)
 
 
+def _best(candidates: Column) -> Column:
+    """Of candidates in order of start those that no overlapping one surpasses; ties: the earlier, then the longer one."""
+    def place(x: Column) -> Column:
+        return F.struct(x["surplus"], -x["s"], x["e"], x["kind"])
+
+    def kept(c: Column) -> Column:
+        return _let(_blocked(c), lambda k: F.filter(c, lambda x: ~_some(k, x, lambda y: (y["s"] < x["e"]) & (y["e"] > x["s"]) & (place(y) > place(x)))))
+
+    return _let(candidates, kept)
+
+
 def chosen(model: SpanModel) -> Column:
     """All spans of a row of :func:`with_spans`: base ones and the selected others, by kind and start."""
     base = F.col("__tessera_base")
-    extra = F.filter("__tessera_more", lambda x: ~x["touches"] & model.selected(x))
-    return F.concat(base, F.transform(extra, _place))
+    scored = F.transform(F.filter("__tessera_more", lambda x: ~x["touches"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), model.surplus(x).alias("surplus")))
+    best = _best(F.array_sort(F.filter(scored, lambda x: F.coalesce(x["surplus"] >= 0, F.lit(False)))))
+    ordered = F.array_sort(F.transform(best, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"))))
+    return F.concat(base, ordered)
 
 
 def _named(x: Column) -> Column:
@@ -320,7 +344,11 @@ def digest(spans: DataFrame, model: SpanModel, id_col: str = "doc_id") -> DataFr
 
 
 def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by ``[KIND]``; overlapping spans become one."""
+    """``docs`` with every span replaced by ``[KIND]``; overlapping spans become one.
+
+    A condition on the new text is not pushed below it: each layer here names the one before several
+    times, so that the text would be put into the condition as an expression of exponential size. The
+    text therefore depends on a row number, which Spark does not move conditions across."""
     df = with_spans(docs, text_col).withColumn("__tessera_all", F.array_sort(F.transform(chosen(model), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))))
     text, spans = F.col(f"`{text_col}`"), F.col("__tessera_all")
     width = _width(F.size(spans))
@@ -354,4 +382,5 @@ def redact(docs: DataFrame, model: SpanModel, text_col: str = "text") -> DataFra
 
     done = F.array_join(F.transform("__tessera_heads", piece), "")
     rest = F.substring(text, F.array_max("__tessera_his") + 1, F.lit(2**31 - 1))
-    return df.withColumn(text_col, F.when(F.col("__tessera_parts").isNotNull(), F.concat(done, rest)).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    fence = F.monotonically_increasing_id() >= 0
+    return df.withColumn(text_col, F.when(fence & F.col("__tessera_parts").isNotNull(), F.concat(done, rest)).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
