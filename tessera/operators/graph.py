@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import string
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import numbering
+
 RELATIONS = ("prerequisite-of", "related-to", "part-of")
 
 
@@ -72,10 +74,17 @@ def edge_ends(edges: DataFrame) -> DataFrame:
     return ends.groupBy("x.node_id").agg(F.min("x.label").alias("label"))
 
 
+def inserted_nodes(extracted: DataFrame, existing: DataFrame) -> DataFrame:
+    """The new nodes of extracted labels with ids of their own, gap-free above those held, in order of
+    workspace and label."""
+    top = existing.agg(F.max("node_id").alias("n")).first().n or 0
+    fresh = new_nodes(extracted, existing)
+    return numbering.numbered(fresh, [F.col("workspace_id"), F.col("label")], "node_id", top)
+
+
 def circular_layout(nodes: DataFrame, width: float = 800.0, height: float = 600.0, margin: float = 60.0) -> DataFrame:
     """Nodes of each workspace on a circle in order of their id, from the top on."""
-    own = Window.partitionBy("workspace_id")
-    k = F.row_number().over(own.orderBy("node_id")) - 1
-    angle = 2 * math.pi * k / F.count("*").over(own) - math.pi / 2
+    placed = numbering.ranked_within(nodes, ["workspace_id"], [F.col("node_id")], "__k", "__n")
     radius = min(width, height) / 2 - margin
-    return nodes.withColumn("angle", angle).withColumns({"x": F.cos("angle") * radius + width / 2, "y": F.sin("angle") * radius + height / 2})
+    placed = placed.withColumn("angle", 2 * math.pi * (F.col("__k") - 1) / F.col("__n") - math.pi / 2)
+    return placed.withColumns({"x": F.cos("angle") * radius + width / 2, "y": F.sin("angle") * radius + height / 2}).drop("__k", "__n")

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.text import rerank_score, search_snippet, tokens
 from tessera.functions.vectors import DIMENSIONS, TokenHasher
+from tessera.operators import numbering
 
 KEYWORD_WEIGHT, VECTOR_WEIGHT = 0.4, 0.6
 POOL_FACTOR = 3
@@ -173,6 +174,13 @@ def ranked_hits(chunks: DataFrame, queries: DataFrame, limit: int, kind: str = "
     return ranked(hits, ["query_id", "group"], limit).withColumnRenamed("group", by or "group")
 
 
+def merged_workspaces(hits: DataFrame) -> DataFrame:
+    """The hits of several workspaces in one order for each query: by score, and at equal scores as the
+    workspaces and their ranks stand."""
+    order = [F.col("score").desc(), F.col("workspace_id"), F.col("rank")]
+    return numbering.ranked_within(hits, ["query_id"], order, "place")
+
+
 def hybrid_hits(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """Rank, query_id, chunk_id, score of the best ``POOL_FACTOR * limit`` hits of each query, merged
     from as many of each kind; one pass over the chunks finds both."""

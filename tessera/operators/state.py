@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import numbering
 from tessera.operators.chunking import capped
 
 
@@ -27,6 +28,16 @@ def upsert(snapshot: DataFrame, delta: DataFrame, keys: list[str], version: str
     return old.join(marked, same, "full_outer").select(*[F.when(F.col("__new"), F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in columns])
 
 
+def upsert_by_id(snapshot: DataFrame, delta: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """M1/M5: delta rows without an id (null or 0) are inserted under new ids, gap-free above all ids that either
+    side names, in the given order of the delta; rows of a known id take its place, those of an unknown id
+    are inserted with it."""
+    named = F.coalesce(F.col(key), F.lit(0)) != 0
+    top = snapshot.select(key).union(delta.select(key)).agg(F.max(key).alias("n")).first().n or 0
+    fresh = numbering.numbered(delta.filter(~named).drop(key), order, key, top).select(*snapshot.columns)
+    return upsert(snapshot, delta.filter(named).select(*snapshot.columns), [key]).unionByName(fresh)
+
+
 def replace_rows(snapshot: DataFrame, delta: DataFrame, key: str) -> DataFrame:
     """M8: all rows of the delta's keys are replaced by the delta's."""
     return snapshot.join(delta.select(key).distinct(), key, "left_anti").select(*snapshot.columns).unionByName(delta.select(*snapshot.columns))

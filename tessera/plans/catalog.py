@@ -228,6 +228,14 @@ def retrieve_multi_workspace(spark, sf):
     return hits.select("query_id", "workspace_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query("""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, workspace_id, rank) AS place, workspace_id, chunk_id, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, workspace_id ORDER BY score DESC, chunk_id) AS rank FROM kw) WHERE rank <= 30""", "kw")
+def multi_workspace_order(spark, sf):
+    """The pools of all workspaces (three times a limit of ten) merged into one order for each query."""
+    hits = search.ranked_hits(D.chunks(spark, sf), D.questions(spark, sf), search.POOL_FACTOR * 10, by="workspace_id")
+    return search.merged_workspaces(hits).select("query_id", "place", "workspace_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
 @query(f"""SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {RERANK} DESC, score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, round({RERANK}, 6) AS score FROM kwr WHERE rank <= 15""", "kwr")
 def rerank_topk(spark, sf):
     hits = search.keyword_hits(D.chunks(spark, sf), D.questions(spark, sf), limit=15)
@@ -402,6 +410,15 @@ def graph_label_dedup(spark, sf):
     return graph.new_nodes(p.select("workspace_id", "label"), p.filter("p_partkey % 50 = 0"))
 
 
+@query("""SELECT (SELECT max(p_partkey) FROM part WHERE p_partkey % 50 = 0) + row_number() OVER (ORDER BY workspace_id, label) AS node_id, workspace_id, label FROM (
+SELECT workspace_id, min(label) AS label FROM (SELECT p_size % 5 AS workspace_id, p_name || ' ' || p_partkey % 97 AS label, lower(trim(p_name || ' ' || p_partkey % 97)) AS k FROM part) x WHERE (workspace_id, k) NOT IN (SELECT p_size % 5, lower(trim(p_name || ' ' || p_partkey % 97)) FROM part WHERE p_partkey % 50 = 0) GROUP BY workspace_id, k)""")
+def graph_new_nodes(spark, sf):
+    """Extracted labels that the graph lacks, with new ids."""
+    label = F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 97).cast("string"))
+    p = D.table(spark, sf, "part").select(F.col("p_partkey").alias("node_id"), (F.col("p_size") % 5).alias("workspace_id"), label.alias("label"))
+    return graph.inserted_nodes(p.select("workspace_id", "label"), p.filter("node_id % 50 = 0")).select("node_id", "workspace_id", "label")
+
+
 @query("SELECT from_node_id, to_node_id, relation_type FROM e WHERE from_node_id % 2 = 1", "e")
 def edge_anti_insert(spark, sf):
     e = D.edges(spark, sf)
@@ -684,6 +701,18 @@ def registry_upsert(spark, sf):
     return state.upsert(held, m.filter("pos % 4 = 0").select("model_identifier", "engine_role", F.lit("updated").alias("status")), ["model_identifier", "engine_role"])
 
 
+@query("""SELECT pos AS id, model_identifier, CASE WHEN pos % 5 = 0 THEN 'updated' ELSE 'held' END AS status FROM m WHERE pos % 3 <> 0
+UNION ALL SELECT pos, model_identifier, 'given' FROM m WHERE pos % 3 = 0 AND pos % 2 = 1
+UNION ALL SELECT (SELECT max(pos) FROM m WHERE pos % 6 <> 0) + row_number() OVER (ORDER BY pos), model_identifier, 'new' FROM m WHERE pos % 6 = 0""", "m")
+def registry_new_ids(spark, sf):
+    """M5: entries of id 0 get new ids, known ids are updated, unknown ones inserted as given."""
+    m = D.models(spark, sf).select("pos", "model_identifier")
+    held = m.filter("pos % 3 <> 0").select(F.col("pos").alias("id"), "model_identifier", F.lit("held").alias("status"))
+    updated = m.filter("pos % 3 <> 0 AND pos % 5 = 0").select(F.col("pos").alias("id"), "model_identifier", F.lit("updated").alias("status"), "pos")
+    other = m.filter("pos % 3 = 0").select(F.when(F.col("pos") % 2 == 1, F.col("pos")).otherwise(0).alias("id"), "model_identifier", F.when(F.col("pos") % 2 == 1, "given").otherwise("new").alias("status"), "pos")
+    return state.upsert_by_id(held, updated.union(other), "id", [F.col("pos")])
+
+
 @query("SELECT document_id, chunk_id, 'old' AS state FROM c WHERE document_id % 3 <> 0 UNION ALL SELECT document_id, chunk_id, 'new' FROM c WHERE document_id % 3 = 0 AND sequence_index < 2", "c")
 def rechunked_documents(spark, sf):
     """M8: the chunks of re-indexed documents are replaced as a whole."""
