@@ -11,8 +11,8 @@ from tessera import schemas
 from tessera.functions import dates, json_ops, paths, text, vectors
 from tessera.operators import context, graph, registry, search, state, study
 from tessera.plans import domain as D
-from tessera.sources import parsers
-from tessera.streaming import debounce, events
+from tessera.sources import parsers, staging
+from tessera.streaming import debounce, events, log, runs, worker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -495,6 +495,55 @@ def debounce_changes(spark, sf):
     return debounce.debounced(D.changes(spark, sf), 3_600_000)
 
 
+@query(SQL["debounce_changes"])
+def debounce_changes_stream(spark, sf):
+    """R2: the same as a stream over eight files in any order, three a batch."""
+    return runs.through(D.changes(spark, sf), "at_ms", lambda rows: debounce.debounce_stream(rows, 3_600_000), "debounce", files=8, per_trigger=3)
+
+
+@query("""SELECT workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY at_ms // 3600000, priority DESC, id, attempt) AS place, id, CAST(attempt AS INTEGER) AS attempt,
+CASE WHEN NOT failing THEN 'succeeded' WHEN attempt <= 3 THEN 'queued' ELSE 'failed' END AS status, NOT failing AND k % 4 <> 0 AS enriched,
+CASE WHEN odd THEN 'unrecognized job type ''reindex_all''' WHEN bare THEN 'job ' || id || ': payload missing ''relative_path''' WHEN failing THEN 'file k' || k || ' is busy' END AS error
+FROM (SELECT *, odd OR bare OR attempt <= k % 6 AS failing FROM (SELECT *, unnest(generate_series(1, CASE WHEN odd OR bare THEN 4 ELSE least(k % 6 + 1, 4) END)) AS attempt FROM wj))""", "wj")
+def job_worker(spark, sf):
+    """The attempts of each workspace's worker, as a stream over four files."""
+    return runs.through(D.worker_jobs(spark, sf), "at_ms", lambda rows: worker.work(rows, D.run_job, 3_600_000), "worker", files=4, per_trigger=2)
+
+
+def _event_log(spark, sf, per_trigger=None):
+    """A log over the events (four files, as many batches as ``per_trigger`` makes of them) with two subscribers: jobs of
+    all but errors, and counts by type."""
+    e = D.table(spark, sf, "events").select("event_id", "ts", "event_type", json_ops.payload(workspace_id=F.col("user_id"), props=F.col("props")).alias("payload"))
+    path = staging.new_path(spark, "event-log")
+    e.repartition(4).write.parquet(f"{path}/in")
+    own = log.EventLog(spark, path, e.schema, [F.col("ts"), F.col("event_id")])
+    own.subscribe("jobs", log.to_folder(f"{path}/jobs", lambda b: b.select("id", "event_id", json_ops.payload_long(F.col("payload"), "workspace_id").alias("workspace_id"))), ["signup", "click", "view", "purchase"])
+    own.subscribe("counts", log.to_folder(f"{path}/counts", lambda b: b.groupBy("event_type").agg(F.count("*").alias("n"))))
+    reader = spark.readStream.schema(e.schema)
+    if per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    own.start(reader.parquet(f"{path}/in")).awaitTermination()
+    return own, spark.read.parquet(f"{path}/jobs"), spark.read.parquet(f"{path}/counts")
+
+
+@query("SELECT row_number() OVER (ORDER BY ts, event_id) AS id, event_id, event_type, user_id AS workspace_id FROM events")
+def event_log(spark, sf):
+    """The whole log with its ids, persisted in one batch."""
+    own, _, _ = _event_log(spark, sf)
+    return own.events().select("id", "event_id", "event_type", json_ops.payload_long(F.col("payload"), "workspace_id").alias("workspace_id"))
+
+
+@query("""SELECT 'counts' AS subscriber, event_type AS what, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'jobs', CAST(user_id AS VARCHAR), count(*) FROM events WHERE event_type <> 'error' GROUP BY 2
+UNION ALL SELECT 'log', 'ids without a gap', count(*) FROM events""")
+def event_fanout(spark, sf):
+    """What the subscribers got over several batches, and how many ids there are if they have no gap."""
+    own, jobs, counts = _event_log(spark, sf, per_trigger=1)
+    ids = own.events().agg(F.lit("log").alias("subscriber"), F.when((F.min("id") == 1) & (F.max("id") == F.count("*")), "ids without a gap").otherwise("a gap").alias("what"), F.countDistinct("id").alias("n"))
+    by_type = counts.groupBy(F.lit("counts").alias("subscriber"), F.col("event_type").alias("what")).agg(F.sum("n").alias("n"))
+    by_user = jobs.groupBy(F.lit("jobs").alias("subscriber"), F.col("workspace_id").cast("string").alias("what")).agg(F.count("*").alias("n"))
+    return by_type.unionByName(by_user).unionByName(ids)
+
+
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_windows(spark, sf):
     w = events.windowed_counts(D.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day")

@@ -7,9 +7,12 @@ regions and nations; changes from events; quizzes from labels.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import json_ops
 from tessera.operators import chunking
 
 
@@ -86,6 +89,28 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("path"), kind.alias("kind"), at.alias("at_ms"), F.col("event_id").alias("seq"))
 
 
+def worker_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index jobs of events: errors are of an unknown type, some payloads lack their path."""
+    e = table(spark, sf_dir, "events")
+    k = F.coalesce(json_ops.payload_long(F.col("props"), "k"), F.lit(0))
+    path = F.when(k % 10 != 9, F.concat(F.lit("k"), k.cast("string")))
+    priority = F.when(F.col("event_type") == "purchase", 3).when(F.col("event_type") == "signup", 2).when(F.col("event_type") == "click", 1).otherwise(0)
+    at = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    return e.select(
+        F.col("user_id").alias("workspace_id"), F.col("event_id").alias("id"), F.when(F.col("event_type") == "error", "reindex_all").otherwise("index_document").alias("job_type"),
+        json_ops.payload(workspace_id=F.col("user_id"), relative_path=path).alias("payload"), priority.alias("priority"), F.lit(3).alias("max_retries"), at.alias("at_ms"),
+    )
+
+
+def run_job(payload: str, failures: int) -> tuple[str, str | None]:
+    """A stand-in for indexing: a file of number k is busy k % 6 times, and unchanged where k is a multiple of four."""
+    path = json.loads(payload)["relative_path"]
+    k = int(path[1:])
+    if failures < k % 6:
+        return "failed", f"file {path} is busy"
+    return ("unchanged" if k % 4 == 0 else "indexed"), None
+
+
 CTE = {
     "d": "SELECT doc_id AS document_id, CAST(substr(source, 4) AS BIGINT) AS workspace_id, source || '/' || doc_id || '.txt' AS relative_path, sha256(coalesce(text, '')) AS content_hash, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, coalesce(text, '') AS text FROM documents",
     "ws": "SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS workspace_id, 'Workspace ' || substr(source, 4) AS display_name FROM documents",
@@ -102,6 +127,7 @@ CTE = {
     "src": "SELECT DISTINCT l_partkey AS node_id, l_orderkey AS document_id FROM lineitem",
     "m": "SELECT s_suppkey AS pos, s_name AS model_identifier, CASE s_nationkey % 3 WHEN 0 THEN ['TextGeneration'] WHEN 1 THEN ['TextGeneration', 'Vision'] ELSE ['TextGeneration', 'Embedding'] END AS capabilities, CAST(s_nationkey * 512 + 2048 AS INTEGER) AS context_length, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE (s_suppkey % 70) || 'B' END AS parameter_size FROM supplier",
     "mr": "SELECT *, unnest(CASE WHEN list_contains(capabilities, 'Vision') THEN ['Tutor', 'Reasoning', 'Planner', 'Vision'] WHEN list_contains(capabilities, 'Embedding') THEN ['Tutor', 'Reasoning', 'Planner', 'Embedding'] ELSE ['Tutor', 'Reasoning', 'Planner'] END) AS engine_role FROM m",
+    "wj": "SELECT user_id AS workspace_id, event_id AS id, k, event_type = 'error' AS odd, k % 10 = 9 AS bare, CASE event_type WHEN 'purchase' THEN 3 WHEN 'signup' THEN 2 WHEN 'click' THEN 1 ELSE 0 END AS priority, epoch_us(ts) // 1000 AS at_ms FROM (SELECT *, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k FROM events)",
     "ch": "SELECT user_id AS path, CASE event_type WHEN 'signup' THEN 'Created' WHEN 'error' THEN 'Removed' ELSE 'Modified' END AS kind, epoch_us(ts) // 1000 AS at_ms, event_id AS seq FROM events",
 }
 NEEDS = {"cw": ("d",), "cx": ("cw",), "c": ("cx",), "qt": ("q",), "kw": ("c", "qt"), "kwr": ("kw",), "mr": ("m",)}

@@ -57,41 +57,50 @@ def debounced(changes: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
 
 
 def debounce_stream(changes: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
-    """The same over a stream (path, kind, at_ms, seq) with a watermark on ``at`` (timestamp): state
-    per path in the state store, an event-time timer ends a burst."""
+    """The same over a stream (path, kind, at_ms, seq) with a watermark on ``at`` (the timestamp of ``at_ms``).
+
+    Changes wait in the state store until the watermark has passed them, and are folded in order then,
+    so the outcome does not depend on batches or on the order of arrival; changes later than the
+    watermark are dropped by Spark, changes of no path left out. An event-time timer ends a burst."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class Debounce(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.pending = handle.getValueState("pending", "kind string, at_ms long")
-
-        def _emit(self, key, kind: str, at: int):
-            return pd.DataFrame({"path": [key[0]], "kind": [kind], "at_ms": [at]})
+            self.waiting = handle.getListState("waiting", "at_ms long, seq long, kind string")
 
         def handleInputRows(self, key, rows, timerValues):
-            frame = pd.concat(list(rows)).sort_values(["at_ms", "seq"])
-            held = self.pending.get() if self.pending.exists() else None
-            kind, last = (held[0], held[1]) if held else ("", None)
-            for change, at in zip(frame["kind"], frame["at_ms"], strict=True):
-                if last is not None and at - last >= gap_ms:
-                    if kind:
-                        yield self._emit(key, kind, last)
-                    kind = ""
-                kind, last = next_pending(kind, change), int(at)
-            self.pending.update((kind, last))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(last + gap_ms)
+            arrived = [(int(a), int(s), k) for frame in rows for a, s, k in zip(frame["at_ms"], frame["seq"], frame["kind"], strict=True)]
+            self.waiting.appendList(arrived)
+            self.handle.registerTimer(min(a for a, _, _ in arrived) + gap_ms)
+            return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            if self.pending.exists():
-                kind, last = self.pending.get()
-                self.pending.clear()
-                if kind:
-                    yield self._emit(key, kind, last)
+            passed = timerValues.getCurrentWatermarkInMs()
+            waiting = sorted(tuple(w) for w in self.waiting.get())
+            ready, later = [w for w in waiting if w[0] <= passed], [w for w in waiting if w[0] > passed]
+            kind, last = self.pending.get() if self.pending.exists() else ("", None)
+            done = []
+            for at, _, change in ready:
+                if last is not None and at - last >= gap_ms:
+                    done.append((kind, last))
+                    kind = ""
+                kind, last = next_pending(kind, change), at
+            if last is not None and last + gap_ms <= passed:  # what may still come is later than the burst
+                done.append((kind, last))
+                last = None
+            self.pending.clear() if last is None else self.pending.update((kind, last))
+            if ready:
+                self.waiting.put(later) if later else self.waiting.clear()
+            following = [t for t in (None if last is None else last + gap_ms, later[0][0] + gap_ms if later else None) if t is not None]
+            if following:
+                self.handle.registerTimer(min(following))
+            done = [d for d in done if d[0]]
+            if done:
+                yield pd.DataFrame({"path": [key[0]] * len(done), "kind": [k for k, _ in done], "at_ms": [a for _, a in done]})
 
         def close(self) -> None:
             pass
 
-    return changes.groupBy("path").transformWithStateInPandas(Debounce(), "path string, kind string, at_ms long", "Append", "EventTime")
+    return changes.filter("path IS NOT NULL").groupBy("path").transformWithStateInPandas(Debounce(), f"path {changes.schema['path'].dataType.simpleString()}, kind string, at_ms long", "Append", "EventTime")

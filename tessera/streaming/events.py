@@ -1,4 +1,4 @@
-"""Event log streams (R3-R6, R12, P16) and event-time windows (an addition of this engine)."""
+"""Event streams (R3, R5, R12, P16) and event-time windows (an addition of this engine)."""
 
 from __future__ import annotations
 
@@ -39,19 +39,6 @@ def publish(changes: DataFrame, workspace_id: int, events_path: str, jobs_path:
     return changes.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def work_off(jobs: DataFrame, handle: Callable[[DataFrame], DataFrame], out_path: str, checkpoint: str) -> StreamingQuery:
-    """A stream of jobs through a handler (jobs to outcomes), highest priority first in a batch;
-    jobs of unknown type or payload fail."""
-    def work(batch: DataFrame, number: int) -> None:
-        path = json_ops.payload_text(F.col("payload"), "relative_path")
-        fine = (F.col("job_type") == "index_document") & json_ops.payload_long(F.col("payload"), "workspace_id").isNotNull() & path.isNotNull()
-        done = handle(batch.filter(fine).orderBy(F.desc("priority"), "id"))
-        failed = batch.filter(~F.coalesce(fine, F.lit(False))).select("id", F.lit("failed").alias("status"), F.lit("bad job").alias("error"))
-        done.select("id", "status", "error").unionByName(failed).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-
-    return jobs.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def to_memory(events: DataFrame, name: str) -> StreamingQuery:
     """A stream into a table in memory, for tests."""
     return events.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
