@@ -11,7 +11,7 @@ from tessera import schemas
 from tessera.functions import dates, json_ops, paths, text, vectors
 from tessera.operators import context, graph, registry, search, state, study
 from tessera.plans import domain as D
-from tessera.sources import parsers, staging
+from tessera.sources import parsers, staging, tables
 from tessera.streaming import debounce, events, log, runs, worker
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -762,6 +762,28 @@ def registry_new_ids(spark, sf):
     return state.upsert_by_id(held, updated.union(other), "id", [F.col("pos")])
 
 
+@query("""SELECT vec_id, label, list_sum(list_transform(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda x: CASE WHEN vec_id % 7 = 0 AND vec_id % 5 <> 0 THEN -x ELSE x END))::DECIMAL(18, 4) AS total,
+CASE WHEN vec_id % 3 = 0 THEN 'moved' WHEN vec_id % 7 = 0 THEN 'renewed' ELSE 'kept' END AS state FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id % 7 = 0 AND vec_id % 5 <> 0""")
+def vector_table(spark, sf):
+    """A vector collection is created, upserted, updated and deleted from in four versions."""
+    v = D.table(spark, sf, "embeddings").select("vec_id", "label", "embedding", F.lit("kept").alias("state"))
+    own = tables.Table.create(v, staging.new_path(spark, "vectors"), ["vec_id"], 8)
+    own.upsert(v.filter("vec_id % 7 = 0").withColumns({"embedding": F.transform("embedding", lambda x: -x), "state": F.lit("renewed")}))
+    own.update(v.filter("vec_id % 3 = 0"), state=F.lit("moved"))
+    own.delete(v.filter("vec_id % 5 = 0"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")).cast("decimal(18, 4)")
+    return own.read().select("vec_id", "label", total.alias("total"), "state")
+
+
+@query("""SELECT document_id, chunk_id, sequence_index, CASE WHEN document_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM c WHERE document_id % 3 <> 0 OR sequence_index % 2 = 0""", "c")
+def chunk_table(spark, sf):
+    """M8: the chunks of reindexed documents take the place of all they had, in one new version."""
+    c = D.chunks(spark, sf).select("document_id", "chunk_id", "sequence_index", F.lit("old").alias("state"))
+    own = tables.Table.create(c, staging.new_path(spark, "chunks"), ["document_id"], 8)
+    own.replace(c.filter("document_id % 3 = 0 AND sequence_index % 2 = 0").withColumn("state", F.lit("new")), "document_id")
+    return own.read()
+
+
 @query("SELECT document_id, chunk_id, 'old' AS state FROM c WHERE document_id % 3 <> 0 UNION ALL SELECT document_id, chunk_id, 'new' FROM c WHERE document_id % 3 = 0 AND sequence_index < 2", "c")
 def rechunked_documents(spark, sf):
     """M8: the chunks of re-indexed documents are replaced as a whole."""
