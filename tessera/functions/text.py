@@ -114,29 +114,36 @@ def without_fence(text: Column) -> Column:
     return F.when(t.startswith("```"), trimmed(F.regexp_replace(F.regexp_replace(t, r"^```(?:json)?", ""), r"(?s)```(?!.*```).*$", ""))).otherwise(t)
 
 
-@F.pandas_udf(T.StringType())
-def first_object(texts: pd.Series) -> pd.Series:
-    """the first balanced ``{...}`` outside strings; the text itself where there is none."""
+#: Strings (the last one may be open), braces, and what lies between them.
+_PIECES = r'(?s)"(?:[^"\\]|\\.)*+"|".*+|[{}]|[^"{}]++'
+
 
-    def find(text: str | None) -> str | None:
-        depth = begin = 0
-        quoted = escaped = False
-        for i, c in enumerate(text or ""):
-            if quoted:
-                quoted = escaped or c != '"'
-                escaped = c == "\\" and not escaped
-            elif c == '"':
-                quoted = True
-            elif c == "{":
-                begin = begin if depth else i
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if not depth:
-                    return text[begin : i + 1]
-        return text
-
-    return texts.map(find, na_action="ignore")
+def first_object(text: Column) -> Column:
+    """the first balanced ``{...}`` outside strings; the text itself where there is none."""
+    def step(s: Column, piece: Column) -> Column:
+        depth = s["depth"] + (piece == "{").cast("int") - (piece == "}").cast("int")
+        begin = F.when((piece == "{") & (s["depth"] == 0), s["at"]).otherwise(s["begin"])
+        closed = (s["end"] == 0) & (piece == "}") & (depth == 0) & (begin >= 0)
+        end = s["at"] + 1
+        found = s["end"] > 0
+        return F.struct(depth.alias("depth"), (s["at"] + F.length(piece)).alias("at"), F.when(found, s["begin"]).otherwise(begin).alias("begin"), F.when(closed, end).otherwise(s["end"]).alias("end"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(-1).alias("begin"), F.lit(0).alias("end"))
+    place = lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"))
+    found = F.aggregate(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), start, step, place)
+    cut = lambda s: F.when(s["end"] > 0, F.substring(text, s["begin"] + 1, s["end"] - s["begin"])).otherwise(text)
+    return F.element_at(F.transform(F.array(found), cut), 1)
+
+
+def is_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else (a value alone may be followed by more, one within brackets may not)."""
+    return F.try_parse_json(text).isNotNull() & F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
+
+
+def json_text(text: Column) -> Column:
+    """what stands in a fence, whole where it is JSON as it stands, else the first object in it."""
+    inside = without_fence(text)
+    return F.when(is_json(inside), inside).otherwise(first_object(inside))
 
 
 def revision_line(node: Column, mastery: Column, weakness: Column, attempts: Column) -> Column:

@@ -10,9 +10,11 @@ the task. So neither texts nor pairs of chunk and query are shuffled: what leave
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,19 +30,58 @@ DEFAULT_LIMIT = 20
 QUERY_BLOCK = 1000
 #: Chunks scored at once in a task.
 CHUNK_SLICE = 256
+#: Vectors multiplied at once in a task.
+VECTOR_SLICE = 1024
 #: Rows of hits that may be broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_HITS = 200_000
 
 
-def each_vector(rows: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
-    """``rows`` once for each query vector (query_id, qv); each block of queries is broadcast."""
-    spark, schema = rows.sparkSession, queries.select("query_id", "qv").schema
-    held = [(r.query_id, r.qv) for r in queries.select("query_id", "qv").toLocalIterator()]
-    out = None
-    for lo in range(0, max(len(held), 1), block):
-        part = rows.crossJoin(F.broadcast(spark.createDataFrame(held[lo : lo + block], schema)))
-        out = part if out is None else out.union(part)
-    return out
+def vector_hits(rows: DataFrame, queries: DataFrame, limit: int, by: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """Rank, query_id, chunk_id, score (six decimals) of the nearest rows (chunk_id, vector) of each query (query_id, qv),
+    its own id excepted; with ``by`` only rows of the query's value of that column.
+
+    Each block of queries is a matrix that goes to all tasks; a task multiplies its rows with it in slices and
+    keeps each query's best, so no pairs of rows and queries are ever written down. Vectors of another
+    length than the query's, empty, zero or with null components have the cosine 0."""
+    group = [F.col(by).alias("group")] if by else [F.lit(0).alias("group")]
+    own = rows.select(F.col("chunk_id").cast("long"), F.col("vector").cast("array<double>").alias("vector"), *group).filter("chunk_id IS NOT NULL")
+    asked = ((r.query_id, r.qv, r.group) for r in queries.select(F.col("query_id").cast("long"), F.col("qv").cast("array<double>").alias("qv"), *group).filter("query_id IS NOT NULL").toLocalIterator())
+    out = rows.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
+    while held := list(islice(asked, block)):
+        out = out.union(own.mapInArrow(_nearest(rows.sparkSession.sparkContext.broadcast(held), limit), out.schema))
+    return ranked(out, ["query_id"], limit)
+
+
+def _nearest(sent, limit: int):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.array([i for i, _, _ in sent.value], dtype=np.int64)
+        groups = np.array([g for _, _, g in sent.value], dtype=object)
+        lengths = np.array([len(v or ()) for _, v, _ in sent.value])
+        units = {n: _units(np.array([v for _, v, _ in sent.value if len(v or ()) == n], dtype=np.float64)) for n in set(lengths.tolist()) if n}
+        best = Best(len(ids), limit)
+        for whole in batches:
+            for at in range(0, whole.num_rows, VECTOR_SLICE):
+                batch = whole.slice(at, VECTOR_SLICE)
+                chunks, listed = batch.column("chunk_id").to_numpy(), batch.column("vector")
+                sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy()
+                scores = np.zeros((len(chunks), len(ids)))
+                for n, unit in units.items():
+                    here = np.flatnonzero(sizes == n)
+                    x = _units(pc.list_flatten(listed.take(pa.array(here))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(here), n))
+                    scores[np.ix_(here, np.flatnonzero(lengths == n))] = np.round(x @ unit.T, 6)
+                named = np.array(batch.column("group").to_pylist(), dtype=object)
+                out = (named[:, None] != groups[None, :]) | (chunks[:, None] == ids[None, :])
+                best.add(np.where(out, -np.inf, scores), chunks)
+        q, place = np.nonzero(best.score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.chunk[q, place]), pa.array(best.score[q, place])], names=["query_id", "chunk_id", "score"])
+
+    return score
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; those that have none become 0."""
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.where(norm > 0, x / np.where(norm > 0, norm, 1), 0.0)
 
 
 def ranked(hits: DataFrame, by: list[str], limit: int, score: str = "score") -> DataFrame:
@@ -87,10 +128,14 @@ class Best:
         self.chunk = np.full((n_queries, limit), np.iinfo(np.int64).max)
 
     def add(self, scores: np.ndarray, chunks: np.ndarray) -> None:
-        score = np.concatenate((self.score, scores.T), axis=1)
-        chunk = np.concatenate((self.chunk, np.broadcast_to(chunks, (len(self.score), len(chunks)))), axis=1)
+        new = scores.T
+        able = np.flatnonzero((new >= self.score[:, -1:]).any(axis=1))  # queries for which something can come in
+        if not len(able):
+            return
+        score = np.concatenate((self.score[able], new[able]), axis=1)
+        chunk = np.concatenate((self.chunk[able], np.broadcast_to(chunks, (len(able), len(chunks)))), axis=1)
         order = np.lexsort((chunk, -score), axis=1)[:, : self.score.shape[1]]
-        self.score, self.chunk = np.take_along_axis(score, order, 1), np.take_along_axis(chunk, order, 1)
+        self.score[able], self.chunk[able] = np.take_along_axis(score, order, 1), np.take_along_axis(chunk, order, 1)
 
 
 def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[QueryBlock]:

@@ -151,9 +151,9 @@ row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q
 FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id) WHERE rank <= 10""")
 def vector_topk(spark, sf):
     v = D.table(spark, sf, "embeddings")
-    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("qv"))
-    scored = q.join(v, "label").filter("query_id <> vec_id").withColumn("score", F.round(vectors.cosine(F.col("qv"), F.col("embedding")), 6)).withColumn("chunk_id", F.col("vec_id"))
-    return search.ranked(scored, ["query_id"], 10).select("query_id", "rank", "vec_id", "score")
+    q = v.filter("vec_id % 100 = 0 AND label IS NOT NULL").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("qv"))
+    hits = search.vector_hits(v.select(F.col("vec_id").alias("chunk_id"), "label", F.col("embedding").alias("vector")), q, 10, by="label")
+    return hits.select("query_id", "rank", F.col("chunk_id").alias("vec_id"), "score")
 
 
 @query("""SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
@@ -162,8 +162,8 @@ def vector_topk_all(spark, sf):
     """The nearest of all rows, whatever their label; ``vector_topk`` is the search within a workspace."""
     v = D.table(spark, sf, "embeddings")
     q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    scored = search.each_vector(v, q).filter("query_id <> vec_id").withColumn("score", F.round(vectors.cosine(F.col("qv"), F.col("embedding")), 6)).withColumn("chunk_id", F.col("vec_id"))
-    return search.ranked(scored, ["query_id"], 10).select("query_id", "rank", "vec_id", "score")
+    hits = search.vector_hits(v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")), q, 10)
+    return hits.select("query_id", "rank", F.col("chunk_id").alias("vec_id"), "score")
 
 
 EMBED = r"""
@@ -930,10 +930,17 @@ def research_prompts(spark, sf):
     return hits.groupBy("query_id", "query").agg(listed.alias("hits")).select("query_id", F.sha2(text.research_prompt(F.col("query"), F.col("hits")), 256).alias("prompt_sha"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE '{\"name\": \"' || p_name || '\"}' END AS inside, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE '{\"name\": \"' || p_name || '\"}' END AS object FROM part")
+@query(r"""SELECT p_partkey, inside, CASE WHEN json_valid(inside) THEN inside WHEN contains(inside, '{') THEN regexp_extract(inside, '\{"name": "[^"]*", "n": \{[^}]*\}\}') ELSE inside END AS object FROM (
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN '{"name": "' || p_name || '"}' WHEN 2 THEN '[{"a": "' || p_name || '"}, {"b": 2}]' WHEN 3 THEN 'So: {"name": "} ' || p_name || ' {", "n": {"k": 1}} is it }' ELSE CAST(p_partkey AS VARCHAR) END AS inside FROM part)""")
 def fenced_texts(spark, sf):
-    """what stands in a code fence, and the first object in it."""
-    body = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat(F.lit('{"name": "'), F.col("p_name"), F.lit('"}')))
+    """what stands in a code fence, and its JSON: the whole where it is valid, else the first object."""
+    k, name = F.col("p_partkey") % 5, F.col("p_name")
+    body = (
+        F.when(k == 0, name)
+        .when(k == 1, F.concat(F.lit('{"name": "'), name, F.lit('"}')))
+        .when(k == 2, F.concat(F.lit('[{"a": "'), name, F.lit('"}, {"b": 2}]')))
+        .when(k == 3, F.concat(F.lit('So: {"name": "} '), name, F.lit(' {", "n": {"k": 1}} is it }')))
+        .otherwise(F.col("p_partkey").cast("string"))
+    )
     fenced = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
-    inside = text.without_fence(fenced)
-    return D.table(spark, sf, "part").select("p_partkey", inside.alias("inside"), text.first_object(inside).alias("object"))
+    return D.table(spark, sf, "part").select("p_partkey", text.without_fence(fenced).alias("inside"), text.json_text(fenced).alias("object"))

@@ -54,6 +54,11 @@ def test_latex_slug_highlight_fence(spark):
     assert one(spark, text.highlight_parts(t("aXbxc"), "x")) == ["a", "X", "b", "x", "c"]
     assert one(spark, text.without_fence(t('```json\n{"a": 1}\n```'))) == '{"a": 1}'
     assert one(spark, text.first_object(t('so: {"a": "}", "b": {"c": 1}} end'))) == '{"a": "}", "b": {"c": 1}}'
+    for given, want in (
+        ('[{"a":1},{"b":2}]', '[{"a":1},{"b":2}]'), ('{"a":1} and {"b":2}', '{"a":1}'), ('say {"a":"{\\"}"} x', '{"a":"{\\"}"}'), ("} {x} {y}", "} {x} {y}"), ("} {{y}", "{y}"), ('{"open', '{"open'),
+        ('"{" {z}', "{z}"), ("12 13", "12 13"), ("é{ö}ü", "{ö}"), ("", ""), ('"\\', '"\\'), ("{{}", "{{}"), ("```\n[1, 2]\n```", "[1, 2]"),
+    ):
+        assert one(spark, text.json_text(t(given))) == want, given
 
 
 def test_budget_and_counts(spark):
