@@ -5,7 +5,8 @@ left out, a mark at elements whose tag, role or class tells of menus, headers, f
 adverts, notices, comments and such; inside an article not by class words that its own parts bear as
 well, such as header or notice). Text length, punctuation and link text are aggregated per path; the
 ratios are smoothed along the page and fused with two more features of the path, its marks and its
-place in an article, to one score. Paths over a threshold are content: their nodes, and no others, are
+place in an article, to one score. Neither feature is a veto: dense text under a mark can come in, thin
+text without one can stay out. Paths over a threshold are content: their nodes, and no others, are
 the result. They are chosen twice: the smallest element that holds nearly all text of the first choice
 leads to the main node (the outermost article, or else main, element around it, or without one the
 element reached by climbing while that adds content), and lying outside it is the last feature of the
@@ -23,7 +24,6 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A path is content from this share of the page's mean score on (weighted by score and text length).
-THRESHOLD = 0.01
-#: Factors of the fused score: in an article, under an element that looks like boilerplate, outside
+THRESHOLD = 0.15
+#: Factors of the fused score: in an article, or under an element that looks like boilerplate, outside
 #: the main node, for a path of links alone.
-IN_ARTICLE, MARKED, OUTSIDE, LINKED = 4.0, 0.001, 0.1, 0.1
+IN_ARTICLE, MARKED, OUTSIDE, LINKED = 6.0, 0.2, 0.4, 0.1
 #: No path is content under this score: a page of menus alone has no content.
-LEAST = 0.25
+LEAST = 0.5
 #: The smallest element with this share of the content text is where the main node is sought from.
 HOLDS = 0.85
 
@@ -72,17 +72,61 @@ _SPACE = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…¿¡]")
 
 
+class Path:
+    """A tag path: one object for all nodes of equal tags and marks. Its length is not copied from level to level."""
+
+    __slots__ = ("inside", "label", "marked", "parent", "known")
+
+    def __init__(self, parent: Path | None, label: str):
+        self.parent, self.label = parent, label
+        self.marked = label.endswith(MARK) or parent is not None and parent.marked
+        self.inside = label.rstrip(MARK) in CONTENT_TAGS or parent is not None and parent.inside
+        self.known: dict[str, Path] = {}
+
+    def child(self, label: str) -> Path:
+        found = self.known.get(label)
+        if found is None:
+            found = self.known[label] = Path(self, label)
+        return found
+
+    def __str__(self) -> str:
+        labels, path = [], self
+        while path.parent is not None:
+            labels.append(path.label)
+            path = path.parent
+        return "".join(f"/{x}" for x in reversed(labels))
+
+
+@dataclass(eq=False)
+class Element:
+    """An open tag: its number, parent, depth, path, whether it is in a link or an article, and where on the
+    stack the nearest element is that bounds the search for tags to close."""
+
+    number: int
+    parent: Element | None
+    depth: int
+    tag: str
+    path: Path
+    link: bool
+    inside: bool
+    scope: int
+
+
 @dataclass
 class Node:
-    """A piece of text: where it stands, its elements from the root on (numbers and tags), its tag
-    path with marks, whether it is in a link."""
+    """A piece of text, its block, and the element that it stands in."""
 
     text: str
     block: int
-    chain: tuple[int, ...]
-    tags: tuple[str, ...]
-    path: str
-    link: bool
+    element: Element
+
+    @property
+    def path(self) -> Path:
+        return self.element.path
+
+    @property
+    def link(self) -> bool:
+        return self.element.link
 
 
 def _looks_like_boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
@@ -103,24 +147,22 @@ def _looks_like_boilerplate(tag: str, attributes: str, in_content: bool) -> bool
 
 
 def text_nodes(page: str) -> list[Node]:
-    """Text nodes of a page in order, by one pass over its tokens."""
+    """Text nodes of a page in order, by one pass over its tokens; time and memory are linear in the page, at any nesting."""
     out: list[Node] = []
-    # Open elements: tag, path, in a link, in an article.
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    stack = [Element(0, None, 0, "", Path(None, ""), False, False, 0)]
+    places: dict[str, list[int]] = {}  # where on the stack each tag is open
     made, block, at, size = 0, 0, 0, len(page)
-    chain: tuple[int, ...] = (0,)
-    tags: tuple[str, ...] | None = ("",)
 
     def text(raw: str) -> None:
-        nonlocal tags
         if raw and not raw.isspace():
-            _, path, link, _ = stack[-1]
-            if tags is None:
-                tags = tuple([x[0] for x in stack])
-            out.append(Node(html.unescape(raw), block, chain, tags, path, link))
+            out.append(Node(html.unescape(raw), block, stack[-1]))
         elif raw and out and out[-1].block == block:
             out[-1].text += " "
 
+    def unwind(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+
     lowered = None
     while at < size:
         begin = page.find("<", at)
@@ -144,20 +186,13 @@ def text_nodes(page: str) -> list[Node]:
         if tag in BLOCK:
             block += 1
         if token[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    chain, tags = chain[: len(stack)], None
-                    break
+            if places.get(tag):
+                unwind(places[tag][-1])
             continue
         if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in CLOSES[tag]:
-                    del stack[k:]
-                    chain, tags = chain[: len(stack)], None
-                    break
-                if stack[k][0] in SCOPE:
-                    break
+            last = max((places[t][-1] for t in CLOSES[tag] if places.get(t)), default=0)
+            if last and last >= stack[-1].scope:
+                unwind(last)
         if tag in VOID:
             continue
         if tag in RAW:
@@ -173,18 +208,17 @@ def text_nodes(page: str) -> list[Node]:
         if token[0].endswith("/>") and tag not in BLOCK and tag not in ("a", "span"):
             continue
         made += 1
-        _, path, link, inside = stack[-1]
-        mark = MARK if _looks_like_boilerplate(tag, token[4], inside) else ""
-        if mark or tag not in INLINE:
-            path = f"{path}/{tag}{mark}"
-        stack.append((tag, path, link or tag == "a", inside or tag in CONTENT_TAGS))
-        chain, tags = (*chain, made), None
+        top = stack[-1]
+        mark = MARK if _looks_like_boilerplate(tag, token[4], top.inside) else ""
+        path = top.path.child(tag + mark) if mark or tag not in INLINE else top.path
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(Element(made, top, top.depth + 1, tag, path, top.link or tag == "a", top.inside or tag in CONTENT_TAGS, len(stack) if tag in SCOPE else top.scope))
     return out
 
 
-def path_ratios(nodes: list[Node]) -> dict[str, float]:
-    """Fused ratios of each tag path: text length and punctuation a node, less what is link text."""
-    held: dict[str, list[float]] = {}
+def path_ratios(nodes: list[Node]) -> dict[Path, float]:
+    """Fused ratios of each tag path: the geometric mean of text length and punctuation a node (as logarithms), less what is link text."""
+    held: dict[Path, list[float]] = {}
     for n in nodes:
         h = held.setdefault(n.path, [0.0, 0.0, 0.0, 0.0])
         size = len(n.text)
@@ -192,50 +226,81 @@ def path_ratios(nodes: list[Node]) -> dict[str, float]:
         h[1] += size
         h[2] += len(_PUNCTUATION.findall(n.text))
         h[3] += size * n.link
-    return {p: math.log1p(size / count) * math.log1p(1 + signs / count) * (1 - (1 - LINKED) * linked / size) for p, (count, size, signs, linked) in held.items()}
+    return {p: math.sqrt(math.log1p(size / count) * math.log1p(1 + signs / count) * (1 - (1 - LINKED) * linked / size)) for p, (count, size, signs, linked) in held.items()}
 
 
-def path_scores(nodes: list[Node]) -> dict[str, float]:
+def path_scores(nodes: list[Node]) -> dict[Path, float]:
     """The score of each path: its ratio smoothed along the page (a node's neighbours speak for it,
     the path takes the best of its nodes), times its factors."""
     ratios = path_ratios(nodes)
     raw = [ratios[n.path] for n in nodes]
-    smooth: dict[str, float] = {}
+    smooth: dict[Path, float] = {}
     for i, n in enumerate(nodes):
         near = raw[max(0, i - 1) : i + 2]
         smooth[n.path] = max(0.6 * raw[i] + 0.4 * sum(near) / len(near), smooth.get(n.path, 0.0))
-    return {p: s * (IN_ARTICLE if "/article" in p or "/main" in p else 1.0) * (MARKED if MARK in p else 1.0) for p, s in smooth.items()}
+    return {p: s * (MARKED if p.marked else IN_ARTICLE if p.inside else 1.0) for p, s in smooth.items()}
+
+
+def _sums(nodes: list[Node], value) -> tuple[list[Element], dict[int, int]]:
+    """Elements that hold the nodes, parents first, and for each the sum of the nodes' values."""
+    elements: dict[int, Element] = {}
+    total: dict[int, int] = {}
+    for n in nodes:
+        e = n.element
+        total[e.number] = total.get(e.number, 0) + value(n)
+        while e is not None and e.number not in elements:
+            elements[e.number] = e
+            e = e.parent
+    ordered = [elements[k] for k in sorted(elements)]  # an element's number is greater than its parent's
+    for e in reversed(ordered):
+        if e.parent is not None:
+            total[e.parent.number] = total.get(e.parent.number, 0) + total.get(e.number, 0)
+    return ordered, total
 
 
-def main_node(nodes: list[Node], content: list[Node]) -> int:
-    """The number of the element that holds the article."""
+def main_node(nodes: list[Node], content: list[Node]) -> Element | None:
+    """The element that holds the article."""
+    if not content:
+        return None
+    elements, weight = _sums(content, lambda n: len(n.text))
+    _, n_content = _sums(content, lambda n: 1)
     wanted = HOLDS * sum(len(n.text) for n in content)
-    weight: dict[int, int] = {}
-    n_content: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for n in content:
-        for level, element in enumerate(n.chain):
-            weight[element] = weight.get(element, 0) + len(n.text)
-            n_content[element] = n_content.get(element, 0) + 1
-            depth[element] = level
-    top = max((e for e, w in weight.items() if w >= wanted), key=lambda e: (depth[e], -e), default=0)
-    first = next((n for n in content if top in n.chain), None)
-    if first is None:
-        return top
+    top = max((e for e in elements if weight[e.number] >= wanted), key=lambda e: (e.depth, -e.number))
     # A paragraph or an inline element is no main node: its parent is.
-    tags, level = first.tags, first.chain.index(top)
-    while level and tags[level] not in ("article", "main", "section", "div", "body", "html", "td", "center", "blockquote"):
-        level -= 1
-    around = [k for k in range(level + 1) if tags[k] == "article"] or [k for k in range(level + 1) if tags[k] == "main"]
+    while top.parent is not None and top.tag not in ("article", "main", "section", "div", "body", "html", "td", "center", "blockquote"):
+        top = top.parent
+    around: dict[str, Element] = {}  # the outermost ones
+    e: Element | None = top
+    while e is not None:
+        if e.tag in CONTENT_TAGS:
+            around[e.tag] = e
+        e = e.parent
     if around:
-        return first.chain[around[0]]
-    n_all = Counter(e for m in nodes if MARK not in m.path for e in m.chain)
-    for k in range(level - 1, -1, -1):
-        if n_content[first.chain[k]] > n_content[first.chain[level]]:
-            level = k
-        elif n_all[first.chain[k]] > n_all[first.chain[level]]:
+        return around.get("article") or around["main"]
+    _, n_all = _sums([m for m in nodes if not m.path.marked], lambda m: 1)
+    e = top.parent
+    while e is not None:
+        if n_content[e.number] > n_content[top.number]:
+            top = e
+        elif n_all.get(e.number, 0) > n_all.get(top.number, 0):
             break
-    return first.chain[level]
+        e = e.parent
+    return top
+
+
+def _within(nodes: list[Node], top: Element | None) -> list[bool]:
+    """Whether each node lies in the element."""
+    known: dict[int, bool] = {}
+    out = []
+    for n in nodes:
+        e, path = n.element, []
+        while e is not None and e.number not in known and e is not top:
+            path.append(e.number)
+            e = e.parent
+        inside = e is not None and (e is top or known[e.number])
+        known.update(dict.fromkeys(path, inside))
+        out.append(inside)
+    return out
 
 
 def content_nodes(nodes: list[Node]) -> list[Node]:
@@ -245,8 +310,8 @@ def content_nodes(nodes: list[Node]) -> list[Node]:
     scores = path_scores(nodes)
     weight = [scores[n.path] * len(n.text) for n in nodes]
     least = max(LEAST, THRESHOLD * sum(scores[n.path] * w for n, w in zip(nodes, weight, strict=True)) / sum(weight))
-    top = main_node(nodes, [n for n in nodes if scores[n.path] >= least])
-    return [n for n in nodes if scores[n.path] * (1.0 if top in n.chain else OUTSIDE) >= least]
+    inside = _within(nodes, main_node(nodes, [n for n in nodes if scores[n.path] >= least]))
+    return [n for n, own in zip(nodes, inside, strict=True) if scores[n.path] * (1.0 if own else OUTSIDE) >= least]
 
 
 def main_text(page: str | None) -> str:
