@@ -86,15 +86,37 @@ def parse_txt_blocks(spark, sf):
     return d.select("document_id", F.size("b").cast("long").alias("n_blocks"), F.sha2(F.array_join(F.transform("b", lambda x: x["text_content"]), "\n"), 256).alias("blocks_sha"))
 
 
-@query()
+#: The one tag of HTML at which a block ends, for the SQL of ``parse_html_blocks``.
+BREAK = r"(?i)</*(?:h[1-6]|pre|code|p|div|li|td|th|tr|blockquote|section|article|br)(?:[^A-Za-z0-9>][^>]*)?(?:>|$)"
+
+
+@query(rf"""WITH cut AS (SELECT page_id, regexp_replace(html, '(?is)<(?:script\b[^>]*>.*?</script|style\b[^>]*>.*?</style|head\b[^>]*>.*?</head|noscript\b[^>]*>.*?</noscript)[^>]*>', '', 'g') AS h FROM pages),
+p AS (SELECT page_id, unnest(regexp_split_to_array(h, '{BREAK}')) AS piece, generate_subscripts(regexp_split_to_array(h, '{BREAK}'), 1) AS i, regexp_extract_all(h, '{BREAK}') AS tags FROM cut),
+b AS (SELECT page_id, i, CASE WHEN i = 1 THEN 'Paragraph' WHEN regexp_matches(tags[i - 1], '(?i)^</*h[1-6]') THEN 'Heading' WHEN regexp_matches(tags[i - 1], '(?i)^</*(pre|code)') THEN 'Code' ELSE 'Paragraph' END AS block_type,
+  regexp_replace(regexp_replace(piece, '<[^>]*>?', '', 'g'), '^\s+|\s+$', '', 'g') AS t FROM p)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS pos, block_type, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS VARCHAR) AS page_or_location,
+  replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', '''') AS text_content FROM b WHERE t <> ''""")
 def parse_html_blocks(spark, sf):
     p = D.table(spark, sf, "pages").select("page_id", F.posexplode(parsers.html_blocks(F.col("html"))).alias("pos", "b"))
     return p.select("page_id", "pos", "b.block_type", "b.page_or_location", "b.text_content")
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id AS document_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(^|\n)([TD])', '\1  ## \2', 'g'), '(^|\n)[AE][^\n]*', '\1```', 'g'), '(^|\n)[SL][^\n]*', '\1 ', 'g') AS md FROM documents),
+l AS (SELECT document_id, unnest(string_split(md, chr(10))) AS raw, generate_subscripts(string_split(md, chr(10)), 1) AS no FROM t),
+k AS (SELECT document_id, no, regexp_replace(raw, '\s+$', '') AS line, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS body FROM l),
+f AS (SELECT *, starts_with(body, '```') AS fence, sum(CASE WHEN starts_with(body, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY no) - CASE WHEN starts_with(body, '```') THEN 1 ELSE 0 END AS before,
+  sum(CASE WHEN starts_with(body, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY document_id) AS fences FROM k),
+g AS (SELECT *, CASE WHEN fence THEN 'fence' WHEN before % 2 = 1 THEN 'code' WHEN starts_with(body, '#') THEN 'heading' WHEN body = '' THEN 'blank' ELSE 'text' END AS kind FROM f),
+p AS (SELECT *, sum(CASE WHEN kind = 'text' AND last IS DISTINCT FROM 'text' THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY no) AS island FROM (SELECT *, lag(kind) OVER (PARTITION BY document_id ORDER BY no) AS last FROM g)),
+b AS (SELECT document_id, min(no) AS first, 'Paragraph' AS block_type, string_agg(body, ' ' ORDER BY no) AS t FROM p WHERE kind = 'text' GROUP BY document_id, island
+UNION ALL SELECT document_id, no, 'Heading', regexp_replace(ltrim(body, '#'), '^\s+|\s+$', '', 'g') FROM p WHERE kind = 'heading'
+UNION ALL SELECT o.document_id, o.no, 'Code', coalesce(string_agg(c.line, chr(10) ORDER BY c.no), '') FROM p o LEFT JOIN (SELECT * FROM p WHERE kind = 'code') c ON c.document_id = o.document_id AND c.before = o.before + 1
+  WHERE o.fence AND o.before % 2 = 0 GROUP BY o.document_id, o.no, o.before, o.fences HAVING o.fences > o.before + 1 OR count(c.no) > 0)
+SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY first) - 1 AS INTEGER) AS pos, block_type, CAST(first AS VARCHAR) AS page_or_location, sha256(t) AS text_sha FROM b""")
 def parse_markdown_blocks(spark, sf):
-    d = D.documents(spark, sf).select("document_id", F.posexplode(parsers.markdown_blocks(F.col("text"))).alias("pos", "b"))
+    """Documents whose lines are turned into headings, fences and blank lines by their first letter."""
+    md = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "(^|\n)([TD])", "$1  ## $2"), "(^|\n)[AE][^\n]*", "$1```"), "(^|\n)[SL][^\n]*", "$1 ")
+    d = D.documents(spark, sf).select("document_id", F.posexplode(parsers.markdown_blocks(md)).alias("pos", "b"))
     return d.select("document_id", "pos", "b.block_type", "b.page_or_location", F.sha2("b.text_content", 256).alias("text_sha"))
 
 
