@@ -176,11 +176,10 @@ def packed(texts: DataFrame, n_parts: int, shingle: int = SHINGLE) -> DataFrame:
 
         def sent() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            order, cuts = _dealt(h, n_parts)
+            order, parts, cuts = _dealt(h, n_parts)
             rest, n = (h[order] // np.uint64(n_parts)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT], n[order].astype("<u4")
-            parts = [p for p in range(n_parts) if cuts[p] < cuts[p + 1]]
-            none = pa.nulls(len(parts))
-            columns = [pa.array([block] * len(parts), type=pa.int64()), *[none.cast(arrow.field(i).type) for i in range(1, 5)], pa.array(parts, type=pa.int64()), pa.array([rest[cuts[p] : cuts[p + 1]].tobytes() for p in parts], type=pa.binary()), pa.array([n[cuts[p] : cuts[p + 1]].tobytes() for p in parts], type=pa.binary())]
+            none, places = pa.nulls(len(parts)), list(zip(cuts, cuts[1:], strict=False))
+            columns = [pa.array([block] * len(parts), type=pa.int64()), *[none.cast(arrow.field(i).type) for i in range(1, 5)], pa.array(parts), pa.array([rest[a:b].tobytes() for a, b in places], type=pa.binary()), pa.array([n[a:b].tobytes() for a, b in places], type=pa.binary())]
             return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
         def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -215,11 +214,12 @@ def packed(texts: DataFrame, n_parts: int, shingle: int = SHINGLE) -> DataFrame:
     return texts.mapInArrow(pack, schema)
 
 
-def _dealt(h: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of ascending hashes by (part, hash), and where each part begins."""
+def _dealt(h: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of ascending hashes by (part, hash), the parts that occur, and where each begins and the last ends."""
     part = (h % np.uint64(n_parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(n_parts + 1))
+    parts, begin = np.unique(part[order], return_index=True)
+    return order, parts, np.append(begin, len(part))
 
 
 def document_frequencies(blocks: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def signatures(blocks: DataFrame, frequencies: DataFrame, n_texts: int, n_parts:
         own = np.unique(np.concatenate([h for h, _ in found])) if found else np.zeros(0, dtype=np.uint64)
         df = np.zeros(len(own))
         if len(own):
-            order, _ = _dealt(own, n_parts)
+            order, _, _ = _dealt(own, n_parts)
             sent = right.sort_by("part").column("df").to_pylist()
             df[order] = np.frombuffer(b"".join(sent), dtype="<u4")
         sampler = _sampler()
@@ -482,27 +482,28 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, least: float, shingle:
     text = F.col(f"`{text_col}`")
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
     n_parts = max(1, size // (6 * GROUP))  # some six bytes a word
-    # Texts and blocks' shingles are made in one pass and kept apart: the shingles go once they are counted.
-    made = packed(distinct_texts(docs, id_col, text_col), n_parts, shingle)
-    path = f"{shared_dir(spark)}/dedup-blocks-{uuid.uuid4().hex}"
-    write(made.withColumn("kind", F.when(F.col("part").isNull(), "texts").otherwise("shingles")), path, "kind")
-    paths.append(path)
-    # A table without rows has no folders: the whole is read, and pruned to one folder by its kind.
-    blocks = spark.read.schema(T.StructType([*made.schema, T.StructField("kind", T.StringType())])).parquet(path)
-    texts = blocks.filter("kind = 'texts'").drop("kind")
-    n_texts = texts.count()
-    frequencies = stored(document_frequencies(blocks.filter("kind = 'shingles'")), "dedup-df", paths)
-    delete(spark, [f"{path}/kind=shingles"])
-    texts = spark.read.schema(T.StructType([*made.schema, T.StructField("kind", T.StringType())])).parquet(path).drop("kind")
-    nodes = stored(signatures(texts, frequencies, n_texts, n_parts, shingle), "dedup-nodes", paths)
-    texts = texts.select("node", "text")
-    labels = components(stored(links(texts, nodes, n_texts, least, shingle, paths), "dedup-links", paths), paths)
-    labelled = nodes.select("node", "key", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    last = F.lit(2**63 - 1)
-    heads = labelled.groupBy("label").agg(F.min("first").alias("class_id"), F.min_by("node", F.coalesce("first", last)).alias("head"))
-    classes = stored(labelled.join(heads, "label").select("key", "class_id", (F.col("node") == F.col("head")).alias("stays"), "first"), "dedup-classes")
-    delete(spark, paths)
-    return classes
+    try:
+        # Texts and blocks' shingles are made in one pass and kept apart: the shingles go once they are counted.
+        made = packed(distinct_texts(docs, id_col, text_col), n_parts, shingle)
+        path = f"{shared_dir(spark)}/dedup-blocks-{uuid.uuid4().hex}"
+        paths.append(path)
+        write(made.withColumn("kind", F.when(F.col("part").isNull(), "texts").otherwise("shingles")), path, "kind")
+        # A table without rows has no folders: the whole is read, and pruned to one folder by its kind.
+        blocks = spark.read.schema(T.StructType([*made.schema, T.StructField("kind", T.StringType())])).parquet(path)
+        texts = blocks.filter("kind = 'texts'").drop("kind")
+        n_texts = texts.count()
+        frequencies = stored(document_frequencies(blocks.filter("kind = 'shingles'")), "dedup-df", paths)
+        delete(spark, [f"{path}/kind=shingles"])
+        texts = spark.read.schema(T.StructType([*made.schema, T.StructField("kind", T.StringType())])).parquet(path).drop("kind")
+        nodes = stored(signatures(texts, frequencies, n_texts, n_parts, shingle), "dedup-nodes", paths)
+        texts = texts.select("node", "text")
+        labels = components(stored(links(texts, nodes, n_texts, least, shingle, paths), "dedup-links", paths), paths)
+        labelled = nodes.select("node", "key", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        last = F.lit(2**63 - 1)
+        heads = labelled.groupBy("label").agg(F.min("first").alias("class_id"), F.min_by("node", F.coalesce("first", last)).alias("head"))
+        return stored(labelled.join(heads, "label").select("key", "class_id", (F.col("node") == F.col("head")).alias("stays"), "first"), "dedup-classes")
+    finally:
+        delete(spark, paths)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
