@@ -11,7 +11,7 @@ from tessera import schemas
 from tessera.functions import dates, json_ops, paths, text, vectors
 from tessera.operators import context, graph, registry, search, state, study
 from tessera.plans import domain as D
-from tessera.sources import parsers, staging, tables
+from tessera.sources import models, parsers, staging, tables
 from tessera.streaming import debounce, events, log, runs, worker
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -464,6 +464,49 @@ def circular_layout(spark, sf):
 # --- models and settings --------------------------------------------------------------------------
 
 
+def _pages(spark, lines, name, *by):
+    """Lines (value) as text files of a shared folder, those of one ``by`` in one file and in order; the files' addresses."""
+    path = staging.new_path(spark, name)
+    lines.repartition(by[0]).sortWithinPartitions(*by).select("value").write.text(path)
+    root = path if "://" in path else f"file://{path.removeprefix('file:')}"
+    return [f"{root}/{n}" for n in staging.Files(spark, path).names(".") if n.startswith("part-")]
+
+
+@query("""SELECT model_identifier, array_to_string(list_concat(['TextGeneration'], list_filter([CASE WHEN sees THEN 'Vision' END, CASE WHEN embeds THEN 'Embedding' END, CASE WHEN tools THEN 'Tools' END,
+CASE WHEN NOT sees AND f IN (1, 3) THEN 'Vision' END, CASE WHEN NOT embeds AND f = 2 THEN 'Embedding' END], lambda x: x IS NOT NULL)), ',') AS capabilities, context_length, parameter_size FROM (
+SELECT s_name AS model_identifier, s_suppkey % 5 AS f, s_suppkey % 4 <> 0 AND s_nationkey % 3 = 1 AS sees, s_suppkey % 4 <> 0 AND s_nationkey % 3 = 2 AS embeds, s_suppkey % 4 <> 0 AND s_nationkey % 3 = 2 AS tools,
+CAST(CASE WHEN s_suppkey % 6 = 0 THEN 4096 ELSE s_nationkey * 512 + 2048 END AS INTEGER) AS context_length, CASE WHEN s_suppkey % 7 <> 0 THEN (s_suppkey % 70) || 'B' END AS parameter_size FROM supplier)""")
+def model_source(spark, sf):
+    """Suppliers as the listings of model servers, a hundred models a listing, read by a data source."""
+    s, k, n = D.table(spark, sf, "supplier"), F.col("s_suppkey"), F.col("s_nationkey") % 3
+    reported = F.when(k % 4 != 0, F.when(n == 0, F.array(F.lit("completion"))).when(n == 1, F.array(F.lit("completion"), F.lit("vision"))).otherwise(F.array(F.lit("embedding"), F.lit("Tools"))))
+    family = F.element_at(F.array(*[F.lit(f) for f in ("llama", "clip", "nomic-bert", "mllama", "qwen")]), (k % 5 + 1).cast("int"))
+    details = F.struct(family.alias("family"), F.array(F.lit("gguf")).alias("families"), F.when(k % 7 != 0, F.concat((k % 70).cast("string"), F.lit("B"))).alias("parameter_size"))
+    info = F.when(k % 6 != 0, F.create_map(F.concat(family, F.lit(".context_length")), F.col("s_nationkey") * 512 + 2048)).otherwise(F.create_map(F.lit("general.layers"), F.lit(32)))
+    model = F.struct(F.col("s_name").alias("name"), details.alias("details"), reported.alias("capabilities"), info.alias("model_info"))
+    page = s.groupBy(F.floor(k / 100).alias("page")).agg(F.collect_list(model).alias("models")).select("page", F.to_json(F.struct("models")).alias("value"))
+    return models.discovered(spark, _pages(spark, page, "listings", "page")).withColumn("capabilities", F.array_join("capabilities", ","))
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, i, w, starts_with(w, 'a') AS bad FROM (SELECT conv_id, turn, unnest(string_split_regex(text, '\s+')) AS w, generate_subscripts(string_split_regex(text, '\s+'), 1) AS i FROM conversations WHERE role = 'assistant' AND text IS NOT NULL) WHERE w <> '')
+SELECT conv_id, count(*) AS n, sha256(string_agg(w, ' ' ORDER BY turn, i)) AS tokens_sha FROM w WHERE NOT bad GROUP BY conv_id UNION ALL SELECT NULL, count(*), sha256('malformed') FROM w WHERE bad""")
+def token_stream(spark, sf):
+    """Answers of conversations as generations, a word a line. Words that begin with an a are malformed lines and come out
+    as errors (counted under no conversation), empty ones are blank lines."""
+    c = D.table(spark, sf, "conversations").filter("role = 'assistant' AND text IS NOT NULL")
+    words = c.select("conv_id", "turn", F.posexplode(F.split("text", r"\s+")).alias("i", "w"))
+    token = F.to_json(F.struct(F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("w")).alias("response"), F.lit(False).alias("done")))
+    line = F.when(F.col("w") == "", "").when(F.col("w").startswith("a"), F.concat(F.lit('{"response": '), F.col("w"))).otherwise(token)
+    own = models.tokens(spark, _pages(spark, words.withColumn("value", line), "generations", "conv_id", "turn", "i"))
+    path = staging.new_path(spark, "tokens")
+    own.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(own.schema).parquet(f"{path}/out")
+    good = rows.filter("error IS NULL").select(F.split_part("token", F.lit(":"), F.lit(1)).cast("long").alias("conv_id"), "line", F.expr("substring(token, locate(':', token) + 1)").alias("w"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "w"))), lambda x: x["w"]), " ")
+    by_conversation = good.groupBy("conv_id").agg(F.count("*").alias("n"), F.sha2(text, 256).alias("tokens_sha"))
+    return by_conversation.unionByName(rows.filter("error IS NOT NULL").agg(F.lit(None).cast("long").alias("conv_id"), F.count("*").alias("n"), F.sha2(F.lit("malformed"), 256).alias("tokens_sha")))
+
+
 @query("SELECT n_nationkey AS workspace_id, k AS key, CASE WHEN k = 'name' THEN n_name WHEN k = 'region' THEN r_name ELSE 'global' END AS value FROM nation JOIN region ON r_regionkey = n_regionkey, (VALUES ('name'), ('region'), ('limit')) t(k) WHERE k <> 'region' OR n_nationkey % 2 = 0")
 def settings_resolve(spark, sf):
     n, r = D.table(spark, sf, "nation"), D.table(spark, sf, "region")
