@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import revision_line, session_title
+from tessera.functions.text import json_text, revision_line, session_title
 
 
 def graded(attempts: DataFrame, by: list[str]) -> DataFrame:
@@ -93,3 +93,23 @@ def latest_metrics(points: DataFrame) -> DataFrame:
 def revision_rows(plans: DataFrame) -> DataFrame:
     """History rows; their creation is their schedule."""
     return plans.withColumn("created_at", F.col("scheduled_at"))
+
+
+def checked_questions(answers: DataFrame, raw: str) -> DataFrame:
+    """The questions of a model's answers with pos, question, options, correct_index and reason (null: fit for use). An
+    answer without JSON or without an array of questions is a row of its own, so nothing is lost in silence."""
+    quiz = F.try_parse_json(json_text(F.col(raw)))
+    held = answers.withColumn("__quiz", quiz).withColumn("__questions", F.try_variant_get("__quiz", "$.questions", "array<variant>"))
+    each = held.select(*answers.columns, "__quiz", "__questions", F.posexplode_outer("__questions").alias("pos", "__q"))
+    each = each.filter("__questions IS NULL OR pos IS NOT NULL")  # an empty quiz has no questions and no fault
+    fields = {"question": "string", "options": "array<string>", "correct_index": "int"}
+    each = each.withColumns({name: F.try_variant_get("__q", f"$.{name}", kind) for name, kind in fields.items()})
+    n = F.coalesce(F.size("options"), F.lit(0))
+    reason = (
+        F.when(F.col("__quiz").isNull(), "no JSON")
+        .when(F.col("__questions").isNull(), "no questions")
+        .when(F.coalesce(F.trim("question"), F.lit("")) == "", "no question")
+        .when(n <= 0, "no options")
+        .when(~F.coalesce(F.col("correct_index").between(0, n - 1), F.lit(False)), "no correct option")
+    )
+    return each.withColumn("reason", reason).drop("__quiz", "__questions", "__q")

@@ -11,7 +11,7 @@ from tessera import schemas
 from tessera.functions import dates, json_ops, paths, text, vectors
 from tessera.operators import context, graph, registry, search, state, study
 from tessera.plans import domain as D
-from tessera.sources import models, parsers, staging, tables
+from tessera.sources import files, models, parsers, staging, tables
 from tessera.streaming import debounce, events, log, runs, worker
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -461,6 +461,60 @@ def circular_layout(spark, sf):
     return graph.circular_layout(D.nodes(spark, sf)).select("node_id", "workspace_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
+@query(r"""WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 AND p_partkey % 6 <> 3 THEN 'Sure: ' ELSE '' END || CASE p_partkey % 6
+  WHEN 0 THEN '{"questions": [{"question": "' || p_name || '?", "options": ["a", "b"], "correct_index": 1}]}' WHEN 1 THEN '{"questions": [{"question": "q", "options": ["a", "b"], "correct_index": 2}]}'
+  WHEN 2 THEN '{"questions": [{"question": "q", "options": [], "correct_index": 0}, {"question": "r", "options": ["a"], "correct_index": 0}]}' WHEN 3 THEN 'no quiz on ' || p_name
+  WHEN 4 THEN '{"cards": []}' ELSE '{"questions": [{"question": " ", "options": ["a"], "correct_index": 0}, {"question": "q", "options": ["a"], "correct_index": "x"}]}' END AS raw FROM part),
+j AS (SELECT p_partkey, CASE WHEN json_valid(raw) THEN raw ELSE nullif(regexp_extract(raw, '\{.*\}'), '') END AS t FROM r),
+q AS (SELECT p_partkey, unnest(from_json(json_extract(t, '$.questions'), '["json"]')) AS q, generate_subscripts(from_json(json_extract(t, '$.questions'), '["json"]'), 1) - 1 AS pos FROM j WHERE t IS NOT NULL AND json_extract(t, '$.questions') IS NOT NULL)
+SELECT p_partkey, CAST(pos AS INTEGER) AS pos, json_extract_string(q, '$.question') AS question, CASE WHEN trim(json_extract_string(q, '$.question')) = '' THEN 'no question' WHEN json_array_length(q, '$.options') = 0 THEN 'no options'
+  WHEN coalesce(TRY_CAST(json_extract_string(q, '$.correct_index') AS INTEGER), -1) NOT BETWEEN 0 AND json_array_length(q, '$.options') - 1 THEN 'no correct option' END AS reason FROM q
+UNION ALL SELECT p_partkey, NULL, NULL, CASE WHEN t IS NULL THEN 'no JSON' ELSE 'no questions' END FROM j WHERE t IS NULL OR json_extract(t, '$.questions') IS NULL""")
+def quiz_checks(spark, sf):
+    """Answers of a model to a quiz request, each question with what is wrong with it."""
+    k, name = F.col("p_partkey") % 6, F.col("p_name")
+    body = (
+        F.when(k == 0, F.concat(F.lit('{"questions": [{"question": "'), name, F.lit('?", "options": ["a", "b"], "correct_index": 1}]}')))
+        .when(k == 1, F.lit('{"questions": [{"question": "q", "options": ["a", "b"], "correct_index": 2}]}'))
+        .when(k == 2, F.lit('{"questions": [{"question": "q", "options": [], "correct_index": 0}, {"question": "r", "options": ["a"], "correct_index": 0}]}'))
+        .when(k == 3, F.concat(F.lit("no quiz on "), name))
+        .when(k == 4, F.lit('{"cards": []}'))
+        .otherwise('{"questions": [{"question": " ", "options": ["a"], "correct_index": 0}, {"question": "q", "options": ["a"], "correct_index": "x"}]}')
+    )
+    raw = F.concat(F.when((F.col("p_partkey") % 4 < 2) & (k != 3), "Sure: ").otherwise(""), body)
+    return study.checked_questions(D.table(spark, sf, "part").select("p_partkey", raw.alias("raw")), "raw").select("p_partkey", "pos", "question", "reason")
+
+
+@query(r"""SELECT folder, count(*) AS n_lines, CAST(sum(strlen(line)) + count(*) AS BIGINT) AS size, sha256(string_agg(line, chr(10) ORDER BY doc_id) || chr(10)) AS content_hash, 'txt' AS file_type
+FROM (SELECT doc_id, 'source=' || source || '/part=' || doc_id // 500 AS folder, sha256(coalesce(text, '')) AS line FROM documents) GROUP BY folder""")
+def scanned_files(spark, sf):
+    """A tree of files (of each source and five hundred ids the digests of its documents), scanned, read and fingerprinted."""
+    root = _tree(spark, D.table(spark, sf, "documents"))
+    held = files.scan(spark, root)
+    prints = files.fingerprint(held).join(held.select("relative_path", paths.file_type(F.col("relative_path")).alias("file_type"), F.regexp_count(F.col("content").cast("string"), F.lit("\n")).cast("long").alias("n_lines")), "relative_path")
+    return prints.select(F.regexp_replace("relative_path", "/[^/]*$", "").alias("folder"), "n_lines", "size", "content_hash", "file_type")
+
+
+@query("""WITH l AS (SELECT doc_id, 'source=' || source || '/part=' || doc_id // 500 AS path FROM documents),
+b AS (SELECT DISTINCT path FROM l WHERE doc_id % 1500 >= 500), a AS (SELECT DISTINCT path FROM l WHERE doc_id % 1500 < 1000), x AS (SELECT DISTINCT path FROM l WHERE doc_id % 1500 < 1000 AND doc_id % 7 = 0)
+SELECT path, CASE WHEN b.path IS NULL THEN 'Added' WHEN a.path IS NULL THEN 'Removed' ELSE 'Changed' END AS change FROM b FULL JOIN a USING (path) WHERE b.path IS NULL OR a.path IS NULL OR path IN (SELECT path FROM x)""")
+def file_ledger(spark, sf):
+    """What a second scan finds against the ledger of the first: trees that share some files, with others changed in size."""
+    d = D.table(spark, sf, "documents")
+    folder = F.regexp_replace("relative_path", "/[^/]*$", "")
+    first = files.fingerprint(files.scan(spark, _tree(spark, d.filter("doc_id % 1500 >= 500"))))
+    second = files.fingerprint(files.scan(spark, _tree(spark, d.filter("doc_id % 1500 < 1000").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text"))))))
+    return files.ledger_changes(first.withColumn("relative_path", folder), second.withColumn("relative_path", folder), ["size", "content_hash"]).select(F.col("relative_path").alias("path"), "change")
+
+
+def _tree(spark, documents) -> str:
+    """Text files ``source=.../part=.../*.txt`` of the digests of documents, a line each in order of id; the folder."""
+    path = staging.new_path(spark, "tree")
+    lines = documents.select("source", F.floor(F.col("doc_id") / 500).alias("part"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("value"))
+    lines.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").select("source", "part", "value").write.partitionBy("source", "part").text(path)
+    return path
+
+
 # --- models and settings --------------------------------------------------------------------------
 
 

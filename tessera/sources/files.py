@@ -26,6 +26,15 @@ def fingerprint(files: DataFrame) -> DataFrame:
     return files.select("relative_path", F.sha2("content", 256).alias("content_hash"), "size", F.unix_timestamp("modified").alias("mtime"))
 
 
+def ledger_changes(ledger: DataFrame, listing: DataFrame, by: list[str]) -> DataFrame:
+    """relative_path and change (Added, Changed, Removed) of a listing against the ledger of the scan before; a file has
+    changed where one of the columns ``by`` (size, mtime, digest) differs. The listing is the next ledger, so each change is found once."""
+    new = listing.select("relative_path", F.struct(*by).alias("__new"))
+    old = ledger.select("relative_path", F.struct(*by).alias("__old"))
+    change = F.when(F.col("__old").isNull(), "Added").when(F.col("__new").isNull(), "Removed").when(~F.col("__old").eqNullSafe(F.col("__new")), "Changed")
+    return old.join(new, "relative_path", "full_outer").select("relative_path", change.alias("change")).filter("change IS NOT NULL")
+
+
 def initial_events(files: DataFrame, workspace_id: int) -> tuple[DataFrame, DataFrame]:
     """An event and a job for each file."""
     body = json_ops.payload(workspace_id=F.lit(workspace_id), relative_path=F.col("relative_path"))

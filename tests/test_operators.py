@@ -186,3 +186,32 @@ def test_plans_push_down_and_stay_in_the_jvm(spark, sf):
     assert "CartesianProduct" not in plan(catalog.vector_topk(spark, sf))
     docs = plan(domain.documents(spark, sf).filter("document_id < 5").select("relative_path"))
     assert "PushedFilters: [IsNotNull(doc_id), LessThan(doc_id,5)]" in docs and "text:string" not in docs.split("ReadSchema")[1]
+
+
+def test_questions_come_out_with_what_is_wrong(spark):
+    rows = [
+        (1, '```json\n{"questions": [{"question": "q", "options": ["a"], "correct_index": 0}, {"question": null, "options": ["a"], "correct_index": 0}, {"options": "a"}]}\n```'),
+        (2, '{"questions": []}'), (3, '{"questions": {}}'), (4, "[1]"), (5, None), (6, ""), (7, '{"questions": [7, {"question": "q", "options": null, "correct_index": 0}, {"question": "q", "options": ["a"], "correct_index": -1}]}'),
+    ]
+    got = [(r.id, r.pos, r.reason) for r in study.checked_questions(spark.createDataFrame(rows, "id long, raw string"), "raw").orderBy("id", "pos").collect()]
+    assert got == [
+        (1, 0, None), (1, 1, "no question"), (1, 2, "no question"), (3, None, "no questions"), (4, None, "no questions"), (5, None, "no JSON"), (6, None, "no JSON"),
+        (7, 0, "no question"), (7, 1, "no options"), (7, 2, "no correct option"),
+    ]
+
+
+def test_ledger_finds_each_change_once(spark):
+    old = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("c", 1, None)], "relative_path string, size long, mtime long")
+    new = spark.createDataFrame([("a", 1, 6), ("c", 1, None), ("d", 0, 1)], "relative_path string, size long, mtime long")
+    assert sorted(map(tuple, files.ledger_changes(old, new, ["size", "mtime"]).collect())) == [("a", "Changed"), ("b", "Removed"), ("d", "Added")]
+    assert files.ledger_changes(new, new, ["size", "mtime"]).count() == 0 and files.ledger_changes(old.limit(0), old, ["size"]).count() == 3
+
+
+def test_vectors_of_odd_rows_score_zero(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [2.0, 0.1]), (None, [1.0, 0.0])], "chunk_id long, vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (9, [3.0])], "query_id long, qv array<double>")
+    got = {(r.query_id, r.chunk_id): r.score for r in search.vector_hits(rows, queries, 10).collect()}
+    assert got == {(1, 6): 0.998752, (1, 2): 0.0, (1, 3): 0.0, (1, 4): 0.0, (1, 5): 0.0, (9, 3): 1.0, (9, 1): 0.0, (9, 2): 0.0, (9, 4): 0.0, (9, 5): 0.0, (9, 6): 0.0}
+    assert search.vector_hits(rows.limit(0), queries, 10).count() == 0 and search.vector_hits(rows, queries.limit(0), 10).count() == 0
+    best = search.vector_hits(rows, spark.createDataFrame([(i, [1.0, float(i)]) for i in range(10, 15)], "query_id long, qv array<double>"), 1, block=2)
+    assert best.count() == 5 and {r["rank"] for r in best.collect()} == {1}
