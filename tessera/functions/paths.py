@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 IMAGES = ("jpg", "jpeg", "png", "gif", "bmp", "tiff", "webp")
-#: Media types by file type or extension.
-MIME = {"md": "text/markdown", "txt": "text/plain", "html": "text/html", "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tiff": "image/tiff", "webp": "image/webp"}
+#: Media types by file type, and of images by extension (others are JPEG).
+MIME = {"md": "text/markdown", "pdf": "application/pdf"}
+IMAGE_MIME = {"png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp"}
 
 
 def extension(path: Column) -> Column:
@@ -45,8 +46,11 @@ def folders(path: Column) -> Column:
 
 
 def mime(path: Column) -> Column:
-    """Media type by extension."""
-    out = F
-    for e, m in MIME.items():
+    """Media type by file type; what a viewer does not show as such is a stream of octets."""
+    out, own = F, file_type(path)
+    for e, m in IMAGE_MIME.items():
         out = out.when(extension(path) == e, m)
+    out = out.when(own == "image", "image/jpeg")
+    for e, m in MIME.items():
+        out = out.when(own == e, m)
     return out.otherwise("application/octet-stream")

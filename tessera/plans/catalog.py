@@ -515,6 +515,34 @@ def _tree(spark, documents) -> str:
     return path
 
 
+@query(r"""SELECT p_partkey, array_to_string(string_split(regexp_replace(p_name, '(?i)(ar)', chr(1) || '\1' || chr(1), 'g'), chr(1)), '|') AS parts FROM part""")
+def highlighted(spark, sf):
+    """names cut at a text that was looked for."""
+    return D.table(spark, sf, "part").select("p_partkey", F.array_join(text.highlight_parts(F.col("p_name"), "AR"), "|").alias("parts"))
+
+
+@query(r"""SELECT document_id, CAST(i - 1 AS INTEGER) AS pos, CASE WHEN fine THEN 'Paragraph' ELSE 'Image' END AS block_type, CAST(i AS VARCHAR) AS page_or_location, sha256(CASE WHEN fine THEN page ELSE '' END) AS text_sha, NOT fine AS needs_ocr
+FROM (SELECT document_id, i, page, length(regexp_replace(page, '^[\s]+|[\s]+$', '', 'g')) > 0 AND 10 * length(regexp_replace(page, '[\x21-\x7E\s]', '', 'g')) <= length(page) AS fine
+FROM (SELECT document_id, unnest(string_split(text, chr(10))) AS page, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d))""", "d")
+def pdf_pages(spark, sf):
+    """The lines of documents as page texts of a PDF plug-in; pages without real text are images that need OCR."""
+    d = D.documents(spark, sf).select("document_id", F.posexplode(parsers.pdf_page_blocks(F.split("text", "\n"))).alias("pos", "b"))
+    return d.select("document_id", "pos", "b.block_type", "b.page_or_location", F.sha2("b.text_content", 256).alias("text_sha"), files.requires_ocr(F.col("b.block_type"), F.col("b.text_content")).alias("needs_ocr"))
+
+
+@query(r"""SELECT relative_path, CASE page_id % 6 WHEN 0 THEN 'text/markdown' WHEN 1 THEN 'application/octet-stream' WHEN 2 THEN 'image/png' WHEN 3 THEN 'image/jpeg' ELSE 'application/octet-stream' END AS mime,
+sha256(CASE WHEN page_id % 6 = 0 THEN body ELSE to_base64(CASE page_id % 6 WHEN 2 THEN '\x89PNG'::BLOB || encode(body) WHEN 3 THEN '\xFF\xD8\xFF'::BLOB || encode(body) ELSE encode(body) END) END) AS content_sha, page_id % 6 IN (2, 3) AS is_image
+FROM (SELECT page_id, coalesce(html, '') AS body, 'a/' || page_id || ['.md', '.htm', '.png', '.JPG', '', '.txt'][page_id % 6 + 1] AS relative_path FROM pages)""")
+def viewed_files(spark, sf):
+    """Pages as files of several types, as a viewer gets them, and whether their first bytes are those of an image."""
+    p, k, body = D.table(spark, sf, "pages"), F.col("page_id") % 6, F.encode(F.coalesce("html", F.lit("")), "utf-8")
+    ending = F.element_at(F.array(*[F.lit(e) for e in (".md", ".htm", ".png", ".JPG", "", ".txt")]), (k + 1).cast("int"))
+    content = F.when(k == 2, F.concat(F.unhex(F.lit("89504E47")), body)).when(k == 3, F.concat(F.unhex(F.lit("FFD8FF")), body)).otherwise(body)
+    held = p.select(F.concat(F.lit("a/"), F.col("page_id").cast("string"), ending).alias("relative_path"), content.alias("content"))
+    seen = files.viewed(held).select("relative_path", "mime", F.sha2("content", 256).alias("content_sha"))
+    return seen.join(held.select("relative_path", files.is_image(F.col("content")).alias("is_image")), "relative_path")
+
+
 # --- models and settings --------------------------------------------------------------------------
 
 

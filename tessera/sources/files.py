@@ -76,9 +76,9 @@ def parsed(files: DataFrame, pdf=None, ocr=None) -> DataFrame:
 
 
 def viewed(files: DataFrame) -> DataFrame:
-    """Text of Markdown files, base64 of others, with the media type."""
+    """Text of Markdown files, base64 of others in one line, with the media type."""
     kind = paths.file_type(F.col("relative_path"))
-    return files.select("relative_path", paths.mime(F.col("relative_path")).alias("mime"), F.when(kind == "md", F.make_valid_utf8(F.col("content").cast("string"))).otherwise(F.base64("content")).alias("content"))
+    return files.select("relative_path", paths.mime(F.col("relative_path")).alias("mime"), F.when(kind == "md", F.make_valid_utf8(F.col("content").cast("string"))).otherwise(F.replace(F.base64("content"), F.lit("\r\n"), F.lit(""))).alias("content"))
 
 
 def write_vectors(vectors: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera import schemas
+from tessera.functions.arrays import let, sums_before
 from tessera.functions.text import looks_like_text
 
 BLOCKS = "array<struct<block_type:string,page_or_location:string,text_content:string>>"
@@ -24,19 +25,30 @@ BLOCKS_TYPE = T.ArrayType(schemas.BLOCK)
 Block = tuple[str, str, str]
 
 
+#: Blank lines between paragraphs.
+_BLANK = r"(?U)\n[^\S\n]*\n\s*"
+
+
 def text_blocks(text: Column) -> Column:
-    """Paragraphs between blank lines, lines trimmed and joined by a space, at their first line."""
-    lines = F.transform(F.split(text, r"\r?\n"), lambda line, i: F.struct(F.trim(F.regexp_replace(line, r"(?U)^\s+|\s+$", "")).alias("line"), (i + 1).alias("no")))
-    start = F.struct(F.lit(True).alias("fresh"), F.array().cast(BLOCKS).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        one = F.struct(F.lit("Paragraph").alias("block_type"), x["no"].cast("string").alias("page_or_location"), x["line"].alias("text_content"))
-        last = F.element_at(acc["out"], -1)
-        longer = F.struct(last["block_type"].alias("block_type"), last["page_or_location"].alias("page_or_location"), F.concat(last["text_content"], F.lit(" "), x["line"]).alias("text_content"))
-        grown = F.when(acc["fresh"], F.concat(acc["out"], F.array(one))).otherwise(F.concat(F.slice(acc["out"], F.lit(1), F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(longer)))
-        return F.when(x["line"] == "", F.struct(F.lit(True).alias("fresh"), acc["out"].alias("out"))).otherwise(F.struct(F.lit(False).alias("fresh"), grown.alias("out")))
-
-    return F.aggregate(lines, start, step)["out"]
+    """Paragraphs between blank lines, lines trimmed and joined by a space, at their first line.
+
+    A paragraph's line follows from the line ends before it, which are summed up in blocks."""
+    def line_ends(t: Column) -> Column:
+        return F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+
+    def trimmed_line(line: Column) -> Column:
+        return F.trim(F.regexp_replace(line, r"(?U)^\s+|\s+$", ""))
+
+    gaps = F.concat(F.transform(F.regexp_extract_all(text, F.lit(_BLANK), F.lit(0)), line_ends), F.array(F.lit(0)))
+    pieces = F.split(text, _BLANK)
+    before = let(gaps, lambda g: sums_before(F.transform(pieces, lambda p, i: line_ends(p) + F.get(g, i))))
+
+    def block(p: Column, n: Column) -> Column:
+        lines = F.filter(F.transform(F.split(p, "\n"), trimmed_line), lambda x: x != "")
+        at = n + 1 + line_ends(F.regexp_extract(p, r"(?U)^\s*", 0))
+        return F.struct(F.lit("Paragraph").alias("block_type"), at.cast("string").alias("page_or_location"), F.array_join(lines, " ").alias("text_content"))
+
+    return F.filter(F.zip_with(pieces, before, block), lambda b: b["text_content"] != "")
 
 
 def parse_markdown(text: str) -> list[Block]:

@@ -140,6 +140,31 @@ def test_markdown_blocks():
     assert got == [("Heading", "1", "Title"), ("Paragraph", "3", "Some intro text. More of it."), ("Heading", "6", "Section"), ("Code", "7", "fn main() {}"), ("Paragraph", "10", "End"), ("Code", "11", "open")]
 
 
+def test_text_blocks_at_their_lines(spark):
+    import random
+
+    def plain(text):
+        out, fresh = [], True
+        for no, raw in enumerate(text.split("\n"), 1):
+            line = raw.strip()
+            if not line:
+                fresh = True
+            elif fresh:
+                out.append([str(no), line])
+                fresh = False
+            else:
+                out[-1][1] += " " + line
+        return [tuple(x) for x in out]
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "b c", " ", "\n", "\n", "\r\n", "\t", "\u2003", "é"]) for _ in range(rng.choice([0, 3, 30, 400]))) for _ in range(150)]
+    texts += ["\n\n x", "x\n\n\n", "\n", "a\n \n\n  b\r\n\r\nc", "p\n\n" * 20_000 + "q"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", parsers.text_blocks(F.col("t")).alias("b")).collect()
+    for r in got:
+        assert [(b.page_or_location, b.text_content) for b in r.b] == plain(texts[r.i]), texts[r.i][:100]
+    assert one(spark, parsers.text_blocks(F.lit(None).cast("string"))) is None
+
+
 def test_text_blocks(spark):
     got = one(spark, parsers.text_blocks(t("First paragraph,\nstill first.\n\n \nSecond paragraph.\n")))
     assert [tuple(r) for r in got] == [("Paragraph", "1", "First paragraph, still first."), ("Paragraph", "5", "Second paragraph.")]
