@@ -8,7 +8,7 @@ in its Arrow batch with the ``sentencepiece`` library; ``n_differ`` counts units
 (the library's ids then stand).
 
 Defined results: a null text counts as empty; an empty text has the end id only and decodes to
-the empty string; rows are independent, so ties and repeated rows give equal results; an empty
+the empty string; texts of any length are encoded whole; rows are independent, so ties and repeated rows give equal results; an empty
 table gives an empty table; extra columns are kept by :func:`encode` and never read.
 """
 

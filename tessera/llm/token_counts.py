@@ -12,7 +12,7 @@ Sections are lines by default (a line break belongs to the line that it ends), o
 that are joined to one text. Counts of a document's sections always add up to its tokens.
 
 Defined results: a null or empty text has no tokens and one empty section, so that it still has
-its row; sections without a token count 0; rows are independent, so ties and repeated rows give
+its row; texts of any length are encoded whole; sections without a token count 0; rows are independent, so ties and repeated rows give
 equal results; an empty table gives an empty table; extra columns are not read.
 """
 
@@ -115,7 +115,8 @@ def section_counts(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
 def field_counts(df: DataFrame, fields: list[str], vocab_path: str, rule: str = "first", separator: str = "\n") -> DataFrame:
     """Add ``n_tokens_<field>`` for the named fields of each row, encoded together as one text.
 
-    A separator belongs to the field before it; null fields count as empty.
+    A separator belongs to the field before it; null fields count as empty; columns of the output's names
+    are replaced.
     """
     kind = T.DoubleType() if rule == "share" else T.LongType()
 
@@ -129,4 +130,5 @@ def field_counts(df: DataFrame, fields: list[str], vocab_path: str, rule: str =
         return pd.Series(out, dtype=object)
 
     made = df.withColumn("__tessera_counts", counts(*[F.col(f"`{f}`") for f in fields]))
-    return made.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("__tessera_counts")[k].alias(f"n_tokens_{f}") for k, f in enumerate(fields)])
+    named = {f"n_tokens_{f}" for f in fields}
+    return made.select(*[F.col(f"`{c}`") for c in df.columns if c not in named], *[F.col("__tessera_counts")[k].alias(f"n_tokens_{f}") for k, f in enumerate(fields)])

@@ -17,7 +17,7 @@ Documents are dealt by ranges of their id before they are encoded, so texts move
 never do. The place of a document in the whole id sequence is its place in the shard plus the ids
 of the shards before it (one number per shard).
 
-Defined results: null and empty texts hold the end id only; null document ids come first; rows of
+Defined results: null and empty texts hold the end id only; texts of any length are whole; null document ids come first; rows of
 one id lie in the order of their texts; repeated rows are kept; an empty table gives an empty
 file set; extra columns are not read.
 """

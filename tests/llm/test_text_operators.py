@@ -465,14 +465,24 @@ def test_field_counts_add_up(spark):
     r = token_counts.field_counts(df, ["title", "body"], tokenizer_path(BYTES)).orderBy("d").collect()
     encoding, _ = token_counts.vocabulary(tokenizer_path(BYTES))
     assert r[0].n_tokens_title + r[0].n_tokens_body == len(encoding.encode_ordinary("Title here\nBody text"))
+    again = token_counts.field_counts(token_counts.field_counts(df, ["title"], tokenizer_path(BYTES)), ["title", "body"], tokenizer_path(BYTES))
+    assert again.columns == ["title", "body", "d", "n_tokens_title", "n_tokens_body"] and again.orderBy("d").collect() == r
     with pytest.raises(ValueError):
         token_counts.attribute(np.array([1]), np.array([1]), "other")
 
 
+def test_sections_of_empty_tables_and_long_texts(spark):
+    assert token_counts.section_counts(frame(spark, []), tokenizer_path(BYTES)).count() == 0
+    text = "one two three\n" * 40_000 + "end"
+    rows = token_counts.section_counts(frame(spark, [text]), tokenizer_path(BYTES)).collect()
+    encoding, _ = token_counts.vocabulary(tokenizer_path(BYTES))
+    assert len(rows) == 40_001 and sum(r.n_tokens for r in rows) == len(encoding.encode_ordinary(text))
+
+
 # --- registered queries ---------------------------------------------------------------------------
 
 
 def test_every_operator_has_one_query():
     names = list(queries())
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert set(oracle_sql()) <= set(names)
