@@ -210,7 +210,7 @@ def keyword_hits(chunks: DataFrame, queries: DataFrame, workspace: int | None =
     hits = top_hits(chunks, queries, limit).select("query_id", "chunk_id", "score")
     if limit is not None:
         hits = ranked(hits, ["query_id"], limit).drop("rank")
-    return hydrated(hits, chunks, queries, limit).join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    return hydrated(hits, chunks, queries, limit).join(queries.select("query_id", "query"), "query_id")
 
 
 def ranked_hits(chunks: DataFrame, queries: DataFrame, limit: int, kind: str = "keyword", by: str | None = None) -> DataFrame:
