@@ -64,5 +64,6 @@ def pdf_date(raw: Column) -> Column:
 
 
 def iso_time(seconds: Column) -> Column:
-    """Unix seconds as UTC text (in a session of time zone UTC)."""
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Unix seconds as UTC text (in a session of time zone UTC); years of at least four places and without a plus sign."""
+    at = F.timestamp_seconds(seconds)
+    return F.concat(F.format_string("%04d", F.year(at)), F.date_format(at, "-MM-dd'T'HH:mm:ss'Z'"))

@@ -90,6 +90,9 @@ def test_other_dates(spark):
     assert one(spark, dates.pdf_date(t("D:20230614153000-05'00'"))) == "2023-06-14"
     assert one(spark, dates.pdf_date(t("D:2023"))) is None
     assert one(spark, dates.iso_time(t(0))) == "1970-01-01T00:00:00Z"
+    assert one(spark, dates.iso_time(t(9_000_000 * 86_461))) == "26628-07-24T04:00:00Z"
+    assert one(spark, dates.iso_time(t(-1_000_000 * 86_461))) == "-770-02-27T23:33:20Z"
+    assert one(spark, dates.iso_time(t(-62_000_000_000))) == "0005-04-19T09:46:40Z"
 
 
 def test_vectors(spark):
