@@ -31,14 +31,21 @@ def node_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def citation_edges(edges: DataFrame, nodes: DataFrame, sources: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Edges with an end in the chosen workspaces whose ends come from two documents or more,
-    with those documents sorted."""
-    picked = nodes.join(chosen.select("workspace_id").distinct(), "workspace_id", "left_semi").select("node_id")
-    touched = node_edges(edges, picked).select(*edges.columns).dropDuplicates(["edge_id"])
-    own = touched.join(nodes.select(F.col("node_id").alias("from_node_id"), F.col("label").alias("from_label")), "from_node_id").join(nodes.select(F.col("node_id").alias("to_node_id"), F.col("label").alias("to_label")), "to_node_id")
-    ends = own.select("edge_id", F.explode(F.array_distinct(F.array("from_node_id", "to_node_id"))).alias("node_id"))
-    found = ends.join(sources, "node_id").groupBy("edge_id").agg(F.array_sort(F.collect_set("document_id")).alias("source_documents")).filter(F.size("source_documents") > 1)
-    return own.join(found, "edge_id")
+    """Edges (each given once) with an end in the chosen workspaces whose ends come from two documents or more,
+    with those documents sorted.
+
+    A node's documents become one array first; an edge meets the arrays of its two ends, so no row of edge and
+    document is ever written down."""
+    held = sources.groupBy("node_id").agg(F.collect_set("document_id").alias("documents"))
+    picked = chosen.select("workspace_id").distinct().withColumn("picked", F.lit(True))
+    known = nodes.join(picked, "workspace_id", "left").select("node_id", "label", F.coalesce("picked", F.lit(False)).alias("picked")).join(held, "node_id", "left")
+
+    def end(name: str) -> DataFrame:
+        return known.select(F.col("node_id").alias(f"{name}_node_id"), F.col("label").alias(f"{name}_label"), F.col("picked").alias(f"__{name}_picked"), F.coalesce("documents", F.array().cast(held.schema["documents"].dataType)).alias(f"__{name}_documents"))
+
+    own = edges.join(end("from"), "from_node_id").join(end("to"), "to_node_id").filter("__from_picked OR __to_picked")
+    documents = F.array_sort(F.array_union("__from_documents", "__to_documents"))
+    return own.withColumn("source_documents", documents).filter(F.size("source_documents") > 1).drop("__from_picked", "__to_picked", "__from_documents", "__to_documents")
 
 
 def new_nodes(extracted: DataFrame, existing: DataFrame) -> DataFrame:

@@ -452,8 +452,8 @@ JOIN (SELECT edge_id, list_sort(list(DISTINCT document_id)) AS docs FROM (SELECT
 WHERE len(s.docs) > 1""", "e n src")
 def citation_graph(spark, sf):
     chosen = D.nodes(spark, sf).select("workspace_id")
-    c = graph.citation_edges(D.edges(spark, sf), D.nodes(spark, sf), D.node_sources(spark, sf), chosen)
-    return c.select("edge_id", "from_label", "to_label", F.size("source_documents").cast("long").alias("n_sources"), F.get("source_documents", F.lit(0)).alias("first_source"))
+    c = graph.citation_edges(D.links(spark, sf), D.nodes(spark, sf), D.node_sources(spark, sf), chosen)
+    return c.select(D.edge_id().alias("edge_id"), "from_label", "to_label", F.size("source_documents").cast("long").alias("n_sources"), F.get("source_documents", F.lit(0)).alias("first_source"))
 
 
 @query("SELECT node_id, workspace_id, round(cos(angle) * 240 + 400, 4) AS x, round(sin(angle) * 240 + 300, 4) AS y FROM (SELECT *, 2 * pi() * (row_number() OVER (PARTITION BY workspace_id ORDER BY node_id) - 1) / count(*) OVER (PARTITION BY workspace_id) - pi() / 2 AS angle FROM n)", "n")

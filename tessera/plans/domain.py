@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import json_ops
 from tessera.operators import chunking
+from tessera.sources import staging
 
 
 #: Distance of two documents' first chunk ids: no document has so many chunks.
@@ -59,17 +60,34 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), (F.col("p_partkey") % 10).alias("workspace_id"), F.col("p_name").alias("label"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct links between parts of consecutive lines of an order."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct links between parts of consecutive lines of an order; dealt by order, then by their start, in parts of bounded size."""
+    lines = table(spark, sf_dir, "lineitem")
+    n = staging.parts(lines)
+    li = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").repartition(n, "l_orderkey").distinct()
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     kinds = F.element_at(F.array(*[F.lit(r) for r in ("prerequisite-of", "related-to", "part-of")]), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    linked = li.select(F.col("l_partkey").alias("from_node_id"), F.lead("l_partkey").over(order).alias("to_node_id"), kinds.alias("relation_type")).filter("to_node_id IS NOT NULL AND to_node_id <> from_node_id").distinct()
-    return linked.withColumn("edge_id", F.concat_ws("-", F.col("from_node_id").cast("string"), F.col("to_node_id").cast("string"), "relation_type"))
+    linked = li.select(F.col("l_partkey").alias("from_node_id"), F.lead("l_partkey").over(order).alias("to_node_id"), kinds.alias("relation_type")).filter("to_node_id IS NOT NULL AND to_node_id <> from_node_id")
+    return linked.repartition(n, "from_node_id").distinct()
+
+
+def edge_id() -> Column:
+    return F.concat_ws("-", F.col("from_node_id").cast("string"), F.col("to_node_id").cast("string"), "relation_type")
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links(spark, sf_dir).withColumn("edge_id", edge_id())
+
+
+def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of nodes as often as they are recorded."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node_id"), F.col("l_orderkey").alias("document_id"))
 
 
 def node_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node_id"), F.col("l_orderkey").alias("document_id")).distinct()
+    """The same, each once; dealt by node in parts of bounded size."""
+    s = recorded(spark, sf_dir)
+    return s.repartition(staging.parts(s), "node_id").distinct()
 
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that a task may have to hold in a hash table or sort at once.
+PART_ROWS = 500_000
+
+
+def parts(df: DataFrame) -> int:
+    """So many partitions that each has ``PART_ROWS`` rows or so, one for each core at least: dealt into them, a task's
+    memory does not grow with the table. Counting a given table reads its footers only."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; only a session of one JVM (tests) falls back to a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -80,6 +80,7 @@ def test_citation_graph(spark):
     got = graph.citation_edges(edges, nodes, sources, chosen).collect()
     assert [(r.edge_id, r.source_documents) for r in got] == [("e", [1, 2])]
     assert graph.edge_ends(graph.citation_edges(edges, nodes, sources, chosen)).count() == 2
+    assert "Generate" not in graph.citation_edges(edges, nodes, sources, chosen)._jdf.queryExecution().toString()  # no rows of edge and document
 
 
 def test_relations_and_labels(spark):
