@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import numbering
+from tessera.sources import staging
 
 RELATIONS = ("prerequisite-of", "related-to", "part-of")
 
@@ -71,8 +72,9 @@ def new_edges(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def recorded_sources(existing: DataFrame, added: DataFrame) -> DataFrame:
-    """U4: set of (node_id, document_id)."""
-    return existing.select("node_id", "document_id").union(added.select("node_id", "document_id")).distinct()
+    """U4: set of (node_id, document_id), found in parts of bounded size."""
+    both = existing.select("node_id", "document_id").union(added.select("node_id", "document_id"))
+    return both.repartition(staging.parts(both), "node_id", "document_id").distinct()
 
 
 def edge_ends(edges: DataFrame) -> DataFrame:

@@ -1063,7 +1063,7 @@ def edge_end_nodes(spark, sf):
 @query("SELECT DISTINCT node_id, document_id FROM src", "src")
 def recorded_sources(spark, sf):
     """U4: sources of nodes as a set, however often they are recorded."""
-    s = D.node_sources(spark, sf)
+    s = D.recorded(spark, sf)
     return graph.recorded_sources(s.filter("document_id % 3 <> 0"), s.filter("document_id % 2 = 0 OR document_id % 3 = 0"))
 
 
