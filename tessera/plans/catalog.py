@@ -1055,9 +1055,11 @@ def change_event_counts(spark, sf):
 @query("SELECT node_id, min(label) AS label FROM (SELECT e.from_node_id AS node_id, a.label FROM e JOIN n a ON a.node_id = e.from_node_id UNION ALL SELECT e.to_node_id, b.label FROM e JOIN n b ON b.node_id = e.to_node_id) GROUP BY 1", "e n")
 def edge_end_nodes(spark, sf):
     """The distinct nodes of labelled edges."""
-    n = D.nodes(spark, sf).select("node_id", "label")
-    e = D.edges(spark, sf).join(n.select(F.col("node_id").alias("from_node_id"), F.col("label").alias("from_label")), "from_node_id").join(n.select(F.col("node_id").alias("to_node_id"), F.col("label").alias("to_label")), "to_node_id")
-    return graph.edge_ends(e)
+    n, own = D.nodes(spark, sf), D.links(spark, sf)
+    k = staging.parts(D.table(spark, sf, "lineitem"))
+    start = n.select(F.col("node_id").alias("from_node_id"), F.col("label").alias("from_label")).repartition(k, "from_node_id")
+    end = n.select(F.col("node_id").alias("to_node_id"), F.col("label").alias("to_label")).repartition(k, "to_node_id")
+    return graph.edge_ends(own.join(start, "from_node_id").repartition(k, "to_node_id").join(end, "to_node_id"))
 
 
 @query("SELECT DISTINCT node_id, document_id FROM src", "src")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import chunking, context, graph, registry, search, state, study
 from tessera.plans import catalog, domain
-from tessera.sources import files
+from tessera.sources import files, staging
 from tessera.streaming import debounce, events
 
 
@@ -216,3 +216,18 @@ def test_vectors_of_odd_rows_score_zero(spark):
     assert search.vector_hits(rows.limit(0), queries, 10).count() == 0 and search.vector_hits(rows, queries.limit(0), 10).count() == 0
     best = search.vector_hits(rows, spark.createDataFrame([(i, [1.0, float(i)]) for i in range(10, 15)], "query_id long, qv array<double>"), 1, block=2)
     assert best.count() == 5 and {r["rank"] for r in best.collect()} == {1}
+
+
+def test_sources_are_found_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(staging, "PART_ROWS", 100)
+    held = spark.range(2000).selectExpr("id % 50 AS node_id", "id % 200 AS document_id")
+    got = graph.recorded_sources(held, held)
+    assert got.count() == 200 and got.rdd.getNumPartitions() == 40
+
+
+def test_edges_and_their_ends_are_found_in_parts_of_bounded_size(spark, sf, monkeypatch):
+    monkeypatch.setattr(staging, "PART_ROWS", 500)
+    n = -(-domain.table(spark, sf, "lineitem").count() // 500)
+    assert n > 4 and domain.links(spark, sf).rdd.getNumPartitions() == domain.edges(spark, sf).rdd.getNumPartitions() == n
+    plan = catalog.QUERIES["edge_end_nodes"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(to_node_id") >= 2 and f", {n})" in plan
