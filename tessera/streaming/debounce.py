@@ -7,7 +7,6 @@ pending. A quiet path emits what is pending.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,15 +25,6 @@ def fold(kinds: Column) -> Column:
     return F.aggregate(kinds, F.lit(""), step)
 
 
-def next_pending(pending: str, kind: str) -> str:
-    """One step of :func:`fold`, for the stream."""
-    if kind == "Created":
-        return "Added"
-    if kind == "Modified":
-        return "Added" if pending == "Added" else "Updated"
-    return "" if pending == "Added" else "Deleted"
-
-
 def debounced(changes: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     """path, kind, at_ms (of the last change) for each burst of ``changes`` (path, kind, at_ms, seq)
     that leaves something.
@@ -59,48 +49,11 @@ def debounced(changes: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
 def debounce_stream(changes: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     """The same over a stream (path, kind, at_ms, seq) with a watermark on ``at`` (the timestamp of ``at_ms``).
 
-    Changes wait in the state store until the watermark has passed them, and are folded in order then,
-    so the outcome does not depend on batches or on the order of arrival; changes later than the
-    watermark are dropped by Spark, changes of no path left out. An event-time timer ends a burst."""
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-    class Debounce(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.pending = handle.getValueState("pending", "kind string, at_ms long")
-            self.waiting = handle.getListState("waiting", "at_ms long, seq long, kind string")
-
-        def handleInputRows(self, key, rows, timerValues):
-            arrived = [(int(a), int(s), k) for frame in rows for a, s, k in zip(frame["at_ms"], frame["seq"], frame["kind"], strict=True)]
-            self.waiting.appendList(arrived)
-            self.handle.registerTimer(min(a for a, _, _ in arrived) + gap_ms)
-            return iter(())
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            passed = timerValues.getCurrentWatermarkInMs()
-            waiting = sorted(tuple(w) for w in self.waiting.get())
-            ready, later = [w for w in waiting if w[0] <= passed], [w for w in waiting if w[0] > passed]
-            kind, last = self.pending.get() if self.pending.exists() else ("", None)
-            done = []
-            for at, _, change in ready:
-                if last is not None and at - last >= gap_ms:
-                    done.append((kind, last))
-                    kind = ""
-                kind, last = next_pending(kind, change), at
-            if last is not None and last + gap_ms <= passed:  # what may still come is later than the burst
-                done.append((kind, last))
-                last = None
-            self.pending.clear() if last is None else self.pending.update((kind, last))
-            if ready:
-                self.waiting.put(later) if later else self.waiting.clear()
-            following = [t for t in (None if last is None else last + gap_ms, later[0][0] + gap_ms if later else None) if t is not None]
-            if following:
-                self.handle.registerTimer(min(following))
-            done = [d for d in done if d[0]]
-            if done:
-                yield pd.DataFrame({"path": [key[0]] * len(done), "kind": [k for k, _ in done], "at_ms": [a for _, a in done]})
-
-        def close(self) -> None:
-            pass
-
-    return changes.filter("path IS NOT NULL").groupBy("path").transformWithStateInPandas(Debounce(), f"path {changes.schema['path'].dataType.simpleString()}, kind string, at_ms long", "Append", "EventTime")
+    Bursts are session windows: their changes wait in the state store until the watermark has passed the burst, and are
+    folded in order then, so the outcome does not depend on batches or on the order of arrival; a change whose own
+    burst the watermark has passed is dropped by Spark, changes of no path are left out. Sessions that touch
+    are one for Spark, bursts a whole gap apart are two: hence a microsecond less."""
+    burst = F.session_window("at", f"{gap_ms * 1000 - 1} microseconds")
+    made = changes.filter("path IS NOT NULL").groupBy("path", burst).agg(F.array_sort(F.collect_list(F.struct("at_ms", "seq", "kind"))).alias("changes"))
+    kind = fold(F.transform("changes", lambda c: c["kind"]))
+    return made.select("path", kind.alias("kind"), F.element_at("changes", -1)["at_ms"].alias("at_ms")).filter("kind <> ''")
