@@ -59,25 +59,26 @@ def work(jobs: DataFrame, run: Callable[[str, int], tuple[str, str | None]], tic
     class Queue(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.queue = handle.getListState("queue", "tick long, priority int, id long, job_type string, payload string, max_retries int")
+            self.queue = handle.getListState("queue", "tick array<long>, priority array<int>, id array<long>, job_type array<string>, payload array<string>, max_retries array<int>")
             self.place = handle.getValueState("place", "n long")
 
         def handleInputRows(self, key, rows, timerValues):
             columns = ("at_ms", "priority", "id", "job_type", "payload", "max_retries")
             arrived = [(int(at) // tick_ms, int(p), int(i), t, x, int(r)) for frame in rows for at, p, i, t, x, r in zip(*(frame[c] for c in columns), strict=True)]
-            self.queue.appendList(arrived)
-            for tick in {a[0] for a in arrived}:
-                self.handle.registerTimer((tick + 1) * tick_ms)
+            self.queue.appendValue(tuple(list(c) for c in zip(*arrived, strict=True)))
+            self.handle.registerTimer((min(a[0] for a in arrived) + 1) * tick_ms)
             return iter(())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             over = timerValues.getCurrentWatermarkInMs() // tick_ms  # ticks before it are over
-            queued = sorted((tuple(q) for q in self.queue.get()), key=lambda q: (q[0], -q[1], q[2]))
+            queued = sorted((q for held in self.queue.get() for q in zip(*held, strict=True)), key=lambda q: (q[0], -q[1], q[2]))
             ready = [q for q in queued if q[0] < over]
+            later = queued[len(ready) :]
+            if later:
+                self.handle.registerTimer((later[0][0] + 1) * tick_ms)
             if not ready:  # taken with an earlier timer
                 return
-            later = queued[len(ready) :]
-            self.queue.put(later) if later else self.queue.clear()
+            self.queue.put([tuple(list(c) for c in zip(*later, strict=True))]) if later else self.queue.clear()
             place = self.place.get()[0] if self.place.exists() else 0
             made = []
             for _, _, job_id, job_type, payload, max_retries in ready:

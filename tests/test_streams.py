@@ -147,3 +147,22 @@ def test_published_files_appear_once(spark, tmp_path):
     files = Files(spark, str(tmp_path))
     assert files.publish("a/b.json", "ä1") and not files.publish("a/b.json", "2")
     assert files.read("a/b.json") == "ä1" and files.names("a") == ["b.json"] and files.names("none") == []
+
+
+def test_worker_sets_one_timer_a_workspace_and_batch(spark, tmp_path):
+    """Not one for each tick that has jobs."""
+    spark.createDataFrame([job(1, i, 1000 * (i + 1)) for i in range(200)] + [job(2, 500, 1 << 40)], JOBS).coalesce(1).write.parquet(f"{tmp_path}/in")
+    query, schema = runs.started(lambda rows: worker.work(rows, run, 1000), spark.createDataFrame([], JOBS).schema, "at_ms", str(tmp_path), 1, 0, spark)
+    query.awaitTermination(120)
+    assert spark.read.schema(schema).parquet(f"{tmp_path}/out").count() == 200
+    timers = [m["numRegisteredTimers"] for p in query.recentProgress for m in [p["stateOperators"][0]["customMetrics"]]]
+    assert 2 <= sum(timers) <= 4
+
+
+def test_bursts_of_a_stream_are_windows_and_end_a_whole_gap_apart(spark):
+    rows = [("a", "Created", 0, 1), ("a", "Modified", 99, 2), ("a", "Removed", 199, 3), ("b", "Created", 0, 4), ("b", "Removed", 99, 5)]
+    table = spark.createDataFrame(rows, "path string, kind string, at_ms long, seq long")
+    stream = lambda s: debounce.debounce_stream(s, 100)
+    assert sorted(tuple(r) for r in runs.through(table, "at_ms", stream, "test-gap").collect()) == [("a", "Added", 99), ("a", "Deleted", 199)]
+    plan = stream(table.withColumn("at", F.timestamp_millis("at_ms")))._jdf.queryExecution().toString()
+    assert "TransformWithState" not in plan and "Python" not in plan
