@@ -9,9 +9,12 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,23 +183,47 @@ def parse_docx(content: bytes) -> list[Block]:
     return [(kind, str(i), text) for i, (kind, text) in enumerate([x for x in texts if x[1]], 1)]
 
 
-def _rows(blocks: list[Block]) -> list[dict[str, str]]:
-    return [{"block_type": k, "page_or_location": p, "text_content": t} for k, p, t in blocks]
+#: Characters (or bytes) that are parsed at once.
+SLICE = 1 << 20
 
 
-@F.pandas_udf(BLOCKS_TYPE)
-def markdown_blocks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _rows(parse_markdown(t)), na_action="ignore")
+def slices(values: pa.Array) -> Iterator[pa.Array]:
+    """An Arrow array in parts of about ``SLICE`` characters, one value at least, so that few blocks are Python objects at once."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(values):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")))
+        yield values.slice(at, end - at)
+        at = end
 
 
-@F.pandas_udf(BLOCKS_TYPE)
-def html_blocks(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda t: _rows(parse_html(t)), na_action="ignore")
+def _parsed(batches: Iterator[pa.Array], parse: Callable[..., list[Block]]) -> Iterator[pa.Array]:
+    """Blocks of each value as Arrow lists; null stays null."""
+    kind = pa.list_(pa.struct([(n, pa.string()) for n in ("block_type", "page_or_location", "text_content")]))
+    for whole in batches:
+        parts = []
+        for part in slices(whole):
+            made = [None if v is None else parse(v) for v in part.to_pylist()]
+            ends = np.cumsum([0, *(len(m or ()) for m in made)], dtype=np.int32)
+            columns = list(zip(*(b for m in made for b in m or ()), strict=True)) or [(), (), ()]
+            struct = pa.StructArray.from_arrays([pa.array(c, type=pa.string()) for c in columns], fields=list(kind.value_type))
+            parts.append(pa.ListArray.from_arrays(pa.array(ends), struct, type=kind, mask=pa.array([m is None for m in made])))
+        yield pa.concat_arrays(parts) if parts else pa.array([], type=kind)
 
 
-@F.pandas_udf(BLOCKS_TYPE)
-def docx_blocks(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda c: _rows(parse_docx(bytes(c))), na_action="ignore")
+@F.arrow_udf(BLOCKS_TYPE)
+def markdown_blocks(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _parsed(texts, parse_markdown)
+
+
+@F.arrow_udf(BLOCKS_TYPE)
+def html_blocks(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _parsed(pages, parse_html)
+
+
+@F.arrow_udf(BLOCKS_TYPE)
+def docx_blocks(contents: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _parsed(contents, parse_docx)
 
 
 def pdf_page_blocks(pages: Column) -> Column:
