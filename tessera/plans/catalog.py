@@ -508,10 +508,12 @@ def file_ledger(spark, sf):
 
 
 def _tree(spark, documents) -> str:
-    """Text files ``source=.../part=.../*.txt`` of the digests of documents, a line each in order of id; the folder."""
+    """Text files ``source=.../part=.../*.txt`` of the digests of documents, a line each in order of id; the folder.
+
+    The number of parts is named, since Spark would join parts of few bytes, and it is files that take the time here."""
     path = staging.new_path(spark, "tree")
     lines = documents.select("source", F.floor(F.col("doc_id") / 500).alias("part"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("value"))
-    lines.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id").select("source", "part", "value").write.partitionBy("source", "part").text(path)
+    lines.repartition(staging.parts(documents), "source", "part").sortWithinPartitions("source", "part", "doc_id").select("source", "part", "value").write.options(**staging.MANY_FILES).partitionBy("source", "part").text(path)
     return path
 
 

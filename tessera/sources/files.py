@@ -12,10 +12,21 @@ from tessera.sources import parsers
 MAGIC = ("FFD8FF", "89504E47", "47494638", "424D", "52494646")
 
 
+#: Spark's setting of how many tasks list the folders of one level at most (unset: one for each folder, up to 10,000).
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """Path, relative_path, content, size, modified of all files below a folder; parts that
-    start with a dot are skipped. Reading fails where the root is missing."""
-    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    start with a dot are skipped. Reading fails where the root is missing.
+
+    Folders are listed here, in as many tasks as there are cores: a task for each costs far more than its listing."""
+    before = spark.conf.get(LISTING_TASKS)
+    spark.conf.set(LISTING_TASKS, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    finally:
+        spark.conf.set(LISTING_TASKS, before)
     top = root if "://" in root or root.startswith("file:") else f"file:{root}"
     rel = F.regexp_replace(paths.relative(F.regexp_replace("path", "^file:/+", "file:/"), top.replace("file://", "file:")), "^/", "")
     return held.select("path", rel.alias("relative_path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).filter(~paths.is_hidden(F.col("relative_path")))

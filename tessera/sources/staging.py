@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a task may have to hold in a hash table or sort at once.
 PART_ROWS = 500_000
+#: Options of a writer of many small files into a shared folder that is a local or mounted one: Hadoop starts a process (chmod)
+#: for each file it makes there, and with checksum files four times as many. Other file systems are not concerned.
+MANY_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def parts(df: DataFrame) -> int:

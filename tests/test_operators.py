@@ -1,5 +1,7 @@
 """Small cases of the operators, stream against batch, and plan checks."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +182,28 @@ def test_files_are_scanned_and_parsed(spark, tmp_path):
     assert files.fingerprint(scanned).count() == 4
 
 
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"part={k}").mkdir()
+        (tmp_path / f"part={k}" / "a.txt").write_text(str(k))
+    before, context = spark.conf.get(files.LISTING_TASKS), spark.sparkContext
+    context.setJobGroup("listing", "")
+    try:
+        scanned = files.scan(spark, str(tmp_path))
+        jobs = context.statusTracker().getJobIdsForGroup("listing")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    stages = [context.statusTracker().getStageInfo(i) for j in jobs for i in context.statusTracker().getJobInfo(j).stageIds]
+    assert sum(i.numTasks for i in stages) <= context.defaultParallelism and spark.conf.get(files.LISTING_TASKS) == before
+    assert scanned.count() == 40
+
+
+def test_a_tree_is_written_by_all_cores_without_checksum_files(spark, sf):
+    path = Path(catalog._tree(spark, domain.table(spark, sf, "documents")).removeprefix("file://"))
+    names = [p.name for p in path.glob("source=*/part=*/*")] + [p.name for p in path.glob("source=*/part=*/.*")]
+    assert len({n.split("-")[1] for n in names if n.startswith("part-")}) > 1 and not [n for n in names if n.endswith(".crc")]
+
+
 def test_plans_push_down_and_stay_in_the_jvm(spark, sf):
     plan = lambda df: df._jdf.queryExecution().toString()
     keyword = plan(catalog.keyword_topk(spark, sf))
