@@ -491,7 +491,7 @@ def scanned_files(spark, sf):
     """A tree of files (of each source and five hundred ids the digests of its documents), scanned, read and fingerprinted."""
     root = _tree(spark, D.table(spark, sf, "documents"))
     held = files.scan(spark, root)
-    prints = files.fingerprint(held).join(held.select("relative_path", paths.file_type(F.col("relative_path")).alias("file_type"), F.regexp_count(F.col("content").cast("string"), F.lit("\n")).cast("long").alias("n_lines")), "relative_path")
+    prints = files.fingerprint(held, paths.file_type(F.col("relative_path")).alias("file_type"), F.regexp_count(F.col("content").cast("string"), F.lit("\n")).cast("long").alias("n_lines"))
     return prints.select(F.regexp_replace("relative_path", "/[^/]*$", "").alias("folder"), "n_lines", "size", "content_hash", "file_type")
 
 

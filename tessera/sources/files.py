@@ -32,9 +32,9 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return held.select("path", rel.alias("relative_path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).filter(~paths.is_hidden(F.col("relative_path")))
 
 
-def fingerprint(files: DataFrame) -> DataFrame:
-    """Digest, size and time of each file."""
-    return files.select("relative_path", F.sha2("content", 256).alias("content_hash"), "size", F.unix_timestamp("modified").alias("mtime"))
+def fingerprint(files: DataFrame, *more: Column) -> DataFrame:
+    """Digest, size and time of each file, and ``more`` that is told from the same reading of it."""
+    return files.select("relative_path", F.sha2("content", 256).alias("content_hash"), "size", F.unix_timestamp("modified").alias("mtime"), *more)
 
 
 def ledger_changes(ledger: DataFrame, listing: DataFrame, by: list[str]) -> DataFrame:

@@ -204,6 +204,11 @@ def test_a_tree_is_written_by_all_cores_without_checksum_files(spark, sf):
     assert len({n.split("-")[1] for n in names if n.startswith("part-")}) > 1 and not [n for n in names if n.endswith(".crc")]
 
 
+def test_scanned_files_are_read_once(spark, sf):
+    plan = catalog.scanned_files(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan binaryFile") == 1 and "Join" not in plan
+
+
 def test_plans_push_down_and_stay_in_the_jvm(spark, sf):
     plan = lambda df: df._jdf.queryExecution().toString()
     keyword = plan(catalog.keyword_topk(spark, sf))
