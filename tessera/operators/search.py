@@ -30,8 +30,8 @@ DEFAULT_LIMIT = 20
 QUERY_BLOCK = 1000
 #: Chunks scored at once in a task.
 CHUNK_SLICE = 256
-#: Vectors multiplied at once in a task.
-VECTOR_SLICE = 1024
+#: Scores of vectors and queries (8 bytes each) that a task makes at once: the more queries, the fewer vectors in a slice.
+SLICE_SCORES = 1 << 18
 #: Rows of hits that may be broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_HITS = 200_000
 
@@ -48,32 +48,46 @@ def vector_hits(rows: DataFrame, queries: DataFrame, limit: int, by: str | None
     asked = ((r.query_id, r.qv, r.group) for r in queries.select(F.col("query_id").cast("long"), F.col("qv").cast("array<double>").alias("qv"), *group).filter("query_id IS NOT NULL").toLocalIterator())
     out = rows.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double")
     while held := list(islice(asked, block)):
-        out = out.union(own.mapInArrow(_nearest(rows.sparkSession.sparkContext.broadcast(held), limit), out.schema))
+        out = out.union(own.mapInArrow(_nearest(rows.sparkSession.sparkContext.broadcast(VectorBlock(held)), limit), out.schema))
     return ranked(out, ["query_id"], limit)
 
 
+class VectorBlock:
+    """The vectors of a block of queries (id, vector, group): what a task needs to find their nearest rows."""
+
+    def __init__(self, rows: list[tuple[int, list[float] | None, object]]):
+        self.ids = np.array([i for i, _, _ in rows], dtype=np.int64)
+        self.codes: dict = {}  # groups by number
+        self.groups = np.array([self.codes.setdefault(g, len(self.codes)) for _, _, g in rows], dtype=np.int64)
+        lengths = np.array([len(v or ()) for _, v, _ in rows])
+        #: Length of a vector to the places of the queries that have it, and their unit vectors.
+        self.units = {n: (np.flatnonzero(lengths == n), _units(np.array([v for _, v, _ in rows if len(v or ()) == n], dtype=np.float64))) for n in set(lengths.tolist()) if n}
+
+    def scores(self, listed: pa.ListArray) -> np.ndarray:
+        """(rows, queries) cosines to six decimals, 0 where there is none."""
+        sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy()
+        out = np.zeros((len(sizes), len(self.ids)))
+        for n, (places, unit) in self.units.items():
+            here = np.flatnonzero(sizes == n)
+            x = _units(pc.list_flatten(listed.take(pa.array(here))).to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(here), n))
+            found = x @ unit.T
+            out[np.ix_(here, places)] = np.round(found, 6, out=found)
+        return out
+
+
 def _nearest(sent, limit: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = np.array([i for i, _, _ in sent.value], dtype=np.int64)
-        groups = np.array([g for _, _, g in sent.value], dtype=object)
-        lengths = np.array([len(v or ()) for _, v, _ in sent.value])
-        units = {n: _units(np.array([v for _, v, _ in sent.value if len(v or ()) == n], dtype=np.float64)) for n in set(lengths.tolist()) if n}
-        best = Best(len(ids), limit)
+        own = sent.value
+        best, size = Best(len(own.ids), limit), max(1, SLICE_SCORES // len(own.ids))
         for whole in batches:
-            for at in range(0, whole.num_rows, VECTOR_SLICE):
-                batch = whole.slice(at, VECTOR_SLICE)
-                chunks, listed = batch.column("chunk_id").to_numpy(), batch.column("vector")
-                sizes = pc.fill_null(pc.list_value_length(listed), 0).to_numpy()
-                scores = np.zeros((len(chunks), len(ids)))
-                for n, unit in units.items():
-                    here = np.flatnonzero(sizes == n)
-                    x = _units(pc.list_flatten(listed.take(pa.array(here))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(here), n))
-                    scores[np.ix_(here, np.flatnonzero(lengths == n))] = np.round(x @ unit.T, 6)
-                named = np.array(batch.column("group").to_pylist(), dtype=object)
-                out = (named[:, None] != groups[None, :]) | (chunks[:, None] == ids[None, :])
-                best.add(np.where(out, -np.inf, scores), chunks)
+            for at in range(0, whole.num_rows, size):
+                batch = whole.slice(at, size)
+                chunks, scores = batch.column("chunk_id").to_numpy(), own.scores(batch.column("vector"))
+                named = np.array([own.codes.get(g, -1) for g in batch.column("group").to_pylist()], dtype=np.int64)
+                scores[(named[:, None] != own.groups[None, :]) | (chunks[:, None] == own.ids[None, :])] = -np.inf
+                best.add(scores, chunks)
         q, place = np.nonzero(best.score > -np.inf)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.chunk[q, place]), pa.array(best.score[q, place])], names=["query_id", "chunk_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(own.ids[q]), pa.array(best.chunk[q, place]), pa.array(best.score[q, place])], names=["query_id", "chunk_id", "score"])
 
     return score
 
@@ -128,14 +142,22 @@ class Best:
         self.chunk = np.full((n_queries, limit), np.iinfo(np.int64).max)
 
     def add(self, scores: np.ndarray, chunks: np.ndarray) -> None:
-        new = scores.T
-        able = np.flatnonzero((new >= self.score[:, -1:]).any(axis=1))  # queries for which something can come in
-        if not len(able):
+        """Take in scores (chunks, queries), minus infinity where there is none. Only those that beat a query's last are sorted."""
+        last, limit = self.score[:, -1], self.score.shape[1]
+        c, q = np.nonzero(scores >= np.maximum(last, np.finfo(np.float64).min))
+        keep = (scores[c, q] > last[q]) | (chunks[c] < self.chunk[q, -1])
+        c, q = c[keep], q[keep]
+        if not len(q):
             return
-        score = np.concatenate((self.score[able], new[able]), axis=1)
-        chunk = np.concatenate((self.chunk[able], np.broadcast_to(chunks, (len(able), len(chunks)))), axis=1)
-        order = np.lexsort((chunk, -score), axis=1)[:, : self.score.shape[1]]
-        self.score[able], self.chunk[able] = np.take_along_axis(score, order, 1), np.take_along_axis(chunk, order, 1)
+        able = np.unique(q)
+        query = np.concatenate((q, np.repeat(able, limit)))
+        score = np.concatenate((scores[c, q], self.score[able].ravel()))
+        chunk = np.concatenate((chunks[c], self.chunk[able].ravel()))
+        order = np.lexsort((chunk, -score, query))
+        query = query[order]
+        starts = np.searchsorted(query, able)
+        best = order[(starts[:, None] + np.arange(limit)).ravel()]  # a query has its own ``limit`` places at least
+        self.score[able], self.chunk[able] = score[best].reshape(-1, limit), chunk[best].reshape(-1, limit)
 
 
 def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[QueryBlock]:

@@ -1,7 +1,11 @@
 """Small cases of the operators, stream against batch, and plan checks."""
 
+import tracemalloc
 from pathlib import Path
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +213,29 @@ def test_scanned_files_are_read_once(spark, sf):
     assert plan.count("FileScan binaryFile") == 1 and "Join" not in plan
 
 
+def test_a_tasks_scores_of_vectors_stay_small_with_many_queries():
+    rng = np.random.default_rng(1)
+    asked, rows, ids = rng.normal(size=(1000, 4)), rng.normal(size=(9000, 4)), np.arange(5000, 14000)
+    sent = SimpleNamespace(value=search.VectorBlock([(k, list(v), 0) for k, v in enumerate(asked)]))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(rows)), pa.array(np.zeros(len(rows), dtype=np.int64))], names=["chunk_id", "vector", "group"])
+    tracemalloc.start()
+    (found,) = search._nearest(sent, 3)([batch])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30e6
+    cosines = np.round((rows / np.linalg.norm(rows, axis=1)[:, None]) @ (asked / np.linalg.norm(asked, axis=1)[:, None]).T, 6)
+    want = [int(ids[i]) for k in range(1000) for i in np.lexsort((ids, -cosines[:, k]))[:3]]
+    assert found.column("chunk_id").to_pylist() == want
+
+
+def test_best_keeps_the_smaller_ids_of_equal_scores():
+    best = search.Best(2, 2)
+    best.add(np.array([[0.5, -np.inf], [0.5, -np.inf], [0.25, -np.inf]]), np.array([7, 9, 1]))
+    best.add(np.array([[0.5, 0.0], [0.5, -np.inf]]), np.array([8, 10]))
+    assert best.chunk[0].tolist() == [7, 8] and best.score[0].tolist() == [0.5, 0.5]
+    assert best.chunk[1, 0] == 8 and best.score[1].tolist() == [0.0, -np.inf]
+
+
 def test_plans_push_down_and_stay_in_the_jvm(spark, sf):
     plan = lambda df: df._jdf.queryExecution().toString()
     keyword = plan(catalog.keyword_topk(spark, sf))
