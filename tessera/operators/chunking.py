@@ -11,7 +11,7 @@ VERSION = "chunker-v1"
 LONGEST_WORD = 64
 
 
-def pieces(text: Column) -> Column:
+def pieces(w: Column) -> Column:
     """Words; longer ones in pieces of at most 64 bytes, cut between characters.
 
     Pieces are of 64 characters where all are ASCII and of 16 otherwise (four bytes at most each),
@@ -22,7 +22,7 @@ def pieces(text: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.ceil(F.length(w) / n).cast("int") - 1), lambda i: F.substring(w, i * n + 1, n))
         return F.when(F.octet_length(w) <= LONGEST_WORD, F.array(w)).otherwise(parts)
 
-    return F.flatten(F.transform(words(text), cut))
+    return F.when(F.exists(w, lambda x: F.octet_length(x) > LONGEST_WORD), F.flatten(F.transform(w, cut))).otherwise(w)
 
 
 def capped(text: Column, limit: int) -> Column:
@@ -42,12 +42,13 @@ def chunk_blocks(blocks: DataFrame, keys: list[str], window: int = 256, overlap:
     """
     step = max(1, window - overlap)
     last = F.ceil(F.greatest(F.size("w") - window, F.lit(0)) / step).cast("int")
-    held = blocks.withColumn("w", pieces(F.col("text_content"))).filter(F.size("w") > 0)
-    split = held.select(*keys, *([order] if order else []), "page_or_location", "w", F.explode(F.sequence(F.lit(0), last)).alias("k"))
-    text = F.array_join(F.slice("w", F.col("k") * step + 1, F.lit(window)), " ")
-    count = F.least(F.size("w") - F.col("k") * step, F.lit(window))
+    # The chunks of a block are an array before they are rows, so its words are made once and not copied for each chunk.
+    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("k"), F.array_join(F.slice("w", k * step + 1, F.lit(window)), " ").alias("text"), F.least(F.size("w") - k * step, F.lit(window)).alias("count")))
+    held = blocks.withColumn("w", words(F.col("text_content"))).withColumn("w", pieces(F.col("w")))
+    rows = held.select(*keys, *([order] if order else []), "page_or_location", F.explode(F.when(F.size("w") > 0, cut)).alias("c"))
+    split = rows.select(*keys, *([order] if order else []), "page_or_location", F.col("c.k").alias("k"), F.col("c.text").alias("text"), F.col("c.count").alias("count"))
     index = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "k")) - 1 if order else F.col("k")
     return split.select(
-        *keys, index.cast("int").alias("sequence_index"), capped(text, max_bytes).alias("text_content"), F.col("page_or_location").alias("page_or_location_ref"),
-        count.cast("int").alias("token_count"), F.lit(VERSION).alias("parser_version"),
+        *keys, index.cast("int").alias("sequence_index"), capped(F.col("text"), max_bytes).alias("text_content"), F.col("page_or_location").alias("page_or_location_ref"),
+        F.col("count").cast("int").alias("token_count"), F.lit(VERSION).alias("parser_version"),
     )

@@ -39,8 +39,12 @@ def workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select(F.substring("source", 4, 9).cast("long").alias("workspace_id"), F.concat(F.lit("Workspace "), F.substring("source", 4, 9)).alias("display_name"))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = documents(spark, sf_dir).select("document_id", "workspace_id", F.col("text").alias("text_content"), F.lit("1").alias("page_or_location"))
+def chunks(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None) -> DataFrame:
+    """Chunks of all documents; with ``hits`` (chunk_id, a stored table) those of the documents that are hit only."""
+    held = documents(spark, sf_dir)
+    if hits is not None:
+        held = held.join(hits.select(F.shiftright("chunk_id", CHUNKS_APART.bit_length() - 1).alias("document_id")).distinct(), "document_id", "left_semi")
+    blocks = held.select("document_id", "workspace_id", F.col("text").alias("text_content"), F.lit("1").alias("page_or_location"))
     made = chunking.chunk_blocks(blocks, ["document_id", "workspace_id"])
     return made.withColumn("chunk_id", F.col("document_id") * CHUNKS_APART + F.col("sequence_index"))
 

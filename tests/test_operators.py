@@ -236,6 +236,19 @@ def test_best_keeps_the_smaller_ids_of_equal_scores():
     assert best.chunk[1, 0] == 8 and best.score[1].tolist() == [0.0, -np.inf]
 
 
+def test_texts_of_hits_come_from_documents_that_are_hit(spark, sf):
+    first = domain.chunks(spark, sf).filter("sequence_index = 1").limit(3).select("chunk_id", "document_id").collect()
+    hits = staging.stored(spark.createDataFrame([(r.chunk_id,) for r in first], "chunk_id long"), "hits")
+    every, own = domain.chunks(spark, sf), domain.chunks(spark, sf, hits)
+    assert {r.document_id for r in own.select("document_id").collect()} == {r.document_id for r in first}
+    assert sorted(own.collect()) == sorted(every.join(own.select("document_id").distinct(), "document_id", "left_semi").select(*own.columns).collect())
+
+
+def test_words_are_made_once_for_all_chunks_of_a_block(spark, sf):
+    plan = domain.chunks(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "Generate explode(sequence" not in plan
+
+
 def test_plans_push_down_and_stay_in_the_jvm(spark, sf):
     plan = lambda df: df._jdf.queryExecution().toString()
     keyword = plan(catalog.keyword_topk(spark, sf))
