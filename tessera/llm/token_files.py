@@ -24,13 +24,16 @@ file set; extra columns are not read.
 
 from __future__ import annotations
 
+import itertools
+import re
 import struct
 import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +44,7 @@ MAGIC = b"PFR1"
 BLOCK = 128
 #: Share of a block's differences that its width must hold.
 PERCENTILE = 0.9
-#: Chunks of text whose ids a worker keeps in each of two generations.
+#: Pre-tokens and chunks whose ids a worker keeps in each of two generations.
 CACHE_CHUNKS = 400_000
 LONGEST_KEPT = 64
 #: Blocks packed or unpacked at once.
@@ -52,39 +55,79 @@ SLAB = 2048
 #: stand for themselves, the others follow each other from U+0100 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PRINTABLE)}
+_SPELT = BYTE_CHARS | {32: 32}  # words with spaces between them
+
+#: Latin-1 letters, and ASCII signs that are neither letters nor digits.
+_LETTERS, _SIGNS = "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
+#: A word and the signs behind it are one pre-token each.
+_WORD_AND_SIGNS = f"^(?P<word>[{_LETTERS}]+)(?P<signs>[{_SIGNS}]*)$"
+_LOWER_WORD = re.compile("[a-zªµºß-öø-ÿ]+").fullmatch
+#: Words that the library encodes as one text.
+WORDS_AT_ONCE = 64
 
 
 class KnownChunks(dict):
     """Chunk -> its ids; a chunk not held is encoded by the library and kept.
 
-    The pre-tokenizer always cuts between a letter and a stop, and letters are lower-cased one by
-    one, so a chunk of Latin-1 letters with a stop behind it is its lower-case word and the stop.
-    A lower-case Latin-1 word is one pre-token, which the library's model encodes directly.
+    Latin-1 letters are lower-cased one by one and have no other normal form, so a lower-case
+    Latin-1 word is one pre-token, which the library's model encodes directly.
     """
 
-    def __init__(self, library, old: dict[str, bytes]):
+    def __init__(self, library):
         super().__init__()
-        self.library, self.old, self.model = library, old, library.model
-
-    def word(self, word: str) -> bytes:
-        found = self.model.tokenize(word.encode().decode("latin-1").translate(BYTE_CHARS))
-        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
-
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
-        if found is None:
-            low = chunk.lower()
-            if max(chunk) > "ÿ":
-                found = self.whole(chunk)
-            elif low.isalpha():
-                found = self.word(low) if low == chunk else self[low]
-            elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-                found = self[low[:-1]] + self[low[-1]]
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        self.library, self.old = library, {}
+        self.pre_tokens = Tokenizer(library.model)
+        self.pre_tokens.pre_tokenizer = WhitespaceSplit()
+        vocabulary, suffix = library.get_vocab(), getattr(library.model, "end_of_word_suffix", None)
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        if suffix:
+            self.is_end[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def turn(self) -> None:
+        """Start a new generation; of those before, the last one is still read."""
+        self.old = dict(self)
+        self.clear()
+
+    def find(self, chunks: pa.Array) -> pa.Array:
+        """The ids of different chunks, as binary values."""
+        keys = chunks.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.get, keys))
+        words = []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            chunk = keys[i]
+            found[i] = ids = self.old.get(chunk)
+            if ids is not None:
+                self.keep(chunk, ids)
+            elif _LOWER_WORD(chunk):
+                words.append(i)
             else:
-                found = self.whole(chunk)
-        if len(chunk) <= LONGEST_KEPT:
-            self[chunk] = found
-        return found
+                found[i] = self.keep(chunk, self.whole(chunk))
+        for i, ids in zip(words, self.words([keys[i] for i in words]), strict=True):
+            found[i] = self.keep(keys[i], ids)
+        return pa.array(found, pa.large_binary())
+
+    def keep(self, chunk: str, ids: bytes) -> bytes:
+        if len(chunk) <= LONGEST_KEPT and len(self) <= CACHE_CHUNKS:
+            self[chunk] = ids
+        return ids
+
+    def words(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of lower-case Latin-1 words, told apart by the tokens that end a word."""
+        for lo in range(0, len(words), WORDS_AT_ONCE):
+            part = words[lo : lo + WORDS_AT_ONCE]
+            ids = np.array(self._pre_tokens(" ".join(part)), dtype="<u4")
+            ends = (4 * np.flatnonzero(self.is_end[ids]) + 4).tolist()
+            if len(ends) == len(part):
+                data = ids.tobytes()
+                yield from [data[x:y] for x, y in itertools.pairwise([0, *ends])]
+            else:  # a vocabulary that does not mark them
+                yield from [np.array(self._pre_tokens(w), dtype="<u4").tobytes() for w in part]
+
+    def _pre_tokens(self, text: str) -> list[int]:
+        return self.pre_tokens.encode_batch_fast([text.encode().decode("latin-1").translate(_SPELT)], add_special_tokens=False)[0].ids
 
     def whole(self, chunk: str) -> bytes:
         ids = self.library.encode(chunk, add_special_tokens=False).ids
@@ -95,33 +138,43 @@ class ChunkEncoder:
     """Ids by the tokenizers library; chunks between white space are encoded once and kept.
 
     The vocabulary drops white space and its pre-tokenizer splits at it, so the ids of a text are
-    those of its chunks in order.
+    those of its chunks in order. Texts are cut at ASCII white space (other white space stays in
+    its chunk), each different chunk of a run of texts once into its word and the signs behind it.
     """
 
     def __init__(self, path: str, end_id: int):
         import os
-        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         two = self.library.encode("a b", add_special_tokens=False).ids
-        # White space of str.split() that the vocabulary does not drop: such texts are cut elsewhere.
-        kept = [c for c in map(chr, range(0x3001)) if c.isspace() and self.library.encode(f"a{c}b", add_special_tokens=False).ids != two]
-        self.unsafe = re.compile("[" + re.escape("".join(kept)) + "]").search if kept else lambda text: None
-        self.split = re.compile(r"[^ \t\n\r]+").findall
+        # Where the vocabulary keeps one of them, texts are cut at spaces alone.
+        dropped = all(self.library.encode(f"a{c}b", add_special_tokens=False).ids == two for c in "\t\n\v\f\r")
+        self.split = pc.ascii_split_whitespace if dropped else partial(pc.split_pattern, pattern=" ")
         self.end = struct.pack("<I", end_id)
-        self.known = KnownChunks(self.library, {})
+        self.known = KnownChunks(self.library)
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids with the end id."""
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; some ten times the bytes of the texts are held."""
         if len(self.known) > CACHE_CHUNKS:
-            self.known.old = {}
-            self.known = KnownChunks(self.library, self.known)
-        text = text or ""
-        chunks = self.split(text) if self.unsafe(text) else text.split()
-        return b"".join(map(self.known.__getitem__, chunks)) + self.end
+            self.known.turn()
+        cut = self.split(texts.fill_null(""))
+        chunks = cut.values.dictionary_encode()
+        parts = pc.extract_regex(chunks.dictionary, _WORD_AND_SIGNS)
+        words = pc.coalesce(pc.utf8_lower(pc.struct_field(parts, 0)), chunks.dictionary).dictionary_encode()
+        signs = pc.struct_field(parts, 1).fill_null("").dictionary_encode()
+        halves = [self.known.find(x.dictionary).take(x.indices) for x in (words, signs)]
+        ids = pc.binary_join_element_wise(*halves, pa.scalar(b"", pa.large_binary())).take(chunks.indices)
+        _, places, data = ids.buffers()
+        bounds = np.frombuffer(places, dtype=np.int64)[cut.offsets.to_numpy()].tolist() if len(ids) else [0] * (len(texts) + 1)
+        view = memoryview(data or b"")
+        return [b"".join((view[lo:hi], self.end)) for lo, hi in itertools.pairwise(bounds)]
 
 
 @lru_cache(maxsize=2)
@@ -237,16 +290,17 @@ def read_range(payload: bytes, begin: int, end: int) -> np.ndarray:
     return rows.reshape(-1)[begin - first * BLOCK : end - first * BLOCK]
 
 
-def _pieces(documents: list[bytes], limit: int = 1 << 22) -> Iterator[slice]:
+def _pieces(sizes: Iterable[int], limit: int = 1 << 22) -> Iterator[slice]:
     """Runs of documents of a bounded size together."""
-    lo = size = 0
-    for i, d in enumerate(documents):
-        if size and size + len(d) > limit:
-            yield slice(lo, i)
-            lo, size = i, 0
-        size += len(d)
-    if lo < len(documents):
-        yield slice(lo, len(documents))
+    lo = hi = held = 0
+    for n in sizes:
+        if held and held + n > limit:
+            yield slice(lo, hi)
+            lo, held = hi, 0
+        held += n
+        hi += 1
+    if lo < hi:
+        yield slice(lo, hi)
 
 
 def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", percentile: float = PERCENTILE) -> None:
@@ -260,15 +314,15 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int = 1,
         from pyspark import TaskContext
 
         own, shard, start = chunk_encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
-            encoded = [own.encode(t) for t in batch.column("text").to_pylist()]
-            for run in _pieces(encoded):
-                part = encoded[run]
+        for batch in batches:
+            texts = batch.column("text")
+            for run in _pieces(pc.binary_length(texts).fill_null(0).to_pylist()):
+                part = own.encode_all(texts[run])
                 sizes = np.array([len(d) // 4 for d in part], dtype=np.int64)
                 begins = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), shard, dtype=np.int32)), batch.column("doc_id").slice(run.start, len(part)), pa.array(begins), pa.array(sizes), pa.array(pack_documents(part, percentile), type=pa.binary())],
+                    [pa.array(np.full(len(part), shard, dtype=np.int32)), batch.column("doc_id")[run], pa.array(begins), pa.array(sizes), pa.array(pack_documents(part, percentile), type=pa.binary())],
                     names=schema.names,
                 )
 
@@ -312,7 +366,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
         for batch in slices(batches):
             ids = []
             payloads = batch.column("payload").to_pylist()
-            for run in _pieces(payloads):
+            for run in _pieces(map(len, payloads)):
                 ids += unpack_documents(payloads[run])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("start"), pa.array([len(x) for x in ids], type=pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], type=pa.int64())],

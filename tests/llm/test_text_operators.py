@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -395,6 +396,39 @@ def test_chunk_encoder_equals_the_library(spark, sf):
         assert np.frombuffer(own.encode(t), dtype="<u4").tolist() == want, t
 
 
+def test_runs_of_texts_equal_the_library():
+    own = token_files.chunk_encoder(tokenizer_path(WORDS), 1)
+    latin = "".join(chr(c) for c in range(0x20, 0x100)) + "aaaaeeee      "
+    texts = [None, "", "  ", "Straße,\tÉTÉ!! \x0bª²µ", "x<|ENDOFTEXT|>y", "<|endoftext|>$$ a", "don't I'LL 's ''s", "\n" * 5, "a\xa0b\x85c\u3000d"] + scrambled(2000, latin)
+    for kind in (pa.string(), pa.large_string()):
+        run = pa.array(["cut", *texts], kind)[1:]
+        got = own.encode_all(run)
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in got] == library_ids(texts)
+    assert own.encode_all(pa.array([], pa.string())) == []
+
+
+def test_different_words_of_a_run_are_looked_up_once_and_encoded_together(monkeypatch):
+    own, single, looked_up = token_files.ChunkEncoder(tokenizer_path(WORDS), 1), [], []
+    whole = token_files.KnownChunks.whole
+    monkeypatch.setattr(token_files.KnownChunks, "whole", lambda self, chunk: single.append(chunk) or whole(self, chunk))
+    text = "Tréier%%% erhere$$$, ANER!! aner tréier. Aner,"
+    assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == library_ids([text])[0]
+    assert not [c for c in single if any(map(str.isalpha, c))]
+    find = token_files.KnownChunks.find
+    monkeypatch.setattr(token_files.KnownChunks, "find", lambda self, chunks: looked_up.extend(chunks.to_pylist()) or find(self, chunks))
+    assert len(set(own.encode_all(pa.array([text] * 500)))) == 1
+    assert sorted(looked_up) == sorted({"tréier", "erhere", "aner", "%%%", "$$$,", "!!", "", ".", ","})
+
+
+def test_few_kept_chunks_change_nothing(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_CHUNKS", 5)
+    own = token_files.ChunkEncoder(tokenizer_path(WORDS), 1)
+    texts = scrambled(300, "abcdé ,")
+    for t, want in zip(texts, library_ids(texts), strict=True):
+        assert np.frombuffer(own.encode(t), dtype="<u4").tolist() == want
+        assert len(own.known) <= 6 and len(own.known.old) <= 6
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(0)
     docs = [rng.integers(0, 49408, n).astype("<u4").tobytes() for n in (1, 127, 128, 129, 5000)]
